@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import lines
+from tessera.llm import langid, lines, packing, simhash
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
+    "op3_packing": packing.op3_packing,
+    "op5_simhash": simhash.op5_simhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
