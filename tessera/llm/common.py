@@ -21,9 +21,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def word_array(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+def lowered_words(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; null and blank texts have none."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + SPACE[1:], LOWER + " " * len(SPACE[1:]))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def raw_words(text: bytes | None) -> list[bytes]:

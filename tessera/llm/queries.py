@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, lines, packing, simhash
+from tessera.llm import decontaminate, langid, lines, packing, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_packing": packing.op3_packing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": lines.ORACLE,
 }
