@@ -73,7 +73,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
-    """Columns row, doc_id, item_id, similarity, start: the best window of each item in each document.
+    """Columns row, doc_id, text_key, item_id, similarity, start: the best window of each item in each document.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are those of
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. An item of n words is compared with windows of n words
@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items without words match nothing, nor do null texts. similarity: shared shingles over all
     shingles, counted with repeats. start: the window's first word, the earliest of equal ones.
     row: a number of the document's row, so that equal rows, or rows with equal or null doc_id, are
-    judged each by itself; equal items are reported each.
+    judged each by itself; text_key, the hash of its text, finds it again. Equal items are reported each.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontaminate")
@@ -92,7 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     by_size = F.coalesce(*(F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)) for k in range(1, shingle + 1)))
     items = scratch.save(items.select("item", "item_id", "n", "k", by_size.alias("item_hashes")).withColumn("item_fp", simhash(F.col("item_hashes"))), "items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most ``shingle`` numbers
-    worded = docs.select("doc_id", once(word_hashes(F.col("text"))).alias("w"))
+    worded = docs.select("doc_id", F.xxhash64("text").alias("text_key"), once(word_hashes(F.col("text"))).alias("w"))
 
     width = 64 // BLOCKS
     balls = [sum(1 << x for x in c) for r in range(BALL + 1) for c in combinations(range(width), r)]
@@ -106,39 +106,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         mine = items.where(F.col("k") == k)
         places = mine.select("item", "n", F.posexplode("item_hashes").alias("at", "h"))
         known = [r["h"] for r in places.select("h").distinct().limit(SET_SHINGLES + 1).collect()]
-        hashed = worded.select("doc_id", once(shingle_hashes(F.col("w"), k)).alias("hashes"))
+        hashed = worded.select("doc_id", "text_key", once(shingle_hashes(F.col("w"), k)).alias("hashes"))
         everywhere = F.sequence(F.lit(0), F.size("hashes") - 1)
         hit = F.filter(everywhere, lambda i: F.get("hashes", i).isin(known)) if len(known) <= SET_SHINGLES else everywhere
-        seeded = hashed.where(F.size("hashes") > 0).select("doc_id", "hashes", once(hit).alias("hits")).where(F.size("hits") > 0)
+        seeded = hashed.where(F.size("hashes") > 0).select("doc_id", "text_key", "hashes", once(hit).alias("hits")).where(F.size("hits") > 0)
         seeded = scratch.save(seeded.withColumn("row", F.monotonically_increasing_id()), "seeded")
         n_places = places.count()
         seeds = seeded.select("row", F.size("hashes").alias("m"), F.explode("hits").alias("p"), F.get("hashes", F.col("p")).alias("h"))
         aligned = seeds.join(_small(places, n_places), "h").select("row", "item", "n", "m", (F.col("p") - F.col("at")).alias("start")).distinct()
         # a window that shares enough shingles starts within this many words of such an alignment
-        slack = F.floor((F.col("n") - k + 1) * F.lit((1 - similarity) / (1 + similarity))).cast("int")
+        slack = F.floor((F.col("n") - k + 1) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9)).cast("int")
         last = F.greatest(F.lit(0), F.col("m") + k - 1 - F.col("n"))
         starts = aligned.select("row", "item", "n", last.alias("last"), F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)).alias("start"))
         starts = starts.select("row", "item", "n", F.greatest(F.lit(0), F.least("start", "last")).alias("start")).distinct()
-        windows = starts.join(seeded.select("row", "doc_id", "hashes"), "row").select(
-            "row", "doc_id", "item", "start", F.slice("hashes", F.col("start") + 1, F.col("n") - k + 1).alias("window")
+        windows = starts.join(seeded.select("row", "doc_id", "text_key", "hashes"), "row").select(
+            "row", "doc_id", "text_key", "item", "start", F.slice("hashes", F.col("start") + 1, F.col("n") - k + 1).alias("window")
         )
         windows = windows.select("*", once(simhash(F.col("window"))).alias("fp"))
         blocks = windows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("value", block(F.col("fp"), F.col("b")))
-        met = blocks.join(_small(listed, listed_rows), ["item", "b", "value"]).groupBy("row", "doc_id", "item", "start", "fp").agg(F.first("window").alias("window"))
+        met = blocks.join(_small(listed, listed_rows), ["item", "b", "value"]).groupBy("row", "doc_id", "text_key", "item", "start", "fp").agg(F.first("window").alias("window"))
         near = met.join(_small(mine.select("item", "item_id", "item_hashes", "item_fp"), listed_rows), "item").where(
             F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
         )
         shared = overlap(F.col("item_hashes"), F.col("window")).cast("double")
         judged = near.select(
-            "row", "doc_id", "item", "item_id", "start", (F.size("item_hashes") + F.size("window")).alias("both"), once(shared).alias("shared")
-        ).select("row", "doc_id", "item", "item_id", "start", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
-        best = judged.where(F.col("similarity") >= similarity).groupBy("row", "doc_id", "item", "item_id").agg(
+            "row", "doc_id", "text_key", "item", "item_id", "start", (F.size("item_hashes") + F.size("window")).alias("both"), once(shared).alias("shared")
+        ).select("row", "doc_id", "text_key", "item", "item_id", "start", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
+        best = judged.where(F.col("similarity") >= similarity).groupBy("row", "doc_id", "text_key", "item", "item_id").agg(
             F.min(F.struct(-F.col("similarity"), "start")).alias("best")
         )
-        found.append(best.select("row", "doc_id", "item_id", (-F.col("best.col1")).alias("similarity"), F.col("best.start").alias("start")))
+        found.append(best.select("row", "doc_id", "text_key", "item_id", (-F.col("best.col1")).alias("similarity"), F.col("best.start").alias("start")))
     if not found:
         ids = docs.select("doc_id").crossJoin(benchmark.select("item_id")).schema  # the types alone; nothing is joined
-        return spark.createDataFrame([], "row long, doc_id {}, item_id {}, similarity double, start int".format(*(f.dataType.simpleString() for f in ids)))
+        return spark.createDataFrame([], "row long, doc_id {}, text_key long, item_id {}, similarity double, start int".format(*(f.dataType.simpleString() for f in ids)))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -157,7 +157,7 @@ i AS (SELECT item_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda k
 d AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS sh FROM dw WHERE len(w) >= 5),
 ip AS (SELECT item_id, n, len(sh) AS m, unnest(sh) AS s, generate_subscripts(sh, 1) AS p FROM i),
 dp AS (SELECT doc_id, n, unnest(sh) AS s, generate_subscripts(sh, 1) AS p FROM d),
-al AS (SELECT DISTINCT dp.doc_id, ip.item_id, ip.m, greatest(0, dp.n - ip.n) AS last, dp.p - ip.p AS a, CAST(floor(ip.m * (1 - 0.8) / (1 + 0.8)) AS BIGINT) AS slack FROM dp JOIN ip USING (s)),
+al AS (SELECT DISTINCT dp.doc_id, ip.item_id, ip.m, greatest(0, dp.n - ip.n) AS last, dp.p - ip.p AS a, CAST(floor(ip.m / 9 + 1e-9) AS BIGINT) AS slack FROM dp JOIN ip USING (s)),
 st AS (SELECT DISTINCT doc_id, item_id, m, greatest(0, least(last, x)) AS start FROM (SELECT *, unnest(range(a - slack, a + slack + 1)) AS x FROM al)),
 wi AS (SELECT st.doc_id, st.item_id, st.m, st.start, d.sh[st.start + 1:st.start + st.m] AS win FROM st JOIN d USING (doc_id)),
 wc AS (SELECT doc_id, item_id, start, m, mw, s, count(*) AS c FROM (SELECT doc_id, item_id, start, m, len(win) AS mw, unnest(win) AS s FROM wi) GROUP BY ALL),
