@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Frees the shuffle files of a finished write at once, not when the driver next collects its garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _roots: dict[str, SparkSession] = {}
 
@@ -58,7 +60,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE, None)
+        self.spark.conf.set(FREE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE, before) if before else self.spark.conf.unset(FREE)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
