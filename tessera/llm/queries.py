@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, langid, lines, packing, simhash
+from tessera.llm import decontaminate, langid, lines, packing, simhash, substrings
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_packing": packing.op3_packing,
     "op5_simhash": simhash.op5_simhash,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substrings.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": lines.ORACLE,
 }
