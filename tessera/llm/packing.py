@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from math import ceil
 
 import numpy as np
@@ -32,7 +31,6 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@cache
 def encoder(vocabulary: str = VOCABULARY):
     """The byte-level BPE of ``byte_bpe_50k.json`` from the same vocabulary as ranks: equal ids, a fifth of the time."""
     import public_tokenizers

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, langid, lines, packing, simhash, substrings
+from tessera.llm import decontaminate, langid, lines, packing, quality, simhash, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_quality": quality.op7_quality,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
