@@ -60,14 +60,14 @@ def _vote(value: float, good: float, bad: float) -> int:
 
 #: name -> features -> vote; a rule abstains where it has nothing to go by.
 RULES = {
-    "length": lambda f: BAD if f["n_words"] < 50 else GOOD if f["n_words"] >= 80 else ABSTAIN,
-    "repeats": lambda f: _vote(f["n_repeat_words"] / f["n_words"], 0.2, 0.5) if f["n_words"] >= 3 else ABSTAIN,
+    "length": lambda f: BAD if f["n_words"] < 20 else GOOD if f["n_words"] >= 50 else ABSTAIN,
+    "repeats": lambda f: _vote(f["n_repeat_words"] / f["n_words"], 0.3, 0.5) if f["n_words"] >= 3 else ABSTAIN,
     "symbols": lambda f: _vote(f["n_symbols"] / f["word_chars"], 0.01, 0.05) if f["word_chars"] else BAD,
-    "same lines": lambda f: _vote(f["n_dup_lines"] / f["lines"], 0.1, 0.3) if f["lines"] > 1 else ABSTAIN,
+    "same lines": lambda f: _vote(f["n_dup_lines"] / f["lines"], 0.2, 0.5) if f["lines"] > 3 else ABSTAIN,
     "word length": lambda f: (GOOD if 3 <= f["word_chars"] / f["n_words"] <= 10 else BAD) if f["n_words"] else BAD,
-    "letters": lambda f: _vote(-f["letters"] / f["word_chars"], -0.85, -0.7) if f["word_chars"] else BAD,
+    "letters": lambda f: _vote(-f["letters"] / f["word_chars"], -0.85, -0.6) if f["word_chars"] else BAD,
     "line ends": lambda f: _vote(-f["ended"] / f["lines"], -0.5, -0.1) if f["lines"] else BAD,
-    "one word": lambda f: _vote(f["top"] / f["n_words"], 0.1, 0.3) if f["n_words"] >= 20 else ABSTAIN,
+    "one word": lambda f: _vote(f["top"] / f["n_words"], 0.15, 0.3) if f["n_words"] >= 20 else ABSTAIN,
 }
 
 
@@ -79,15 +79,15 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tuple[i
     """Posterior probability of good for each pattern of votes, from counts of patterns.
 
     Two classes, rules independent given the class, each with its own shares of the three votes in
-    each class (one vote of each kind is added to the counts). It starts from the share of good among
-    the votes cast, which fixes the meaning of the classes; a pattern without a vote starts at a half.
+    each class (one vote of each kind is added to the counts). A rule is written to be silent on good
+    texts, so a text starts as good without a vote against it and the less so the more of them it has;
+    that start fixes the meaning of the classes.
     """
     if not patterns:
         return {}
     kinds = np.array(sorted(patterns))
     n = np.array([patterns[tuple(p)] for p in kinds.tolist()], float)
-    good, bad = (kinds == GOOD).sum(1), (kinds == BAD).sum(1)
-    q = (good + 0.5) / (good + bad + 1)
+    q = 0.95 * 0.25 ** (kinds == BAD).sum(1)
     onehot = kinds[:, :, None] == np.arange(3)
     for _ in range(rounds):
         prior = (np.array([(n * (1 - q)).sum(), (n * q).sum()]) + 1) / (n.sum() + 2)
