@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, langid, lines, lm, packing, quality, simhash, substrings
+from tessera.llm import decontaminate, langid, lines, lm, packing, pages, quality, simhash, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_packing": packing.op3_packing,
+    "op4_main_text": pages.op4_main_text,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_quality": quality.op7_quality,
