@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, langid, lines, lm, packing, pages, quality, simhash, substrings
+from tessera.llm import decontaminate, langid, licenses, lines, lm, packing, pages, quality, simhash, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_quality": quality.op7_quality,
+    "op8_licenses": licenses.op8_licenses,
     "op9_lm_score": lm.op9_lm_score,
     "op10_line_dedup": lines.op10_line_dedup,
 }

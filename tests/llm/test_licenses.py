@@ -1,0 +1,93 @@
+import math
+import random
+from collections import Counter
+
+from tessera.llm.licenses import COSINE, TEMPLATES, WHOLE, Matcher, op8_licenses, parts, scan, terms
+
+
+def plain(files, names=("license", "licence", "copying", "notice", "unlicense")):
+    n = len(files)
+    df = Counter(t for _, _, x in files for t in set(terms(x or "")))
+    vocabulary = {t for _, x in TEMPLATES for t in terms(x)}
+    idf = lambda t: math.log((n + 1) / ((df[t] if t in vocabulary else 0) + 1)) + 1
+    vector = lambda ts: {t: (1 + math.log(c)) * idf(t) for t, c in Counter(ts).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vs = [(name, vector(terms(x))) for name, x in TEMPLATES]
+    own = []
+    for i, path, text in files:
+        hits, covered = [], set()
+        for start, stop, ts in parts(text or ""):
+            v = vector(ts)
+            score, k = max((sum(v.get(t, 0) * y for t, y in u.items()) / norm(u) / norm(v), -k) for k, (_, u) in enumerate(vs))
+            if score >= COSINE:
+                hits.append((score, -start, vs[-k][0]))
+                covered.update(range(start, stop))
+        lines = [terms(x) for x in (text or "").split("\n")]
+        mostly = bool(hits) and sum(len(x) for j, x in enumerate(lines) if j in covered) >= WHOLE * sum(map(len, lines))
+        own.append((i, path or "", max(hits) if hits else None, mostly or any((path or "").lower().split("/")[-1].startswith(w) for w in names)))
+    out = {}
+    for i, path, hit, _ in own:
+        if hit:
+            out[i] = (hit[2], path, 0)
+            continue
+        d, up, out[i] = path.rpartition("/")[0], 1, (None, None, None)
+        while True:
+            there = [(-h[0], p, h[2]) for _, p, h, is_file in own if h and is_file and p.rpartition("/")[0] == d]
+            if there:
+                out[i] = (min(there)[2], min(there)[1], up)
+                break
+            if not d:
+                break
+            d, up = d.rpartition("/")[0], up + 1
+    return out
+
+
+def corpus():
+    rng = random.Random(5)
+    vocab = [f"tok{i}" for i in range(300)] + ["license", "the", "version", "software"]
+    prose = lambda n: "\n".join(" ".join(rng.choice(vocab) for _ in range(9)) for _ in range(n))
+    files = [
+        (0, "LICENSE", TEMPLATES[2][1]), (1, "a/LICENSE.txt", "Copyright x\n\n" + TEMPLATES[5][1]), (2, "a/b/c/COPYING", prose(3) + "\n" + TEMPLATES[7][1]),
+        (3, "a/b/code.py", prose(5)), (4, "a/b/c/d/e/code.py", prose(5)), (5, "a/own.py", "# " + TEMPLATES[0][1] + "\n" + prose(8)),
+        (6, "z/x.py", prose(3)), (7, "top.py", prose(2)), (8, None, None), (9, "a/empty", ""), (10, "n/NOTICE", prose(2)), (11, "n/x", prose(1)),
+        (12, "m/only", TEMPLATES[15][1]), (13, "m/y", prose(4)), (14, "m/z/", "x"), (15, "t/LICENSE-a", TEMPLATES[0][1]), (16, "t/LICENSE-b", TEMPLATES[0][1]), (17, "t/f", "x y"),
+    ]
+    for i in range(20, 80):
+        text = prose(rng.randrange(1, 9)).split("\n")
+        if i % 4 == 0:
+            text.insert(rng.randrange(len(text) + 1), rng.choice(TEMPLATES)[1])
+        files.append((i, f"r/{i % 3}/{i % 7}/f{i}", "\n".join(text)))
+    return files
+
+
+def test_equals_brute_force(spark):
+    files = corpus()
+    df = spark.createDataFrame([(i, p, t, "k", 1) for i, p, t in files], "id long, path string, text string, dir string, line int")
+    got = {r.id: (r.license, r.license_from, r.depth) for r in scan(df).collect()}
+    assert got == {i: (a, b if b is None or files_path(files, i, b) else None, c) for i, (a, b, c) in plain(files).items()}
+    assert got[4] == ("GPL-3.0", "a/b/c/COPYING", 3) and got[3][0] == "Apache-2.0" and got[5] == ("MIT", "a/own.py", 0) and got[6] == ("MIT", "LICENSE", 2)
+
+
+def files_path(files, i, path):
+    return any(p == path for _, p, _ in files)
+
+
+def test_repeated_rows_and_empty(spark):
+    rows = [(1, "d/LICENSE", TEMPLATES[0][1]), (1, "d/LICENSE", TEMPLATES[0][1]), (None, "d/x", "hello")]
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    assert sorted((r.license, r.depth) for r in scan(df).collect()) == [("MIT", 0), ("MIT", 0), ("MIT", 1)]
+    assert scan(df.limit(0)).count() == 0
+
+
+def test_versions_are_told_apart():
+    match = Matcher(TEMPLATES, {}, 0).match
+    for name, text in TEMPLATES:
+        assert match("prose about nothing at all\n" + text + "\nmore of it", COSINE, WHOLE)[0] == name
+    assert match("we went to see the license of the software and its version", COSINE, WHOLE)[0] is None
+
+
+def test_query(spark, tmp_path):
+    rows = [(1, "s", "words here\nReleased under the MIT License."), (2, "s", "no"), (3, None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.depth, r.line) for r in op8_licenses(spark, str(tmp_path)).collect()}
+    assert got == {1: ("MIT", 0, 1), 2: ("MIT", 1, None), 3: (None, None, None)}
