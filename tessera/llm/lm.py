@@ -145,7 +145,15 @@ def score(docs: DataFrame, away: F.Column, vocabulary: str = VOCABULARY, frequen
     end_base, end_score = math.log10(ends + SMOOTH) - below, math.log10(end_share)
     inner = math.log10(1 - end_share) if end_share < 1 else 0.0
 
-    top = {r["word"]: (int(r["c"] > 0), math.log10(r["c"] + SMOOTH) - below, r["p"] + inner) for r in words.orderBy(F.desc("n"), "word").limit(frequent).collect()}
+    # words by sixteenths of the power of two of their count: at most 1024 rows tell how far down the bound reaches
+    band = F.floor(F.log2("n") * 16).cast("int")
+    room, lowest = frequent, 1 << 30
+    for r in words.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["band"]
+    top = {r["word"]: (int(r["c"] > 0), math.log10(r["c"] + SMOOTH) - below, r["p"] + inner) for r in words.where(band >= lowest).collect()}
     known = spark.sparkContext.broadcast({bytes(w): v for w, v in top.items()})  # at most ``frequent`` words
     schema = pa.schema(
         [("doc_id", pa.int64()), ("away", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
