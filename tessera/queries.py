@@ -467,9 +467,9 @@ pred AS (SELECT nation AS inst, point_id FROM o WHERE priority > nation % 5),
 gi AS (SELECT gt_id AS instance_id, gt_id // 1000 AS label_id, count(*) AS vert_count FROM gt GROUP BY ALL),
 pi AS (SELECT inst, n_regionkey + 1 AS label_id, count(*) AS np, 1.0::DOUBLE / (1 + inst % 3) AS score FROM pred JOIN nation ON inst = n_nationkey GROUP BY ALL HAVING count(*) >= 100),
 x AS (SELECT pi.label_id, inst, gt_id AS instance_id, count(*) AS k FROM pred JOIN pi USING (inst) JOIN gt USING (point_id) WHERE gt_id // 1000 = pi.label_id GROUP BY ALL),
-u AS (SELECT x.*, k / (vert_count + np - k) AS iou, score FROM x JOIN pi USING (inst, label_id) JOIN gi USING (instance_id)),
+u AS (SELECT x.*, k / (vert_count + np - k) AS iou FROM x JOIN pi USING (inst, label_id) JOIN gi USING (instance_id)),
 ovs AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.25]::DOUBLE[]) AS overlap),
-hits AS (SELECT pi.label_id, overlap, score, CAST(coalesce(iou > overlap, false) AS BIGINT) AS hit FROM pi CROSS JOIN ovs LEFT JOIN u USING (inst)),
+hits AS (SELECT pi.label_id, overlap, score, CAST(coalesce(iou > overlap, false) AS BIGINT) AS hit FROM pi CROSS JOIN ovs LEFT JOIN (SELECT inst, iou FROM u) v USING (inst)),
 tot AS (SELECT label_id, count(*) AS total FROM gi WHERE vert_count >= 100 GROUP BY ALL),
 grp AS (SELECT label_id, overlap, score, count(*) AS n, CAST(sum(hit) AS BIGINT) AS tp FROM hits GROUP BY ALL),
 cur AS (SELECT label_id, overlap, score, sum(n) OVER w AS n, sum(tp) OVER w AS tp, row_number() OVER (PARTITION BY label_id, overlap ORDER BY score) - 1 AS nth FROM grp WINDOW w AS (PARTITION BY label_id, overlap ORDER BY score DESC)),
@@ -544,8 +544,8 @@ def ap_step_width(spark, sf_dir):
     return found.select("label_id", "overlap", F.round("ap", 6).alias("ap"))
 
 
-@query(GT_SQL + """, per AS (SELECT r_name AS class, r_regionkey + 1 AS class_id, avg(coalesce(ap, 0)) FILTER (WHERE overlap <> 0.25) AS ap, max(coalesce(ap, 0)) FILTER (WHERE overlap = 0.5) AS ap50,
-  max(coalesce(ap, 0)) FILTER (WHERE overlap = 0.25) AS ap25 FROM region CROSS JOIN ovs LEFT JOIN ap ON ap.label_id = r_regionkey + 1 AND ap.overlap = ovs.overlap GROUP BY ALL)
+@query(GT_SQL + """, per AS (SELECT r_name AS class, r_regionkey + 1 AS class_id, avg(coalesce(ap, 0)) FILTER (WHERE ovs.overlap <> 0.25) AS ap, max(coalesce(ap, 0)) FILTER (WHERE ovs.overlap = 0.5) AS ap50,
+  max(coalesce(ap, 0)) FILTER (WHERE ovs.overlap = 0.25) AS ap25 FROM region CROSS JOIN ovs LEFT JOIN ap ON ap.label_id = r_regionkey + 1 AND ap.overlap = ovs.overlap GROUP BY ALL)
 SELECT class, CAST(class_id AS BIGINT) AS class_id, round(ap, 6) AS ap, round(ap50, 6) AS ap50, round(ap25, 6) AS ap25 FROM per
 UNION ALL SELECT '', NULL, round(avg(ap), 6), round(avg(ap50), 6), round(avg(ap25), 6) FROM per""".replace("GROUP BY ALL)", "GROUP BY r_name, r_regionkey)"))
 def ap_summary(spark, sf_dir):

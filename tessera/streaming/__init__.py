@@ -1,0 +1 @@
+"""Incidences that arrive over time."""
