@@ -154,7 +154,7 @@ def test_room_of_boxes_is_lifted(spark):
                 scene.append(("s", k * 400 + i * 20 + j, x0 + 0.02 * i, 0.02 * j, 2.0))
                 pixels.append(("s", 0, int(250 + 5 * j), int(320 + (x0 + 0.02 * i) * 250), 2.0, mask))
     pose = [float(i % 5 == 0) for i in range(16)]
-    cameras = spark.createDataFrame([("s", 0, (250.0, 250.0, 320.0, 250.0), pose), ("s", 1, (1.0, 1.0, 0.0, 0.0), [float("inf")] * 16)], "seq string, frame_id int, intr struct<fx:double,fy:double,cx:double,cy:double>, pose array<double>")
+    cameras = spark.createDataFrame([("s", 0, (500.0, 500.0, 320.0, 250.0), pose), ("s", 1, (1.0, 1.0, 0.0, 0.0), [float("inf")] * 16)], "seq string, frame_id int, intr struct<fx:double,fy:double,cx:double,cy:double>, pose array<double>")
     px = spark.createDataFrame(pixels + [("s", 0, 0, 0, 0.0, 1), ("s", 0, 0, 1, 2.0, 0), ("s", 1, 0, 0, 1.0, 1)], "seq string, frame_id int, v int, u int, depth float, mask_id int")
     points = spark.createDataFrame(scene, "seq string, point_id long, x double, y double, z double")
     found: dict = {}
