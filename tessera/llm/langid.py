@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out, per_row, table
 
 #: Bounds of the fit: texts per language, bytes taken of each, bytes of a dictionary, languages.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES, MAX_LANGUAGES = 256, 2048, 1 << 17, 256
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES, MAX_LANGUAGES = 512, 512, 1 << 18, 256
 LEVEL = 3
 #: Compressed bytes that part the two best languages of an accepted text, at least.
 MARGIN = 2
@@ -51,16 +51,33 @@ def fit(docs: DataFrame, training: F.Column) -> list[tuple[str, bytes]]:
     near = rows.where(F.col("_order") <= limit[F.col("lang")]).select("lang", "doc_id", "_order", F.left("text", F.lit(SAMPLE_BYTES)).alias("part"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id", "part"))
     found = near.select("lang", "part", nth.alias("nth")).where(F.col("nth") <= SAMPLE_TEXTS).orderBy("lang", "nth").collect()
+    return dictionaries(trusted([(r["lang"], letters(r["part"])) for r in found]))
+
+
+def dictionaries(sample: list[tuple[str, str]]) -> list[tuple[str, bytes]]:
     parts: dict[str, list[str]] = {}
-    for r in found:
-        parts.setdefault(r["lang"], []).append(letters(r["part"]))
+    for lang, text in sample:
+        parts.setdefault(lang, []).append(text)
     return [(lang, " ".join(p).encode()[:DICTIONARY_BYTES]) for lang, p in sorted(parts.items())]
 
 
-def classifier(dictionaries: list[tuple[str, bytes]], margin: int = MARGIN):
+def trusted(sample: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The sample without texts whose label the rest contradicts: each half is judged by the dictionaries of the other.
+
+    A text under a wrong label would draw its near copies to that language. All of a language's texts
+    stay where none would be left.
+    """
+    halves = [classifier(dictionaries(sample[k::2])) for k in (1, 0)]
+    judged = [(lang, text, halves[i % 2](text)) for i, (lang, text) in enumerate(sample)]
+    good = [(lang, text) for lang, text, (pred, _, rejected) in judged if rejected or pred == lang]
+    left = {lang for lang, _ in good}
+    return good + [(lang, text) for lang, text in sample if lang not in left]
+
+
+def classifier(learned: list[tuple[str, bytes]], margin: int = MARGIN):
     """text -> (lang, score, rejected)."""
     made = []
-    for lang, data in dictionaries:
+    for lang, data in learned:
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(data) >= 8 else None
         if d:
             d.precompute_compress(level=LEVEL)
@@ -82,7 +99,7 @@ def classifier(dictionaries: list[tuple[str, bytes]], margin: int = MARGIN):
     return classify
 
 
-def detect(docs: DataFrame, dictionaries: list[tuple[str, bytes]], margin: int = MARGIN) -> DataFrame:
+def detect(docs: DataFrame, learned: list[tuple[str, bytes]], margin: int = MARGIN) -> DataFrame:
     """All rows and columns of docs + lang_pred, score, rejected (columns of these names are replaced).
 
     lang_pred: the language of the smallest encoding (ties: the first in alphabetical order), `und`
@@ -92,7 +109,7 @@ def detect(docs: DataFrame, dictionaries: list[tuple[str, bytes]], margin: int =
     """
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score", "rejected").withColumn("text", F.col("text").cast("string"))
-    shared = spark.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES dictionaries of DICTIONARY_BYTES
+    shared = spark.sparkContext.broadcast(learned)  # at most MAX_LANGUAGES dictionaries of DICTIONARY_BYTES
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
@@ -111,6 +128,6 @@ def detect(docs: DataFrame, dictionaries: list[tuple[str, bytes]], margin: int =
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     away = held_out(F.col("doc_id"), 5)
-    dictionaries = fit(docs.select("doc_id", "text", "lang"), ~away)
-    found = detect(docs.select("doc_id", away.alias("held_out"), "text"), dictionaries)
+    learned = fit(docs.select("doc_id", "text", "lang"), ~away)
+    found = detect(docs.select("doc_id", away.alias("held_out"), "text"), learned)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
