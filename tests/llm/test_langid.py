@@ -57,8 +57,10 @@ def test_smallest_encoding_wins(rows):
 
 def test_labels_the_rest_contradicts_are_dropped():
     rng = random.Random(3)
-    sample = [(lang, words(rng, lang, 60)) for lang in SYLLABLES for _ in range(60)]
-    wrong = [("aa", words(rng, "bb", 60)), ("cc", words(rng, "aa", 60))]
+    vocab = {lang: words(rng, lang, 200).split() for lang in SYLLABLES}
+    text = lambda lang: " ".join(rng.choice(vocab[lang]) for _ in range(80))
+    sample = [(lang, text(lang)) for lang in SYLLABLES for _ in range(60)]
+    wrong = [("aa", text("bb")), ("cc", text("aa"))]
     found = trusted(sample + wrong)
     assert not set(wrong) & set(found) and len(found) >= 0.95 * len(sample)
     assert trusted([("aa", "one"), ("bb", "one")]) == [("aa", "one"), ("bb", "one")]
