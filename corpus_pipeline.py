@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, lines, packing, simhash
@@ -10,16 +10,27 @@ from tessera.llm.common import held_out, table
 from tessera.plans.scratch import Scratch
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct ``rest``, so that their names cannot clash with an operator's."""
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*(F.col(f"`{c}`") for c in other)) if other else F.struct(F.lit(0))).alias("rest"))
+
+
+def restored(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs from carried rows, with some of them changed."""
+    return found.select(*(changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those that language ID rejects go."""
-    dictionaries = langid.fit(docs, ~held_out(F.col("doc_id"), 5))
-    return langid.detect(docs, dictionaries).where(~F.col("rejected")).select(docs.columns)
+    """Documents whose language is clear; those that language ID rejects go. All rows of the rest stay, nulls in other columns included."""
+    learned = langid.fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), 5))
+    return restored(langid.detect(carried(docs), learned).where(~F.col("rejected")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others repeat; all documents stay."""
-    found = lines.line_dedup(docs)
-    return found.withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}).select(docs.columns)
+    """Documents without the lines that others repeat; all documents stay, and n_chars follows the text."""
+    found = lines.line_dedup(carried(docs))
+    return restored(found, docs, text=F.col("kept"), n_chars=F.char_length("kept").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +38,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("_first", first).where("_first = 1")
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = carried(docs)
+    named = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("nth", first).where("nth = 1").drop("nth")
+    return restored(named.unionByName(rows.where("doc_id is null")), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti").select(docs.columns)
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    rows = carried(docs)
+    return restored(rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (F.xxhash64(rows["text"]) == found["key"]), "left_anti"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

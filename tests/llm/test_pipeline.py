@@ -64,3 +64,14 @@ def test_null_ids_are_judged_by_text(spark, folder):
     frame = spark.createDataFrame([(None, "x " + items[0][1], 1), (None, "clean text here", 2)], "doc_id long, text string, extra int")
     assert [r.extra for r in corpus_pipeline.decontamination(spark, frame, path).collect()] == [2]
     assert corpus_pipeline.near_dedup(spark, frame, path).count() == 2
+
+
+def test_clashing_columns_and_nulls_pass_through(spark, folder):
+    path, docs, _ = folder
+    extra = {"score": F.lit("mine"), "kept": F.lit(7), "_key": F.col("doc_id") + 1, "row": F.lit(None).cast("string"), "rest": F.lit(2.5), "fp": F.array(F.lit(1))}
+    frame = spark.read.parquet(f"{path}/documents.parquet").withColumns(extra).withColumn("n_chars", F.lit(None).cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, path)
+        assert out.columns == frame.columns
+        rows = out.collect()
+        assert rows and all((r.score, r.kept, r._key, r.row, r.rest, r.fp) == ("mine", 7, r.doc_id + 1, None, 2.5, [1]) for r in rows), name
