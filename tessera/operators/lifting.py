@@ -61,3 +61,14 @@ def paint(candidates: DataFrame, p: Params = Params()) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("seq", "frame_id").orderBy("score", "cand"))
     numbered = one.select("seq", "frame_id", "cand", nth.alias("mask_id"))
     return sure.join(numbered, ["seq", "frame_id", "cand"]).groupBy("seq", "frame_id", "v", "u").agg(F.max("mask_id").alias("mask_id"))
+
+
+def without_depth_edges(pixels: DataFrame, delta: float = 0.05) -> DataFrame:
+    """pixels (seq, frame_id, v, u, depth) with depth 0 where a pixel beside, above or below differs by more than delta."""
+    jump = F.lit(False)
+    for across, along in (("u", "v"), ("v", "u")):
+        w = Window.partitionBy("seq", "frame_id", across).orderBy(along)
+        for near in (F.lag, F.lead):
+            adjacent = F.abs(near(along).over(w) - F.col(along)) == 1
+            jump = jump | F.coalesce(adjacent & (F.abs(near("depth").over(w) - F.col("depth")) > delta), F.lit(False))
+    return pixels.withColumn("_jump", jump).withColumn("depth", F.when(F.col("_jump"), F.lit(0).cast(dict(pixels.dtypes)["depth"])).otherwise(F.col("depth"))).drop("_jump")

@@ -458,6 +458,49 @@ def colmap_pairs(spark, sf_dir):
     return paired_lines(d, ["doc_id"]).select("doc_id", "pos", "head", "body")
 
 
+@query("""WITH p AS (SELECT l_orderkey AS frame_id, CAST(l_linenumber AS BIGINT) AS v, CAST(0 AS BIGINT) AS u, max(l_quantity) AS depth FROM lineitem GROUP BY ALL)
+SELECT a.frame_id, a.v, a.u, CASE WHEN EXISTS (SELECT 1 FROM p b WHERE b.frame_id = a.frame_id AND abs(b.v - a.v) + abs(b.u - a.u) = 1 AND abs(a.depth - b.depth) > 10) THEN 0.0::DOUBLE ELSE depth END AS depth FROM p a""")
+def depth_edge_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select(F.lit("l").alias("seq"), F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("v"), F.lit(0).alias("u"), F.col("l_quantity").alias("depth"))
+    p = p.groupBy("seq", "frame_id", "v", "u").agg(F.max("depth").alias("depth"))
+    return lifting.without_depth_edges(p, 10.0).select("frame_id", "v", "u", "depth")
+
+
+@query("""WITH o AS (SELECT DISTINCT CAST(regexp_extract(source, '\\d+') AS BIGINT) AS frame_id, doc_id, string_split(text, ' ') AS w FROM documents),
+s AS (SELECT DISTINCT frame_id, doc_id AS mask_id, array_to_string(w[i:i + 4], ' ') AS point_id FROM (SELECT frame_id, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM o WHERE len(w) >= 5)),
+b AS (SELECT DISTINCT point_id FROM (SELECT point_id, frame_id FROM s GROUP BY ALL HAVING count(*) > 1)),
+t AS (SELECT * FROM s WHERE point_id NOT IN (SELECT point_id FROM b))
+SELECT a.frame_id, a.mask_id, c.frame_id AS by_frame, c.mask_id AS by_mask, count(*) AS k FROM t a JOIN t c USING (point_id) GROUP BY ALL""")
+def shingle_overlap_hist(spark, sf_dir):
+    """Overlaps of documents by runs of five words."""
+    inc = Scratch(spark, "shingles").save(adapters.docs_shingles(spark, sf_dir), "incidence")
+    masks = incidence.masks(inc)
+    found = containment.overlaps(inc, masks)
+    a, b = masks.select("gid", "frame_id", "mask_id"), masks.select(F.col("gid").alias("by_gid"), F.col("frame_id").alias("by_frame"), F.col("mask_id").alias("by_mask"))
+    return found.select("gid", "by_gid", "k").join(a, "gid").join(b, "by_gid").select("frame_id", "mask_id", "by_frame", "by_mask", "k")
+
+
+@query()
+def scene_colours(spark, sf_dir):
+    """Points of the embedding space with a colour for each label."""
+    from tessera.operators.views import scene_colours as colours
+
+    p = space(spark, sf_dir)
+    grey = p.select("seq", "point_id", *"xyz", *(F.lit(0.5).alias(c) for c in "rgb"))
+    return colours(grey, p.select("seq", "point_id", F.col("label").alias("inst"))).drop("seq")
+
+
+@query("SELECT r_regionkey AS idx, r_name AS label, CAST(r_regionkey + 1 AS BIGINT) AS label_id FROM region")
+def label_vocab(spark, sf_dir):
+    return adapters.nation_classes(spark, sf_dir)
+
+
+@query("SELECT l_partkey AS point_id, min(l_suppkey) AS x, count(DISTINCT l_suppkey) AS frames FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1")
+def points_in_many_frames(spark, sf_dir):
+    found = incidence.point_frame(adapters.lineitem(spark, sf_dir)).groupBy("point_id").agg(F.min("frame_id").alias("x"), F.count("*").alias("frames"))
+    return found.where("frames > 1")
+
+
 # --- Ground truth and scores ---------------------------------------------------------------------
 
 GT_SQL = """
