@@ -587,10 +587,11 @@ def ap_step_width(spark, sf_dir):
     return found.select("label_id", "overlap", F.round("ap", 6).alias("ap"))
 
 
-@query(GT_SQL + """, per AS (SELECT r_name AS class, r_regionkey + 1 AS class_id, avg(coalesce(ap, 0)) FILTER (WHERE ovs.overlap <> 0.25) AS ap, max(coalesce(ap, 0)) FILTER (WHERE ovs.overlap = 0.5) AS ap50,
-  max(coalesce(ap, 0)) FILTER (WHERE ovs.overlap = 0.25) AS ap25 FROM region CROSS JOIN ovs LEFT JOIN ap ON ap.label_id = r_regionkey + 1 AND ap.overlap = ovs.overlap GROUP BY ALL)
-SELECT class, CAST(class_id AS BIGINT) AS class_id, round(ap, 6) AS ap, round(ap50, 6) AS ap50, round(ap25, 6) AS ap25 FROM per
-UNION ALL SELECT '', NULL, round(avg(ap), 6), round(avg(ap50), 6), round(avg(ap25), 6) FROM per""".replace("GROUP BY ALL)", "GROUP BY r_name, r_regionkey)"))
+@query(GT_SQL + """, v AS (SELECT r_name AS class, r_regionkey + 1 AS class_id, ovs.overlap, CASE WHEN tot.total IS NULL THEN 'nan'::DOUBLE ELSE coalesce(ap, 0) END AS ap
+  FROM region CROSS JOIN ovs LEFT JOIN ap ON ap.label_id = r_regionkey + 1 AND ap.overlap = ovs.overlap LEFT JOIN tot ON tot.label_id = r_regionkey + 1),
+per AS (SELECT class, CAST(class_id AS BIGINT) AS class_id, avg(ap) FILTER (WHERE overlap <> 0.25) AS ap, max(ap) FILTER (WHERE overlap = 0.5) AS ap50, max(ap) FILTER (WHERE overlap = 0.25) AS ap25 FROM v GROUP BY ALL)
+SELECT class, class_id, round(ap, 6) AS ap, round(ap50, 6) AS ap50, round(ap25, 6) AS ap25 FROM per
+UNION ALL SELECT '', NULL, round(avg(ap) FILTER (WHERE NOT isnan(ap)), 6), round(avg(ap50) FILTER (WHERE NOT isnan(ap50)), 6), round(avg(ap25) FILTER (WHERE NOT isnan(ap25)), 6) FROM per""")
 def ap_summary(spark, sf_dir):
     pred, meta = adapters.nations_pred(spark, sf_dir)
     found = evaluation.evaluate(pred, meta, adapters.nations_gt(spark, sf_dir), adapters.nation_classes(spark, sf_dir))
