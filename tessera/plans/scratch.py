@@ -18,14 +18,17 @@ KEY = "spark.checkpoint.dir"
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _roots: dict[str, SparkSession] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where the setting is absent (tests), a folder of this driver."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set(KEY, found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tessera-")
+        found = _own[app]
     return found.rstrip("/")
 
 
