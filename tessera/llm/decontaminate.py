@@ -137,8 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         )
         found.append(best.select("row", "doc_id", "text_key", "item_id", (-F.col("best.col1")).alias("similarity"), F.col("best.start").alias("start")))
     if not found:
-        ids = docs.select("doc_id").crossJoin(benchmark.select("item_id")).schema  # the types alone; nothing is joined
-        return spark.createDataFrame([], "row long, doc_id {}, text_key long, item_id {}, similarity double, start int".format(*(f.dataType.simpleString() for f in ids)))
+        kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+        return spark.createDataFrame([], "row long, doc_id {}, text_key long, item_id {}, similarity double, start int".format(*kinds))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
