@@ -44,6 +44,9 @@ _chrome_names = frozenset(
     " newsletter subscribe subscription signup login comment comments disqus respond replies reply sidebar aside widget widgets menu nav navbar navigation breadcrumb"
     " breadcrumbs footer share sharing social related recommended recommendations pagination pager toolbar skip search hidden".split()
 )
+_chrome_starts = ("comment", "advert", "cookie", "sidebar", "newsletter", "breadcrumb", "navbar", "footer", "popup", "sponsor", "subscri", "disqus", "recommend", "paginat")
+#: Whole class names of article elements that are not the article.
+_other_articles = frozenset("comment comments reply review ad advert advertisement sponsored promo related teaser".split())
 _page_names = frozenset("header masthead topbar".split())
 
 
@@ -91,11 +94,13 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
         words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
         role = found.get("role", "").lower()
         chrome = (
-            tag in _chrome_tags or role in _chrome_roles or bool(words & _chrome_names) or "hidden" in found or found.get("aria-hidden") == "true"
+            tag in _chrome_tags or role in _chrome_roles or bool(words & _chrome_names) or any(w.startswith(_chrome_starts) for w in words) or "hidden" in found or found.get("aria-hidden") == "true"
             or "display:none" in found.get("style", "").replace(" ", "") or not (inside or main) and (tag == "header" or bool(words & _page_names))
         )
-        if tag == "body" or main and not role:
+        if tag in ("body", "main"):
             chrome = False
+        elif tag == "article":
+            chrome = not _other_articles.isdisjoint(found.get("class", "").lower().split())
         stack.append((tag, ".".join([tag, *sorted(found.get("class", "").split())]), chrome, main or role == "main"))
     if at < len(page):
         text.append(page[at:])

@@ -40,6 +40,12 @@ def test_blocks():
     assert main_text("plain &amp; simple", frozenset()) == "plain & simple"
 
 
+def test_articles_of_other_kinds_and_class_names():
+    page = """<main class="has-sidebar"><article class="post with-comments"><p>kept</p><ol class="commentlist"><li>no</ol><div class="entry-content">also</div>
+    <article class="comment">no</article></article></main><article class="teaser">no</article><div id="footer2">no</div>"""
+    assert main_text(page, frozenset()) == "kept also"
+
+
 def test_address():
     assert address("HTTPS://Www.Ex.com:80/a/b?q#f") == ("www.ex.com", "/a/b")
     assert address(None) == ("", "") and address("http://[x") == ("", "http://[x")
