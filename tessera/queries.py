@@ -308,7 +308,7 @@ def whole_pipeline_objects(spark, sf_dir):
 
 # --- Space ---------------------------------------------------------------------------------------
 
-PTS_SQL = "WITH pts AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+PTS_SQL = "WITH pts AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 EPS_SQL = PTS_SQL + ", near AS (SELECT a.id AS l_id, b.id AS r_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a, pts b), "
 
 
@@ -490,7 +490,7 @@ def scene_colours(spark, sf_dir):
     return colours(grey, p.select("seq", "point_id", F.col("label").alias("inst"))).drop("seq")
 
 
-@query("SELECT r_regionkey AS idx, r_name AS label, CAST(r_regionkey + 1 AS BIGINT) AS label_id FROM region")
+@query("SELECT CAST(r_regionkey AS BIGINT) AS idx, r_name AS label, CAST(r_regionkey + 1 AS BIGINT) AS label_id FROM region")
 def label_vocab(spark, sf_dir):
     return adapters.nation_classes(spark, sf_dir)
 
@@ -504,11 +504,11 @@ def points_in_many_frames(spark, sf_dir):
 # --- Ground truth and scores ---------------------------------------------------------------------
 
 GT_SQL = """
-WITH o AS (SELECT o_orderkey AS point_id, c_nationkey AS nation, n_regionkey AS region, CAST(o_orderpriority[1] AS INT) AS priority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+WITH o AS (SELECT o_orderkey AS point_id, CAST(c_nationkey AS BIGINT) AS nation, CAST(n_regionkey AS BIGINT) AS region, CAST(o_orderpriority[1] AS INT) AS priority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 gt AS (SELECT point_id, nation, (region + 1) * 1000 + nation + 1 AS gt_id FROM o),
 pred AS (SELECT nation AS inst, point_id FROM o WHERE priority > nation % 5),
 gi AS (SELECT gt_id AS instance_id, gt_id // 1000 AS label_id, count(*) AS vert_count FROM gt GROUP BY ALL),
-pi AS (SELECT inst, n_regionkey + 1 AS label_id, count(*) AS np, 1.0::DOUBLE / (1 + inst % 3) AS score FROM pred JOIN nation ON inst = n_nationkey GROUP BY ALL HAVING count(*) >= 100),
+pi AS (SELECT inst, CAST(n_regionkey AS BIGINT) + 1 AS label_id, count(*) AS np, 1.0::DOUBLE / (1 + inst % 3) AS score FROM pred JOIN nation ON inst = n_nationkey GROUP BY ALL HAVING count(*) >= 100),
 x AS (SELECT pi.label_id, inst, gt_id AS instance_id, count(*) AS k FROM pred JOIN pi USING (inst) JOIN gt USING (point_id) WHERE gt_id // 1000 = pi.label_id GROUP BY ALL),
 u AS (SELECT x.*, k / (vert_count + np - k) AS iou FROM x JOIN pi USING (inst, label_id) JOIN gi USING (instance_id)),
 ovs AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.25]::DOUBLE[]) AS overlap),
@@ -553,7 +553,7 @@ def last_wins_scatter(spark, sf_dir):
     return groundtruth.face_values(faces, "segment").select("point_id", "segment")
 
 
-@query("SELECT p_type AS raw_category, arg_min(p_size, p_partkey) AS id FROM part GROUP BY ALL")
+@query("SELECT p_type AS raw_category, CAST(arg_min(p_size, p_partkey) AS BIGINT) AS id FROM part GROUP BY ALL")
 def label_map_first(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.col("p_type").alias("raw_category"), F.col("p_size").alias("id"))
     return groundtruth.first_label(rows)
@@ -609,7 +609,7 @@ def ap_class_agnostic(spark, sf_dir):
 FEATURES_SQL = """
 WITH o AS (SELECT vec_id // 5 AS object_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 f AS (SELECT object_id, i, avg(CAST(x AS DOUBLE)) AS x FROM o GROUP BY ALL),
-t AS (SELECT label AS idx, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY ALL)),
+t AS (SELECT CAST(label AS BIGINT) AS idx, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY ALL)),
 s AS (SELECT object_id, idx, sum(f.x * CAST(t.x AS DOUBLE)) AS similarity FROM f JOIN t USING (i) GROUP BY ALL),
 e AS (SELECT *, exp(100 * (similarity - max(similarity) OVER (PARTITION BY object_id))) AS e FROM s)"""
 
