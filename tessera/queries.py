@@ -100,9 +100,11 @@ DOCS_SQL, PARTS_SQL = base_sql("docs", DOCS), base_sql("parts", PARTS)
 
 def docs_state(spark: SparkSession, sf_dir: str):
     """(incidences, masks, contained, validity, visible frames) of the documents."""
-    inc = Scratch(spark, "docs").save(adapters.docs_lines(spark, sf_dir), "incidence")
-    masks = incidence.masks(inc)
+    scratch = Scratch(spark, "docs")
+    inc = scratch.save(adapters.docs_lines(spark, sf_dir), "incidence")
+    masks = scratch.save(incidence.masks(inc), "masks")
     contained, valid = containment.containment(inc, masks, DOCS)
+    contained, valid = scratch.save(contained, "contained"), scratch.save(valid, "valid")
     return inc, masks, contained, valid, containment.visible_frames(contained, masks)
 
 
