@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, lines, packing, simhash
+from tessera.llm import decontaminate, langid, lines, packing, similar
 from tessera.llm.common import held_out, table
 from tessera.plans.scratch import Scratch
 
@@ -34,13 +34,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row of the document with the smallest doc_id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rows = carried(docs)
-    named = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("nth", first).where("nth = 1").drop("nth")
-    return restored(named.unionByName(rows.where("doc_id is null")), docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row of the smallest doc_id; rows without an id stay."""
+    rows = carried(docs).withColumn("node", F.xxhash64("text"))
+    groups = similar.similar_texts(rows.select("node", "text"))
+    named = rows.where("doc_id is not null")
+    group = F.coalesce("component", "node").alias("component")
+    placed = named.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", group)
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.*")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy(F.lit(0)))
+    kept = named.join(first, ["doc_id", "node"], "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return restored(kept.unionByName(rows.where("doc_id is null")), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", packed),
 ]
