@@ -6,8 +6,9 @@ small Hamming ball are listed, and a window meets the item in a table of (item,
 blocks and balls of two bits find every fingerprint within 23 bits. The exact weighted Jaccard
 similarity of the shingles then verifies each candidate.
 
-Only windows that can reach the similarity are fingerprinted: one must share a shingle with the item
-and start within a few words of where that shingle puts the item's start. Documents without any
+Only windows that can reach the similarity are fingerprinted: those that hold, in any order, as many
+shingles of the item as the similarity needs. Every window is judged by that count, wherever in the
+item its shingles stand, so an item with its parts exchanged is found too. Documents without any
 shingle of an item are left after one pass over their words, and no text is shuffled.
 """
 
@@ -104,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     found = []
     for k in sizes:
         mine = items.where(F.col("k") == k)
-        places = mine.select("item", "n", F.posexplode("item_hashes").alias("at", "h"))
+        places = mine.select("item", "n", F.explode(F.array_distinct("item_hashes")).alias("h"))
         known = [r["h"] for r in places.select("h").distinct().limit(SET_SHINGLES + 1).collect()]
         hashed = worded.select("doc_id", "text_key", once(shingle_hashes(F.col("w"), k)).alias("hashes"))
         everywhere = F.sequence(F.lit(0), F.size("hashes") - 1)
@@ -113,12 +114,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         seeded = scratch.save(seeded.withColumn("row", F.monotonically_increasing_id()), "seeded")
         n_places = places.count()
         seeds = seeded.select("row", F.size("hashes").alias("m"), F.explode("hits").alias("p"), F.get("hashes", F.col("p")).alias("h"))
-        aligned = seeds.join(_small(places, n_places), "h").select("row", "item", "n", "m", (F.col("p") - F.col("at")).alias("start")).distinct()
-        # a window that shares enough shingles starts within this many words of such an alignment
-        slack = F.floor((F.col("n") - k + 1) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9)).cast("int")
-        last = F.greatest(F.lit(0), F.col("m") + k - 1 - F.col("n"))
-        starts = aligned.select("row", "item", "n", last.alias("last"), F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)).alias("start"))
-        starts = starts.select("row", "item", "n", F.greatest(F.lit(0), F.least("start", "last")).alias("start")).distinct()
+        held = seeds.join(_small(places, n_places), "h").groupBy("row", "item", "n", "m").agg(F.sort_array(F.collect_list("p")).alias("p"))
+        width_i = F.col("n") - k + 1
+        held = held.withColumn("size", F.least(width_i, F.col("m"))).withColumn(
+            "need", F.greatest(F.lit(1), F.ceil((width_i + F.col("size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)).cast("int"))
+        )
+        # windows whose first place with a shingle of the item is the i-th and whose ``need``-th such place still lies within
+        before = lambda i: F.when(i > 0, F.get("p", i - 1)).otherwise(F.lit(-1))
+        low = lambda i: F.greatest(F.lit(0), before(i) + 1, F.get("p", i + F.col("need") - 1) - F.col("size") + 1)
+        high = lambda i: F.least(F.get("p", i), F.col("m") - F.col("size"))
+        firsts = F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), lambda i: F.struct(low(i).alias("low"), high(i).alias("high")))
+        held = held.where(F.size("p") >= F.col("need")).select("row", "item", "n", F.explode(firsts).alias("at"))
+        starts = held.where("at.low <= at.high").select("row", "item", "n", F.explode(F.sequence("at.low", "at.high")).alias("start"))
         windows = starts.join(seeded.select("row", "doc_id", "text_key", "hashes"), "row").select(
             "row", "doc_id", "text_key", "item", "start", F.slice("hashes", F.col("start") + 1, F.col("n") - k + 1).alias("window")
         )

@@ -81,3 +81,21 @@ def test_no_python_in_the_plan(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(1, 3, 1.0, 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_parts_in_another_order(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    docs, items = [], []
+    for i, n in enumerate((100, 60, 90, 120)):
+        w = say(n)
+        items.append((i, " ".join(w)))
+        for j, cut in enumerate((n // 2, n // 3, n // 4)):
+            docs.append((10 * i + j, " ".join(say(j * 40) + w[cut:] + w[:cut] + say(50 - 25 * j))))
+    w = words(items[0][1])
+    docs.append((100, " ".join(w[60:] + ["new"] + w[:60])))
+    docs.append((101, " ".join(say(30) + w[70:] + w[35:70] + w[:35])))
+    want = plain(docs, items)
+    assert {d for d, *_ in want} >= {0, 1, 2, 100}
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, round(r.similarity, 6), r.start) for r in found.collect()} == want
