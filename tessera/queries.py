@@ -650,3 +650,11 @@ def connected_components(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     e = table(spark, sf_dir, "orders").join(li, "o_orderkey").select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
     return components.connected_components(e, "a", "b")
+
+
+@query()
+def connected_components_all_rows(spark, sf_dir):
+    """Components of all of orders and lineitem, too many for recursive SQL."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    e = table(spark, sf_dir, "orders").join(li, "o_orderkey").select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
+    return components.connected_components(e, "a", "b")

@@ -1,6 +1,7 @@
 import random
 
 from tessera.operators.components import connected_components
+from tessera.queries import QUERIES
 
 
 def union_find(edges):
@@ -33,3 +34,15 @@ def test_keys_separate_graphs_and_empty(spark):
     got = {(r.seq, r.node): r.component for r in connected_components(df, "a", "b", keys=["seq"]).collect()}
     assert got == {("x", 1): 1, ("x", 2): 1, ("x", 5): 1, ("y", 2): 2, ("y", 3): 2}
     assert connected_components(df.limit(0), "a", "b", keys=["seq"]).count() == 0
+
+
+def test_query_of_all_rows_equals_union_find(spark, tmp_path):
+    rng = random.Random(6)
+    orders = [(i, rng.randrange(60)) for i in range(80)]
+    items = [(rng.randrange(90), rng.randrange(50), rng.randrange(1, 8), float(rng.randrange(1, 51))) for _ in range(70)]
+    items += [(i, 99, 2, 3.0) for i in range(30)]  # a hub whose rows are of small quantities
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    of = dict(orders)
+    want = union_find([(of[o], 1000000 + s) for o, s, *_ in items if o in of])
+    assert {r.node: r.component for r in QUERIES["connected_components_all_rows"](spark, str(tmp_path)).collect()} == want
