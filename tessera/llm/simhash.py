@@ -88,13 +88,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, scratch: Scratch | None = No
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(fingerprints(docs, size), "fingerprints")
-    nodes = scratch.save(
-        marked.groupBy("fp").agg(F.min("doc_id").alias("named")).withColumn("node", F.coalesce("named", F.monotonically_increasing_id() + F.lit(1 << 62))),
-        "nodes",
-    )
-    near = connected_components(links(nodes.select("node", "fp")), "a", "b", scratch=scratch)
-    placed = nodes.join(near, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    placed = scratch.save(placed.select("fp", F.when(F.col("c") < F.lit(1 << 62), F.col("c")).alias("component_id")), "placed")
+    nodes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("named")), "nodes")
+    near = connected_components(links(nodes.select(F.col("fp").alias("node"), "fp")), "a", "b", scratch=scratch).withColumnRenamed("node", "fp")
+    placed = scratch.save(nodes.join(near, "fp", "left").select("fp", "named", F.coalesce("component", "fp").alias("c")), "grouped")
+    placed = scratch.save(placed.join(placed.groupBy("c").agg(F.min("named").alias("component_id")), "c").select("fp", "component_id"), "placed")
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 

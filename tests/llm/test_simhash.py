@@ -64,3 +64,11 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op5_simhash(spark, str(tmp_path)).collect()}
     assert got == {i: (f"{plain_fingerprint(t):016x}", c) for (i, t), c in zip(rows, (1, 1, 3))}
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(7, "some text of this id"), (7, "and quite another one here"), (9, "and quite another one here"), (8, "some text of this id"), (3, "Some text of this id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in near_duplicates(docs).collect()), key=repr)
+    assert got == plain_components(rows)
+    assert {c for _, _, c in got} == {3, 7}

@@ -62,3 +62,10 @@ def test_stage_finds_copies_beyond_two_bits(spark):
         kept += [10 * i, 10 * i + 2]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == kept
+
+
+def test_stage_judges_rows_of_a_repeated_id_by_their_texts(spark):
+    rows = [(1, "a b c d e f g"), (7, "a b c d e f g"), (7, "quite another text under this id"), (7, "quite another text under this id"), (None, "a b c d e f g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[4]], key=repr)
