@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.plans.scratch import Scratch
 
-#: A container is a template if it has so many lines in compared pages, and so large a share of them is common.
-LINES, SHARED = 4, 0.5
+#: A container is a template if so large a share of its lines in compared pages is common, one at least.
+SHARED = 0.5
 
 _token = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|title|svg|math|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))"
@@ -220,16 +220,51 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+EDGES = "host string, place string, n long, same long, path string, page string, last boolean, lines array<long>, places array<string>"
+EDGES_SCHEMA = pa.schema([(n, pa.string()) for n in ("host", "place")] + [(n, pa.int64()) for n in ("n", "same")] + [("path", pa.string()), ("page", pa.string()), ("last", pa.bool_()), ("lines", pa.list_(pa.int64())), ("places", pa.list_(pa.string()))])
+
+
+def _range_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a range of pages, and its first and last page, which have neighbours in other ranges."""
+    ends: list = []
+
+    def seen():
+        for batch in batches:
+            if batch.num_rows:
+                for at in (0, batch.num_rows - 1):
+                    ends[1 if ends else 0 :] = batch.slice(at, 1).to_pylist()
+            yield batch
+
+    for counts in _differences(seen()):
+        yield pa.RecordBatch.from_pylist(counts.to_pylist(), EDGES_SCHEMA)
+    if ends:
+        yield pa.RecordBatch.from_pylist([{**ends[0], "last": False}, {**ends[-1], "last": True}], EDGES_SCHEMA)
+
+
+def _border_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of the last page of each range and the first page of the next one."""
+    before = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if before and before["last"] and not row["last"]:
+                yield from _differences(iter([pa.RecordBatch.from_pylist([before, row], EDGES_SCHEMA)]))
+            before = row
+
+
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Columns host, places: the containers of each host that are templates.
 
     Pages are dealt by ranges of their addresses, so a large host fills many tasks; only hashes of
-    lines travel. The first page of a task is compared with its successor alone.
+    lines travel. The last page of a range meets the first one of the next range in a task that gets
+    two pages a range.
     """
     seen = pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(_lines, LINES_SCHEMA)
     dealt = seen.repartitionByRange("host", "path", "page").sortWithinPartitions("host", "path", "page")
-    counts = dealt.mapInArrow(_differences, "host string, place string, n long, same long").groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    found = counts.where((F.col("n") >= LINES) & (F.col("same") >= SHARED * F.col("n")))
+    met = scratch.save(dealt.mapInArrow(_range_differences, EDGES), "differences")
+    ends = met.where("last is not null").repartition(1).sortWithinPartitions("host", "path", "page", "last")
+    counts = met.where("last is null").select("host", "place", "n", "same").unionByName(ends.mapInArrow(_border_differences, "host string, place string, n long, same long"))
+    counts = counts.groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    found = counts.where((F.col("same") > 0) & (F.col("same") >= SHARED * F.col("n")))
     return scratch.save(found.groupBy("host").agg(F.sort_array(F.collect_set("place")).alias("places")), "templates")
 
 

@@ -83,3 +83,22 @@ def test_articles_keep_what_they_share(spark, tmp_path):
 
 def test_empty(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hosts_of_two_pages_in_any_number_of_ranges(spark):
+    rows = []
+    for h in range(8):
+        for i in range(2):
+            rows.append((2 * h + i, f"http://h{h}.org/{i}", f"<body><div class=q7><p>shared by host {h}</p></div><div class=z1><p>own words of page {h} {i}</p><p>more own words {i} {h}</p></div></body>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for changed in ({}, settings):
+        was = {k: spark.conf.get(k) for k in changed}
+        try:
+            for k, v in changed.items():
+                spark.conf.set(k, v)
+            got = {r.page_id: r.text for r in extract(frame).collect()}
+        finally:
+            for k, v in was.items():
+                spark.conf.set(k, v)
+        assert got == {2 * h + i: f"own words of page {h} {i} more own words {i} {h}" for h in range(8) for i in range(2)}
