@@ -303,7 +303,7 @@ def whole_pipeline_objects(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     scene = p.select(F.lit("lineitem").alias("seq"), F.col("p_partkey").alias("point_id"), (F.col("p_size") / 50).alias("x"), (F.col("p_retailprice") / 2000).alias("y"), (F.col("p_partkey") % 7 / 7).alias("z"))
     inc = adapters.lineitem(spark, sf_dir)
-    nodes, masks, _, _, visible = clustering.cluster(inc, PARTS, rounds=2)
+    nodes, masks, _, _, visible = clustering.cluster(inc, PARTS)
     found = postprocess.objects(nodes, inc, masks, visible, scene, PARTS)
     return found.select("object_id", F.size("point_ids").alias("points"), F.size("mask_list").alias("masks"), F.size("repre_mask_list").alias("representatives"))
 

@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import clustering
 from tessera.queries import ORACLE_SQL, QUERIES
 from tests.oracle import DATA, connect, rows_of, sql_rows
 
@@ -24,3 +25,11 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, DATA).columns
+
+
+@needs_data
+def test_whole_pipeline_runs_all_rounds(spark, monkeypatch):
+    rounds = []
+    cluster = clustering.cluster
+    monkeypatch.setattr(clustering, "cluster", lambda *a, **k: rounds.append(k.get("rounds")) or cluster(*a, **k))
+    assert QUERIES["whole_pipeline_objects"](spark, DATA).columns and rounds == [None]
