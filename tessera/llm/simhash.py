@@ -1,7 +1,9 @@
 """SimHash near-duplicates by multi-index hashing of 64-bit fingerprints.
 
-A fingerprint is cut into segments. For each segment in turn, all values within a small Hamming
-ball are enumerated while the other segments stay whole; the resulting keys meet in one table.
+Whole fingerprints with one bit flipped stand in for tables by segment: flipping within each segment
+while the others stay whole gives the same 65 keys for any number of segments, and they meet in one
+table. Keys of a segment's value alone (16 or 32 bits) would meet ever more strangers as the corpus
+grows. The method does not go beyond 2 bits.
 Two fingerprints that differ in at most 2 bits have a key in common (the value half way between
 them), and two that share a key differ in at most 2 bits, so a key never holds more than 65
 different fingerprints however large a group of copies is. Each key links its fingerprints to its
