@@ -67,7 +67,11 @@ def test_query(spark, tmp_path):
 
 
 def test_one_id_with_two_texts(spark):
-    rows = [(7, "some text of this id"), (7, "and quite another one here"), (9, "and quite another one here"), (8, "some text of this id"), (3, "Some text of this id")]
+    base = [f"w{i}" for i in range(300)]
+    changed = (" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(300))
+    of = plain_fingerprint(" ".join(base))
+    near = next(t for t in changed if 1 <= (plain_fingerprint(t) ^ of).bit_count() <= 2)
+    rows = [(7, " ".join(base)), (7, "and quite another one here"), (9, "and quite another one here"), (3, near)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in near_duplicates(docs).collect()), key=repr)
     assert got == plain_components(rows)
