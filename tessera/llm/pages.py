@@ -1,11 +1,12 @@
 """Main text of web pages by differencing against the page of the nearest URL.
 
 Pages are ordered by host and URL path, and each is aligned with its neighbour by the longest common
-subsequence of their text lines. What neighbours share is template text, and it is deleted where it
-stands: the lines of each container of a host are counted as shared or not, and a container of which
-at least half is shared is a template of the host, with its odd unshared line (a page's own advert
-or notice) as well. An article keeps its lines even where another article quotes them. Elements that
-are never an article's text (menus, footers, forms, scripts, comments and so on) are known by name.
+subsequence of their text lines. A line that two neighbours share is a shared line of its host. The
+difference decides first: a container most of whose lines are shared, on the page or over the host, is
+template and is deleted with its odd unshared line (a page's own advert or notice); in the other
+containers a line is deleted if half of the host's pages hold it, while a line that a few articles
+quote stays where it stands. Tags and names settle only what neighbours cannot tell: text that no other page shares but is
+no article's (reader comments, unique adverts), and hosts of one page.
 """
 
 from __future__ import annotations
@@ -21,11 +22,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import per_row, table
 from tessera.plans.scratch import Scratch
 
-#: A container is a template if so large a share of its lines in compared pages is common, one at least.
-SHARED = 0.5
+#: A container is template if so large a share of its lines is shared, one at least; a line of another
+#: container if so large a share of the host's pages hold it, among so many pages at least.
+SHARED, LINE_PAGES = 0.5, 4
+#: A shared line counts on a page of another place if so large a share of the host's pages hold it, which
+#: also bounds the lines of a host that count.
+KNOWN = 0.01
+#: Marks (template containers and lines of all hosts) that go to every task; beyond it pages are joined with theirs.
+BROADCAST_MARKS = 200_000
+#: Join partitions over which the pages of a host are dealt.
+SALT = 16
+#: Words of a container with a doubtful name that is an article's own text on a host without neighbours.
+PROSE = 8
 
 _token = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|title|svg|math|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))"
@@ -39,33 +50,43 @@ _inline = frozenset(
 _containers = frozenset("div section article main nav header footer aside form ul ol dl table figure fieldset dialog menu details blockquote body center button select".split())
 _chrome_tags = frozenset("nav footer aside form dialog menu button select head".split())
 _chrome_roles = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Names of what is never an article's text, as a whole name or as a part of one (cookie-bar).
 _chrome_names = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
-    " newsletter subscribe subscription signup login comment comments disqus respond replies reply sidebar aside widget widgets menu nav navbar navigation breadcrumb"
-    " breadcrumbs footer share sharing social related recommended recommendations pagination pager toolbar skip search hidden".split()
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription"
+    " comment comments disqus replies sidebar navbar navigation breadcrumb breadcrumbs footer pagination pager toolbar".split()
 )
 _chrome_starts = ("comment", "advert", "cookie", "sidebar", "newsletter", "breadcrumb", "navbar", "footer", "popup", "sponsor", "subscri", "disqus", "recommend", "paginat")
-#: Whole class names of article elements that are not the article.
-_other_articles = frozenset("comment comments reply review ad advert advertisement sponsored promo related teaser".split())
+#: Names that say so as a whole; as a part (share-prices) they leave it to the difference.
+_doubtful_names = frozenset(
+    "promo promotion notice notices alert signup login respond reply aside widget widgets menu nav share sharing social related recommended recommendations skip search hidden".split()
+)
+#: Whole class names of article elements that are not the article, and of those that are only if nothing else is.
+_other_articles = frozenset("comment comments reply ad advert advertisement sponsored".split())
+_second_articles = frozenset("review promo related teaser".split())
 _page_names = frozenset("header masthead topbar".split())
 
 
-def blocks(page: str | None) -> list[tuple[str, str, str]]:
-    """(text, zone, container) of the text blocks in page order.
+def blocks(page: str | None) -> list[tuple[str, str, str, int]]:
+    """(text, zone, container, number of the innermost container's element) of the text blocks in page order.
 
-    zone: main inside an article or main element, chrome in what is never its text, else open.
+    zone: main inside an article or main element, second inside an article of another kind, chrome in
+    what is never an article's text, doubt in a container whose name only hints at that, else open;
+    doubt inside an article is main doubt.
     container: the open containers from the article (or the page) down, with their classes.
     """
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name with classes, chrome, main
+    out: list[tuple[str, str, str, int]] = []
+    stack: list[tuple[str, str, str, str, int]] = []  # tag, name with classes, chrome or doubt, main or second, number
     text: list[str] = []
 
     def flush():
         if text:
             if line := " ".join(html.unescape("".join(text)).split()):
                 main = next((i for i, x in enumerate(stack) if x[3]), None)
-                zone = "chrome" if any(x[2] for x in stack) else "open" if main is None else "main"
-                out.append((line, zone, ">".join(x[1] for x in stack[main or 0 :])))
+                kinds = {x[2] for x in stack}
+                zone = "chrome" if "chrome" in kinds else "open" if main is None else "second" if any(x[3] == "second" for x in stack) else "main"
+                if "doubt" in kinds and zone in ("main", "open"):
+                    zone = "doubt" if zone == "open" else "main doubt"
+                out.append((line, zone, ">".join(x[1] for x in stack[main or 0 :]), stack[-1][4] if stack else 0))
             text.clear()
 
     page, at = page or "", 0
@@ -91,17 +112,22 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             while stack and stack[-1][0] in ("nav", "form", "ul", "ol", "menu"):
                 stack.pop()
         found = {k.lower(): a or b or c for k, a, b, c in _attribute.findall(m[4])}
-        words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        classes = found.get("class", "").lower().split()
+        names = {*classes, *found.get("id", "").lower().split()}
+        words = set(re.split(r"[^a-z0-9]+", " ".join(names)))
         role = found.get("role", "").lower()
         chrome = (
-            tag in _chrome_tags or role in _chrome_roles or bool(words & _chrome_names) or any(w.startswith(_chrome_starts) for w in words) or "hidden" in found or found.get("aria-hidden") == "true"
-            or "display:none" in found.get("style", "").replace(" ", "") or not (inside or main) and (tag == "header" or bool(words & _page_names))
+            tag in _chrome_tags or role in _chrome_roles or bool(words & _chrome_names or names & _doubtful_names) or any(w.startswith(_chrome_starts) for w in words)
+            or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+            or not (inside or main) and (tag == "header" or bool(words & _page_names))
         )
+        kind = "chrome" if chrome else "doubt" if words & _doubtful_names else ""
         if tag in ("body", "main"):
-            chrome = False
+            kind = ""
         elif tag == "article":
-            chrome = not _other_articles.isdisjoint(found.get("class", "").lower().split())
-        stack.append((tag, ".".join([tag, *sorted(found.get("class", "").split())]), chrome, main or role == "main"))
+            kind = "" if _other_articles.isdisjoint(classes) else "chrome"
+        of = "second" if tag == "article" and not _second_articles.isdisjoint(classes) else "main" if main or role == "main" else ""
+        stack.append((tag, ".".join([tag, *sorted(found.get("class", "").split())]), kind, of, at))
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -117,10 +143,6 @@ def address(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def line_hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line) - (1 << 63)
-
-
 def _row(a: list[int], b: list[int]) -> list[int]:
     """Length of the longest common subsequence of a and each prefix of b, by bit vectors."""
     places: dict[int, int] = {}
@@ -174,143 +196,227 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return [(k, k) for k in range(head)] + [(i + head, j + head) for i, j in middle] + ends
 
 
-LINES_SCHEMA = "host string, path string, page string, lines array<long>, places array<string>"
+def key_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+LINES = "key long, host long, address string, path string, page string, lines array<long>, places array<long>"
+LINES_SCHEMA = pa.schema(
+    [("key", pa.int64()), ("host", pa.int64()), ("address", pa.string()), ("path", pa.string()), ("page", pa.string()), ("lines", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
+)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The address, hashed lines and containers of each page."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = []
-            for page, url, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                found = blocks(text)
-                rows.append((*address(url), page, [line_hash(t) for t, _, _ in found], [f"{z}:{c}" for _, z, c in found]))
-            types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["host", "path", "page", "lines", "places"])
-
-
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines and shared lines of each container, from pages in the order of their addresses."""
+    """The address, hashed lines and hashed containers of each page."""
+
+    def row(key, page, url, text):
+        host, path = address(url)
+        found = blocks(text)
+        return key, key_of(host), host, path, page, [key_of(b[0]) for b in found], [key_of(b[2]) for b in found]
+
+    return per_row(lambda: row, LINES_SCHEMA)(batches)
+
+
+COUNTS = "host long, place long, line long, n long, same long, address string, path string, page string, last boolean, lines array<long>, places array<long>"
+COUNTS_SCHEMA = pa.schema(
+    [(n, pa.int64()) for n in ("host", "place", "line", "n", "same")]
+    + [("address", pa.string()), ("path", pa.string()), ("page", pa.string()), ("last", pa.bool_()), ("lines", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
+)
+
+
+def _differences(rows: Iterator[dict], own: bool = True) -> Iterator[pa.RecordBatch]:
+    """How often each line stands in each container, and in how many pairs it is shared, from pages in the order of their addresses.
+
+    A line of a page counts once a container. own: whether the pages' lines are counted, not only the shared ones.
+    """
     counts: Counter = Counter()
     shared: Counter = Counter()
     last = None
 
     def flush():
-        rows = [(h, p, n, shared[h, p]) for (h, p), n in counts.items()]
+        found = [(h, p, x, counts[h, p, x], shared[h, p, x]) for h, p, x in counts.keys() | shared.keys()]
         counts.clear()
         shared.clear()
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "place", "n", "same"])
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            for host, lines, places in zip(*(batch.column(n).slice(at, 256).to_pylist() for n in ("host", "lines", "places"))):
-                if last and last[0] == host:
-                    met = common(last[1], lines)
-                    for theirs, mine, k in ((last[1], last[2], 0), (lines, places, 1)):
-                        for chosen, count in ((range(len(mine)), counts), ((m[k] for m in met), shared)):
-                            for i in chosen:
-                                count[host, mine[i]] += 1
-                                if mine[i].startswith("open:"):
-                                    count[host, f"line:{theirs[i]}"] += 1
-                last = (host, lines, places)
-            if len(counts) > 100_000:
-                yield flush()
+        columns = list(zip(*found)) or [()] * 5
+        empty = [pa.nulls(len(found), t) for t in COUNTS_SCHEMA.types[5:]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), *empty], schema=COUNTS_SCHEMA)
+
+    for row in rows:
+        host, lines, places = row["host"], row["lines"], row["places"]
+        if own:
+            counts.update({(host, p, x) for p, x in zip(places, lines)})
+        if last and last["host"] == host:
+            met = common(last["lines"], lines)
+            shared.update({(host, last["places"][i], lines[j]) for i, j in met} | {(host, places[j], lines[j]) for _, j in met})
+        last = row
+        if len(counts) + len(shared) > 100_000:
+            yield flush()
     yield flush()
 
 
-EDGES = "host string, place string, n long, same long, path string, page string, last boolean, lines array<long>, places array<string>"
-EDGES_SCHEMA = pa.schema([(n, pa.string()) for n in ("host", "place")] + [(n, pa.int64()) for n in ("n", "same")] + [("path", pa.string()), ("page", pa.string()), ("last", pa.bool_()), ("lines", pa.list_(pa.int64())), ("places", pa.list_(pa.string()))])
-
-
 def _range_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of a range of pages, and its first and last page, which have neighbours in other ranges."""
-    ends: list = []
+    ends: list[dict] = []
 
     def seen():
         for batch in batches:
-            if batch.num_rows:
-                for at in (0, batch.num_rows - 1):
-                    ends[1 if ends else 0 :] = batch.slice(at, 1).to_pylist()
-            yield batch
+            for at in range(0, batch.num_rows, 256):
+                for row in batch.slice(at, 256).to_pylist():
+                    ends[1 if ends else 0 :] = [row] if ends else [row, row]
+                    yield row
 
-    for counts in _differences(seen()):
-        yield pa.RecordBatch.from_pylist(counts.to_pylist(), EDGES_SCHEMA)
+    yield from _differences(seen())
     if ends:
-        yield pa.RecordBatch.from_pylist([{**ends[0], "last": False}, {**ends[-1], "last": True}], EDGES_SCHEMA)
+        kept = ("host", "address", "path", "page", "lines", "places")
+        rows = [{**{k: r[k] for k in kept}, "last": side} for r, side in ((ends[0], False), (ends[-1], True))]
+        yield pa.RecordBatch.from_pylist(rows, COUNTS_SCHEMA)
 
 
 def _border_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of the last page of each range and the first page of the next one."""
+    """The shared lines of the last page of each range and the first page of the next one."""
     before = None
     for batch in batches:
         for row in batch.to_pylist():
             if before and before["last"] and not row["last"]:
-                yield from _differences(iter([pa.RecordBatch.from_pylist([before, row], EDGES_SCHEMA)]))
+                yield from _differences(iter([before, row]), own=False)
             before = row
 
 
-def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """Columns host, places: the containers of each host that are templates.
+def templates(seen: DataFrame, scratch: Scratch) -> DataFrame:
+    """Columns host, mark: hashes of the template containers and shared lines of each host; those of lines that are template anywhere also inverted.
 
-    Pages are dealt by ranges of their addresses, so a large host fills many tasks; only hashes of
-    lines travel. The last page of a range meets the first one of the next range in a task that gets
-    two pages a range.
+    seen: the rows of ``LINES``. Pages are dealt by ranges of their addresses, so a large host fills
+    many tasks; only hashes of lines travel, counted before they do. The last page of a range meets
+    the first one of the next range in a task that gets two pages a range.
+    """
+    order = ("address", "path", "page", "key")
+    dealt = seen.repartitionByRange(*order).sortWithinPartitions(*order)
+    met = scratch.save(dealt.select(*order, "host", "lines", "places").mapInArrow(_range_differences, COUNTS), "differences")
+    ends = met.where("last is not null").repartition(1).sortWithinPartitions("address", "path", "page", "last")
+    counts = met.where("last is null").unionByName(ends.mapInArrow(_border_differences, COUNTS))
+    lines = counts.groupBy("host", "place", "line").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    lines = lines.groupBy("host", "place", F.when(F.col("same") > 0, F.col("line")).alias("line")).agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    found = scratch.save(lines, "lines")
+    place = found.groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same") > 0, F.col("n")).otherwise(0)).alias("same"))
+    place = place.where((F.col("same") > 0) & (F.col("same") >= SHARED * F.col("n"))).select("host", F.col("place").alias("mark"))
+    pages = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    line = found.where("same > 0").groupBy("host", "line").agg(F.sum("n").alias("n")).join(pages, "host").where(F.col("n") >= KNOWN * F.col("pages"))
+    often = line.where((F.col("pages") >= LINE_PAGES) & (F.col("n") >= SHARED * F.col("pages"))).select("host", F.bitwise_not("line").alias("mark"))
+    return scratch.save(place.unionByName(line.select("host", F.col("line").alias("mark"))).unionByName(often).distinct(), "templates")
+
+
+def main_text(page: str | None, marks: frozenset[int] = frozenset(), alone: bool = True) -> str:
+    """The article of a page: its blocks without template and without what tags and names rule out.
+
+    marks: those of ``templates`` for the page's host; alone: the host has no other page.
     """
-    seen = pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(_lines, LINES_SCHEMA)
-    dealt = seen.repartitionByRange("host", "path", "page").sortWithinPartitions("host", "path", "page")
-    met = scratch.save(dealt.mapInArrow(_range_differences, EDGES), "differences")
-    ends = met.where("last is not null").repartition(1).sortWithinPartitions("host", "path", "page", "last")
-    counts = met.where("last is null").select("host", "place", "n", "same").unionByName(ends.mapInArrow(_border_differences, "host string, place string, n long, same long"))
-    counts = counts.groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    found = counts.where((F.col("same") > 0) & (F.col("same") >= SHARED * F.col("n")))
-    return scratch.save(found.groupBy("host").agg(F.sort_array(F.collect_set("place")).alias("places")), "templates")
-
-
-def main_text(page: str | None, template: frozenset[str]) -> str:
-    """The page's blocks that are neither chrome nor template, within its article if it has one."""
     found = blocks(page)
-    sizes: Counter = Counter()
-    for t, z, c in found:
-        sizes[z, c] += len(t)
-    zone = "main" if any(z == "main" for z, _ in sizes) else "open"
-    largest = max((c for z, c in sizes if z == zone), key=lambda c: (sizes[zone, c], c), default="")
-
-    def stays(line: str, container: str) -> bool:
-        if zone == "main" and (container == largest or container.split(">")[-1].split(".")[0] in ("article", "main")):
-            return True
-        return f"{zone}:{container}" not in template and (zone == "main" or f"line:{line_hash(line)}" not in template)
-
-    return " ".join(t for t, z, c in found if z == zone and stays(t, c))
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    lines = [key_of(b[0]) for b in found]
+    places = {c: key_of(c) in marks for _, _, c, _ in found}
+    held: Counter = Counter(b[3] for b in found)
+    known: Counter = Counter(b[3] for b, x in zip(found, lines) if x in marks)
+    template = [places[b[2]] or known[b[3]] >= SHARED * held[b[3]] for b in found]
+    zones = [b[1] for b in found]
+    size = lambda at: sum(len(found[i][0]) for i in at)
+
+    own = [i for i, z in enumerate(zones) if z.startswith("main")] or [i for i, z in enumerate(zones) if z == "second"]
+    if own:
+        # the article element itself is no template, whatever its pages share
+        body = [i for i in own if not template[i] or found[i][2].split(">")[-1].split(".")[0] in ("article", "main")]
+        if 2 * size(body) < size(own):  # neighbours with the same article share it whole
+            body = own
+    else:
+        own = [i for i, z in enumerate(zones) if z in ("open", "doubt")]
+        body = [i for i in own if not template[i]]
+        if not body:  # nothing but shared text: the largest container is what the page is about
+            sizes: Counter = Counter()
+            for i in own:
+                sizes[found[i][2]] += len(found[i][0])
+            largest = max(sizes, key=lambda c: (sizes[c], c), default="")
+            body = [i for i in own if found[i][2] == largest]
+    plain = [i for i in body if ~lines[i] not in marks]
+    if 2 * size(plain) >= size(body):
+        body = plain
+    words: Counter = Counter()
+    for i in body:
+        words[found[i][3]] += len(found[i][0].split())
+    # a doubtful name goes by the difference; without one, and outside an article, by whether its text is prose
+    sure = lambda i: "doubt" not in zones[i] or (zones[i] == "main doubt" and not alone) or words[found[i][3]] >= PROSE
+    return " ".join(found[i][0] for i in body if sure(i))
+
+
+def extract(pages: DataFrame, broadcast_marks: int = BROADCAST_MARKS, differencing: bool = True) -> DataFrame:
     """Columns page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
     text: character references decoded, white space of each block as one space, blocks joined by one
     space; empty for a null or empty html and for a page without an article's text. Pages of null or
-    odd urls form a host of their own. Equal rows get equal results; other columns are ignored; an
-    empty table gives an empty result.
+    odd urls form a host of their own. Equal rows get equal results; pages of equal urls are ordered
+    by page_id and content; other columns are ignored; an empty table gives an empty result. A very
+    long page is compared whole, in memory that grows with its lines alone. Html is parsed twice.
+    broadcast_marks: so many template marks of all hosts go to every task; more are joined with their
+    pages. differencing: False leaves pages to their tags and names.
     """
-    scratch = Scratch(pages.sparkSession, "pages")
-    pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    found = templates(pages, scratch)
-    # the same host as address() gives, or none; a page whose host is not found has no template
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    joined = pages.withColumn("_host", host).join(found.withColumnRenamed("host", "_host"), "_host", "left")
-    types = [pa.string(), pa.int64()]
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "pages")
     kind = dict(pages.dtypes)["page_id"]
+    pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("key", F.xxhash64("page_id", "url", "html"))
+    types = [pa.string(), pa.int64()]
+
+    def texts(part: pa.RecordBatch, marks) -> pa.RecordBatch:
+        found = [main_text(h, *marks(i, u)) for i, (h, u) in enumerate(zip(part.column("html").to_pylist(), part.column("url").to_pylist()))]
+        columns = [pa.array(c, t) for c, t in zip((found, [len(t) for t in found]), types)]
+        return pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=["page_id", "url", "text", "n_chars"])
+
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    if not differencing:
+
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    yield texts(batch.slice(at, 256), lambda i, u: ())
+
+        return pages.mapInArrow(plain, out)
+
+    seen = scratch.save(pages.select("key", F.col("page_id").cast("string"), "url", "html").mapInArrow(_lines, LINES), "lines")
+    marks = templates(seen, scratch)
+    lonely = seen.groupBy("host").agg(F.count("*").alias("pages")).where("pages = 1").select("host")
+    n_marks, n_lonely = marks.count(), lonely.count()
+
+    if n_marks + n_lonely <= broadcast_marks:
+        of_host: dict[int, set[int]] = {}
+        for r in marks.collect():
+            of_host.setdefault(r["host"], set()).add(r["mark"])
+        shared = spark.sparkContext.broadcast(({h: frozenset(m) for h, m in of_host.items()}, {r["host"] for r in lonely.collect()}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, single = shared.value
+
+            def of(i, url):
+                host = key_of(address(url)[0])
+                return known.get(host, frozenset()), host in single
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    yield texts(batch.slice(at, 256), of)
+
+        return pages.mapInArrow(run, out)
+
+    # a host's pages are dealt over SALT partitions, and its marks are repeated there
+    salt = F.pmod("key", F.lit(SALT)).cast("int").alias("salt")
+    own = seen.select("key", "host", salt, F.explode(F.array_distinct(F.concat("lines", F.transform("lines", F.bitwise_not), "places"))).alias("mark")).distinct()
+    copies = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    of_page = own.join(copies, ["host", "mark", "salt"]).groupBy("key").agg(F.collect_list("mark").alias("marks"))
+    alone = seen.select("key", "host").distinct().join(lonely, "host").select("key", F.lit(True).alias("alone"))
+    joined = pages.join(scratch.save(of_page.join(alone, "key", "full"), "of_page"), "key", "left").select("page_id", "url", "html", "marks", "alone")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(h, frozenset(p or ())) for h, p in zip(part.column("html").to_pylist(), part.column("places").to_pylist())]
-                columns = [pa.array(c, t) for c, t in zip((texts, [len(t) for t in texts]), types)]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=["page_id", "url", "text", "n_chars"])
+                found, single = part.column("marks").to_pylist(), part.column("alone").to_pylist()
+                yield texts(part, lambda i, u: (frozenset(found[i] or ()), bool(single[i])))
 
-    return joined.select("page_id", "url", "html", "places").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(run_joined, out)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 from tessera.llm import pages
-from tessera.llm.pages import address, blocks, common, extract, main_text, op4_main_text
+from tessera.llm.pages import address, blocks, common, extract, key_of, main_text, op4_main_text
 
 
 def plain_length(a, b):
@@ -34,7 +34,7 @@ def test_blocks():
     <article><header><h1>Title</h1></header><p>One&nbsp;<b>t</b>wo &lt;3 &#233;<br>next < 5<p>open  end
     <form><input value=">">Ask</form><aside>Side</aside><section class="comments"><p>Nice!</p></section></article><footer>&copy;</footer></body></html>"""
     assert main_text(page, frozenset()) == "Title One two <3 é next < 5 open end"
-    assert {z for _, z, _ in blocks(page)} == {"main", "chrome"}
+    assert {b[1] for b in blocks(page)} == {"main", "chrome"}
     for odd in (None, "", "<", "<p", "</p>", "<article>", "<!--", "<script>x", "plain & simple", "<p class='x>y"):
         assert isinstance(main_text(odd, frozenset()), str)
     assert main_text("plain &amp; simple", frozenset()) == "plain & simple"
@@ -51,23 +51,60 @@ def test_address():
     assert address(None) == ("", "") and address("http://[x") == ("", "http://[x")
 
 
-def test_neighbours_reveal_templates_without_names(spark):
+def test_names_that_only_hint_and_articles_of_another_kind():
+    assert main_text('<body><article class="review"><p>a whole review</p></article></body>') == "a whole review"
+    prose = "the price of a share rose and rose until it fell"
+    page = f'<article><p>one</p><div class="share-prices"><p>{prose}</p></div><section class="related-work"><p>{prose}</p></section><div class="share-bar">Tweet</div><div class="share"><p>{prose}</p></div></article>'
+    assert main_text(page) == f"one {prose} {prose}"
+    assert main_text(page, alone=False) == f"one {prose} {prose} Tweet"  # neighbours would have shown it
+    assert main_text(page, frozenset({key_of("article>div.share-bar")}), False) == f"one {prose} {prose}"
+
+
+def unnamed_pages():
+    """Pages without article or main elements or telling names: frames, rotating menus and notices, quoted sentences."""
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(500)]
     say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    menus = ["".join(f"<p>{say(2)}</p>" for _ in range(5)) for _ in range(3)]
+    notices = [say(9), say(9)]
     rows, want = [], {}
     for i in range(60):
         text = [say(12) for _ in range(4)]
-        if i % 5 == 0:
+        if 8 <= i < 16:  # neighbours quote the same sentence
             text[1] = "a sentence that many articles quote"
-        host = "one" if i < 40 else f"lonely{i}"
-        frame = f'<div class="q7"><p>always here</p><p>and here</p><p>too</p></div>' if i < 40 else ""
-        rows.append((i, f"http://{host}.org/p/{i}?x={i}", f"<body>{frame}<div class=z1>{''.join(f'<p>{t}</p>' for t in text)}</div></body>"))
+        host, path = ("one", f"{i:03d}") if i < 40 else (f"lonely{i}", str(i))
+        frame = '<div class="q7"><p>always here</p><p>and here</p><p>too</p></div>' if i < 40 else ""
+        frame += f'<div class="q8">{rng.choice(menus)}</div><div class="q9"><p>{say(6) if i % 7 == 0 else notices[rng.randrange(2)]}</p></div>' if i < 40 else ""
+        consent = "<p>we keep crumbs</p>" if i < 40 else ""
+        rows.append((i, f"http://{host}.org/p/{path}?x={i}", f"<body>{frame}<div class=z1>{text[0]}{consent}{''.join(f'<p>{t}</p>' for t in text[1:])}</div></body>"))
         want[i] = " ".join(text)
-    got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    quoted = "a sentence that many articles quote"
-    assert all(got[i].text.replace(quoted, "").split() == want[i].replace(quoted, "").split() for i in want)
+    return rows, want
+
+
+def test_neighbours_reveal_templates_without_names(spark):
+    rows, want = unnamed_pages()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in extract(frame).collect()}
+    assert {i: r.text for i, r in got.items()} == want
     assert all(r.n_chars == len(r.text) for r in got.values())
+    joined = {r.page_id: r.text for r in extract(frame, broadcast_marks=0).collect()}
+    assert joined == want
+    without = {r.page_id: r.text for r in extract(frame, differencing=False).collect()}
+    assert sum(without[i] != want[i] for i in range(40)) == 40 and all(without[i] == want[i] for i in range(40, 60))
+
+
+def test_copies_of_an_article_stay(spark):
+    rows = [(i, f"https://h.org/{i}", f"<nav>m</nav><article><h1>Same</h1><p>the same text everywhere</p></article><footer>{i}</footer>") for i in range(9)]
+    rows += [(i, f"https://k.org/{i}", "<div class=a><p>the same text in a plain container</p></div><div class=b><p>short</p></div>") for i in range(9, 14)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Same the same text everywhere" if i < 9 else "the same text in a plain container" for i in range(14)}
+
+
+def test_a_very_long_page(spark):
+    long = "".join(f"<p>line {i} of many</p>" for i in range(30_000))
+    rows = [(1, "https://h.org/1", f"<nav>m</nav><div class=c>{long}</div>"), (2, "https://h.org/2", "<nav>m</nav><div class=c><p>other</p></div>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "other" and got[1].startswith("line 0 of many line 1 of") and got[1].endswith("line 29999 of many")
 
 
 def test_articles_keep_what_they_share(spark, tmp_path):
