@@ -34,13 +34,21 @@ SPACE = "▁"
 
 
 class Lattice:
-    """Forward recursion over the pieces of a vocabulary with given counts."""
+    """Forward recursion over the pieces of a vocabulary with given counts.
 
-    def __init__(self, pieces: list[str], counts: dict[int, int]):
-        total = sum(counts.values()) + SMOOTH * len(pieces)
-        self.log = {p: math.log((counts.get(i, 0) + SMOOTH) / total) for i, p in enumerate(pieces)}
-        self.bytes = [self.log.get(f"<0x{b:02X}>", -math.log(total)) for b in range(256)]
-        self.longest = max(map(len, pieces), default=1)
+    pieces: (piece, kind); kind is "text" for pieces that stand for themselves, "byte" for the byte
+    pieces ``<0x..>``, and anything else for pieces (control, unknown, unused) that no text spells:
+    the tokenizer never takes their names in a text for them, and neither does the lattice.
+    """
+
+    def __init__(self, pieces: list[tuple[str, str]], counts: dict[int, int]):
+        own = [(i, p, kind) for i, (p, kind) in enumerate(pieces) if kind in ("text", "byte")]
+        total = sum(counts.get(i, 0) for i, _, _ in own) + SMOOTH * len(own) or 1.0
+        weight = lambda i: math.log((counts.get(i, 0) + SMOOTH) / total)
+        self.log = {p: weight(i) for i, p, kind in own if kind == "text"}
+        bytes_at = {p: weight(i) for i, p, kind in own if kind == "byte"}
+        self.bytes = [bytes_at.get(f"<0x{b:02X}>", -math.log(total + 1)) for b in range(256)]
+        self.longest = max(map(len, self.log), default=1)
 
     def word(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations of a word and the space before it.
@@ -65,6 +73,15 @@ def processor(vocabulary: str):
     return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
 
 
+def kinds_of(proc) -> list[tuple[str, str]]:
+    """(piece, kind) of all pieces of a vocabulary, as ``Lattice`` takes them."""
+
+    def kind(i: int) -> str:
+        return "byte" if proc.is_byte(i) else "none" if proc.is_control(i) or proc.is_unknown(i) or proc.is_unused(i) else "text"
+
+    return [(proc.id_to_piece(i), kind(i)) for i in range(proc.get_piece_size())]
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """Columns word (UTF-8), c (times in training texts), n (times in all), over docs (text, away)."""
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("n", pa.int64())])
@@ -88,7 +105,10 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col("text").cast("binary"), "away").mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    # counted before the exchange already; as many tasks as partitions, since each word's lattice is worked out there
+    counted = docs.select(F.col("text").cast("binary"), "away").mapInArrow(run, "word binary, c long, n long")
+    dealt = counted.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return dealt.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def piece_counts(words: DataFrame, vocabulary: str) -> dict[int, int]:
@@ -117,7 +137,8 @@ def score(docs: DataFrame, away: F.Column, vocabulary: str = VOCABULARY, frequen
     end alone. base_score: log10 of the unigram model over tokens with SMOOTH added to each count.
     score: log10 of the text's probability, each token being the end with the end's share of the
     training tokens (a half without any) and else a word with its lattice probability. Equal rows
-    are scored each; a null doc_id stays null. An empty table gives an empty result.
+    are scored each; a null doc_id stays null. A very long text is counted word by word, and a very
+    long word has a lattice like any other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
@@ -125,7 +146,7 @@ def score(docs: DataFrame, away: F.Column, vocabulary: str = VOCABULARY, frequen
     counted = scratch.save(count_words(docs), "words")
     weights = piece_counts(counted, vocabulary)
     proc = processor(vocabulary)
-    pieces = [proc.id_to_piece(i) for i in range(proc.get_piece_size())]
+    pieces = kinds_of(proc)
     shared = spark.sparkContext.broadcast((pieces, weights))  # as large as the vocabulary
 
     def lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

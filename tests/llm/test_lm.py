@@ -26,26 +26,40 @@ def base(rows):
     return out, counts
 
 
-def segmentations(s, pieces):
-    """Sum over all ways to write s as pieces or characters spelt in bytes, without any recursion in log space."""
-    if not s:
-        return 1.0
-    spelt = math.prod(pieces.get(f"<0x{b:02X}>", 0) for b in s[0].encode())
-    whole = sum(p * segmentations(s[len(k) :], pieces) for k, p in pieces.items() if s.startswith(k))
-    return whole + spelt * segmentations(s[1:], pieces)
+def probability(word, text_pieces, byte_pieces):
+    """Sum over all ways to write a word as pieces or characters spelt in bytes, on plain probabilities, from its end."""
+    s = SPACE + word
+    tail = [0.0] * len(s) + [1.0]
+    for i in range(len(s) - 1, -1, -1):
+        spelt = math.prod(byte_pieces[b] for b in s[i].encode())
+        tail[i] = spelt * tail[i + 1] + sum(p * tail[i + len(k)] for k, p in text_pieces.items() if s.startswith(k, i))
+    return tail[0]
 
 
 def test_forward_recursion_equals_enumeration():
-    pieces = [SPACE, SPACE + "a", "a", "b", "ab", "ba", "aba", SPACE + "ab", "é", *(f"<0x{b:02X}>" for b in range(256))]
-    counts = {i: 3 * i + 1 for i in range(9)} | {9 + 0xC3: 5}
+    plain = [SPACE, SPACE + "a", "a", "b", "ab", "ba", "aba", SPACE + "ab", "é"]
+    pieces = [("<unk>", "none"), ("<s>", "none"), *((p, "text") for p in plain), *((f"<0x{b:02X}>", "byte") for b in range(256))]
+    counts = {0: 50, **{i: 3 * i + 1 for i in range(2, 11)}, 11 + 0xC3: 5}
+    total = sum(c for i, c in counts.items() if i > 1) + 0.1 * (9 + 256)
+    share = lambda i: (counts.get(i, 0) + 0.1) / total
+    texts, spelt = {p: share(2 + k) for k, p in enumerate(plain)}, [share(11 + b) for b in range(256)]
+    assert math.isclose(sum(texts.values()) + sum(spelt), 1)
     lattice = Lattice(pieces, counts)
-    plain = {p: math.exp(v) for p, v in lattice.log.items()}
-    assert math.isclose(sum(plain.values()), 1)
-    for w in ("", "a", "ab", "abab", "baabba", "éa", "aéb", "漢"):
-        assert math.isclose(math.exp(lattice.word(w)), segmentations(SPACE + w, plain), rel_tol=1e-9)
+    for w in ("", "a", "ab", "abab", "baabba", "éa", "aéb", "漢", "<s>", "<unk>", "<0x41>"):
+        assert math.isclose(math.exp(lattice.word(w)), probability(w, texts, spelt), rel_tol=1e-9)
     assert math.isfinite(lattice.word("ab" * 20000))
 
 
+def test_names_of_control_and_byte_pieces_are_text_like_any_other():
+    """The tokenizer never takes such a name for its piece: a text that spells it has the probability of its characters."""
+    proc = lm.processor(lm.VOCABULARY)
+    kinds = lm.kinds_of(proc)
+    assert [k for p, k in kinds if p in ("<unk>", "<s>", "</s>")] == ["none"] * 3 and sum(k == "byte" for _, k in kinds) == 256
+    plain = Lattice(kinds, {})
+    assert plain.word("<s>") < plain.word("<r") and plain.word("<0x41>") < plain.word("<0x4")
+    assert not {p for p, k in kinds if k != "text"} & plain.log.keys()
+
+
 def test_base_equals_brute_force_for_any_bound(spark, tmp_path):
     rng = random.Random(3)
     vocab = [f"Word{i}" for i in range(80)] + ["É", "ñ\x1c", "漢字"]
@@ -65,9 +79,16 @@ def test_base_equals_brute_force_for_any_bound(spark, tmp_path):
         if w is not None:
             for i in proc.encode(w):
                 weights[i] += c
-    lattice = Lattice([proc.id_to_piece(i) for i in range(proc.get_piece_size())], weights)
+    names = [proc.id_to_piece(i) for i in range(proc.get_piece_size())]
+    at_byte = {n: i for i, n in enumerate(names) if re.fullmatch("<0x[0-9A-F]{2}>", n)}
+    texts = [i for i, n in enumerate(names) if n not in at_byte and n not in ("<unk>", "<s>", "</s>")]
+    total = sum(weights.values()) + 0.1 * (len(texts) + 256)
+    spelt = [(weights[at_byte[f"<0x{b:02X}>"]] + 0.1) / total for b in range(256)]
+    seen = {x for _, text in rows for x in SPACE + (text or "").lower()}
+    usable = {names[i]: (weights[i] + 0.1) / total for i in texts if set(names[i]) <= seen}
     end = counts[None] / sum(counts.values())
-    plain = {i: math.log10(end) + sum(lattice.word(t) / math.log(10) + math.log10(1 - end) for t in tokens(x)[:-1]) for i, x in rows}
+    of_word = {t: math.log10(probability(t, usable, spelt)) + math.log10(1 - end) for _, x in rows for t in tokens(x)[:-1]}
+    plain = {i: math.log10(end) + sum(of_word[t] for t in tokens(x)[:-1]) for i, x in rows}
     for found in results:
         assert all(math.isclose(r.score, plain[r.doc_id], rel_tol=1e-9) for r in found)
 
