@@ -2,7 +2,11 @@ import math
 import random
 from collections import Counter
 
-from tessera.llm.licenses import COSINE, TEMPLATES, WHOLE, Matcher, op8_licenses, parts, scan, terms
+from tessera.llm.licenses import COSINE, DECISIVE, TEMPLATES, WHOLE, Matcher, op8_licenses, parts, scan, terms
+
+
+def wording(name, nth=0):
+    return [x for n, x in TEMPLATES if n == name][nth]
 
 
 def plain(files, names=("license", "licence", "copying", "notice", "unlicense")):
@@ -12,13 +16,14 @@ def plain(files, names=("license", "licence", "copying", "notice", "unlicense"))
     idf = lambda t: math.log((n + 1) / ((df[t] if t in vocabulary else 0) + 1)) + 1
     vector = lambda ts: {t: (1 + math.log(c)) * idf(t) for t, c in Counter(ts).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    vs = [(name, vector(terms(x))) for name, x in TEMPLATES]
+    vs, told = [(name, vector(terms(x))) for name, x in TEMPLATES], [terms(x) for _, x in TEMPLATES]
     own = []
     for i, path, text in files:
         hits, covered = [], set()
         for start, stop, ts in parts(text or ""):
             v = vector(ts)
-            score, k = max((sum(v.get(t, 0) * y for t, y in u.items()) / norm(u) / norm(v), -k) for k, (_, u) in enumerate(vs))
+            fits = lambda k: {t for t in ts if t in DECISIVE} == {t for t in told[k] if t in DECISIVE} and {t for t in told[k] if t in set("0123456789")} <= set(ts)
+            score, k = max(((sum(v.get(t, 0) * y for t, y in u.items()) / norm(u) / norm(v), -k) for k, (_, u) in enumerate(vs) if fits(k)), default=(0, 0))
             if score >= COSINE:
                 hits.append((score, -start, vs[-k][0]))
                 covered.update(range(start, stop))
@@ -47,10 +52,10 @@ def corpus():
     vocab = [f"tok{i}" for i in range(300)] + ["license", "the", "version", "software"]
     prose = lambda n: "\n".join(" ".join(rng.choice(vocab) for _ in range(9)) for _ in range(n))
     files = [
-        (0, "LICENSE", TEMPLATES[2][1]), (1, "a/LICENSE.txt", "Copyright x\n\n" + TEMPLATES[5][1]), (2, "a/b/c/COPYING", prose(3) + "\n" + TEMPLATES[7][1]),
+        (0, "LICENSE", wording("MIT", 2)), (1, "a/LICENSE.txt", "Copyright x\n\n" + wording("Apache-2.0", 1)), (2, "a/b/c/COPYING", prose(3) + "\n" + wording("GPL-3.0")),
         (3, "a/b/code.py", prose(5)), (4, "a/b/c/d/e/code.py", prose(5)), (5, "a/own.py", "# " + TEMPLATES[0][1] + "\n" + prose(8)),
         (6, "z/x.py", prose(3)), (7, "top.py", prose(2)), (8, None, None), (9, "a/empty", ""), (10, "n/NOTICE", prose(2)), (11, "n/x", prose(1)),
-        (12, "m/only", TEMPLATES[15][1]), (13, "m/y", prose(4)), (14, "m/z/", "x"), (15, "t/LICENSE-a", TEMPLATES[0][1]), (16, "t/LICENSE-b", TEMPLATES[0][1]), (17, "t/f", "x y"),
+        (12, "m/only", wording("MPL-2.0")), (13, "m/y", prose(4)), (14, "m/z/", "x"), (15, "t/LICENSE-a", TEMPLATES[0][1]), (16, "t/LICENSE-b", TEMPLATES[0][1]), (17, "t/f", "x y"),
     ]
     for i in range(20, 80):
         text = prose(rng.randrange(1, 9)).split("\n")
@@ -86,6 +91,35 @@ def test_versions_are_told_apart():
     assert match("we went to see the license of the software and its version", COSINE, WHOLE)[0] is None
 
 
+def test_licences_that_are_nearly_another():
+    match = Matcher(TEMPLATES, {}, 0).match
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    for name, found in {
+        "AGPL-3.0": gnu.format("GNU Affero General Public License", 3),
+        "LGPL-3.0": gnu.format("GNU Lesser General Public License", 3),
+        "GPL-2.0": gnu.format("GNU General Public License", 2),
+        "BSD-2-Clause": wording("BSD-2-Clause", 1),
+        "BSD-3-Clause": wording("BSD-3-Clause", 1),
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "CC-BY-NC-SA-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "ISC": wording("ISC") + "\n\n" + wording("ISC", 1)[len(wording("ISC")) :],
+        "MIT": "Copyright (c) 2020 Somebody\n\n" + wording("MIT", 3),
+        None: "This is not released under the MIT License.",
+    }.items():
+        assert match(found, COSINE, WHOLE)[0] == name
+        assert match("unrelated words stand before it\n" + found + "\nand after it", COSINE, WHOLE)[0] == name
+    for name in ("AGPL-3.0-or-later", "BSD-2-Clause", "GPL-2.0-only", "CC-BY-SA-4.0", "ISC"):
+        assert name.startswith(match(f"# SPDX-License-Identifier: {name}\nx = 1", COSINE, WHOLE)[0])
+    for other in (gnu.format("GNU General Public License", 1), "Licensed under CC BY-NC-SA 3.0", "Licensed under the Business Source License"):
+        assert match(other, COSINE, WHOLE)[0] is None
+
+
+def test_a_very_long_text():
+    match = Matcher(TEMPLATES, {}, 0).match
+    long = "\n".join(f"line {i} of prose" for i in range(50_000))
+    assert match(long + "\nReleased under the MIT License.\n", COSINE, WHOLE)[:3:2] == ("MIT", 50_000)
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "s", "words here\nReleased under the MIT License."), (2, "s", "no"), (3, None, None)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
