@@ -1,6 +1,6 @@
 """Language ID by compression: a text belongs to the language whose dictionary compresses it best.
 
-Per language, a bounded sample of labelled texts becomes a zstandard raw-content dictionary. A text
+Per language, a bounded number of labelled texts, each whole, becomes a zstandard raw-content dictionary. A text
 is encoded whole with each dictionary; the smallest result names the language, and a narrow margin
 between the two smallest rejects it.
 """
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, per_row, table
 
-#: Bounds of the fit: texts per language, bytes taken of each, bytes of a dictionary, languages.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES, MAX_LANGUAGES = 512, 512, 1 << 18, 256
+#: Bounds of the fit, in whole texts: of a language, and of all languages together (one of each at least).
+SAMPLE_TEXTS, ALL_TEXTS = 128, 16_384
 LEVEL = 3
 #: Compressed bytes that part the two best languages of an accepted text, at least.
 MARGIN = 2
@@ -31,34 +31,33 @@ def letters(text: str | None) -> str:
     return _not_letters.sub(" ", text.lower()).strip() if text else ""
 
 
-def fit(docs: DataFrame, training: F.Column) -> list[tuple[str, bytes]]:
+def fit(docs: DataFrame, training: F.Column, sample_texts: int = SAMPLE_TEXTS) -> list[tuple[str, bytes]]:
     """[(language, dictionary)] from rows of docs (doc_id, text, lang) where ``training`` holds.
 
-    Of each language the SAMPLE_TEXTS texts are taken whose hashes of the id come first. Rows with
-    null text or lang take no part. Counts are over all rows; only the bounded sample is collected.
+    Of each language the ``sample_texts`` texts are taken whose hashes of id and text come first
+    (fewer where there are so many languages that ALL_TEXTS would be passed, but one at least); equal
+    rows count once. Rows with null text or lang take no part; a null id is an id. Texts are taken
+    whole, very long ones too. Counts are over all rows; only the bounded sample is collected.
     """
-    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn(
-        "_order", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 2)
-    )
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    order = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 2)
+    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"), order.alias("_order"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return []
-    # about four times the sample passes this limit, and of that the first SAMPLE_TEXTS are taken
-    share = {r["lang"]: min(1 << 62, (1 << 62) * 4 * SAMPLE_TEXTS // r["count"]) for r in counts}
-    limit = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
-    near = rows.where(F.col("_order") <= limit[F.col("lang")]).select("lang", "doc_id", "_order", F.left("text", F.lit(SAMPLE_BYTES)).alias("part"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id", "part"))
-    found = near.select("lang", "part", nth.alias("nth")).where(F.col("nth") <= SAMPLE_TEXTS).orderBy("lang", "nth").collect()
-    return dictionaries(trusted([(r["lang"], letters(r["part"])) for r in found]))
+    take = max(1, min(sample_texts, ALL_TEXTS // len(counts)))
+    # about four times the sample passes this limit, and of that the first are taken
+    limits = docs.sparkSession.createDataFrame([(lang, min(1 << 62, (1 << 62) * 4 * take // n)) for lang, n in counts.items()], "lang string, _limit long")
+    near = rows.join(F.broadcast(limits), "lang").where(F.col("_order") <= F.col("_limit")).select("lang", "_order", "text")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text"))
+    found = near.distinct().select("lang", "text", nth.alias("nth")).where(F.col("nth") <= take).orderBy("lang", "nth").collect()
+    return dictionaries(trusted([(r["lang"], letters(r["text"])) for r in found]))
 
 
 def dictionaries(sample: list[tuple[str, str]]) -> list[tuple[str, bytes]]:
     parts: dict[str, list[str]] = {}
     for lang, text in sample:
         parts.setdefault(lang, []).append(text)
-    return [(lang, " ".join(p).encode()[:DICTIONARY_BYTES]) for lang, p in sorted(parts.items())]
+    return [(lang, " ".join(p).encode()) for lang, p in sorted(parts.items())]
 
 
 def trusted(sample: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -104,12 +103,13 @@ def detect(docs: DataFrame, learned: list[tuple[str, bytes]], margin: int = MARG
 
     lang_pred: the language of the smallest encoding (ties: the first in alphabetical order), `und`
     where the text is null or has no letter or nothing was learned; such rows are rejected, with score
-    0. score: 1 / sum over languages of 2^(best - size), which is near 1 for a clear text. rejected:
+    0. Equal rows get equal results, ids may be null and are not looked at, very long texts are encoded
+    whole, and an empty table gives an empty result. score: 1 / sum over languages of 2^(best - size), which is near 1 for a clear text. rejected:
     the second language is less than ``margin`` bytes behind.
     """
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score", "rejected").withColumn("text", F.col("text").cast("string"))
-    shared = spark.sparkContext.broadcast(learned)  # at most MAX_LANGUAGES dictionaries of DICTIONARY_BYTES
+    shared = spark.sparkContext.broadcast(learned)  # the texts of the bounded sample
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):

@@ -37,6 +37,32 @@ def test_held_out_accuracy_and_query(spark, tmp_path, rows):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_fit_takes_whole_texts_of_a_bounded_number_of_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, lang := rng.choice(list(SYLLABLES)), 60) + f" end{'x' * (i % 7)}", lang) for i in range(300)]
+    rows += [(500, words(rng, "aa", 30_000) + " end", "aa"), (501, None, "aa"), (502, "no label", None)] + rows[:5]
+    learned = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample_texts=10_000)
+    joined = dict(learned)
+    assert list(joined) == sorted(SYLLABLES)
+    for lang, data in joined.items():
+        own = {letters(t) for _, t, g in rows if g == lang and t}
+        assert len(data) == sum(len(t.encode()) + 1 for t in own) - 1 and all(t.encode() in data for t in own)
+    few = dict(fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample_texts=10))
+    whole = {letters(t).encode() for _, t, _ in rows if t}
+    for data in few.values():
+        left = data.decode()
+        for t in sorted((w.decode() for w in whole), key=len, reverse=True):
+            left = left.replace(t, "")
+        assert not left.strip() and sum(t in data for t in whole) <= 10
+
+
+def test_very_many_languages(spark):
+    rows = [(i, f"only text of language {i} " + "abcdefghij"[i % 10] * (i % 50 + 3), f"l{i:04d}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = fit(docs, F.lit(True))
+    assert len(learned) == 400 and {r.lang_pred for r in detect(docs.limit(3), learned).collect()} <= {lang for lang, _ in learned}
+
+
 def test_smallest_encoding_wins(rows):
     learned = [(lang, letters(" ".join(words(random.Random(k), lang, 300) for k in range(3))).encode()) for lang in SYLLABLES]
     classify = classifier(learned)
