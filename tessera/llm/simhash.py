@@ -1,19 +1,21 @@
 """SimHash near-duplicates by multi-index hashing of 64-bit fingerprints.
 
-Whole fingerprints with one bit flipped stand in for tables by segment: flipping within each segment
-while the others stay whole gives the same 65 keys for any number of segments, and they meet in one
-table. Keys of a segment's value alone (16 or 32 bits) would meet ever more strangers as the corpus
-grows. The method does not go beyond 2 bits.
-Two fingerprints that differ in at most 2 bits have a key in common (the value half way between
-them), and two that share a key differ in at most 2 bits, so a key never holds more than 65
-different fingerprints however large a group of copies is. Each key links its fingerprints to its
-first one: linear in rows, no link between different texts is lost, and complete distances are
-verified on every link.
+A fingerprint is cut into segments, and each segment's value indexes a table of its own. Two
+fingerprints within the radius differ in at most radius // segments bits of some segment, so a
+fingerprint looks up, for each of its segments, the values of that small Hamming ball in that
+segment's table; complete distances of what it meets are verified.
+
+A table entry grows with the corpus where many different near copies agree in a segment. Entries of
+more than ``BUCKET`` fingerprints are not paired: all fingerprints that look such an entry up are
+keyed by every whole value within half the radius. Two fingerprints within the radius have such a
+value in common (one half way between them), and two that share one are within the radius, so one
+link to the first of each key is enough: linear in rows, whatever the size of a group, and no link
+between different texts is lost.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from tessera.plans.scratch import Scratch
 #: Seed of the shingle hash.
 SEED = 42
 BITS = 64
+#: Bits within which fingerprints are linked, tables, and fingerprints of a table entry that are paired one by one.
+RADIUS, SEGMENTS, BUCKET = 2, 2, 64
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
@@ -58,40 +62,56 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return rows.mapInArrow(per_row(make, schema), "doc_id long, fp long")
 
 
-def ball_keys(fp: F.Column, segments: int = 2) -> F.Column:
-    """The values within one bit of fp, segment by segment: fp itself and one flip at each place."""
-    width = BITS // segments
-    flips = [1 << b for s in range(segments) for b in range(s * width, (s + 1) * width)]
-    signed = [0, *(f - (1 << BITS) if f >> (BITS - 1) else f for f in flips)]
-    return F.transform(F.array(*(F.lit(f).cast("long") for f in signed)), lambda f: fp.bitwiseXOR(f))
+def _masks(width: int, ball: int) -> F.Column:
+    """All numbers of ``width`` bits with at most ``ball`` of them set, as an array of signed 64-bit numbers."""
+    found = [sum(1 << b for b in c) for r in range(ball + 1) for c in combinations(range(width), r)]
+    return F.array(*(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in found))
 
 
-def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of fingerprints within ``radius`` 2 bits.
+def segment(fp: F.Column, s: F.Column, segments: int) -> F.Column:
+    """The value of the s-th segment of a fingerprint."""
+    width = BITS // segments
+    return F.call_function("shiftrightunsigned", fp, s * width).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1).cast("long"))
 
-    nodes: node and fp, one row for each different fingerprint.
-    """
-    if radius != 2:
-        raise ValueError("balls of one bit guarantee a radius of 2")
-    keyed = nodes.select("node", "fp", F.explode(ball_keys(F.col("fp"))).alias("key"))
-    of_key = Window.partitionBy("key").orderBy("node")
-    met = keyed.select("node", "fp", F.first("node").over(of_key).alias("first"), F.first("fp").over(of_key).alias("first_fp"))
-    near = met.where((F.col("node") != F.col("first")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= radius))
-    return near.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
 
+def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of fingerprints within ``radius`` bits.
 
-def near_duplicates(docs: DataFrame, size: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    nodes: fp, one row for each different fingerprint. segments: a divisor of 64; it changes how
+    fingerprints are found, not the result. radius: an even number.
+    """
+    if radius % 2 or BITS % segments:
+        raise ValueError("an even radius and a divisor of 64 are needed")
+    scratch = scratch or Scratch(nodes.sparkSession, "simhash")
+    numbered = nodes.select("fp", F.explode(F.array(*map(F.lit, range(segments)))).alias("s")).withColumn("value", segment(F.col("fp"), F.col("s"), segments))
+    nth = F.row_number().over(Window.partitionBy("s", "value").orderBy("fp"))
+    tables = numbered.withColumn("nth", nth).where(F.col("nth") <= bucket + 1).groupBy("s", "value").agg(F.collect_list("fp").alias("fps"))
+    # the balls of the segment's value
+    ball = F.transform(_masks(BITS // segments, radius // segments), lambda m: F.col("value").bitwiseXOR(m))
+    looked_up = numbered.select("fp", "s", F.explode(ball).alias("value"))
+    near = F.filter("fps", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius))
+    none = F.lit(None).cast("long")
+    met = looked_up.join(tables, ["s", "value"]).select("fp", F.explode(F.when(F.size("fps") > bucket, F.array(none)).otherwise(near)).alias("other"))
+    met = scratch.save(met.distinct(), "met")  # a null stands for an entry that is too large
+    keyed = met.where("other is null").select("fp", F.explode(F.transform(_masks(BITS, radius // 2), lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
+    crowded = keyed.select("fp", F.min("fp").over(Window.partitionBy("key")).alias("other")).where("fp <> other")
+    both = met.where("other is not null").unionByName(crowded)
+    return both.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """Columns doc_id, fp, component_id for every row of docs.
 
-    component_id: the smallest doc_id that a chain of links of at most 2 differing bits reaches.
-    Null, empty and blank texts have fingerprint 0 and are linked like others. Rows with equal
-    doc_id are rows like others. A null doc_id belongs to its component but does not name it (the
-    component of only such rows is null). Other columns are ignored.
+    component_id: the smallest doc_id that a chain of links of at most ``radius`` differing bits
+    reaches. Null, empty and blank texts have fingerprint 0 and are linked like others; a very long
+    text is counted piece by piece. Rows with equal doc_id are rows like others. A null doc_id belongs
+    to its component but does not name it (the component of only such rows is null). Other columns
+    are ignored. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(fingerprints(docs, size), "fingerprints")
     nodes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("named")), "nodes")
-    near = connected_components(links(nodes.select(F.col("fp").alias("node"), "fp")), "a", "b", scratch=scratch).withColumnRenamed("node", "fp")
+    near = connected_components(links(nodes, radius, scratch=scratch), "a", "b", scratch=scratch).withColumnRenamed("node", "fp")
     placed = scratch.save(nodes.join(near, "fp", "left").select("fp", "named", F.coalesce("component", "fp").alias("c")), "grouped")
     placed = scratch.save(placed.join(placed.groupBy("c").agg(F.min("named").alias("component_id")), "c").select("fp", "component_id"), "placed")
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")

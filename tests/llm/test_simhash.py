@@ -1,9 +1,10 @@
 import random
 import re
 
+import pytest
 import xxhash
 
-from tessera.llm.simhash import fingerprint, near_duplicates, op5_simhash
+from tessera.llm.simhash import fingerprint, links, near_duplicates, op5_simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,3 +77,48 @@ def test_one_id_with_two_texts(spark):
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in near_duplicates(docs).collect()), key=repr)
     assert got == plain_components(rows)
     assert {c for _, _, c in got} == {3, 7}
+
+
+def test_links_join_all_pairs_for_any_tables(spark):
+    """Components of the links are those of all pairs, whatever the segments and whatever the size of a table entry that is paired."""
+    rng = random.Random(8)
+    fps = {0, 2**64 - 1, 2**63}
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(40):  # many agree in one half
+            near = base
+            for b in rng.sample(range(32), rng.randrange(5)):
+                near ^= 1 << (b + 32 * (len(fps) % 2))
+            fps.add(near)
+    fps = sorted(fps)
+
+    def components(pairs):
+        of = {x: x for x in fps}
+
+        def root(x):
+            while of[x] != x:
+                x = of[x]
+            return x
+
+        for x, y in pairs:
+            a, b = sorted((root(x), root(y)))
+            of[b] = a
+        return {x: root(x) for x in fps}
+
+    nodes = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in fps], "fp long")
+    for radius in (0, 2, 4):
+        near = [(x, y) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= radius]
+        for segments, bucket in ((2, 64), (2, 1), (4, 3), (8, 64)) if radius == 2 else ((2, 64), (4, 2)) if radius else ((2, 1),):
+            if radius == 4 and segments == 2 and bucket == 64:
+                segments = 4
+            found = [(r.a % 2**64, r.b % 2**64) for r in links(nodes, radius, segments, bucket).collect()]
+            assert set(found) <= {(x, y) for p in near for x, y in (p, p[::-1])}
+            assert components(found) == components(near)
+
+
+def test_candidates_come_from_segment_tables(spark):
+    nodes = spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long")
+    for segments in (2, 4, 8):
+        assert sorted((r.a, r.b) for r in links(nodes, 2, segments).collect()) == [(3, 1), (1 << 40, 1)]
+    with pytest.raises(ValueError):
+        links(nodes, 3)
