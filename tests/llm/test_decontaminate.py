@@ -53,18 +53,45 @@ def data():
     return docs, items
 
 
-@pytest.mark.parametrize("bound", [50_000, 3])
-def test_equals_brute_force(spark, data, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "SET_SHINGLES", bound)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound * 100)
+@pytest.mark.parametrize("bits, rows, all_windows", [(1 << 24, 1_000_000, False), (64, 0, False), (1 << 24, 1_000_000, True)])
+def test_equals_brute_force(spark, data, monkeypatch, bits, rows, all_windows):
+    """With a fine and a full bitmap, broadcast and shuffled; and with every window fingerprinted, where the block tables alone choose."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     docs, items = data
     d = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, start int, item_id string")
     b = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, n int")
-    got = {(r.doc_id, r.item_id, round(r.similarity, 6), r.start) for r in contaminated(d, b).collect()}
+    got = {(r.doc_id, r.item_id, round(r.similarity, 6), r.start) for r in contaminated(d, b, all_windows=all_windows).collect()}
     assert got == plain(docs, items)
     assert len(got) > 60
 
 
+def test_simhash_is_the_majority_of_each_bit(spark):
+    rng = random.Random(4)
+    lists = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 3, 8, 31, 32, 33, 100)] + [[-1] * 5, [0] * 7]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, h array<long>")
+    for longest in (100, 127, 5000):
+        got = {r.i: r.fp % 2**64 for r in frame.select("i", decontaminate.simhash(decontaminate.F.col("h"), longest).alias("fp")).collect()}
+        assert got == {i: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x)) for i, x in enumerate(lists)}
+
+
+def test_block_tables_choose(spark, data, monkeypatch):
+    """Without a ball around its blocks no changed window is found: candidates come from the tables."""
+    docs, items = data
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BALL", -1)
+    assert contaminated(d, b).count() == 0
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(2)
+    item = " ".join(f"w{rng.randrange(99)}" for _ in range(30))
+    long = " ".join(f"x{i}" for i in range(100_000))
+    d = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, long)], "doc_id long, text string")
+    found = contaminated(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r.start) for r in found] == [(1, 5, 1.0, 100_000)]
+
+
 def test_repeated_null_and_empty(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "A B C D E F"), (1, "q")], "doc_id long, text string")
     b = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f")], "item_id long, text string")
