@@ -8,8 +8,8 @@ exact weighted Jaccard similarity of the shingles then verify each candidate.
 
 A window that holds fewer shingles of items of its length than the similarity needs cannot reach it
 with any of them, in whatever order they stand; such windows are not fingerprinted. Documents without
-any shingle of an item are left after one pass over their words, by a bitmap of all item shingles, and
-no text is shuffled.
+enough shingles of items are left after one pass over their words, by a Bloom filter of all item
+shingles, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BALL = 8, 2
 #: Every fingerprint within so many bits is met.
 RADIUS = BLOCKS * (BALL + 1) - 1
-#: The scan's bitmap has so many bits for each different item shingle, up to the second number (2 MB); a
-#: fuller one lets more documents through to the joins, and the result stays the same.
-BITS_EACH, MOST_BITS = 16, 1 << 24
+#: The scan's Bloom filter has so many bits for each different item shingle, up to the second number (2 MB),
+#: and so many probes; a fuller one lets more documents through to the joins, and the result stays the same.
+BITS_EACH, MOST_BITS, PROBES = 32, 1 << 24, 8
 #: Rows of item tables that are broadcast, at most (some 40 bytes each). Beyond it the same joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -98,17 +98,29 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _known(items: DataFrame, column: str) -> Callable[[Column], Column]:
-    """hash -> whether it may be one of the hashes in an array column, by a bitmap of bounded size."""
+    """hash -> whether it may be one of the hashes in an array column, by a Bloom filter of bounded size."""
     each = items.select(F.explode(column).alias("h")).distinct()
     bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_EACH * each.count()).bit_length()))
-    place = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
-    words = each.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    mask = F.lit(bits - 1).cast("long")
+
+    def probe(h: Column, i: int) -> Column:
+        return (h.bitwiseXOR(F.call_function("shiftrightunsigned", h, F.lit(5 * i + 3))) if i else h).bitwiseAND(mask)
+
+    places = each.select(F.explode(F.array(*(probe(F.col("h"), i) for i in range(PROBES)))).alias("place"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63).cast("long")).cast("int"))
     dense = [0] * (bits // 64)
-    for r in words.collect():  # at most MOST_BITS / 64 numbers
+    for r in places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect():  # at most MOST_BITS / 64 numbers
         dense[r["word"]] = r["bits"]
     table_ = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<long>")  # folded into one constant
-    at = lambda h: F.get(table_, F.shiftright(h.bitwiseAND(F.lit(bits - 1).cast("long")), 6).cast("int"))
-    return lambda h: F.call_function("getbit", at(h), h.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    def test(h: Column) -> Column:
+        found = F.lit(True)
+        for i in range(PROBES):
+            at = probe(h, i)
+            found = found & (F.call_function("getbit", F.get(table_, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+        return found
+
+    return test
 
 
 def contaminated(
@@ -155,7 +167,10 @@ def contaminated(
         else:
             known = _known(mine, "item_hashes")
             hits = F.filter(everywhere, lambda i: known(F.get("hashes", i)))
-            seeded = hashed.select("doc_id", "text_key", "hashes", once(hits).alias("hits")).where(F.size("hits") > 0)
+            # the shortest item needs the fewest
+            least = min(w for k_, w in classes if k_ == k)
+            fewest = F.greatest(F.lit(1), F.ceil((F.least(F.size("hashes"), F.lit(least)) + least) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)))
+            seeded = hashed.select("doc_id", "text_key", "hashes", once(hits).alias("hits")).where(F.size("hits") >= fewest)
             seeded = scratch.save(seeded.withColumn("row", F.monotonically_increasing_id()), "seeded")
             of_width = scratch.save(mine.select(F.explode("item_hashes").alias("h"), "width").distinct(), "widths")
             seeds = seeded.select("row", F.explode("hits").alias("p"), F.get("hashes", F.col("p")).alias("h"))
