@@ -74,3 +74,8 @@ def instances(gt: DataFrame, valid: DataFrame) -> DataFrame:
     counts = gt.where("gt_id <> 0").groupBy("seq", F.col("gt_id").alias("instance_id")).agg(F.count("*").alias("vert_count"))
     counts = counts.withColumn("label_id", decode(F.col("instance_id"))).join(F.broadcast(valid.select("label_id").distinct()), "label_id", "left_semi")
     return counts.select("seq", "instance_id", "label_id", "vert_count", F.lit(-1.0).alias("med_dist"), F.lit(0.0).alias("dist_conf"))
+
+
+def class_counts(gt: DataFrame) -> DataFrame:
+    """Columns seq, classes, numbers: how many different classes and instance numbers a scene has."""
+    return gt.groupBy("seq").agg(F.count_distinct(decode(F.col("gt_id"))).alias("classes"), F.count_distinct("gt_id").alias("numbers"))

@@ -40,11 +40,19 @@ def lift(pixels: DataFrame, cameras: DataFrame, scene: DataFrame, p: Params = Pa
     nth = F.row_number().over(Window.partitionBy(*MASK).orderBy("x", "y", "z"))
     thin = thin.select(*MASK, nth.cast("long").alias("point_id"), "x", "y", "z")
     clean = large_masks(denoise(thin, MASK), p.few_points)
-    left = clean.select("seq", F.struct("frame_id", "mask_id", "point_id").alias("id"), "x", "y", "z")
+    return near_points(clean, scene, p)
+
+
+def near_points(points: DataFrame, scene: DataFrame, p: Params = Params()) -> DataFrame:
+    """Incidences of the scene points among the first neighbours of each mask's points (seq, frame_id, mask_id, point_id, x, y, z).
+
+    Masks with neighbours for a smaller share of their points than ``coverage`` are left out.
+    """
+    left = points.select("seq", F.struct("frame_id", "mask_id", "point_id").alias("id"), "x", "y", "z")
     right = scene.select("seq", F.col("point_id").alias("id"), "x", "y", "z")
     near = first_neighbours(epsilon_join(left, right, p.distance), p.neighbours)
     found = near.select("seq", "l_id.frame_id", "l_id.mask_id", F.col("l_id.point_id").alias("mp"), F.col("r_id").alias("point_id"))
-    total = clean.groupBy(*MASK).agg(F.count("*").alias("n"))
+    total = points.groupBy(*MASK).agg(F.count("*").alias("n"))
     covered = found.groupBy(*MASK).agg(F.count_distinct("mp").alias("hit")).join(total, MASK).where(F.col("hit") / F.col("n") >= p.coverage)
     return found.join(covered.select(MASK), MASK, "left_semi").select(*MASK, "point_id").distinct()
 

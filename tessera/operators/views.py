@@ -34,6 +34,6 @@ def scene_colours(scene: DataFrame, pred: DataFrame, seed: int = 0) -> DataFrame
     mean = scene.groupBy("seq").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     last = pred.groupBy("seq", "point_id").agg(F.max("inst").alias("inst"))
     met = scene.join(mean, "seq").join(last, ["seq", "point_id"], "left")
-    colour = lambda c: F.coalesce(F.pmod(F.xxhash64("inst", F.lit(c), F.lit(seed)), F.lit(256)) / 255, F.lit(0.0))
-    shade = {f"i{c}": F.when(F.col("inst").isNull(), 0.0).otherwise(colour(c)) for c in "rgb"}
+    # an odd step through the 256 shades of each channel: 256 instances in a row differ in all three
+    shade = {f"i{c}": F.coalesce(F.pmod((F.col("inst").cast("long") + 1 + seed) * step, F.lit(256)) / 255, F.lit(0.0)) for c, step in zip("rgb", (97, 57, 151))}
     return met.select("seq", "point_id", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"), *(gamma(F.col(c)).alias(c) for c in "rgb"), *(v.alias(k) for k, v in shade.items()))

@@ -8,6 +8,7 @@ exchange on both sides, which adaptive execution can split when a key is hot.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the setting is absent (tests), a folder of this driver."""
+    """The cluster's shared folder; where the setting is absent, a folder of this driver, which only a local master shares."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
+        master = spark.sparkContext.master or ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"{KEY} must name a folder that the driver and the executors of {master} share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="tessera-")

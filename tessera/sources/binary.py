@@ -1,7 +1,7 @@
-"""Data sources of binary layouts: PLY meshes, sensor streams, and numpy archives.
+"""Binary layouts: PLY meshes, sensor streams, and numpy archives.
 
-They are registered under the names ``ply``, ``sens`` and ``npz``; a file is one partition. Paths are
-listed and read by Spark, so any store that Spark reads will do.
+Paths are listed and read by Spark, so any store that Spark reads will do. ``LAYOUTS`` names the
+readers; ``scan`` reads by name.
 """
 
 from __future__ import annotations
@@ -146,6 +146,21 @@ def parse_sens(data: bytes) -> tuple[dict, list[dict]]:
     return header, frames
 
 
+def encode_sens(header: dict, frames: list[dict]) -> bytes:
+    """The stream that ``parse_sens`` reads as this header and these frames."""
+    codes = {v: k for k, v in COLOUR_CODECS.items()}, {v: k for k, v in DEPTH_CODECS.items()}
+    name = header["sensor"].encode()
+    out = [struct.pack("<IQ", 4, len(name)), name]
+    out += [struct.pack("<16f", *header[k]) for k in ("intrinsic_color", "extrinsic_color", "intrinsic_depth", "extrinsic_depth")]
+    out.append(struct.pack("<ii", codes[0][header["color_codec"]], codes[1][header["depth_codec"]]))
+    out.append(struct.pack("<4I", *(header[k] for k in ("color_width", "color_height", "depth_width", "depth_height"))))
+    out.append(struct.pack("<fQ", header["depth_shift"], len(frames)))
+    for f in frames:
+        out.append(struct.pack("<16f4Q", *f["pose"], f["ts_color"], f["ts_depth"], len(f["color"]), len(f["depth"])))
+        out += [f["color"], f["depth"]]
+    return b"".join(out)
+
+
 def decode_depth(data: bytes, codec: str, height: int, width: int) -> np.ndarray:
     """A depth frame as uint16; codecs but zlib and raw are errors."""
     if codec not in ("zlib_ushort", "raw_ushort"):
@@ -177,6 +192,24 @@ def scan_sens_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _expand(_files(spark, path), lambda data: pd.DataFrame([parse_sens(data)[0]])[names], schema)
 
 
+def export_sens(spark: SparkSession, path: str | list[str], root: str, skip: int = 10) -> int:
+    """Every skip-th frame of sensor streams as files below root, in a folder a stream: color/n.jpg, depth/n.png, pose/n.txt, and its two intrinsic matrices."""
+    from tessera.sources.sinks import write_files
+
+    stream = F.regexp_extract("path", r"([^/]*?)(?:\.sens)?$", 1)
+    rows = lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(12), F.lit(4)), lambda i: F.array_join(F.transform(F.slice(m, i + 1, 4), lambda x: x.cast("string")), " ")), "\n")
+    frames = scan_sens(spark, path, skip).withColumn("to", stream)
+    named = lambda kind, form: F.concat_ws("/", "to", F.lit(kind), F.concat(F.col("idx"), F.lit(f".{form}")))
+    out = frames.select(F.explode(F.array(
+        F.struct(named("color", "jpg").alias("name"), F.col("color").alias("content")), F.struct(named("depth", "png").alias("name"), F.col("depth").alias("content")),
+        F.struct(named("pose", "txt").alias("name"), rows(F.col("pose")).cast("binary").alias("content")),
+    )).alias("f")).select("f.*")
+    heads = scan_sens_header(spark, path).withColumn("to", stream)
+    for m in ("intrinsic_color", "intrinsic_depth"):
+        out = out.unionByName(heads.select(F.concat_ws("/", "to", F.lit("intrinsic"), F.lit(f"{m}.txt")).alias("name"), rows(F.col(m)).cast("binary").alias("content")))
+    return write_files(out, root)
+
+
 def scan_predictions(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(points, meta) of archives with pred_masks, pred_score and pred_classes: seq, inst, point_id and seq, inst, class_id, score."""
 
@@ -214,3 +247,14 @@ def prediction_archive(pred: DataFrame, meta: DataFrame, scene: DataFrame) -> Da
         return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "content": [out.getvalue()]})
 
     return rows.groupBy("seq").applyInPandas(run, f"seq {kind}, content binary")
+
+
+#: Readers by the name of their layout.
+LAYOUTS = {"ply": scan_ply_points, "ply_faces": scan_ply_faces, "sens": scan_sens, "sens_header": scan_sens_header}
+
+
+def scan(spark: SparkSession, layout: str, path: str | list[str], **options) -> DataFrame:
+    """The rows of the files of a layout; an unknown layout is an error."""
+    if layout not in LAYOUTS:
+        raise NotImplementedError(f"unknown layout {layout!r}; known: {', '.join(LAYOUTS)}")
+    return LAYOUTS[layout](spark, path, **options)

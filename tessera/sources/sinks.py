@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,33 @@ def write_scenes(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(path)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Writes each row of files (name, content) as one file below root, on the executors; gives their number.
+
+    root: a folder that all executors share, as a path or an address that Arrow knows. A task that
+    runs again writes the same files again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        fs, top = FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                fs.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{top}/{name}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select(F.col("name").cast("string"), F.col("content").cast("binary")).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def copy_files(spark, pattern: str, root: str) -> int:
+    """Copies the files of a glob below root under their own names."""
+    found = spark.read.format("binaryFile").load(pattern).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return write_files(found, root)
+
+
 def predictions(objects: DataFrame, classes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(points, meta) of objects: every score is 1; classes (seq, object_id, class_id) where they are known, else 0."""
     pred = objects.select("seq", F.col("object_id").alias("inst"), F.explode("point_ids").alias("point_id"))

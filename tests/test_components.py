@@ -45,4 +45,4 @@ def test_query_of_all_rows_equals_union_find(spark, tmp_path):
     spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     of = dict(orders)
     want = union_find([(of[o], 1000000 + s) for o, s, *_ in items if o in of])
-    assert {r.node: r.component for r in QUERIES["connected_components_all_rows"](spark, str(tmp_path)).collect()} == want
+    assert {r.node: r.component for r in QUERIES["connected_components"](spark, str(tmp_path)).collect()} == want
