@@ -79,15 +79,17 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tuple[i
     """Posterior probability of good for each pattern of votes, from counts of patterns.
 
     Two classes, rules independent given the class, each with its own shares of the three votes in
-    each class (one vote of each kind is added to the counts). A rule is written to be silent on good
-    texts, so a text starts as good without a vote against it and the less so the more of them it has;
-    that start fixes the meaning of the classes.
+    each class (one vote of each kind is added to the counts). A text starts as good with the share of
+    votes for it among its votes, which fixes the meaning of the classes and no more: how much a vote
+    of a rule weighs, and for which class, is what the rounds estimate. A rule that often votes against
+    texts that the others find good ends up with little weight.
     """
     if not patterns:
         return {}
     kinds = np.array(sorted(patterns))
     n = np.array([patterns[tuple(p)] for p in kinds.tolist()], float)
-    q = 0.95 * 0.25 ** (kinds == BAD).sum(1)
+    good, bad = (kinds == GOOD).sum(1), (kinds == BAD).sum(1)
+    q = (good + 1) / (good + bad + 2)
     onehot = kinds[:, :, None] == np.arange(3)
     for _ in range(rounds):
         prior = (np.array([(n * (1 - q)).sum(), (n * q).sum()]) + 1) / (n.sum() + 2)
@@ -112,7 +114,8 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     quality: posterior probability of good. kept: quality of a half or more and not base_failed
     (fewer than 50 words, or more than half of them in repeated windows of three). Null texts have no
     words and are base_failed; equal rows get equal results; other columns are ignored; the id is
-    not looked at and may be null. An empty table gives an empty result.
+    not looked at and may be null. A very long text is looked at whole, in memory that grows with its
+    length. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality")

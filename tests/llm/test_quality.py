@@ -66,3 +66,52 @@ def test_clean_text_is_kept_and_junk_is_not(spark):
     kept = {r.doc_id: r.kept for r in judge(docs).collect()}
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 340))
     assert features(None)["n_words"] == 0
+
+
+def plain_em(patterns, rounds):
+    """The same model written out vote by vote, on plain probabilities."""
+    q = {p: (p.count(GOOD) + 1) / (p.count(GOOD) + p.count(BAD) + 2) for p in patterns}
+    total = sum(patterns.values())
+    for _ in range(rounds):
+        prior = (sum(n * q[p] for p, n in patterns.items()) + 1) / (total + 2)
+        rates = []
+        for weight in ((lambda p: patterns[p] * q[p]), (lambda p: patterns[p] * (1 - q[p]))):
+            rates.append([{v: (sum(weight(p) for p in patterns if p[r] == v) + 1) / (sum(weight(p) for p in patterns) + 3) for v in (GOOD, BAD, ABSTAIN)} for r in range(len(RULES))])
+        new = {}
+        for p in patterns:
+            yes, no = prior, 1 - prior
+            for r, v in enumerate(p):
+                yes, no = yes * rates[0][r][v], no * rates[1][r][v]
+            new[p] = yes / (yes + no)
+        moved, q = max(abs(new[p] - q[p]) for p in q), new
+        if moved < 1e-9:
+            break
+    return q
+
+
+def test_fit_equals_an_independent_em():
+    rng = random.Random(4)
+    patterns = Counter(tuple(rng.choice((GOOD, GOOD, GOOD, BAD if rng.random() < 0.4 else GOOD, ABSTAIN)) for _ in RULES) for _ in range(400))
+    found, want = fit(patterns), plain_em(patterns, 200)
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-6 for p in want)
+
+
+def test_an_unreliable_rule_is_overruled():
+    """One rule votes against a quarter of the good texts and of the bad ones alike: its vote alone condemns nothing, as all-must-pass would."""
+    rng, draws = random.Random(6), []
+    for _ in range(20000):
+        good = rng.random() < 0.85
+        noisy = BAD if rng.random() < 0.25 else GOOD
+        draws.append((good, (noisy, *(BAD if rng.random() < (0.01 if good else 0.7) else GOOD for _ in range(len(RULES) - 1)))))
+    found = fit(Counter(v for _, v in draws))
+    alone = (BAD, *[GOOD] * (len(RULES) - 1))
+    assert found[alone] > 0.99 and found[tuple([GOOD] * (len(RULES) - 2) + [BAD, BAD])] < 0.5
+    kept = [g for g, v in draws if found[v] >= 0.5]
+    passed = [g for g, v in draws if BAD not in v]
+    assert sum(kept) > 1.2 * sum(passed) and sum(kept) / len(kept) > 0.99
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(200_000)) + ".")], "doc_id long, text string")
+    row = judge(docs).first()
+    assert (row.n_words, row.n_repeat_words, row.base_failed) == (200_000, 0, False)
