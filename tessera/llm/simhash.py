@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import per_row, raw_words, table
+from tessera.llm.similar import SIMILARITY, SIZE, similar_texts
 from tessera.operators.components import connected_components
 from tessera.plans.scratch import Scratch
 
@@ -117,6 +118,25 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, scratc
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_documents(texts: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
+    """Columns node, component of every node that a chain of pairs at ``similarity`` or more links to another.
+
+    texts: node (a number that equal texts share and different ones do not) and text. Fingerprints over
+    ``size`` words are linked by their tables, and each link is verified by the exact similarity of its
+    texts. A radius cannot promise a similarity, so what the tables leave apart is searched by prefixes
+    of shingles (``similar_texts``), which loses no pair. Nulls, long texts and empty tables as there.
+    """
+    scratch = scratch or Scratch(texts.sparkSession, "similar")
+    marked = fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), size)
+    marked = scratch.save(marked.dropDuplicates(["doc_id"]), "fingerprints")
+    nodes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    equal = marked.join(nodes, "fp").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
+    of = lambda c, name: nodes.select(F.col("fp").alias(c), F.col("first").alias(name))
+    near = links(nodes.select("fp"), radius, scratch=scratch).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    seeds = equal.unionByName(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return similar_texts(texts, size, similarity, scratch, seeds)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,9 +7,11 @@ of those whatever they differ in. The order is that of the hashes, except that s
 prefixes of many texts come last, so that a common passage does not make all its texts candidates:
 any order is as right, this one is faster.
 
-Each shared shingle links its texts to its first one; then every pair that shares a shingle and is
-not linked yet is compared. The first step keeps groups of copies linear, the second leaves no pair
-out. All links are verified by the exact similarity.
+Each shared shingle links its texts to the one with the least of its own; then every pair of different
+groups that shares a shingle is compared. The first step keeps groups of copies linear, the second
+leaves no pair out. A candidate is first held against a bound that loses nothing: maps of the parity
+of the shingles' hashes differ in no more bits than the texts in shingles. What is left is verified by
+the exact similarity, and only those texts' shingles travel.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from tessera.plans.scratch import Scratch
 SEED = 42
 SIZE, SIMILARITY = 5, 0.8
 #: A shingle in more prefixes than this goes to the end of the order; at most so many do, in so many passes.
-COMMON, MOST_COMMON, PASSES = 50, 200_000, 3
+COMMON, MOST_COMMON, PASSES = 50, 200_000, 2
+#: Bits of a text's parity map, a power of two; texts of a shingle's list.
+BITMAP, LIST = 1024, 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,82 +61,91 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndar
     return np.concatenate([hashes[~late], hashes[late]])[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def _prefixes(texts: DataFrame, size: int, similarity: float, common: list[int]) -> DataFrame:
-    """Columns node, n and prefix, one row for each node of texts (node, text)."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP bits: whether an odd number of the hashes falls on each. Two sets differ in as many hashes at least as their maps in bits."""
+    odd = np.bincount(hashes & (BITMAP - 1), minlength=BITMAP).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _sketches(texts: DataFrame, size: int, similarity: float, common: list[int]) -> DataFrame:
+    """Columns node, n, prefix and map, one row for each node of texts (node, text)."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("map", pa.list_(pa.int64()))])
 
     def make():
         late = np.array(sorted(common), np.int64)
 
         def one(node, text):
             found = shingles(text, size)
-            return node, len(found), prefix(found, similarity, late)
+            return node, len(found), prefix(found, similarity, late), parity(found)
 
         return one
 
     rows = texts.select("node", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(per_row(make, schema), "node long, n int, prefix array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(per_row(make, schema), "node long, n int, prefix array<long>, map array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity is reached."""
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose similarity is reached: by their maps first, then by their shingles."""
+    of = lambda c, k, m: sketches.select(F.col("node").alias(c), F.col("n").alias(k), F.col("map").alias(m))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    met = pairs.join(of("a", "k", "x"), "a").join(of("b", "l", "y"), "b").where(apart <= (F.col("k") + F.col("l")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+    near = scratch.save(met.select("a", "b"), "near")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = texts.join(wanted, "node", "left_semi").select("node", F.col("text").cast("binary").alias("text"))
     sets = scratch.save(rows.mapInArrow(per_row(lambda: lambda i, t: (i, shingles(t, size)), schema), "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    met = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     met = met.select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("shared"))
     found = scratch.save(met.where(F.col("shared") / (F.col("both") - F.col("shared")) >= similarity).select("a", "b"), "links")
-    scratch.drop(sets)
+    for done in (near, sets):
+        scratch.drop(done)
     return found
 
 
-def similar_texts(texts: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
+def similar_texts(texts: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, scratch: Scratch | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """Columns node, component of every node that a chain of pairs at ``similarity`` or more links to another.
 
     texts: node (a number that equal texts share and different ones do not) and text, rows in any number.
-    component: the least node of the group. Null, empty and blank texts are similar to each other.
+    component: the least node of the group. Null, empty and blank texts are similar to each other; a
+    very long text has all its shingles. An empty table gives an empty result. seeds: pairs (a, b) of
+    nodes, a < b, that are worth a comparison before others; they change the work, not the result.
     """
     scratch = scratch or Scratch(texts.sparkSession, "similar")
-    kept = scratch.save(_prefixes(texts, size, similarity, []), "prefixes")
     common: list[int] = []
     for left in range(PASSES, -1, -1):
-        counts = kept.select(F.explode("prefix").alias("h")).groupBy("h").count()
-        shared = scratch.save(counts.where("count > 1"), "shared")
-        more = [r["h"] for r in shared.where(F.col("count") > COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON - len(common)).collect()] if left else []
+        sketches = scratch.save(_sketches(texts, size, similarity, common), "sketches")
+        counts = sketches.select(F.explode("prefix").alias("h")).groupBy("h").count().where(F.col("count") > COMMON)
+        more = [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON - len(common)).collect()] if left else []
         more = sorted(set(more) - set(common))
         if not more:
             break
         common += more
-        # only texts with such a shingle in their prefix get another prefix
-        late = texts.sparkSession.createDataFrame([(h,) for h in more], "h long")
-        changed = scratch.save(kept.select("node", F.explode("prefix").alias("h")).join(late, "h", "left_semi").select("node").distinct(), "changed")
-        again = _prefixes(texts.join(changed, "node", "left_semi"), size, similarity, common)
-        after = scratch.save(kept.join(changed, "node", "left_anti").unionByName(again), "prefixes")
-        for done in (kept, changed, shared):
-            scratch.drop(done)
-        kept = after
-    places = kept.select("node", "n", F.posexplode("prefix").alias("at", "h"))
-    places = scratch.save(places.join(shared.select("h"), "h", "left_semi"), "places")
-    scratch.drop(kept)
-
-    def can(n: str, at: str, m: str, to: str):
+        scratch.drop(sketches)
+    places = sketches.select("node", "n", F.posexplode("prefix").alias("at", "h")).withColumn("texts", F.count("*").over(Window.partitionBy("h")))
+    places = scratch.save(places.where("texts > 1").drop("texts"), "places")
+    # a text with little of its own shares more of its prefix than others: the best first one of a shingle's texts
+    own = places.groupBy("node").agg(F.count("*").alias("many"))
+    places = scratch.save(places.join(own, "node").select("h", "node", "n", "at", (F.col("many") / F.col("n")).alias("share")), "weighted")
+
+    def can(n: F.Column, at: F.Column, m: F.Column, to: F.Column) -> F.Column:
         """Whether texts of n and m shingles that first meet at these places can reach the similarity."""
-        a, b, i, j = (F.col(x) for x in (n, m, at, to))
-        return F.least(a - i, b - j) >= (a + b) * F.lit(similarity / (1 + similarity)) - 1e-6
-
-    of = Window.partitionBy("h").orderBy("n", "node")
-    first = F.first(F.struct("node", "n", "at")).over(of)
-    stars = places.select(F.col("node").alias("b"), "n", "at", first.alias("f")).select("b", "n", "at", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.at").alias("to"))
-    stars = scratch.save(stars.where(F.col("a") != F.col("b")).where(can("n", "at", "m", "to")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    links = _verified(stars, texts, size, similarity, scratch)
+        return F.least(n - at, m - to) >= (n + m) * F.lit(similarity / (1 + similarity)) - 1e-6
+
+    of = Window.partitionBy("h").orderBy(F.desc("share"), "node")
+    stars = places.select("node", "n", "at", F.first(F.struct("node", "n", "at")).over(of).alias("f")).where(F.col("node") != F.col("f.node"))
+    stars = stars.where(can(F.col("n"), F.col("at"), F.col("f.n"), F.col("f.at"))).select(F.least("node", "f.node").alias("a"), F.greatest("node", "f.node").alias("b"))
+    stars = scratch.save((stars.unionByName(seeds) if seeds is not None else stars).distinct(), "stars")
+    links = _verified(stars, sketches, texts, size, similarity, scratch)
     groups = connected_components(links, "a", "b", scratch=scratch)
 
-    lists = places.join(groups, "node", "left").groupBy("h", F.coalesce("component", "node").alias("c")).agg(F.collect_list(F.struct("node", "n", "at")).alias("own"))
-    lists = scratch.save(lists.withColumn("groups", F.count("*").over(Window.partitionBy("h"))).where("groups > 1").drop("groups"), "lists")
-    pairs = lists.select("h", "c", "own").join(lists.select("h", F.col("c").alias("d"), F.col("own").alias("other")), "h").where("c < d")
-    pairs = pairs.select(F.explode("own").alias("x"), "other").select("x", F.explode("other").alias("y")).where(can("x.n", "x.at", "y.n", "y.at"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = scratch.save(pairs, "pairs")
-    late = _verified(pairs, texts, size, similarity, scratch)
+    # what is not linked yet: members of different groups, in lists of bounded length
+    grouped = scratch.save(places.join(groups, "node", "left").select("h", "node", "n", "at", F.coalesce("component", "node").alias("c")), "grouped")
+    open_ = grouped.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / LIST)).alias("part")
+    lists = grouped.join(open_.select("h", "many"), "h").groupBy("h", "c", part).agg(F.collect_list(F.struct("node", "n", "at")).alias("own"))
+    lists = scratch.save(lists.select("h", "c", "own"), "lists")
+    met = lists.join(lists.select("h", F.col("c").alias("d"), F.col("own").alias("other")), "h").where("c < d")
+    each = F.transform("own", lambda x: F.transform(F.filter("other", lambda y: can(x["n"], x["at"], y["n"], y["at"])), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))))
+    pairs = met.select(F.explode(F.flatten(each)).alias("p")).select("p.*").distinct().join(stars, ["a", "b"], "left_anti")
+    late = _verified(scratch.save(pairs, "pairs"), sketches, texts, size, similarity, scratch)
     return connected_components(links.unionByName(late), "a", "b", scratch=scratch) if late.take(1) else groups

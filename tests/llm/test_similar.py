@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import similar
+from tessera.llm import simhash, similar
 from tests.llm.test_decontaminate import shingles, words
 from tests.test_components import union_find
 
@@ -36,14 +37,17 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("common", [50, 3])
-def test_groups_equal_brute_force(spark, monkeypatch, common):
+@pytest.mark.parametrize("common, listed", [(50, 512), (3, 2)])
+def test_groups_equal_brute_force(spark, monkeypatch, common, listed):
     monkeypatch.setattr(similar, "COMMON", common)
+    monkeypatch.setattr(similar, "LIST", listed)
     texts = corpus(random.Random(4))
     frame = spark.createDataFrame(list(enumerate(texts)) + [(20, texts[20])], "node long, text string")
     got = {r.node: r.component for r in similar.similar_texts(frame).collect()}
     want = plain_groups(texts)
     assert [got.get(i, i) for i in range(len(texts))] == want
+    by_tables = {r.node: r.component for r in simhash.similar_documents(frame).collect()}
+    assert by_tables == got
     assert len(set(want)) < len(texts) - 30
 
 
@@ -69,3 +73,17 @@ def test_stage_judges_rows_of_a_repeated_id_by_their_texts(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()), key=repr)
     assert got == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+
+def test_parity_maps_bound_the_difference():
+    rng = random.Random(7)
+    for n in (1, 5, 80, 3000):
+        a = set(rng.getrandbits(62) for _ in range(n))
+        b = set(rng.sample(sorted(a), n - n // 3)) | {rng.getrandbits(62) for _ in range(n // 4)}
+        x, y = (similar.parity(np.array(sorted(s), np.int64)) for s in (a, b))
+        assert 0 < sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b) or a == b
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], "node long, text string")
+    assert similar.similar_texts(none).count() == 0 and simhash.similar_documents(none).count() == 0
