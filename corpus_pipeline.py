@@ -1,11 +1,15 @@
-"""A cleaning pipeline over ``documents``: each stage works on all that the one before it kept."""
+"""A cleaning pipeline over ``documents``: each stage works on all that the one before it kept.
+
+Every stage takes an empty table to an empty table, handles very long texts whole, and keeps the
+columns of documents, whatever their names; rows with a null id or text are said of where they matter.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, lines, packing, similar
+from tessera.llm import decontaminate, langid, lines, packing, simhash
 from tessera.llm.common import held_out, table
 from tessera.plans.scratch import Scratch
 
@@ -36,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row of the smallest doc_id; rows without an id stay."""
     rows = carried(docs).withColumn("node", F.xxhash64("text"))
-    groups = similar.similar_texts(rows.select("node", "text"))
+    groups = simhash.similar_documents(rows.select("node", "text"))
     named = rows.where("doc_id is not null")
     group = F.coalesce("component", "node").alias("component")
     placed = named.select("doc_id", "node").join(groups, "node", "left").select("doc_id", "node", group)
@@ -62,7 +66,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language),
     ("line dedup", line_dedup),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", packed),
 ]
