@@ -10,7 +10,8 @@ any order is as right, this one is faster.
 Each shared shingle links its texts to the one with the least of its own; then every pair of different
 groups that shares a shingle is compared. The first step keeps groups of copies linear, the second
 leaves no pair out. A candidate is first held against a bound that loses nothing: maps of the parity
-of the shingles' hashes differ in no more bits than the texts in shingles. What is left is verified by
+of the shingles' hashes differ in no more bits than the texts in shingles; pairs of different groups
+that fail it are never written. What is left is verified by
 the exact similarity, and only those texts' shingles travel.
 """
 
@@ -84,11 +85,20 @@ def _sketches(texts: DataFrame, size: int, similarity: float, common: list[int])
     return rows.mapInArrow(per_row(make, schema), "node long, n int, prefix array<long>, map array<long>").dropDuplicates(["node"])
 
 
+def _apart(x: F.Column, y: F.Column) -> F.Column:
+    """Bits in which two maps differ."""
+    return F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, i: s + i)
+
+
+def _near(x: F.Column, y: F.Column, n: F.Column, m: F.Column, similarity: float) -> F.Column:
+    """Whether texts of n and m shingles with these maps may reach the similarity."""
+    return _apart(x, y) <= (n + m) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose similarity is reached: by their maps first, then by their shingles."""
     of = lambda c, k, m: sketches.select(F.col("node").alias(c), F.col("n").alias(k), F.col("map").alias(m))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = pairs.join(of("a", "k", "x"), "a").join(of("b", "l", "y"), "b").where(apart <= (F.col("k") + F.col("l")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+    met = pairs.join(of("a", "k", "x"), "a").join(of("b", "l", "y"), "b").where(_near(F.col("x"), F.col("y"), F.col("k"), F.col("l"), similarity))
     near = scratch.save(met.select("a", "b"), "near")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -142,10 +152,13 @@ def similar_texts(texts: DataFrame, size: int = SIZE, similarity: float = SIMILA
     grouped = scratch.save(places.join(groups, "node", "left").select("h", "node", "n", "at", F.coalesce("component", "node").alias("c")), "grouped")
     open_ = grouped.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / LIST)).alias("part")
-    lists = grouped.join(open_.select("h", "many"), "h").groupBy("h", "c", part).agg(F.collect_list(F.struct("node", "n", "at")).alias("own"))
+    half = BITMAP // 128  # a map folded upon itself is one of half the bits
+    folded = F.zip_with(F.slice("map", 1, half), F.slice("map", half + 1, half), lambda x, y: x.bitwiseXOR(y)).alias("map")
+    listed = grouped.join(open_.select("h", "many"), "h").join(sketches.select("node", folded), "node")
+    lists = listed.groupBy("h", "c", part).agg(F.collect_list(F.struct("node", "n", "at", "map")).alias("own"))
     lists = scratch.save(lists.select("h", "c", "own"), "lists")
     met = lists.join(lists.select("h", F.col("c").alias("d"), F.col("own").alias("other")), "h").where("c < d")
-    each = F.transform("own", lambda x: F.transform(F.filter("other", lambda y: can(x["n"], x["at"], y["n"], y["at"])), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))))
+    each = F.transform("own", lambda x: F.transform(F.filter("other", lambda y: can(x["n"], x["at"], y["n"], y["at"]) & _near(x["map"], y["map"], x["n"], y["n"], similarity)), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))))
     pairs = met.select(F.explode(F.flatten(each)).alias("p")).select("p.*").distinct().join(stars, ["a", "b"], "left_anti")
     late = _verified(scratch.save(pairs, "pairs"), sketches, texts, size, similarity, scratch)
     return connected_components(links.unionByName(late), "a", "b", scratch=scratch) if late.take(1) else groups
