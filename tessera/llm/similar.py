@@ -3,9 +3,10 @@
 A fingerprint's radius cannot promise a similarity: two texts at 0.8 differ in about 10 of 64 bits,
 give or take 3. Candidates come from a table of prefixes instead. All shingles have one order; a text
 of n shingles keeps its first n - ceil(0.8 n) + 1, and two texts that reach the similarity share one
-of those whatever they differ in. The order is that of the hashes, except that shingles found in the
-prefixes of many texts come last, so that a common passage does not make all its texts candidates:
-any order is as right, this one is faster.
+of those whatever they differ in. The order is that of the hashes, except that common shingles come
+last, so that a common passage does not make all its texts candidates: any order is as right, this
+one is faster. Common are those found in the prefixes of many texts, and of the shingles that stand
+beside these in a text, the rest of the passage, those that as many texts hold.
 
 Each shared shingle links its texts to the one with the least of its own; then every pair of different
 groups that shares a shingle is compared. The first step keeps groups of copies linear, the second
@@ -18,6 +19,7 @@ the exact similarity, and only those texts' shingles travel.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,15 @@ from tessera.plans.scratch import Scratch
 
 SEED = 42
 SIZE, SIMILARITY = 5, 0.8
-#: A shingle in more prefixes than this goes to the end of the order; at most so many do, in so many passes.
-COMMON, MOST_COMMON, PASSES = 50, 200_000, 2
+#: A shingle of more texts than this goes to the end of the order; at most so many do; places on which one is beside another.
+COMMON, MOST_COMMON, BESIDE = 50, 200_000, 16
 #: Bits of a text's parity map, a power of two; texts of a shingle's list.
 BITMAP, LIST = 1024, 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
-    """Different hashes of the runs of ``size`` words, A-Z lowered, in order; a shorter text is one run, one without words is 0."""
+def runs(text: bytes | None, size: int = SIZE) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, A-Z lowered, as they stand; a shorter text is one run, one without words is 0."""
     words = raw_words(text.lower() if text else text)
     if not words:
         return np.zeros(1, np.int64)
@@ -52,13 +54,34 @@ def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
         h = h * MIX + w[j : j + n]
     h ^= h >> np.uint64(32)
     h *= MIX
-    return np.unique(h.view(np.int64))
+    return h.view(np.int64)
+
+
+def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
+    """The different hashes of the runs, in order."""
+    return np.unique(runs(text, size))
+
+
+def among(hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which hashes are in ``some``, which is sorted."""
+    if not len(some):
+        return np.zeros(len(hashes), bool)
+    return some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes
+
+
+def beside(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The different hashes, in order, that stand within ``BESIDE`` places of a common one and are none."""
+    found = among(hashes, common)
+    upto = np.concatenate([[0], np.cumsum(found)])
+    at = np.arange(len(hashes))
+    near = upto[np.minimum(at + BESIDE + 1, len(hashes))] > upto[np.maximum(at - BESIDE, 0)]
+    return np.unique(hashes[near & ~found])
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     """The first hashes in the order: those that are not common, then the others."""
     n = len(hashes)
-    late = np.isin(hashes, common) if len(common) else np.zeros(n, bool)
+    late = among(hashes, common)
     return np.concatenate([hashes[~late], hashes[late]])[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
@@ -68,21 +91,30 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def _sketches(texts: DataFrame, size: int, similarity: float, common: list[int]) -> DataFrame:
-    """Columns node, n, prefix and map, one row for each node of texts (node, text)."""
+def _by_text(texts: DataFrame, of: Callable[[bytes | None], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
+    """node and of(text), one row for each node of texts (node, text)."""
+    rows = texts.select("node", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(per_row(lambda: lambda node, text: (node, *of(text)), schema), ddl).dropDuplicates(["node"])
+
+
+def _sketches(texts: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """Columns node, n, prefix and map, one row for each node of texts."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("map", pa.list_(pa.int64()))])
 
-    def make():
-        late = np.array(sorted(common), np.int64)
+    def of(text):
+        found = shingles(text, size)
+        return len(found), prefix(found, similarity, common), parity(found)
 
-        def one(node, text):
-            found = shingles(text, size)
-            return node, len(found), prefix(found, similarity, late), parity(found)
+    return _by_text(texts, of, schema, "node long, n int, prefix array<long>, map array<long>")
 
-        return one
 
-    rows = texts.select("node", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(per_row(make, schema), "node long, n int, prefix array<long>, map array<long>").dropDuplicates(["node"])
+SETS = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+
+def _frequent(sets: DataFrame, column: str, most: int) -> np.ndarray:
+    """The hashes that more than ``COMMON`` rows hold, sorted; the most frequent of them, ``most`` at most."""
+    counts = sets.select(F.explode(column).alias("h")).groupBy("h").count().where(F.col("count") > COMMON)
+    return np.array(sorted(r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()), np.int64)
 
 
 def _apart(x: F.Column, y: F.Column) -> F.Column:
@@ -100,10 +132,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     of = lambda c, k, m: sketches.select(F.col("node").alias(c), F.col("n").alias(k), F.col("map").alias(m))
     met = pairs.join(of("a", "k", "x"), "a").join(of("b", "l", "y"), "b").where(_near(F.col("x"), F.col("y"), F.col("k"), F.col("l"), similarity))
     near = scratch.save(met.select("a", "b"), "near")
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = texts.join(wanted, "node", "left_semi").select("node", F.col("text").cast("binary").alias("text"))
-    sets = scratch.save(rows.mapInArrow(per_row(lambda: lambda i, t: (i, shingles(t, size)), schema), "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    sets = scratch.save(_by_text(texts.join(wanted, "node", "left_semi"), lambda t: (shingles(t, size),), SETS, "node long, hashes array<long>"), "sets")
     met = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     met = met.select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("shared"))
     found = scratch.save(met.where(F.col("shared") / (F.col("both") - F.col("shared")) >= similarity).select("a", "b"), "links")
@@ -121,16 +151,13 @@ def similar_texts(texts: DataFrame, size: int = SIZE, similarity: float = SIMILA
     nodes, a < b, that are worth a comparison before others; they change the work, not the result.
     """
     scratch = scratch or Scratch(texts.sparkSession, "similar")
-    common: list[int] = []
-    for left in range(PASSES, -1, -1):
-        sketches = scratch.save(_sketches(texts, size, similarity, common), "sketches")
-        counts = sketches.select(F.explode("prefix").alias("h")).groupBy("h").count().where(F.col("count") > COMMON)
-        more = [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON - len(common)).collect()] if left else []
-        more = sorted(set(more) - set(common))
-        if not more:
-            break
-        common += more
+    sketches = scratch.save(_sketches(texts, size, similarity, np.zeros(0, np.int64)), "sketches")
+    common = _frequent(sketches, "prefix", MOST_COMMON)
+    if len(common):
         scratch.drop(sketches)
+        rest = _by_text(texts, lambda t, seen=common: (beside(runs(t, size), seen),), SETS, "node long, hashes array<long>")
+        common = np.union1d(common, _frequent(rest.where(F.size("hashes") > 0), "hashes", MOST_COMMON - len(common)))
+        sketches = scratch.save(_sketches(texts, size, similarity, common), "sketches")
     places = sketches.select("node", "n", F.posexplode("prefix").alias("at", "h")).withColumn("texts", F.count("*").over(Window.partitionBy("h")))
     places = scratch.save(places.where("texts > 1").drop("texts"), "places")
     # a text with little of its own shares more of its prefix than others: the best first one of a shingle's texts

@@ -84,6 +84,15 @@ def test_parity_maps_bound_the_difference():
         assert 0 < sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b) or a == b
 
 
+def test_shingles_beside_common_ones():
+    rng = random.Random(8)
+    text = [rng.randrange(60) for _ in range(300)]
+    for common in ([], [7], [3, 9, 59], list(range(60))):
+        at = [i for i, x in enumerate(text) if x in common]
+        want = {x for i, x in enumerate(text) if x not in common and any(abs(i - j) <= similar.BESIDE for j in at)}
+        assert similar.beside(np.array(text, np.int64), np.array(common, np.int64)).tolist() == sorted(want)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "node long, text string")
     assert similar.similar_texts(none).count() == 0 and simhash.similar_documents(none).count() == 0
