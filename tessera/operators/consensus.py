@@ -6,17 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PERCENTILES = tuple(range(95, -1, -5))
+#: Nodes of a shared value that are listed in one row, about.
+BLOCK = 256
 
 
 def pair_counts(rows: DataFrame, node: str, shared: str, name: str, ordered: bool = False) -> DataFrame:
     """Columns seq, i, j, name: values of ``shared`` that nodes i < j have in common.
 
     rows: distinct (seq, node, shared). ordered: every pair in both orders, and each node with itself.
+    The nodes of a value are listed in blocks, and each two blocks meet under a key of their own, so
+    the pairs of a value that many nodes share are formed by many tasks.
     """
-    a = rows.select("seq", F.col(node).alias("i"), F.col(shared).alias("_s"))
-    b = rows.select("seq", F.col(node).alias("j"), F.col(shared).alias("_s"))
-    met = a.join(b, ["seq", "_s"])
-    return (met if ordered else met.where("i < j")).groupBy("seq", "i", "j").agg(F.count("*").alias(name))
+    held = rows.select("seq", F.col(node).alias("n"), F.col(shared).alias("_s"))
+    many = held.groupBy("seq", "_s").agg(F.ceil(F.count("*") / BLOCK).alias("_k"))
+    part = F.pmod(F.xxhash64("n"), F.col("_k")).alias("_p")
+    blocks = held.join(many, ["seq", "_s"]).groupBy("seq", "_s", "_k", part).agg(F.collect_list("n").alias("_own"))
+    a = blocks.withColumn("_q", F.explode(F.sequence(F.col("_p"), F.col("_k") - 1)))
+    b = blocks.select("seq", "_s", F.col("_p").alias("_q"), F.col("_own").alias("_other"))
+    two = (F.col("_p") < F.col("_q")).alias("_two")
+    met = a.join(b, ["seq", "_s", "_q"]).select("seq", two, F.explode("_own").alias("x"), "_other").select("seq", "_two", "x", F.explode("_other").alias("y"))
+    pairs = met.where(F.col("_two") | (F.col("x") < F.col("y"))).select("seq", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    counted = pairs.groupBy("seq", "i", "j").agg(F.count("*").alias(name))
+    if not ordered:
+        return counted
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("_p")
+    itself = held.groupBy("seq", F.col("n").alias("i"), F.col("n").alias("j")).agg(F.count("*").alias(name))
+    return counted.select("seq", both, name).select("seq", "_p.i", "_p.j", name).unionByName(itself)
 
 
 def observers(visible: DataFrame, node: str = "gid", ordered: bool = False) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.incidence import point_frame, with_gid
-from tessera.operators.spatial import dbscan
+from tessera.operators.spatial import dbscan, dbscan_joined
 from tessera.plans.config import Params
 from tessera.plans.scratch import Scratch
 
 OBJECT = ["seq", "node", "component"]
+#: Points up to which a node is split within one task.
+GROUPED_POINTS = 200_000
 
 
 def merged_nodes(nodes: DataFrame, least: int = 2) -> DataFrame:
@@ -24,10 +26,27 @@ def node_points(nodes: DataFrame, inc: DataFrame, masks: DataFrame) -> DataFrame
     return with_gid(inc, masks).join(nodes, ["seq", "gid"]).select("seq", "node", "point_id").distinct()
 
 
-def split(points: DataFrame, scene: DataFrame, p: Params) -> DataFrame:
-    """Columns seq, node, component, point_id: density clusters of each node; its noise is component 0."""
-    placed = points.join(scene, ["seq", "point_id"]).select("seq", "node", "point_id", "x", "y", "z")
-    return dbscan(placed, p.split_eps, p.split_min_points, ["seq", "node"]).select(*OBJECT, "point_id")
+def split(points: DataFrame, scene: DataFrame, p: Params, scratch: Scratch | None = None, most: int = GROUPED_POINTS) -> DataFrame:
+    """Columns seq, node, component, point_id: density clusters of each node; its noise is component 0.
+
+    A node of at most ``most`` points is one task's; larger ones are split by joins, with the same numbers.
+    """
+    scratch = scratch or Scratch(points.sparkSession, "split")
+    placed = scratch.save(points.join(scene, ["seq", "point_id"]).select("seq", "node", "point_id", "x", "y", "z"), "placed")
+    large = scratch.save(placed.groupBy("seq", "node").count().where(F.col("count") > most).select("seq", "node"), "large")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return dbscan(rows, p.split_eps, p.split_min_points, ["seq", "node"]).select(*OBJECT, "point_id")
+
+    if not large.take(1):
+        return grouped(placed)
+    keys = ["seq", "of"]  # node is a column of the components' own
+    rows = placed.join(large, ["seq", "node"], "left_semi").withColumnRenamed("node", "of")
+    found = scratch.save(dbscan_joined(rows, p.split_eps, p.split_min_points, keys, scratch), "joined")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("component")).alias("nth")
+    numbers = found.where("component is not null").select(*keys, "component").distinct().select(*keys, "component", nth)
+    far = found.join(numbers, [*keys, "component"], "left").select("seq", F.col("of").alias("node"), F.coalesce("nth", F.lit(0)).alias("component"), "point_id")
+    return grouped(placed.join(large, ["seq", "node"], "left_anti")).unionByName(far)
 
 
 def passes_ratio(in_node: Column, in_video: Column, least: float) -> Column:
@@ -116,7 +135,7 @@ def objects(nodes: DataFrame, inc: DataFrame, masks: DataFrame, visible: DataFra
     """
     scratch = scratch or Scratch(nodes.sparkSession, "objects")
     nodes = scratch.save(merged_nodes(nodes, p.min_masks), "nodes")
-    parts = scratch.save(split(node_points(nodes, inc, masks), scene, p), "parts")
+    parts = scratch.save(split(node_points(nodes, inc, masks), scene, p, scratch), "parts")
     held = scratch.save(assign_masks(parts, nodes, inc, masks), "masks")
     kept = detection(parts, nodes, inc, masks, visible).where(passes_ratio(F.col("in_node"), F.col("in_video"), p.point_filter_threshold))
     enough = held.groupBy(*OBJECT).count().where(F.col("count") >= p.min_masks).select(OBJECT)

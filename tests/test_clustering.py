@@ -180,3 +180,16 @@ def test_empty_scene(spark):
 
 def test_config():
     assert load('{"step": 3, "unknown": 1, "contained_threshold": 0.7}', PRESETS["scannetpp"]) == Params(0.4, 0.2, 1.0, 0.7, 0.7, 3)
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    rows = sorted({(s, int(rng.integers(20)), int(rng.integers(4))) for s in ("s", "t") for _ in range(60)})
+    frame = spark.createDataFrame(rows, "seq string, gid int, frame_id int")
+    for ordered in (False, True):
+        plain = {}
+        for (s, i, f), (t, j, g) in itertools.product(rows, rows):
+            if (s, f) == (t, g) and (ordered or i < j):
+                plain[s, i, j] = plain.get((s, i, j), 0) + 1
+        assert {(r.seq, r.i, r.j): r.observers for r in consensus.observers(frame, ordered=ordered).collect()} == plain

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import vectors
-from tessera.operators import evaluation, groundtruth, lifting, openvoc, spatial
+from tessera.operators import evaluation, groundtruth, lifting, openvoc, postprocess, spatial
 from tessera.plans.config import OVERLAPS, Params
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -170,3 +170,26 @@ def test_paint(spark):
     df = spark.createDataFrame(rows, "seq string, frame_id int, cand int, score double, v int, u int")
     got = {r.u: r.mask_id for r in lifting.paint(df, Params(min_pixels=2)).collect()}
     assert got == {0: 2, 1: 2, 2: 1}
+
+
+@pytest.mark.parametrize("shape", ["plane", "cloud", "few", "same", "far"])
+def test_nearest_mean_equals_all_pairs(shape):
+    rng = np.random.default_rng(3)
+    xyz = {"plane": rng.random((900, 3)) * [4, 3, 0.01], "cloud": rng.normal(size=(500, 3)), "few": rng.random((7, 3)), "same": np.ones((30, 3)), "far": np.concatenate([rng.random((200, 3)) * 0.01, rng.random((5, 3)) * 50])}[shape]
+    k = min(20, len(xyz))
+    d = np.sort(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)), axis=1)[:, :k].mean(axis=1)
+    assert np.allclose(spatial.nearest_mean(xyz, k), d)
+
+
+def test_large_nodes_are_split_alike(spark):
+    rng = np.random.default_rng(5)
+    scene, points = [], []
+    for seq in ("s", "t"):
+        for i, c in enumerate(np.concatenate([rng.random((60, 3)) * 0.4 + [3 * k, 0, 0] for k in range(3)] + [rng.random((9, 3)) * 9 + 20])):
+            scene.append((seq, i, *map(float, c)))
+            points += [(seq, node, i) for node in (1, 2) if node == 1 or i % 3]
+    scene = spark.createDataFrame(scene, "seq string, point_id long, x double, y double, z double")
+    points = spark.createDataFrame(points, "seq string, node int, point_id long")
+    rows = lambda most: sorted(map(tuple, postprocess.split(points, scene, Params(split_eps=0.15), most=most).collect()))
+    found = rows(10**6)
+    assert found == rows(1) == rows(150) and len({r[2] for r in found}) > 3
