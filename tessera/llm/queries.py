@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, langid, licenses, lines, lm, packing, pages, quality, simhash, substrings
+from tessera.llm import decontaminate, langid, licenses, lines, lm, packing, pages, quality, simhash, substrings, urls
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_lm_score": lm.op9_lm_score,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_url_filter": urls.op11_url_filter,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": substrings.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": lines.ORACLE,
+    "op11_url_filter": urls.ORACLE,
 }

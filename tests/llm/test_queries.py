@@ -13,4 +13,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 14))
