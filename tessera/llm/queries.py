@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, langid, licenses, lines, lm, packing, pages, periods, quality, simhash, substrings, urls
+from tessera.llm import decontaminate, langid, licenses, lines, lm, packing, pages, periods, phrases, quality, simhash, substrings, urls
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_score": lm.op9_lm_score,
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_url_filter": urls.op11_url_filter,
+    "op12_collocations": phrases.op12_collocations,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": lines.ORACLE,
     "op11_url_filter": urls.ORACLE,
+    "op12_collocations": phrases.ORACLE,
 }
