@@ -11,7 +11,7 @@ from tessera.operators import evaluation, groundtruth, incidence, lifting, openv
 from tessera.plans.config import PRESETS, Params, scan_config
 from tessera.plans.scratch import Scratch
 from tessera.registry import query
-from tessera.sources import adapters, binary, frames, images, layouts, sinks
+from tessera.sources import adapters, binary, datasets, frames, images, layouts, sinks, stores
 from tessera.sources.adapters import table
 from tessera.streaming.ingest import ingest
 
@@ -230,52 +230,64 @@ def gt_from_segments(spark, sf_dir):
     return found.select(F.col("seq").cast("long").alias("scene"), "point_id", "gt_id")
 
 
-#: Orders' lines as faces over parts, in the order of order and line; the supplier is the face's category, its first part its segment.
+#: Meshes of eight scenes: parts as vertices, lines of orders as faces in the order of order and line; the supplier is a face's category, its first part its segment.
+SCENES = 8
 FACES = """
-f AS (SELECT l_partkey % 200 AS a, (l_partkey + l_suppkey) % 200 AS b, l_linenumber % 200 AS c, l_suppkey % 25 AS category, l_partkey % 50 AS segment,
-  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem),
-v AS (SELECT unnest([a, b, c]) AS point_id, pos, category, segment FROM f),
-w AS (SELECT point_id, arg_max(category, pos) AS category, arg_max(segment, pos) AS segment FROM v GROUP BY ALL)"""
+v AS (SELECT p_partkey % 8 AS scene, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) - 1 AS point_id, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y, CAST(p_partkey AS DOUBLE) AS z FROM part),
+n AS (SELECT scene, count(*) AS n FROM v GROUP BY scene),
+f AS (SELECT scene, l_partkey % n AS a, (l_partkey + l_suppkey) % n AS b, l_linenumber % n AS c, l_suppkey % 25 AS category, l_partkey % 50 AS segment,
+  row_number() OVER (PARTITION BY scene ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem JOIN n ON l_orderkey % 8 = scene),
+e AS (SELECT scene, unnest([a, b, c]) AS point_id, pos, category, segment FROM f),
+w AS (SELECT scene, point_id, arg_max(category, pos) AS category, arg_max(segment, pos) AS segment FROM e GROUP BY ALL)"""
 
 
-def faces_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(points, faces) of an ASCII mesh file, read again."""
+def meshes(spark, sf_dir) -> str:
+    """An ASCII mesh file for each scene; gives their glob."""
     from pyspark.sql import Window
 
-    p, s = F.col("l_partkey"), F.col("l_suppkey")
-    nth = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    body = table(spark, sf_dir, "lineitem").select(F.lit("all").alias("seq"), (nth + 1000).alias("n"), words(F.lit(3), p % 200, (p + s) % 200, F.col("l_linenumber") % 200, s % 25, p % 50).alias("line"))
-    count = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("k"))
-    head = ["ply", "format ascii 1.0", "element vertex 200", *(f"property float {c}" for c in "xyz"), None, "property list uchar int vertex_indices", "property int category_id", "property int segment_id", "end_header"]
-    lines = [F.lit(x) if x else words(F.lit("element face"), "k") for x in head] + [F.lit(f"{i}.5 {i} 0.25") for i in range(200)]
-    top = count.select(F.lit("all").alias("seq"), F.posexplode(F.array(*lines)).alias("n", "line"))
-    path = as_text(spark, "mesh", top.unionByName(body))
-    category, segment = (binary.scan(spark, "ply_faces", path, value=v) for v in ("category_id", "segment_id"))
-    points = binary.scan(spark, "ply", path)
-    return points, category.join(segment.select("face_pos", F.col("segment_id").alias("segment")), "face_pos").withColumn("seq", F.lit("all"))
+    part = table(spark, sf_dir, "part").withColumn("seq", F.col("p_partkey") % SCENES)
+    nth = lambda *order: (F.row_number().over(Window.partitionBy("seq").orderBy(*order)) - 1).cast("long")
+    vertices = part.select("seq", (nth("p_partkey") + 100).alias("n"), words("p_retailprice", "p_size", "p_partkey").alias("line"))
+    sizes = part.groupBy("seq").agg(F.count("*").alias("v"))
+    li = table(spark, sf_dir, "lineitem").withColumn("seq", F.col("l_orderkey") % SCENES).join(sizes, "seq")
+    p, s, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("v")
+    faces = li.select("seq", (nth("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey") + 10**12).alias("n"), words(F.lit(3), p % k, (p + s) % k, F.col("l_linenumber") % k, s % 25, p % 50).alias("line"))
+    counts = sizes.join(li.groupBy("seq").agg(F.count("*").alias("f")), "seq")
+    head = ["ply", "format ascii 1.0", words(F.lit("element vertex"), "v"), *(f"property double {c}" for c in "xyz"), words(F.lit("element face"), "f"), "property list uchar int vertex_indices", "property int category_id", "property int segment_id", "end_header"]
+    top = counts.select("seq", F.posexplode(F.array(*(F.lit(x) if isinstance(x, str) else x for x in head))).alias("n", "line"))
+    return as_text(spark, "mesh", top.unionByName(vertices).unionByName(faces))
 
 
-@query("SELECT i AS point_id, i + 0.5::DOUBLE AS x, i::DOUBLE AS y, 0.25::DOUBLE AS z FROM range(200) t(i)")
+def faces_of(spark, sf_dir) -> DataFrame:
+    """Columns seq, face_pos, verts, category_id, segment of the meshes, read again."""
+    path = meshes(spark, sf_dir)
+    category, segment = (binary.scan(spark, "ply_faces", path, value=v).withColumn("seq", seq_of()) for v in ("category_id", "segment_id"))
+    return category.join(segment.select("seq", "face_pos", F.col("segment_id").alias("segment")), ["seq", "face_pos"])
+
+
+@query(f"WITH {FACES} SELECT scene, point_id, x, y, z FROM v WHERE scene IN (SELECT scene FROM f)")
 def mesh_points(spark, sf_dir):
-    return faces_of(spark, sf_dir)[0].select("point_id", "x", "y", "z")
+    return binary.scan(spark, "ply", meshes(spark, sf_dir)).select(seq_of().cast("long").alias("scene"), "point_id", "x", "y", "z")
 
 
-@query(f"WITH {FACES} SELECT pos AS face_pos, a, b, c, category, segment FROM f")
+@query(f"WITH {FACES} SELECT scene, pos AS face_pos, a, b, c, category, segment FROM f")
 def mesh_faces(spark, sf_dir):
-    found = faces_of(spark, sf_dir)[1]
-    return found.select("face_pos", *(F.col("verts")[i].cast("long").alias(c) for i, c in enumerate("abc")), F.col("category_id").alias("category"), "segment")
+    found = faces_of(spark, sf_dir)
+    return found.select(F.col("seq").cast("long").alias("scene"), "face_pos", *(F.col("verts")[i].cast("long").alias(c) for i, c in enumerate("abc")), F.col("category_id").alias("category"), "segment")
 
 
 @query(f"""WITH {FACES}, g AS (SELECT n_nationkey AS id, unnest([2 * n_nationkey, 2 * n_nationkey + 1, n_nationkey + 5])::BIGINT AS segment FROM nation),
 i AS (SELECT segment, max(id) AS id FROM g GROUP BY ALL), ok AS (SELECT n_nationkey AS category, n_regionkey AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name < 'E')
-SELECT point_id, CAST(coalesce(region, 0) * 1000 + id + 1 AS BIGINT) AS gt_id FROM w JOIN i USING (segment) LEFT JOIN ok USING (category)""")
+SELECT scene, point_id, CAST(coalesce(region, 0) * 1000 + id + 1 AS BIGINT) AS gt_id FROM w JOIN i USING (segment) LEFT JOIN ok USING (category)""")
 def gt_from_faces(spark, sf_dir):
     """Instance numbers of vertices from the categories and segments of their last faces."""
     k = F.col("n_nationkey")
     n = table(spark, sf_dir, "nation")
-    groups = n.select(F.lit("all").alias("seq"), k.alias("pos"), k.alias("id"), F.array(2 * k, 2 * k + 1, k + 5).alias("segments"))
+    seqs = F.explode(F.array(*(F.lit(str(i)) for i in range(SCENES)))).alias("seq")
+    groups = n.select(seqs, k.alias("pos"), k.alias("id"), F.array(2 * k, 2 * k + 1, k + 5).alias("segments"))
     category = n.select(k.alias("row"), F.col("n_regionkey").alias("nyuId"))
-    return groundtruth.from_faces(faces_of(spark, sf_dir)[1], groups, category, valid_regions(spark, sf_dir)).select("point_id", "gt_id")
+    found = groundtruth.from_faces(faces_of(spark, sf_dir), groups, category, valid_regions(spark, sf_dir))
+    return found.select(F.col("seq").cast("long").alias("scene"), "point_id", "gt_id")
 
 
 # --- Images -----------------------------------------------------------------------------------------
@@ -354,28 +366,61 @@ def prediction_archives(spark, sf_dir):
     return found.join(points, ["seq", "inst"], "left").select("inst", "class_id", F.round("score", 6).alias("score"), "point_id")
 
 
-@query("SELECT 'orders' AS seq, count(*) AS pairs FROM (SELECT 1)")
+@query("""WITH o AS (SELECT c_nationkey AS nation, CAST(o_orderpriority[1] AS INT) AS priority FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT CAST(nation AS BIGINT) AS scene, count(*) AS points FROM o WHERE nation IN (SELECT nation FROM o WHERE priority > nation % 5) GROUP BY ALL""")
 def prediction_pairs(spark, sf_dir):
-    """Scenes with predictions, each with its ground truth; one without would be an error."""
-    pred, _ = adapters.nations_pred(spark, sf_dir)
-    return evaluation.require_pairs(pred, adapters.nations_gt(spark, sf_dir)).groupBy("seq").agg(F.count("*").alias("pairs"))
+    """Nations as scenes: those with predictions, each with the size of its ground truth; one without would be an error."""
+    of = adapters.orders_of_nations(spark, sf_dir).withColumn("seq", F.col("nation").cast("string"))
+    gt = of.groupBy("seq").agg(F.count("*").alias("points"))
+    return evaluation.require_pairs(of.where(F.col("priority") > F.col("nation") % 5), gt).join(gt, "seq").select(F.col("seq").cast("long").alias("scene"), "points")
 
 
 def objects_of_parts(spark, sf_dir) -> DataFrame:
     """Parts of a type as an object, its brands as masks."""
-    p = table(spark, sf_dir, "part").withColumn("object_id", F.pmod(F.crc32(F.col("p_type").cast("binary")), F.lit(1000)).cast("int"))
+    p = table(spark, sf_dir, "part").withColumn("object_id", F.crc32(F.col("p_type").cast("binary")))
     one = p.groupBy(F.lit("s").alias("seq"), "object_id").agg(F.sort_array(F.collect_set("p_partkey")).alias("point_ids"), F.sort_array(F.collect_set(F.struct(F.length("p_brand").alias("frame_id"), F.col("p_size").alias("mask_id")))).alias("mask_list"))
     return one.withColumn("repre_mask_list", F.slice("mask_list", 1, 5))
 
 
-
-
-@query("SELECT p_partkey AS point_id, count(*) AS objects FROM part GROUP BY ALL")
+@query("""WITH t AS (SELECT p_type, list_sort(list(DISTINCT p_partkey)) AS points, list_sort(list(DISTINCT {'a': length(p_brand), 'b': p_size})) AS masks FROM part GROUP BY p_type)
+SELECT points[1] AS first_point, len(points) AS points, len(masks) AS masks, least(len(masks), 5)::BIGINT AS representatives FROM t""")
 def object_tables(spark, sf_dir):
-    """Objects written by scene and read again: every part is a point of one object."""
+    """Objects, a part type each, written by scene and read again."""
     root = f"{Scratch(spark, 'objects').root}/objects"
     sinks.write_scenes(objects_of_parts(spark, sf_dir), root)
-    return spark.read.parquet(root).select(F.explode("point_ids").alias("point_id")).groupBy("point_id").agg(F.count("*").alias("objects"))
+    size = lambda c: F.size(c).cast("long")
+    return spark.read.parquet(root).select(F.col("point_ids")[0].alias("first_point"), size("point_ids").alias("points"), size("mask_list").alias("masks"), size("repre_mask_list").alias("representatives"))
+
+
+@query("SELECT label AS scene, vec_id, i - 1 AS i, CAST(x AS DOUBLE) AS x FROM (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def feature_tables(spark, sf_dir):
+    """Features of masks, a label a scene, written by scene and read again."""
+    root = f"{Scratch(spark, 'features').root}/features"
+    sinks.write_scenes(table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq"), "vec_id", "embedding"), root)
+    found = spark.read.parquet(root).select(F.col("seq").cast("long").alias("scene"), "vec_id", F.posexplode("embedding").alias("i", "x"))
+    return found.select("scene", "vec_id", "i", F.col("x").cast("double").alias("x"))
+
+
+@query("SELECT vec_id, label AS scene FROM embeddings WHERE label % 2 = 0 UNION ALL SELECT -vec_id - 1, label FROM embeddings WHERE label % 2 = 1")
+def replaced_scenes(spark, sf_dir):
+    """Scenes written once more replace what was there of them; the others stay."""
+    root = f"{Scratch(spark, 'replaced').root}/features"
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq"), "vec_id")
+    sinks.write_scenes(e, root)
+    sinks.write_scenes(e.where("seq % 2 = 1").withColumn("vec_id", -F.col("vec_id") - 1), root)
+    return spark.read.parquet(root).select("vec_id", F.col("seq").cast("long").alias("scene"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS content FROM supplier WHERE s_suppkey % 2 = 0")
+def copied_files(spark, sf_dir):
+    """Half of the files of a folder, a supplier each, copied to another one and read there."""
+    s = table(spark, sf_dir, "supplier")
+    root = as_files(spark, "clouds", s.select(F.concat(F.lit("even/"), "s_suppkey", F.lit(".txt")).alias("name"), F.col("s_name").cast("binary").alias("content")).where("s_suppkey % 2 = 0")
+                    .unionByName(s.where("s_suppkey % 2 = 1").select(F.concat(F.lit("odd/"), "s_suppkey", F.lit(".txt")).alias("name"), F.col("s_name").cast("binary").alias("content"))))
+    to = f"{Scratch(spark, 'copies').root}/copies"
+    sinks.copy_files(spark, f"{root}/even/*.txt", to)
+    found = spark.read.format("binaryFile").load(f"{to}/*.txt")
+    return found.select(stem().cast("long").alias("id"), F.col("content").cast("string").alias("content"))
 
 
 @query("SELECT p_partkey AS point_id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 7 END AS class_id, 1.0::DOUBLE AS score FROM part")
@@ -407,6 +452,19 @@ def unit_vectors(spark, sf_dir):
     return found.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
+@query(f"WITH {PIXELS} SELECT frame_id, v, u, coalesce(value, 0) AS value FROM (SELECT DISTINCT frame_id FROM px) CROSS JOIN range({HEIGHT}) a(v) CROSS JOIN range({WIDTH}) b(u) LEFT JOIN px USING (frame_id, v, u) WHERE frame_id BETWEEN 2 AND 6")
+def dataset_frames(spark, sf_dir):
+    """Depth images of one scene of a dataset, read by the dataset's name; other scenes and frames stay unread."""
+    glob = pictures(spark, sf_dir)
+    root = f"{Scratch(spark, 'dataset').root}/scenes"
+    made = spark.read.format("binaryFile").load(glob).select(frame_number().alias("id"), "content")
+    broken = made.select(F.concat(F.lit("s2/depth/"), "id", F.lit(".png")).alias("name"), F.lit(b"not an image").alias("content"))
+    sinks.write_files(made.select(F.concat(F.lit("s1/depth/"), "id", F.lit(".png")).alias("name"), "content").unionByName(broken), root)
+    datasets.register(spark)
+    found = spark.read.format("tessera_frames").option("dataset", "scannet").option("root", stores.reachable(spark, root)).option("bytes", 1).load()
+    return found.where("seq = 's1' AND frame_id >= 2 AND frame_id <= 6").select("frame_id", "v", "u", "value")
+
+
 # --- Sensor streams ---------------------------------------------------------------------------------
 
 

@@ -16,16 +16,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PLY = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
-
-
-def parse_ply(data: bytes) -> dict[str, dict[str, list | np.ndarray]]:
-    """{element: {property: values}} of an ascii or binary PLY file; list properties are lists of arrays."""
-    end = data.index(b"end_header")
-    head = data[:end].decode("ascii", "replace").split("\n")
-    at = data.index(b"\n", end) + 1
+#: Types of PLY properties as numpy names them, and names of the list that holds a face's vertices.
+PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+FACE_LISTS = ("vertex_indices", "vertex_index")
+
+
+def ply_header(file) -> tuple[str, list[tuple[str, int, list]], int]:
+    """(format, elements, where the data begin) of an open PLY file; an element is (name, rows, [(property, its words)])."""
+    head = b""
+    while b"end_header" not in head or b"\n" not in head[head.index(b"end_header") :]:
+        more = file.read(1 << 16)
+        if not more:
+            raise ValueError("not a PLY file")
+        head += more
+    end = head.index(b"end_header")
     form, elements = "ascii", []
-    for line in head:
+    for line in head[:end].decode("ascii", "replace").split("\n"):
         w = line.split()
         if w[:1] == ["format"]:
             form = w[1]
@@ -33,41 +39,7 @@ def parse_ply(data: bytes) -> dict[str, dict[str, list | np.ndarray]]:
             elements.append((w[1], int(w[2]), []))
         elif w[:1] == ["property"]:
             elements[-1][2].append((w[-1], w[1:-1]))
-    out: dict[str, dict] = {}
-    order = ">" if form == "binary_big_endian" else "<"
-    lines = iter(data[at:].decode("ascii", "replace").split("\n")) if form == "ascii" else None
-    for name, n, props in elements:
-        columns: dict[str, list] = {p: [] for p, _ in props}
-        if lines is not None:
-            for _ in range(n):
-                w = next(lines).split()
-                k = 0
-                for p, kind in props:
-                    if kind[0] == "list":
-                        size = int(w[k])
-                        columns[p].append(np.array(w[k + 1 : k + 1 + size], _PLY[kind[2]]))
-                        k += 1 + size
-                    else:
-                        columns[p].append(float(w[k]) if _PLY[kind[0]][0] == "f" else int(w[k]))
-                        k += 1
-        elif all(kind[0] != "list" for _, kind in props):
-            dtype = np.dtype([(p, order + _PLY[kind[0]]) for p, kind in props])
-            rows = np.frombuffer(data, dtype, n, at)
-            at += dtype.itemsize * n
-            columns = {p: rows[p] for p, _ in props}
-        else:
-            for _ in range(n):
-                for p, kind in props:
-                    if kind[0] == "list":
-                        size = int(np.frombuffer(data, order + _PLY[kind[1]], 1, at)[0])
-                        at += np.dtype(_PLY[kind[1]]).itemsize
-                        columns[p].append(np.frombuffer(data, order + _PLY[kind[2]], size, at))
-                        at += np.dtype(_PLY[kind[2]]).itemsize * size
-                    else:
-                        columns[p].append(np.frombuffer(data, order + _PLY[kind[0]], 1, at)[0].item())
-                        at += np.dtype(_PLY[kind[0]]).itemsize
-        out[name] = columns
-    return out
+    return form, elements, head.index(b"\n", end) + 1
 
 
 def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -89,27 +61,18 @@ def _expand(files: DataFrame, rows, schema: str) -> DataFrame:
     return files.mapInPandas(run, f"path string, {schema}")
 
 
-def scan_ply_points(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Columns path, point_id, x, y, z."""
-
-    def rows(data: bytes) -> pd.DataFrame:
-        v = parse_ply(data)["vertex"]
-        xyz = {c: np.asarray(v[c], float) for c in "xyz"}
-        return pd.DataFrame({"point_id": np.arange(len(xyz["x"])), **xyz})
+def scan_ply_points(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Columns path, point_id, x, y, z; a mesh is read by parts, see ``datasets``."""
+    from tessera.sources.datasets import load
 
-    return _expand(_files(spark, path), rows, "point_id long, x double, y double, z double")
+    return load(spark, "tessera_ply", path, element="vertex", **options).withColumnRenamed("row", "point_id")
 
 
-def scan_ply_faces(spark: SparkSession, path: str | list[str], value: str = "category_id") -> DataFrame:
-    """Columns path, face_pos, verts, value: faces with one of their properties, null where they have none."""
+def scan_ply_faces(spark: SparkSession, path: str | list[str], value: str = "category_id", **options) -> DataFrame:
+    """Columns path, face_pos, verts, value: faces with one of their properties, null where they have none; read by parts."""
+    from tessera.sources.datasets import load
 
-    def rows(data: bytes) -> pd.DataFrame:
-        f = parse_ply(data).get("face", {})
-        verts = next((v for k, v in f.items() if k in ("vertex_indices", "vertex_index")), [])
-        values = [int(x) for x in f[value]] if value in f else [None] * len(verts)
-        return pd.DataFrame({"face_pos": np.arange(len(verts)), "verts": [np.asarray(x, np.int32).tolist() for x in verts], value: pd.array(values, "Int32")})
-
-    return _expand(_files(spark, path), rows, f"face_pos long, verts array<int>, {value} int")
+    return load(spark, "tessera_ply", path, element="face", value=value, **options).withColumnsRenamed({"row": "face_pos", "value": value})
 
 
 #: Codecs of sensor streams by number.
@@ -117,37 +80,27 @@ COLOUR_CODECS = {-1: "unknown", 0: "raw", 1: "png", 2: "jpeg"}
 DEPTH_CODECS = {-1: "unknown", 0: "raw_ushort", 1: "zlib_ushort", 2: "occi_ushort"}
 
 
-def parse_sens(data: bytes) -> tuple[dict, list[dict]]:
-    """(header, frames) of a version 4 sensor stream."""
-    at = 0
+def sens_header(file) -> tuple[dict, int]:
+    """(header, frames) of an open version 4 sensor stream, which is left where the frames begin."""
 
     def take(form: str):
-        nonlocal at
-        found = struct.unpack_from("<" + form, data, at)
-        at += struct.calcsize("<" + form)
+        found = struct.unpack("<" + form, file.read(struct.calcsize("<" + form)))
         return found if len(found) > 1 else found[0]
 
     version = take("I")
     if version != 4:
         raise ValueError(f"sensor stream of version {version}, not 4")
-    size = take("Q")
-    name = data[at : at + size].decode("utf-8", "replace")
-    at += size
+    name = file.read(take("Q")).decode("utf-8", "replace")
     matrices = {k: list(take("16f")) for k in ("intrinsic_color", "extrinsic_color", "intrinsic_depth", "extrinsic_depth")}
     colour, depth = take("i"), take("i")
     header = {"sensor": name, **matrices, "color_codec": COLOUR_CODECS[colour], "depth_codec": DEPTH_CODECS[depth]}
     header |= dict(zip(("color_width", "color_height", "depth_width", "depth_height"), take("4I")))
     header["depth_shift"], count = take("f"), take("Q")
-    frames = []
-    for i in range(count):
-        pose, (t_color, t_depth, n_color, n_depth) = list(take("16f")), take("4Q")
-        frames.append({"idx": i, "pose": pose, "ts_color": t_color, "ts_depth": t_depth, "color": data[at : at + n_color], "depth": data[at + n_color : at + n_color + n_depth]})
-        at += n_color + n_depth
-    return header, frames
+    return header, count
 
 
 def encode_sens(header: dict, frames: list[dict]) -> bytes:
-    """The stream that ``parse_sens`` reads as this header and these frames."""
+    """The stream of this header and these frames."""
     codes = {v: k for k, v in COLOUR_CODECS.items()}, {v: k for k, v in DEPTH_CODECS.items()}
     name = header["sensor"].encode()
     out = [struct.pack("<IQ", 4, len(name)), name]
@@ -168,28 +121,21 @@ def decode_depth(data: bytes, codec: str, height: int, width: int) -> np.ndarray
     return np.frombuffer(zlib.decompress(data) if codec == "zlib_ushort" else data, "<u2").reshape(height, width)
 
 
-def scan_sens(spark: SparkSession, path: str | list[str], skip: int = 1) -> DataFrame:
-    """Columns path, idx, pose, ts_color, ts_depth, color (JPEG), depth (16-bit PNG): every skip-th frame. Colour of other codecs is an error."""
-    from tessera.sources.images import encode_png
+def scan_sens(spark: SparkSession, path: str | list[str], skip: int = 1, **options) -> DataFrame:
+    """Columns path, idx, pose, ts_color, ts_depth, color (JPEG), depth (16-bit PNG): every skip-th frame. Colour of other codecs is an error.
 
-    def rows(data: bytes) -> pd.DataFrame:
-        header, frames = parse_sens(data)
-        if header["color_codec"] != "jpeg":
-            raise ValueError(f"unknown color codec {header['color_codec']}")
-        size = header["depth_height"], header["depth_width"]
-        out = [f | {"depth": encode_png(decode_depth(f["depth"], header["depth_codec"], *size).astype(np.uint16))} for f in frames[::skip]]
-        return pd.DataFrame(out, columns=["idx", "pose", "ts_color", "ts_depth", "color", "depth"])
+    Streams of any size are read by ranges of frames, see ``datasets``; option schema leaves columns out.
+    """
+    from tessera.sources.datasets import load
 
-    return _expand(_files(spark, path), rows, "idx int, pose array<float>, ts_color long, ts_depth long, color binary, depth binary")
+    return load(spark, "tessera_sens", path, skip=skip, **options)
 
 
 def scan_sens_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Columns path, sensor, intrinsic and extrinsic matrices, codecs, sizes and depth shift."""
-    matrices = [f"{a}_{b}" for a in ("intrinsic", "extrinsic") for b in ("color", "depth")]
-    sizes = ["color_width", "color_height", "depth_width", "depth_height"]
-    names = ["sensor", *matrices, "color_codec", "depth_codec", *sizes, "depth_shift"]
-    schema = ", ".join(["sensor string", *(f"{m} array<float>" for m in matrices), "color_codec string", "depth_codec string", *(f"{s} long" for s in sizes), "depth_shift double"])
-    return _expand(_files(spark, path), lambda data: pd.DataFrame([parse_sens(data)[0]])[names], schema)
+    """Columns path, sensor, intrinsic and extrinsic matrices, codecs, sizes, depth shift and the number of frames; frames are not read."""
+    from tessera.sources.datasets import load
+
+    return load(spark, "tessera_sens_header", path)
 
 
 def export_sens(spark: SparkSession, path: str | list[str], root: str, skip: int = 10) -> int:

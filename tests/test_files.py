@@ -22,11 +22,15 @@ def test_unknown_layouts_are_errors(spark):
         binary.scan(spark, "torch", "x")
 
 
-def test_streams_are_read_as_written():
+def test_streams_are_read_as_written(spark, tmp_path):
     header = {"sensor": "s", **{k: [float(i) for i in range(16)] for k in ("intrinsic_color", "extrinsic_color", "intrinsic_depth", "extrinsic_depth")}}
     header |= {"color_codec": "jpeg", "depth_codec": "raw_ushort", "color_width": 3, "color_height": 2, "depth_width": 1, "depth_height": 1, "depth_shift": 1000.0}
-    frames = [{"idx": i, "pose": [float(i)] * 16, "ts_color": i, "ts_depth": 2 * i, "color": b"c" * i, "depth": b"\x01\x00"} for i in range(3)]
-    assert binary.parse_sens(binary.encode_sens(header, frames)) == (header, frames)
+    frames = [{"pose": [float(i)] * 16, "ts_color": i, "ts_depth": 2 * i, "color": b"c" * i, "depth": b"\x01\x00"} for i in range(3)]
+    (tmp_path / "s.sens").write_bytes(binary.encode_sens(header, frames))
+    found = binary.scan_sens_header(spark, f"{tmp_path}/s.sens").drop("path", "frames").first().asDict()
+    assert found == header
+    rows = binary.scan_sens(spark, f"{tmp_path}/s.sens").orderBy("idx").collect()
+    assert [{k: bytes(r[k]) if k == "color" else r[k] for k in ("pose", "ts_color", "ts_depth", "color")} for r in rows] == [{k: v for k, v in f.items() if k != "depth"} for f in frames]
 
 
 def test_class_counts(spark):

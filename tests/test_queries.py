@@ -8,8 +8,8 @@ from tessera.queries import ORACLE_SQL, QUERIES
 from tests.oracle import DATA, connect, rows_of, sql_rows
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-#: At the least scale every mask of this query's table is undersegmented, which leaves no object.
-LARGER = {"whole_pipeline_objects": "/root/testdata/sf0.01"}
+#: At the least scale every mask of these queries' table is undersegmented, which leaves no node.
+LARGER = dict.fromkeys(("whole_pipeline_objects", "clusters_all_rounds"), "/root/testdata/sf0.01")
 
 
 def test_registry():

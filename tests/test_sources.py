@@ -81,7 +81,7 @@ def test_sens(spark, tmp_path):
     with pytest.raises(ValueError):
         binary.decode_depth(b"", "occi_ushort", 1, 1)
     with pytest.raises(ValueError):
-        binary.parse_sens(struct.pack("<IQ", 3, 0))
+        binary.sens_header(io.BytesIO(struct.pack("<IQ", 3, 0)))
 
 
 def test_predictions_round_trip(spark, tmp_path):
