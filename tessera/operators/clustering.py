@@ -1,8 +1,12 @@
 """Iterative clustering of masks into nodes, confident links first.
 
 A node is named by its least mask number, which keeps the order of nodes. Two engines give the same
-nodes: ``grouped`` solves each scene in one task with bit sets, for scenes of up to GROUPED_MASKS
+nodes: ``grouped`` solves each scene in one task with sparse sets, for scenes of up to GROUPED_MASKS
 masks; ``joined`` runs every round as joins over all scenes, for scenes of any size.
+
+Whether enough of two nodes' observers support them does not depend on the round, so both engines
+keep the pairs that agree, with their observers, and a round only reads off those at its threshold.
+After a merge they form the pairs of the merged nodes again and of no others.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from tessera.operators.incidence import masks as number_masks
 from tessera.plans.config import Params
 from tessera.plans.scratch import Scratch
 
-#: A scene of so many masks takes some 300 MB as dense matrices of pairs.
+#: A scene of so many masks, each held by or seen in a hundred others, takes some 100 MB and a minute in one task.
 GROUPED_MASKS = 6_000
 
 
@@ -40,63 +44,85 @@ def node_rows(nodes: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 
 def one_round(nodes: DataFrame, contained: DataFrame, visible: DataFrame, least: DataFrame, connect: float, scratch: Scratch) -> DataFrame:
     """The nodes after linking and merging once at the thresholds ``least`` (seq, threshold)."""
-    linked = consensus.links(
-        consensus.observers(node_rows(nodes, visible, "frame_id"), "node"),
-        consensus.supporters(node_rows(nodes, contained, "by_gid"), "node"),
-        least, connect,
-    )
-    return merge(nodes, connected_components(linked, "i", "j", keys=["seq"], scratch=scratch))
+    pairs = consensus.agreeing(node_rows(nodes, contained, "by_gid"), node_rows(nodes, visible, "frame_id"), connect)
+    return merge(nodes, connected_components(consensus.links_at(pairs, least), "i", "j", keys=["seq"], scratch=scratch))
 
 
 def joined(nodes: DataFrame, contained: DataFrame, visible: DataFrame, least: DataFrame, connect: float, rounds: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """All rounds as joins. A round at the thresholds of the one before, when that changed nothing, is skipped."""
+    """All rounds as joins; a round without links costs one look at the pairs that agree."""
     scratch = scratch or Scratch(nodes.sparkSession, "clustering")
-    lists = least.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("round", "threshold"))).alias("t"))
-    depth = lists.agg(F.max(F.size("t"))).first()[0] or 0
-    now, settled = scratch.save(nodes, "nodes"), False
-    count = now.select("seq", "node").distinct().count()
+    depth = (least.agg(F.max("round")).first()[0] or 0) + 1
+    now = scratch.save(nodes, "nodes")
+    agree = lambda changed=None: consensus.agreeing(node_rows(now, contained, "by_gid"), node_rows(now, visible, "frame_id"), connect, changed)
+    pairs = scratch.save(agree(), "pairs")
     for k in range(min(depth, rounds if rounds is not None else depth)):
-        mine = least.where(F.col("round") == k)
-        if settled and not mine.join(least.where(F.col("round") == k - 1).select("seq", F.col("threshold").alias("was")), "seq").where("threshold <> was").take(1):
+        linked = consensus.links_at(pairs, least.where(F.col("round") == k))
+        if not linked.take(1):
             continue
-        after = scratch.save(one_round(now, contained, visible, mine, connect, scratch), "nodes")
-        scratch.drop(now)
-        left = after.select("seq", "node").distinct().count()
-        now, settled, count = after, left == count, left
+        found = scratch.save(connected_components(linked, "i", "j", keys=["seq"], scratch=scratch), "components")
+        before, now = now, scratch.save(merge(now, found), "nodes")
+        gone = lambda end: found.select("seq", F.col("node").alias(end))
+        same = pairs.join(gone("i"), ["seq", "i"], "left_anti").join(gone("j"), ["seq", "j"], "left_anti")
+        fresh = agree(found.select("seq", F.col("component").alias("node")).distinct())
+        was, pairs = pairs, scratch.save(same.unionByName(fresh), "pairs")
+        for done in (before, was, found):
+            scratch.drop(done)
     return now
 
 
+def _grouped_rows(keys: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
+    """The values of each key from 0 to n - 1."""
+    order = np.argsort(keys, kind="stable")
+    return np.split(values[order], np.searchsorted(keys[order], np.arange(1, n)))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of numbers."""
+    width = int(b.max()) + 1 if len(b) else 1
+    both = np.unique(a.astype(np.int64) * width + b)
+    return both // width, both % width
+
+
+def _agreeing(held: tuple[np.ndarray, np.ndarray], seen: tuple[np.ndarray, np.ndarray], n: int, of: np.ndarray, connect: float) -> list[np.ndarray]:
+    """(i, j, observers) with one node among ``of``: counts of a node with all others from lists by value, so no matrix is held."""
+    by_node = [_grouped_rows(k, v, n) for k, v in (held, seen)]
+    by_value = [_grouped_rows(v, k, int(v.max()) + 1 if len(v) else 1) for k, v in (held, seen)]
+    chosen = np.zeros(n, bool)
+    chosen[of] = True
+    rate, none, out = np.float32(connect), [np.zeros(0, np.int64)], [(np.zeros(0, np.int64),) * 3]
+    for x in of.tolist():
+        supporters, observers = (np.bincount(np.concatenate([lists[v] for v in mine[x]] or none), minlength=n) for mine, lists in zip(by_node, by_value))
+        other = np.flatnonzero((supporters > 0) & (observers > 0))
+        other = other[(other != x) & ~(chosen[other] & (other < x))]
+        o = observers[other]
+        fits = supporters[other].astype(np.float32) / (o.astype(np.float32) + np.float32(1e-7)) >= rate
+        out.append((np.minimum(x, other[fits]), np.maximum(x, other[fits]), o[fits]))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
 def _scene(connect: float, rounds: int | None):
     """All rounds of one scene: rows (kind, a, b) with kind 0: node gid, 1: gid held by b, 2: gid seen in b, 3: threshold."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seq = pdf["seq"].iloc[0]
         part = {k: pdf[pdf["kind"] == k] for k in range(4)}
-        gids = np.sort(part[0]["a"].to_numpy())
-        place = {g: i for i, g in enumerate(gids.tolist())}
-        root = np.arange(len(gids))
-
-        def matrix(rows: pd.DataFrame) -> np.ndarray:
-            rows = rows[rows["a"].isin(place.keys())]
-            codes, values = pd.factorize(rows["b"])
-            m = np.zeros((len(gids), max(1, len(values))), np.float32)
-            m[rows["a"].map(place).to_numpy(int), codes] = 1
-            return m
-
-        held, seen = matrix(part[1]), matrix(part[2])
+        gids = np.sort(part[0]["a"].to_numpy()).astype(np.int64)
+        n = len(gids)
+
+        def incidence(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            rows = rows[rows["a"].isin(gids)]
+            return np.searchsorted(gids, rows["a"].to_numpy(np.int64)), pd.factorize(rows["b"])[0].astype(np.int64)
+
+        held, seen = incidence(part[1]), incidence(part[2])
         least = part[3].sort_values("a")["v"].to_numpy()
-        rate = np.float32(connect)
+        root = np.arange(n)
+        i, j, o = _agreeing(held, seen, n, root, connect) if n else [np.zeros(0, np.int64)] * 3
         for threshold in least[: len(least) if rounds is None else rounds]:
-            heads = np.unique(root)
-            index = np.searchsorted(heads, root)
-            merge_rows = lambda m: np.maximum.reduceat(m[np.argsort(index, kind="stable")], np.searchsorted(np.sort(index), np.arange(len(heads))))
-            h, s = merge_rows(held), merge_rows(seen)
-            observed, supported = s @ s.T, h @ h.T
-            linked = (observed >= threshold) & (supported / (observed + np.float32(1e-7)) >= rate) & (supported > 0)
-            np.fill_diagonal(linked, False)
-            label = np.arange(len(heads))
-            for i, j in zip(*np.nonzero(np.triu(linked))):
-                a, b = int(i), int(j)
+            linked = o >= threshold
+            if not linked.any():
+                continue
+            label = np.arange(n)
+            for a, b in zip(i[linked].tolist(), j[linked].tolist()):
                 while label[a] != a:
                     label[a] = label[label[a]]
                     a = label[a]
@@ -104,10 +130,15 @@ def _scene(connect: float, rounds: int | None):
                     label[b] = label[label[b]]
                     b = label[b]
                 label[max(a, b)] = min(a, b)
-            for i in range(len(label)):
-                label[i] = label[label[i]]
-            root = heads[label[index]]
-        return pd.DataFrame({"seq": seq, "node": gids[root].astype(np.int32) if len(gids) else gids.astype(np.int32), "gid": gids.astype(np.int32)})
+            for k in range(n):
+                label[k] = label[label[k]]
+            heads = np.unique(label[label != np.arange(n)])
+            merged = np.isin(label, heads)
+            root = label[root]
+            held, seen = _distinct(label[held[0]], held[1]), _distinct(label[seen[0]], seen[1])
+            same = ~(merged[i] | merged[j])
+            i, j, o = (np.concatenate([old[same], new]) for old, new in zip((i, j, o), _agreeing(held, seen, n, heads, connect)))
+        return pd.DataFrame({"seq": seq, "node": gids[root].astype(np.int32), "gid": gids.astype(np.int32)})
 
     return run
 

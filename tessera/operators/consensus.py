@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTILES = tuple(range(95, -1, -5))
-#: Nodes of a shared value that are listed in one row, about.
+#: Nodes of a shared value, or sets of frames, that are listed in one row, about.
 BLOCK = 256
 
 
@@ -44,17 +48,67 @@ def supporters(contained: DataFrame, node: str = "gid", ordered: bool = False) -
     return pair_counts(contained, node, "by_gid", "supporters", ordered)
 
 
+def frame_sets(visible: DataFrame) -> DataFrame:
+    """Columns seq, frames, m: the different sets of frames, as places in the order of the scene's frames, and how many masks have each."""
+    place = (F.row_number().over(Window.partitionBy("seq").orderBy("frame_id")) - 1).cast("int").alias("at")
+    places = visible.select("seq", "frame_id").distinct().select("seq", "frame_id", place)
+    each = visible.select("seq", "gid", "frame_id").join(places, ["seq", "frame_id"])
+    return each.groupBy("seq", "gid").agg(F.sort_array(F.collect_list("at")).alias("frames")).groupBy("seq", "frames").agg(F.count("*").alias("m"))
+
+
+def _shared(left: pa.StructArray, right: pa.StructArray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, weights): how often sets of both lists share so many frames, weighted by the masks that have the sets."""
+    lists = [x.field("frames") for x in (left, right)]
+    values = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+    columns = np.unique(np.concatenate(values))
+
+    def matrix(x: pa.ListArray, v: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(columns)), np.float32)
+        out[np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False)), np.searchsorted(columns, v)] = 1
+        return out
+
+    shared = (matrix(lists[0], values[0]) @ matrix(lists[1], values[1]).T).astype(np.int64)
+    m, n = (x.field("m").to_numpy(zero_copy_only=False) for x in (left, right))
+    weights = np.bincount(shared.ravel(), (times * np.outer(m, n)).ravel())
+    weights[0] = 0
+    return np.flatnonzero(weights), weights[weights > 0].astype(np.int64)
+
+
+def observer_histogram(visible: DataFrame) -> DataFrame:
+    """Columns seq, o, w: ordered pairs of masks, each with itself included, that are seen together in o > 0 frames.
+
+    Masks with the same frames count as one set with a weight. Sets of one first frame are listed in
+    blocks; two blocks that share a frame meet once and give a row for each number of frames, so no
+    row is written for a pair. Weights are exact below 2 ** 53 for each two blocks.
+    """
+    sets = frame_sets(visible).withColumn("first", F.col("frames")[0])
+    many = sets.groupBy("seq", "first").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    part = F.pmod(F.xxhash64("frames"), F.col("k"))
+    blocks = sets.join(many, ["seq", "first"]).groupBy("seq", F.struct("first", part.alias("part")).alias("p")).agg(F.collect_list(F.struct("frames", "m")).alias("own"))
+    held = blocks.select("seq", "p", F.explode(F.array_distinct(F.flatten("own.frames"))).alias("at"))
+    met = held.join(held.select("seq", F.col("p").alias("q"), "at"), ["seq", "at"]).where("p <= q").select("seq", "p", "q").distinct()
+    both = met.join(blocks, ["seq", "p"]).join(blocks.select("seq", F.col("p").alias("q"), F.col("own").alias("other")), ["seq", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n).slice(i, 1) for n in batch.schema.names}
+                o, w = _shared(row["own"].flatten(), row["other"].flatten(), 1 if row["same"][0].as_py() else 2)
+                yield pa.RecordBatch.from_arrays([pa.repeat(row["seq"][0], len(o)), pa.array(o, pa.int64()), pa.array(w, pa.int64())], names=["seq", "o", "w"])
+
+    kind = dict(visible.dtypes)["seq"]
+    each = both.select("seq", (F.col("p") == F.col("q")).alias("same"), "own", "other").mapInArrow(run, f"seq {kind}, o long, w long")
+    return each.groupBy("seq", "o").agg(F.sum("w").alias("w"))
+
+
 def thresholds(visible: DataFrame) -> DataFrame:
     """Columns seq, round, threshold: least observers of a link in each round, from many to few.
 
     They are the percentiles 95, 90, .. 0 of the observers over all ordered pairs of masks, each with
     itself included; from the median up they are at least 1, below it those of 1 or less end the list.
     """
-    each = visible.select("seq", "gid", "frame_id")
-    upper = pair_counts(each, "gid", "frame_id", "o").select("seq", "o", F.lit(2).alias("w"))
-    itself = each.groupBy("seq", "gid").agg(F.count("*").alias("o")).select("seq", "o", F.lit(1).alias("w"))
     at = F.array(*(F.lit(p / 100) for p in PERCENTILES))
-    lists = upper.unionByName(itself).groupBy("seq").agg(F.percentile("o", at, F.col("w")).alias("values"))
+    lists = observer_histogram(visible).groupBy("seq").agg(F.percentile("o", at, F.col("w")).alias("values"))
     each = lists.select("seq", F.posexplode("values").alias("round", "v"))
     upper_half = F.col("round") < PERCENTILES.index(45)
     return each.where(upper_half | (F.col("v") > 1)).select("seq", "round", F.greatest("v", F.lit(1.0)).alias("threshold"))
@@ -73,3 +127,29 @@ def links(observed: DataFrame, supported: DataFrame, least: DataFrame, connect:
     """
     both = observed.join(supported, ["seq", "i", "j"]).join(least.select("seq", "threshold"), "seq")
     return both.where((F.col("observers") >= F.col("threshold")) & agreement(F.col("supporters"), F.col("observers"), connect)).select("seq", "i", "j")
+
+
+def agreeing(held: DataFrame, seen: DataFrame, connect: float, changed: DataFrame | None = None) -> DataFrame:
+    """Columns seq, i, j, observers: pairs of nodes i < j enough of whose observers support them.
+
+    held: distinct (seq, node, by_gid); seen: distinct (seq, node, frame_id). Observers are counted for
+    pairs with a supporter alone, from both nodes' lists of frames. changed: distinct (seq, node); only
+    pairs with one of these nodes are formed.
+    """
+    if changed is None:
+        pairs = supporters(held, "node")
+    else:
+        new = held.join(changed.withColumn("new", F.lit(True)), ["seq", "node"], "left").select("seq", "by_gid", F.col("node").alias("y"), F.coalesce("new", F.lit(False)).alias("new"))
+        mine = new.where("new").select("seq", "by_gid", F.col("y").alias("x"))
+        met = mine.join(new, ["seq", "by_gid"]).where("x <> y AND (NOT new OR x < y)")
+        pairs = met.groupBy("seq", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(F.count("*").alias("supporters"))
+    lists = seen.groupBy("seq", "node").agg(F.collect_list("frame_id").alias("frames"))
+    of = lambda n, c: lists.select("seq", F.col("node").alias(n), F.col("frames").alias(c))
+    both = pairs.join(of("i", "own"), ["seq", "i"]).join(of("j", "other"), ["seq", "j"])
+    counted = both.select("seq", "i", "j", "supporters", F.size(F.array_intersect("own", "other")).alias("observers"))
+    return counted.where((F.col("observers") > 0) & agreement(F.col("supporters"), F.col("observers"), connect)).select("seq", "i", "j", "observers")
+
+
+def links_at(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """Columns seq, i, j: agreeing pairs with enough observers. least: seq, threshold."""
+    return pairs.join(least.select("seq", "threshold"), "seq").where(F.col("observers") >= F.col("threshold")).select("seq", "i", "j")

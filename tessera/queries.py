@@ -203,7 +203,7 @@ def clusters_joined_k2(spark, sf_dir):
     return clustering.cluster(adapters.lineitem(spark, sf_dir), PARTS, rounds=2, engine="joined")[0].select("node", "gid")
 
 
-@query()
+@query(PARTS_SQL + rounds_sql(20, PARTS) + " SELECT node, gid FROM nd20")
 def clusters_all_rounds(spark, sf_dir):
     return clustering.cluster(adapters.lineitem(spark, sf_dir), PARTS)[0].select("node", "gid")
 

@@ -95,7 +95,7 @@ def test_equals_dense_model(spark, seed, p):
     other = random_rows(np.random.default_rng(seed + 50))
     inc = make(spark, rows).unionByName(make(spark, other, "t"))
     engines = {}
-    for engine in ("grouped", "joined")[: 2 if seed == 2 else 1]:
+    for engine in ("grouped", "joined"):
         nodes, masks, contained, valid, visible = clustering.cluster(inc, p, engine=engine)
         engines[engine] = sorted(map(tuple, nodes.select("seq", "node", "gid").collect()))
     assert all(e == engines["grouped"] for e in engines.values())
@@ -193,3 +193,56 @@ def test_pairs_of_blocks(spark, monkeypatch):
             if (s, f) == (t, g) and (ordered or i < j):
                 plain[s, i, j] = plain.get((s, i, j), 0) + 1
         assert {(r.seq, r.i, r.j): r.observers for r in consensus.observers(frame, ordered=ordered).collect()} == plain
+
+
+def test_observer_histogram(spark, monkeypatch):
+    """Equal sets of frames, sets in blocks of two, scenes side by side, frames that are dates."""
+    monkeypatch.setattr(consensus, "BLOCK", 2)
+    rng = np.random.default_rng(3)
+    rows = sorted({(s, int(rng.integers(25)), f"2024-01-{int(rng.integers(1, 8)):02d}") for s in ("s", "t") for _ in range(90)})
+    rows += [("s", g, d) for g in (100, 101, 102) for d in ("2024-01-01", "2024-01-05")] + [("u", 1, "2024-01-01")]
+    visible = spark.createDataFrame(rows, "seq string, gid int, day string").select("seq", "gid", F.to_date("day").alias("frame_id"))
+    plain = {}
+    for s in "stu":
+        of = {}
+        for t, g, d in rows:
+            if t == s:
+                of.setdefault(g, set()).add(d)
+        for a, b in itertools.product(of.values(), of.values()):
+            if a & b:
+                plain[s, len(a & b)] = plain.get((s, len(a & b)), 0) + 1
+    assert {(r.seq, r.o): r.w for r in consensus.observer_histogram(visible).collect()} == plain
+    assert consensus.thresholds(visible.limit(0)).count() == 0
+
+
+def test_pairs_of_changed_nodes(spark):
+    """Pairs formed again are those of all pairs that have a changed node."""
+    rng = np.random.default_rng(4)
+    held = spark.createDataFrame(sorted({("s", int(rng.integers(12)), int(rng.integers(9))) for _ in range(60)}), "seq string, node int, by_gid int")
+    seen = spark.createDataFrame(sorted({("s", int(rng.integers(12)), int(rng.integers(5))) for _ in range(40)}), "seq string, node int, frame_id int")
+    all_ = {tuple(r) for r in consensus.agreeing(held, seen, 0.8).collect()}
+    some = {tuple(r) for r in consensus.agreeing(held, seen, 0.8, spark.createDataFrame([("s", 3), ("s", 5)], "seq string, node int")).collect()}
+    assert some == {r for r in all_ if {r[1], r[2]} & {3, 5}} and some < all_
+    one = [np.array(c) for c in zip(*sorted(tuple(r)[1:] for r in held.collect()))]
+    two = [np.array(c) for c in zip(*sorted(tuple(r)[1:] for r in seen.collect()))]
+    for of in (np.arange(12), np.array([3, 5])):
+        got = set(zip(*(c.tolist() for c in clustering._agreeing(one, two, 12, of, 0.8))))
+        assert got == {r[1:] for r in (all_ if len(of) > 2 else some)}
+
+
+def test_large_scene_in_one_task():
+    """3,000 masks of 300 objects: no matrix of pairs; the memory at its height stays far below one."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    gid = np.arange(3000)
+    mates = pd.DataFrame({"a": np.repeat(gid, 10), "b": (gid[:, None] // 10 * 10 + np.arange(10)).ravel().astype(str)})
+    frames = pd.DataFrame({"a": np.repeat(gid, 8), "b": np.array([rng.permutation(40)[:8] for _ in gid]).ravel().astype(str)})
+    pdf = pd.concat([pd.DataFrame({"kind": 0, "a": gid, "b": "", "v": None}), mates.assign(kind=1, v=None), frames.assign(kind=2, v=None), pd.DataFrame({"kind": 3, "a": [0, 1], "b": "", "v": [4.0, 1.0]})]).assign(seq="s")
+    tracemalloc.start()
+    out = clustering._scene(0.9, None)(pdf)
+    assert tracemalloc.get_traced_memory()[1] < 3000 * 3000 * 4
+    tracemalloc.stop()
+    assert (out["node"].to_numpy() == gid // 10 * 10).mean() > 0.95
