@@ -56,23 +56,26 @@ atexit.register(_clean)
 class Scratch:
     """Tables of one operator call. ``save`` writes and rereads; ``drop`` frees one that is done with.
 
-    Tables that feed the returned, lazy result stay until the Python process ends.
+    Tables that feed the returned, lazy result stay until the Python process ends. settings: what holds
+    in the session while a table is written, besides the freeing of its shuffle files.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, settings: dict[str, str] | None = None):
+        self.spark, self.settings = spark, {FREE: "true", **(settings or {})}
         self.root = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
         _roots[self.root] = spark
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        before = self.spark.conf.get(FREE, None)
-        self.spark.conf.set(FREE, "true")
+        before = {k: self.spark.conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(FREE, before) if before else self.spark.conf.unset(FREE)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
