@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import per_row, raw_words, table
-from tessera.llm.similar import SIMILARITY, SIZE, similar_texts
+from tessera.llm.similar import FRUGAL, SIMILARITY, SIZE, similar_texts
 from tessera.operators.components import connected_components
 from tessera.plans.scratch import Scratch
 
@@ -126,7 +126,7 @@ def similar_documents(texts: DataFrame, size: int = SIZE, similarity: float = SI
     texts. A radius cannot promise a similarity, so what the tables leave apart is searched by prefixes
     of shingles (``similar_texts``), which loses no pair. Nulls, long texts and empty tables as there.
     """
-    scratch = scratch or Scratch(texts.sparkSession, "similar")
+    scratch = scratch or Scratch(texts.sparkSession, "similar", FRUGAL)
     marked = fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), size)
     marked = scratch.save(marked.dropDuplicates(["doc_id"]), "fingerprints")
     nodes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")

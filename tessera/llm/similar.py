@@ -38,6 +38,8 @@ COMMON, MOST_COMMON, BESIDE = 50, 200_000, 16
 #: Bits of a text's parity map, a power of two; texts of a shingle's list.
 BITMAP, LIST = 1024, 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of hashes take three times their shuffled size in memory, and texts several times theirs in a batch: smaller partitions and batches than the usual.
+FRUGAL = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def runs(text: bytes | None, size: int = SIZE) -> np.ndarray:
@@ -150,7 +152,7 @@ def similar_texts(texts: DataFrame, size: int = SIZE, similarity: float = SIMILA
     very long text has all its shingles. An empty table gives an empty result. seeds: pairs (a, b) of
     nodes, a < b, that are worth a comparison before others; they change the work, not the result.
     """
-    scratch = scratch or Scratch(texts.sparkSession, "similar")
+    scratch = scratch or Scratch(texts.sparkSession, "similar", FRUGAL)
     sketches = scratch.save(_sketches(texts, size, similarity, np.zeros(0, np.int64)), "sketches")
     common = _frequent(sketches, "prefix", MOST_COMMON)
     if len(common):
