@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.incidence import point_frame, with_gid
-from tessera.operators.spatial import dbscan, dbscan_joined
+from tessera.operators.spatial import GROUPED_POINTS, dbscan, dbscan_joined
 from tessera.plans.config import Params
 from tessera.plans.scratch import Scratch
 
 OBJECT = ["seq", "node", "component"]
-#: Points up to which a node is split within one task.
-GROUPED_POINTS = 200_000
+#: Pairs of objects that one task judges in order.
+GROUPED_PAIRS = 1_000_000
 
 
 def merged_nodes(nodes: DataFrame, least: int = 2) -> DataFrame:
@@ -92,13 +92,15 @@ def object_overlaps(points: DataFrame) -> DataFrame:
     )
 
 
-def overlapped(pairs: DataFrame, ratio: float = 0.8) -> DataFrame:
+def overlapped(pairs: DataFrame, ratio: float = 0.8, most: int = GROUPED_PAIRS, scratch: Scratch | None = None) -> DataFrame:
     """Columns seq, object_id: objects that go because another holds nearly all of them.
 
     Pairs are judged in order: of two objects that both stand, the first goes if it lies in the
     second, else the second if it lies in the first. An object that goes while its pairs are being
-    judged still meets the rest of them.
+    judged still meets the rest of them. Scenes with more than ``most`` pairs of which one holds the
+    other are judged by rounds of joins (``overlapped_joined``), the others in a task each.
     """
+    scratch = scratch or Scratch(pairs.sparkSession, "overlapped")
     kind = dict(pairs.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,18 +109,51 @@ def overlapped(pairs: DataFrame, ratio: float = 0.8) -> DataFrame:
         for i, mine in pdf.groupby("i", sort=True):
             if i in gone:
                 continue
-            for j, k, n_i, n_j in zip(mine["j"], mine["k"], mine["n_i"], mine["n_j"]):
-                if j in gone:
-                    continue
-                if k / n_i > ratio:
-                    gone.add(i)
-                elif k / n_j > ratio:
-                    gone.add(j)
+            for j, first_goes in zip(mine["j"], mine["inner"]):
+                if j not in gone:
+                    gone.add(i if first_goes else j)
         return pd.DataFrame({"seq": [pdf["seq"].iloc[0]] * len(gone), "object_id": sorted(gone)})
 
-    # only pairs of which one lies in the other can matter
-    near = pairs.where((F.col("k") / F.col("n_i") > ratio) | (F.col("k") / F.col("n_j") > ratio))
-    return near.groupBy("seq").applyInPandas(run, f"seq {kind['seq']}, object_id {kind['i']}")
+    # only pairs of which one lies in the other can matter; inner: whether that is the first
+    first, second = F.col("k") / F.col("n_i") > ratio, F.col("k") / F.col("n_j") > ratio
+    near = scratch.save(pairs.where(first | second).select("seq", "i", "j", first.alias("inner")), "near")
+    large = scratch.save(near.groupBy("seq").count().where(F.col("count") > most).select("seq"), "large")
+    grouped = lambda rows: rows.groupBy("seq").applyInPandas(run, f"seq {kind['seq']}, object_id {kind['i']}")
+    if not large.take(1):
+        return grouped(near)
+    far = overlapped_joined(scratch.save(near.join(large, "seq", "left_semi"), "large_pairs"), scratch)
+    return grouped(near.join(large, "seq", "left_anti")).unionByName(far)
+
+
+def overlapped_joined(near: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same by rounds. near: seq, i, j, inner with i < j.
+
+    Whether an object still stands when its own turn comes depends on earlier objects alone: it does
+    unless one that stood at its turn held it. All objects whose possible holders are settled are
+    settled at once, so the rounds are as many as the longest chain of objects that wait for each other.
+    An object that stood falls in its own turn if it lies in a later one that no earlier object took away.
+    """
+    held = near.where("NOT inner").select("seq", F.col("i").alias("by"), F.col("j").alias("object"))
+    waiting = scratch.save(near.select("seq", F.explode(F.array("i", "j")).alias("object")).distinct(), "waiting")
+    open_, stood = scratch.save(held, "held"), []
+    while waiting.take(1):
+        free = scratch.save(waiting.join(open_, ["seq", "object"], "left_anti"), "free")  # no holder left: they stand
+        by = free.select("seq", F.col("object").alias("by"))
+        fell = scratch.save(open_.join(by, ["seq", "by"], "left_semi").select("seq", "object").distinct(), "fell")
+        settled = fell.select("seq", F.col("object").alias("by"))
+        left = open_.join(by, ["seq", "by"], "left_anti").join(fell, ["seq", "object"], "left_anti").join(settled, ["seq", "by"], "left_anti")
+        waiting = scratch.save(waiting.join(free, ["seq", "object"], "left_anti").join(fell, ["seq", "object"], "left_anti"), "waiting")
+        open_ = scratch.save(left, "held")
+        stood.append(free)
+    stands = stood[0] if stood else waiting
+    for more in stood[1:]:
+        stands = stands.unionByName(more)
+    stands = scratch.save(stands, "stands")
+    taken = held.join(stands.withColumnRenamed("object", "by"), ["seq", "by"], "left_semi").groupBy("seq", "object").agg(F.min("by").alias("first"))
+    taken = scratch.save(taken, "taken")
+    own = near.where("inner").join(stands.withColumnRenamed("object", "i"), ["seq", "i"], "left_semi").join(taken.withColumnRenamed("object", "j"), ["seq", "j"], "left")
+    falls = own.where("first IS NULL OR first > i").select("seq", F.col("i").alias("object_id"))
+    return falls.unionByName(taken.select("seq", F.col("object").alias("object_id"))).distinct()
 
 
 def representatives(mask_rows: DataFrame, k: int = 5) -> DataFrame:

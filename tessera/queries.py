@@ -269,11 +269,26 @@ def object_overlaps(spark, sf_dir):
     return postprocess.object_overlaps(part_sets(spark, sf_dir)).select("i", "j", "k", "n_i", "n_j")
 
 
-@query()
+#: Objects one after another, each with the objects that are gone before its turn.
+MERGE_SQL = SETS_SQL.replace("WITH", "WITH RECURSIVE") + """,
+pr AS (SELECT i, j, k / a.n > 0.8::DOUBLE AS inner_i FROM ov JOIN n a ON a.object_id = i JOIN n b ON b.object_id = j WHERE k / a.n > 0.8::DOUBLE OR k / b.n > 0.8::DOUBLE),
+o AS (SELECT object_id, row_number() OVER (ORDER BY object_id) AS r FROM n),
+w(r, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.r + 1, CASE WHEN list_contains(w.gone, o.object_id) THEN w.gone ELSE list_concat(w.gone,
+  coalesce((SELECT list(CASE WHEN inner_i THEN i ELSE j END) FROM pr WHERE pr.i = o.object_id AND NOT list_contains(w.gone, pr.j)), [])) END FROM w JOIN o ON o.r = w.r + 1)
+SELECT DISTINCT unnest(gone) AS object_id FROM w WHERE r = (SELECT max(r) FROM w)"""
+
+
+@query(MERGE_SQL)
 def overlap_merge(spark, sf_dir):
     return postprocess.overlapped(postprocess.object_overlaps(part_sets(spark, sf_dir)), 0.8).select("object_id")
 
 
+@query(MERGE_SQL)
+def overlap_merge_joined(spark, sf_dir):
+    """The same by rounds, as for scenes with too many pairs for a task."""
+    return postprocess.overlapped(postprocess.object_overlaps(part_sets(spark, sf_dir)), 0.8, most=0).select("object_id")
+
+
 @query()
 def whole_pipeline_objects(spark, sf_dir):
     """Clustering, splitting, filtering and merging of parts as points in the space of size, price and number."""
@@ -335,11 +350,40 @@ def dbscan_split(spark, sf_dir):
     return spatial.dbscan(space(spark, sf_dir), 0.1, 4, ["seq"]).select("point_id", "component")
 
 
-@query()
+DENOISE_SQL = PTS_SQL.replace("WITH", "WITH RECURSIVE") + """,
+near AS (SELECT a.id AS l_id, b.id AS r_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN pts b USING (label)),
+e AS (SELECT l_id, r_id FROM near WHERE d2 <= 0.09::DOUBLE),
+core AS (SELECT l_id AS id FROM e GROUP BY l_id HAVING count(*) >= 4),
+ce AS (SELECT l_id AS i, r_id AS j FROM e WHERE l_id IN (SELECT id FROM core) AND r_id IN (SELECT id FROM core)),
+r(i, j) AS (SELECT id, id FROM core UNION SELECT r.i, ce.j FROM r JOIN ce ON r.j = ce.i),
+hd AS (SELECT i AS id, min(j) AS component FROM r GROUP BY i),
+bd AS (SELECT e.r_id AS id, min(hd.component) AS component FROM e JOIN hd ON hd.id = e.l_id GROUP BY e.r_id),
+c AS (SELECT pts.id, label, coalesce(hd.component, bd.component, -1) AS component FROM pts LEFT JOIN hd USING (id) LEFT JOIN bd USING (id)),
+big AS (SELECT label, component FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM c) GROUP BY label, component, n HAVING count(*) >= 0.2::DOUBLE * n),
+k AS (SELECT id, label FROM c JOIN big USING (label, component)),
+d AS (SELECT l_id AS id, sqrt(d2) AS d, row_number() OVER (PARTITION BY l_id ORDER BY d2) AS nth FROM near WHERE l_id IN (SELECT id FROM k) AND r_id IN (SELECT id FROM k)),
+m AS (SELECT label, id, avg(d) AS m FROM d JOIN k USING (id) WHERE nth <= 20 GROUP BY ALL),
+w AS (SELECT label, avg(m) + 2 * coalesce(stddev_samp(m), 0) AS most FROM m GROUP BY label)
+SELECT label, id AS point_id FROM m JOIN w USING (label) WHERE m <= most"""
+
+
+@query(DENOISE_SQL)
 def denoise(spark, sf_dir):
     return spatial.denoise(space(spark, sf_dir), ["seq", "label"], eps=0.3).select("label", "point_id")
 
 
+@query(DENOISE_SQL)
+def denoise_joined(spark, sf_dir):
+    """The same by joins, as for groups that are too large for a task."""
+    return spatial.denoise(space(spark, sf_dir), ["seq", "label"], eps=0.3, most=0).select("label", "point_id")
+
+
+@query(PTS_SQL + """, d AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM pts a, pts b),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS nth FROM d) SELECT id AS point_id, round(avg(d), 6) AS mean FROM o WHERE nth <= 20 GROUP BY ALL""")
+def nearest_means(spark, sf_dir):
+    return spatial.nearest_means(space(spark, sf_dir), 20, ["seq"]).select("point_id", F.round("mean", 6).alias("mean"))
+
+
 @query(PTS_SQL + """, b AS (SELECT label, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM pts GROUP BY label)
 SELECT b.label, pts.id AS point_id FROM pts, b WHERE x > lx AND x < hx AND y > ly AND y < hy AND z > lz AND z < hz""")
 def aabb_crop(spark, sf_dir):

@@ -157,6 +157,28 @@ def test_many_visible_points_outweigh_their_share(spark, seen, expected):
 def test_chain_of_overlaps(spark):
     pairs = spark.createDataFrame([("s", 0, 1, 9, 10, 20), ("s", 0, 2, 5, 10, 5)], "seq string, i int, j int, k long, n_i long, n_j long")
     assert {r.object_id for r in postprocess.overlapped(pairs).collect()} == {0, 2}
+    assert {r.object_id for r in postprocess.overlapped(pairs, most=0).collect()} == {0, 2}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlaps_by_rounds_equal_the_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(s, int(i), int(j), int(rng.integers(5, 11)), 10, int(rng.integers(5, 16))) for s in ("s", "t") for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.6]
+    rows += [("chain", i, i + 1, 9, 20, 10) for i in range(9)]
+    want = set()
+    for s in ("s", "t", "chain"):
+        gone = set()
+        for i in range(14):
+            if i in gone:
+                continue
+            for t, a, j, k, n, m in rows:
+                if (t, a) == (s, i) and j not in gone and (k / n > 0.8 or k / m > 0.8):
+                    gone.add(i if k / n > 0.8 else j)
+        want |= {(s, x) for x in gone}
+    frame = spark.createDataFrame(rows, "seq string, i int, j int, k long, n_i long, n_j long")
+    for most in (0, 40, 1000):
+        assert {tuple(r) for r in postprocess.overlapped(frame, most=most).collect()} == want
+    assert postprocess.overlapped(frame.limit(0), most=0).count() == 0
 
 
 def test_objects_keep_noise_and_count_frames_of_the_node(spark):

@@ -193,3 +193,33 @@ def test_large_nodes_are_split_alike(spark):
     rows = lambda most: sorted(map(tuple, postprocess.split(points, scene, Params(split_eps=0.15), most=most).collect()))
     found = rows(10**6)
     assert found == rows(1) == rows(150) and len({r[2] for r in found}) > 3
+
+
+@pytest.mark.parametrize("shape", ["even", "clustered", "flat", "equal", "few"])
+def test_nearest_means_by_joins(spark, shape):
+    rng = np.random.default_rng(7)
+    n = {"few": 6, "equal": 30}.get(shape, 700)
+    xyz = rng.random((n, 3))
+    if shape == "clustered":
+        xyz[: n // 2] = 0.5 + rng.random((n // 2, 3)) * 1e-3
+        xyz[-1] = 40.0
+    elif shape == "flat":
+        xyz[:, 2] = 0
+    elif shape == "equal":
+        xyz[:] = 1
+    k = min(20, n)
+    d = np.sort(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)), axis=1)[:, :k].mean(1)
+    rows = [(s, i, *p) for s in ("s", "t") for i, p in enumerate(xyz.tolist())]
+    found = spatial.nearest_means(spark.createDataFrame(rows, "seq string, point_id long, x double, y double, z double"), 20, ["seq"]).collect()
+    assert len(found) == 2 * n and all(abs(r.mean - d[r.point_id]) < 1e-9 for r in found)
+
+
+def test_denoise_of_large_groups(spark):
+    """A group beyond the limit goes by joins, the other by its task; both as if each were alone."""
+    rng = np.random.default_rng(8)
+    ball = np.concatenate([rng.normal(0, 0.05, (250, 3)), rng.normal(3, 0.05, (90, 3)), rng.random((40, 3)) * 9])
+    rows = [(s, i, *p) for s, n in (("large", 380), ("small", 200)) for i, p in enumerate(ball[:n].tolist())]
+    frame = spark.createDataFrame(rows, "seq string, point_id long, x double, y double, z double")
+    plain = {(r.seq, r.point_id) for r in spatial.denoise(frame, ["seq"], 0.1).collect()}
+    assert plain == {(r.seq, r.point_id) for r in spatial.denoise(frame, ["seq"], 0.1, most=300).collect()} and 0 < len(plain) < len(rows)
+    assert spatial.denoise(frame.limit(0), ["seq"], most=0).count() == 0
