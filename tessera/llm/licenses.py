@@ -2,9 +2,10 @@
 
 A text is looked at line by line, paragraph by paragraph and whole, as sparse vectors over the terms
 of the templates; terms that no template has count only towards a vector's length. Document
-frequencies of the templates' terms come from all texts. Files without a licence of their own take
-that of the nearest directory above them which holds a licence file, found by joining the few
-directories that hold one with the different directories there are, not with the files.
+frequencies of the templates' terms come from all texts. A notice speaks for its own file alone.
+Files without one take the licence of the nearest directory above them which holds a licence file, one
+named so or made of a whole licence, found by joining the few directories that hold one with the
+different directories there are, not with the files.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import per_row, table
 from tessera.plans.scratch import Scratch
 
-#: Least cosine of a match; a file of which at least this share of the words lies in matched parts is a licence file.
-COSINE, WHOLE = 0.7, 0.5
+#: Least cosine of a match; a file of which at least this share of the words lies in parts that match a whole licence is a licence file.
+COSINE, WHOLE = 0.7, 0.8
 
 #: Terms that a text and its template both have or both lack.
 DECISIVE = frozenset("affero lesser noncommercial nc sharealike sa noderivatives noderivs nd not never".split())
@@ -116,6 +117,8 @@ def _templates() -> list[tuple[str, str]]:
 
 
 TEMPLATES = _templates()
+#: Those that are a whole licence; all others are notices, titles or parts.
+TEXTS = frozenset((f"{_MIT_GRANT} {_MIT_WARRANTY}", f"{_BSD_TWO} {_BSD_WARRANTY}", f"{_BSD_TWO} {_BSD_THIRD} {_BSD_WARRANTY}", f"{_ISC} {_ISC_WARRANTY}", _UNLICENSE, _ZLIB))
 
 _term = re.compile(r"[a-z0-9]+")
 
@@ -146,6 +149,7 @@ class Matcher:
         self.idf = lambda t: math.log((texts + 1) / (frequency.get(t, 0) + 1)) + 1
         self.rare = math.log(texts + 1) + 1
         self.names = [name for name, _ in templates]
+        self.whole = [text in TEXTS for _, text in templates]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for k, (_, text) in enumerate(templates):
             v = {t: (1 + math.log(n)) * self.idf(t) for t, n in Counter(terms(text)).items()}
@@ -155,8 +159,8 @@ class Matcher:
         self.known = {t: self.idf(t) for t in self.postings}
         self.decided = [(DECISIVE & set(found := terms(text)), {t for t in found if t.isdigit() and len(t) == 1}) for _, text in templates]
 
-    def cosine(self, found: list[str], least: float) -> tuple[float, str] | None:
-        """(cosine, licence) of the best template whose decisive terms agree, if at least ``least``; the first of equal ones.
+    def cosine(self, found: list[str], least: float) -> tuple[float, int] | None:
+        """(cosine, its number) of the best template whose decisive terms agree, if at least ``least``; the first of equal ones.
 
         A template's single digits, those of its version, must all be found.
         """
@@ -180,7 +184,7 @@ class Matcher:
         if not agree:
             return None
         k = max(agree, key=lambda k: (sums[k], -k))
-        return sums[k] / norm, self.names[k]
+        return sums[k] / norm, k
 
     def match(self, text: str | None, least: float, whole: float) -> tuple[str | None, float, int, bool]:
         """(licence, cosine, first line, is a licence file) of a text; licence is null without a match."""
@@ -188,14 +192,15 @@ class Matcher:
         split = parts(text or "")
         for start, stop, found in split:
             if hit := self.cosine(found, least):
-                covered.update(range(start, stop))
+                if self.whole[hit[1]]:
+                    covered.update(range(start, stop))
                 if best is None or (hit[0], -start) > (best[0], -best[2]):
                     best = (*hit, start)
         if best is None:
             return None, 0.0, -1, False
         sizes = {start: len(found) for start, stop, found in split if stop == start + 1}
         share = sum(n for i, n in sizes.items() if i in covered) / sum(sizes.values())
-        return best[1], best[0], best[2], share >= whole
+        return self.names[best[1]], best[0], best[2], share >= whole
 
 
 def frequencies(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[dict[str, int], int]:
@@ -226,7 +231,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine:
 
     license: of the part with the largest cosine (the first of equal ones), else of the nearest
     directory at or above the file's that holds a licence file, else null. A licence file has a match
-    and either a name like LICENSE or mostly matched words; of several in a directory the one with
+    and either a name like LICENSE or little but the words of a whole licence; of several in a directory the one with
     the largest cosine counts, then the first path. depth: 0 for a licence of its own, 1 for one of
     its own directory, 2 for the directory above and so on; null without. line: the first of the
     matched part, null if inherited. license_from: the path that the licence comes from.

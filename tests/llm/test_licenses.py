@@ -2,7 +2,7 @@ import math
 import random
 from collections import Counter
 
-from tessera.llm.licenses import COSINE, DECISIVE, TEMPLATES, WHOLE, Matcher, op8_licenses, parts, scan, terms
+from tessera.llm.licenses import COSINE, DECISIVE, TEMPLATES, TEXTS, WHOLE, Matcher, op8_licenses, parts, scan, terms
 
 
 def wording(name, nth=0):
@@ -26,7 +26,8 @@ def plain(files, names=("license", "licence", "copying", "notice", "unlicense"))
             score, k = max(((sum(v.get(t, 0) * y for t, y in u.items()) / norm(u) / norm(v), -k) for k, (_, u) in enumerate(vs) if fits(k)), default=(0, 0))
             if score >= COSINE:
                 hits.append((score, -start, vs[-k][0]))
-                covered.update(range(start, stop))
+                if TEMPLATES[-k][1] in TEXTS:
+                    covered.update(range(start, stop))
         lines = [terms(x) for x in (text or "").split("\n")]
         mostly = bool(hits) and sum(len(x) for j, x in enumerate(lines) if j in covered) >= WHOLE * sum(map(len, lines))
         own.append((i, path or "", max(hits) if hits else None, mostly or any((path or "").lower().split("/")[-1].startswith(w) for w in names)))
@@ -56,6 +57,7 @@ def corpus():
         (3, "a/b/code.py", prose(5)), (4, "a/b/c/d/e/code.py", prose(5)), (5, "a/own.py", "# " + TEMPLATES[0][1] + "\n" + prose(8)),
         (6, "z/x.py", prose(3)), (7, "top.py", prose(2)), (8, None, None), (9, "a/empty", ""), (10, "n/NOTICE", prose(2)), (11, "n/x", prose(1)),
         (12, "m/only", wording("MPL-2.0")), (13, "m/y", prose(4)), (14, "m/z/", "x"), (15, "t/LICENSE-a", TEMPLATES[0][1]), (16, "t/LICENSE-b", TEMPLATES[0][1]), (17, "t/f", "x y"),
+        (18, "w/mit", "Copyright (c) 2020 Somebody\n\n" + wording("MIT", 3)), (19, "w/v/f", "x y"),
     ]
     for i in range(20, 80):
         text = prose(rng.randrange(1, 9)).split("\n")
@@ -124,4 +126,14 @@ def test_query(spark, tmp_path):
     rows = [(1, "s", "words here\nReleased under the MIT License."), (2, "s", "no"), (3, None, None)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.license, r.depth, r.line) for r in op8_licenses(spark, str(tmp_path)).collect()}
-    assert got == {1: ("MIT", 0, 1), 2: ("MIT", 1, None), 3: (None, None, None)}
+    assert got == {1: ("MIT", 0, 1), 2: (None, None, None), 3: (None, None, None)}
+
+
+def test_notices_speak_for_their_file_alone(spark):
+    """Short texts that are little but a notice, of every licence, license nothing beside or below them."""
+    notices = [(n, x) for n, x in TEMPLATES if x not in TEXTS]
+    files = [(i, f"d{i}/code", x) for i, (_, x) in enumerate(notices)] + [(1000 + i, f"d{i}/below/other", "words") for i in range(len(notices))]
+    files += [(5000 + i, f"t{i}/mine", x) for i, x in enumerate(sorted(TEXTS))] + [(6000 + i, f"t{i}/other", "words") for i in range(len(TEXTS))]
+    got = {r.id: (r.license, r.depth) for r in scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert all(got[i] == (n, 0) for i, (n, _) in enumerate(notices)) and all(got[1000 + i] == (None, None) for i in range(len(notices)))
+    assert all(got[6000 + i] == (got[5000 + i][0], 1) for i in range(len(TEXTS)))
