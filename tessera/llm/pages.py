@@ -1,12 +1,13 @@
 """Main text of web pages by differencing against the page of the nearest URL.
 
 Pages are ordered by host and URL path, and each is aligned with its neighbour by the longest common
-subsequence of their text lines. A line that two neighbours share is a shared line of its host. The
-difference decides first: a container most of whose lines are shared, on the page or over the host, is
-template and is deleted with its odd unshared line (a page's own advert or notice); in the other
-containers a line is deleted if half of the host's pages hold it, while a line that a few articles
-quote stays where it stands. Tags and names settle only what neighbours cannot tell: text that no other page shares but is
-no article's (reader comments, unique adverts), and hosts of one page.
+subsequence of their text lines. A line that two neighbours share is a shared line of its host.
+Containers are told apart by their chain of elements, names and places among siblings. One most of whose
+lines are shared, over the host, or on the page with lines that many pages of the host hold, is template
+and is deleted with its odd unshared line (a page's own advert or notice). Outside an article element, a
+line that half of the host's pages hold is deleted too; a sentence that stands in an article stays, however
+many articles quote it. Tags and names then settle, among what is left, what neighbours cannot tell:
+text that no other page shares but is no article's (reader comments, unique adverts), and hosts of one page.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from tessera.plans.scratch import Scratch
 #: A container is template if so large a share of its lines is shared, one at least; a line of another
 #: container if so large a share of the host's pages hold it, among so many pages at least.
 SHARED, LINE_PAGES = 0.5, 4
-#: A shared line counts on a page of another place if so large a share of the host's pages hold it, which
-#: also bounds the lines of a host that count.
-KNOWN = 0.01
+#: A shared line counts on a page of another place if so large a share of the host's pages hold it: that of a menu,
+#: not that of an article with a few copies. It also bounds the lines of a host that count.
+KNOWN = 0.2
 #: Marks (template containers and lines of all hosts) that go to every task; beyond it pages are joined with theirs.
 BROADCAST_MARKS = 200_000
 #: Join partitions over which the pages of a host are dealt.
@@ -72,10 +73,11 @@ def blocks(page: str | None) -> list[tuple[str, str, str, int]]:
     zone: main inside an article or main element, second inside an article of another kind, chrome in
     what is never an article's text, doubt in a container whose name only hints at that, else open;
     doubt inside an article is main doubt.
-    container: the open containers from the article (or the page) down, with their classes.
+    container: the open containers from the article (or the page) down, with their classes and places among siblings of the same.
     """
     out: list[tuple[str, str, str, int]] = []
-    stack: list[tuple[str, str, str, str, int]] = []  # tag, name with classes, chrome or doubt, main or second, number
+    stack: list[tuple[str, str, str, str, int]] = []  # tag, name with classes and place among siblings of that name, chrome or doubt, main or second, number
+    born: Counter = Counter()  # children so far of an element, by name
     text: list[str] = []
 
     def flush():
@@ -127,7 +129,10 @@ def blocks(page: str | None) -> list[tuple[str, str, str, int]]:
         elif tag == "article":
             kind = "" if _other_articles.isdisjoint(classes) else "chrome"
         of = "second" if tag == "article" and not _second_articles.isdisjoint(classes) else "main" if main or role == "main" else ""
-        stack.append((tag, ".".join([tag, *sorted(found.get("class", "").split())]), kind, of, at))
+        name = ".".join([tag, *sorted(found.get("class", "").split())])
+        nth = born[parent := stack[-1][4] if stack else 0, name]
+        born[parent, name] += 1
+        stack.append((tag, f"{name}[{nth}]", kind, of, at))
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -322,7 +327,7 @@ def main_text(page: str | None, marks: frozenset[int] = frozenset(), alone: bool
     own = [i for i, z in enumerate(zones) if z.startswith("main")] or [i for i, z in enumerate(zones) if z == "second"]
     if own:
         # the article element itself is no template, whatever its pages share
-        body = [i for i in own if not template[i] or found[i][2].split(">")[-1].split(".")[0] in ("article", "main")]
+        body = [i for i in own if not template[i] or re.match(r"\w*", found[i][2].split(">")[-1])[0] in ("article", "main")]
         if 2 * size(body) < size(own):  # neighbours with the same article share it whole
             body = own
     else:
@@ -334,9 +339,9 @@ def main_text(page: str | None, marks: frozenset[int] = frozenset(), alone: bool
                 sizes[found[i][2]] += len(found[i][0])
             largest = max(sizes, key=lambda c: (sizes[c], c), default="")
             body = [i for i in own if found[i][2] == largest]
-    plain = [i for i in body if ~lines[i] not in marks]
-    if 2 * size(plain) >= size(body):
-        body = plain
+        plain = [i for i in body if ~lines[i] not in marks]
+        if 2 * size(plain) >= size(body):
+            body = plain
     words: Counter = Counter()
     for i in body:
         words[found[i][3]] += len(found[i][0].split())

@@ -57,7 +57,7 @@ def test_names_that_only_hint_and_articles_of_another_kind():
     page = f'<article><p>one</p><div class="share-prices"><p>{prose}</p></div><section class="related-work"><p>{prose}</p></section><div class="share-bar">Tweet</div><div class="share"><p>{prose}</p></div></article>'
     assert main_text(page) == f"one {prose} {prose}"
     assert main_text(page, alone=False) == f"one {prose} {prose} Tweet"  # neighbours would have shown it
-    assert main_text(page, frozenset({key_of("article>div.share-bar")}), False) == f"one {prose} {prose}"
+    assert main_text(page, frozenset({key_of("article[0]>div.share-bar[0]")}), False) == f"one {prose} {prose}"
 
 
 def unnamed_pages():
@@ -100,6 +100,29 @@ def test_copies_of_an_article_stay(spark):
     assert got == {i: "Same the same text everywhere" if i < 9 else "the same text in a plain container" for i in range(14)}
 
 
+def test_a_sentence_of_all_articles_stays(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    quoted, rows, want = "a sentence that every article of the host quotes", [], {}
+    for i in range(8):
+        own = [say(40) for _ in range(3)]
+        rows.append((i, f"http://h.org/{i}", f"<body><div>always</div><article><p>{own[0]}</p><p>{quoted}</p><p>{own[1]}</p><div><p>{own[2]}</p></div></article></body>"))
+        want[i] = " ".join([own[0], quoted, own[1], own[2]])
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
+def test_a_few_copies_of_an_article_are_no_template(spark):
+    """Five of fifty pages without an article element hold the same text: only what all share goes."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    copied, rows, want = [say(20) for _ in range(4)], [], {}
+    for i in range(50):
+        text = copied if 20 <= i < 25 else [say(20) for _ in range(4)]
+        rows.append((i, f"http://h.org/{i:02d}", f"<body><div>home news</div><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div>imprint</div></body>"))
+        want[i] = " ".join(text)
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
 def test_a_very_long_page(spark):
     long = "".join(f"<p>line {i} of many</p>" for i in range(30_000))
     rows = [(1, "https://h.org/1", f"<nav>m</nav><div class=c>{long}</div>"), (2, "https://h.org/2", "<nav>m</nav><div class=c><p>other</p></div>")]
