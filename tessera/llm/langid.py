@@ -1,8 +1,8 @@
 """Language ID by compression: a text belongs to the language whose dictionary compresses it best.
 
-Per language, a bounded number of labelled texts, each whole, becomes a zstandard raw-content dictionary. A text
-is encoded whole with each dictionary; the smallest result names the language, and a narrow margin
-between the two smallest rejects it.
+Per language, a bounded number of labelled texts, each whole, becomes zstandard raw-content dictionaries,
+as many as it takes that all of each is within the encoder's reach. A text is encoded whole with each
+dictionary; the smallest result names the language, and a narrow margin to the next language rejects it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tessera.llm.common import held_out, per_row, table
 
 #: Bounds of the fit, in whole texts: of a language, and of all languages together (one of each at least).
 SAMPLE_TEXTS, ALL_TEXTS = 128, 16_384
+#: The same in bytes of UTF-8, and the largest dictionary: from a megabyte on its head is out of reach at this level.
+SAMPLE_BYTES, ALL_BYTES, DICTIONARY = 4 << 20, 64 << 20, 512 << 10
 LEVEL = 3
 #: Compressed bytes that part the two best languages of an accepted text, at least.
 MARGIN = 2
@@ -31,13 +33,14 @@ def letters(text: str | None) -> str:
     return _not_letters.sub(" ", text.lower()).strip() if text else ""
 
 
-def fit(docs: DataFrame, training: F.Column, sample_texts: int = SAMPLE_TEXTS) -> list[tuple[str, bytes]]:
-    """[(language, dictionary)] from rows of docs (doc_id, text, lang) where ``training`` holds.
+def fit(docs: DataFrame, training: F.Column, sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
+    """[(language, dictionary)], one or more of each language, from rows of docs (doc_id, text, lang) where ``training`` holds.
 
     Of each language the ``sample_texts`` texts are taken whose hashes of id and text come first
-    (fewer where there are so many languages that ALL_TEXTS would be passed, but one at least); equal
-    rows count once. Rows with null text or lang take no part; a null id is an id. Texts are taken
-    whole, very long ones too. Counts are over all rows; only the bounded sample is collected.
+    (fewer where there are so many languages that ALL_TEXTS or ALL_BYTES would be passed), and of these
+    the first that make up ``sample_bytes``, but one at least; equal rows count once. Rows with null text
+    or lang take no part; a null id is an id. Texts are taken whole, very long ones too. Counts are over
+    all rows; executors bound the sample, in rows and bytes, before it is collected.
     """
     order = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 2)
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"), order.alias("_order"))
@@ -48,16 +51,27 @@ def fit(docs: DataFrame, training: F.Column, sample_texts: int = SAMPLE_TEXTS) -
     # about four times the sample passes this limit, and of that the first are taken
     limits = docs.sparkSession.createDataFrame([(lang, min(1 << 62, (1 << 62) * 4 * take // n)) for lang, n in counts.items()], "lang string, _limit long")
     near = rows.join(F.broadcast(limits), "lang").where(F.col("_order") <= F.col("_limit")).select("lang", "_order", "text")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text"))
-    found = near.distinct().select("lang", "text", nth.alias("nth")).where(F.col("nth") <= take).orderBy("lang", "nth").collect()
+    first = Window.partitionBy("lang").orderBy("_order", "text")
+    taken = near.distinct().select("lang", "_order", "text", F.row_number().over(first).alias("nth")).where(F.col("nth") <= take)
+    upto = F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    most = min(sample_bytes, ALL_BYTES // len(counts))
+    found = taken.select("lang", "text", "nth", upto.alias("upto")).where((F.col("upto") <= most) | (F.col("nth") == 1)).orderBy("lang", "nth").collect()
     return dictionaries(trusted([(r["lang"], letters(r["text"])) for r in found]))
 
 
-def dictionaries(sample: list[tuple[str, str]]) -> list[tuple[str, bytes]]:
-    parts: dict[str, list[str]] = {}
+def dictionaries(sample: list[tuple[str, str]], size: int = DICTIONARY) -> list[tuple[str, bytes]]:
+    """The texts of each language in dictionaries of at most ``size`` bytes; longer texts are cut at spaces, or where they must be."""
+    parts: dict[str, list[bytes]] = {}
     for lang, text in sample:
-        parts.setdefault(lang, []).append(text)
-    return [(lang, " ".join(p).encode()) for lang, p in sorted(parts.items())]
+        own, data = parts.setdefault(lang, [b""]), text.encode()
+        while data:
+            at = len(data) if len(data) <= size else data.rfind(b" ", 1, size + 1)
+            at = size if at < 0 else at
+            piece, data = data[:at], data[at:].lstrip(b" ")
+            if own[-1] and len(own[-1]) + 1 + len(piece) > size:
+                own.append(b"")
+            own[-1] += b" " + piece if own[-1] else piece
+    return [(lang, d) for lang, own in sorted(parts.items()) for d in own]
 
 
 def trusted(sample: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -74,7 +88,7 @@ def trusted(sample: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 
 def classifier(learned: list[tuple[str, bytes]], margin: int = MARGIN):
-    """text -> (lang, score, rejected)."""
+    """text -> (lang, score, rejected); of the dictionaries of a language the smallest result counts."""
     made = []
     for lang, data in learned:
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(data) >= 8 else None
@@ -90,7 +104,10 @@ def classifier(learned: list[tuple[str, bytes]], margin: int = MARGIN):
         data = plain.encode()
         if len(data) < 64:
             data = b" ".join([data] * (64 // len(data) + 1))
-        sizes = sorted((len(compress(data)), lang) for lang, compress in made)
+        least: dict[str, int] = {}
+        for lang, compress in made:
+            least[lang] = min(len(compress(data)), least.get(lang, 1 << 62))
+        sizes = sorted((n, lang) for lang, n in least.items())
         best = sizes[0][0]
         score = 1 / sum(2.0 ** -min(s - best, 1000) for s, _ in sizes)
         return sizes[0][1], score, len(sizes) > 1 and sizes[1][0] - best < margin

@@ -56,6 +56,35 @@ def test_fit_takes_whole_texts_of_a_bounded_number_of_rows(spark):
         assert not left.strip() and sum(t in data for t in whole) <= 10
 
 
+def test_long_training_texts_are_all_within_reach(spark):
+    """Of 4 MB of a language the first text counts like the last: a part of each is encoded in a few bytes."""
+    rng = random.Random(11)
+    say = lambda lang, n: " ".join(lang + "".join(rng.choices("efghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+    rows = [(i, say(lang, 30_000), lang) for i in range(16) for lang in ("aa", "bb")]
+    assert 3 << 20 < sum(len(t.encode()) for _, t, lang in rows if lang == "aa") < 5 << 20
+    learned = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample_bytes=8 << 20)
+    assert all(len(d) <= langid.DICTIONARY for _, d in learned) and sum(lang == "aa" for lang, _ in learned) > 6
+    made = [zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for _, d in learned]
+    for _, text, lang in rows:
+        some = text[30_000:31_000].rsplit(" ", 1)[0].encode()
+        assert min(len(c(some)) for c in made) < 60
+        assert classifier(learned)(text[30_000:31_000])[0] == lang
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    rows = [(i, f"{i:04d} " + "ba ko " * 200, "aa") for i in range(60)] + [(100, "zsch " * 5000, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = fit(docs, F.lit(True), sample_bytes=6000)
+    assert 0 < sum(len(d) for lang, d in learned if lang == "aa") <= 6000 and sum(len(d) for lang, d in learned if lang == "bb") > 20_000
+
+
+def test_dictionaries_hold_every_word():
+    sample = [("aa", "one two three four"), ("aa", "x" * 30), ("bb", ""), ("aa", "five")]
+    found = langid.dictionaries(sample, 12)
+    assert all(len(d) <= 12 for _, d in found) and [lang for lang, _ in found] == sorted(lang for lang, _ in found)
+    assert b"".join(d for lang, d in found if lang == "aa").replace(b" ", b"") == b"onetwothreefour" + b"x" * 30 + b"five"
+
+
 def test_very_many_languages(spark):
     rows = [(i, f"only text of language {i} " + "abcdefghij"[i % 10] * (i % 50 + 3), f"l{i:04d}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
