@@ -27,10 +27,10 @@ def predictions(pred: DataFrame, meta: DataFrame, gt: DataFrame, valid: DataFram
     void: points whose ground truth has no valid class.
     """
     void = ~F.col("ok")
-    ok = F.broadcast(valid.select("label_id").distinct().withColumn("ok", F.lit(True)))
+    ok = valid.select("label_id").distinct().withColumn("ok", F.lit(True))
     labelled = gt.select("seq", "point_id", groundtruth.decode(F.col("gt_id")).alias("label_id")).join(ok, "label_id", "left").select("seq", "point_id", F.coalesce("ok", F.lit(False)).alias("ok"))
     counts = pred.join(labelled, ["seq", "point_id"], "left").groupBy("seq", "inst").agg(F.count("*").alias("vert_count"), F.count_if(void).alias("void"))
-    mine = meta.select("seq", "inst", F.col("class_id").alias("label_id"), "score").join(F.broadcast(valid.select("label_id").distinct()), "label_id", "left_semi")
+    mine = meta.select("seq", "inst", F.col("class_id").alias("label_id"), "score").join(valid.select("label_id").distinct(), "label_id", "left_semi")
     return mine.join(counts, ["seq", "inst"]).where(F.col("vert_count") >= min_region).select("seq", "inst", "label_id", "score", "vert_count", "void")
 
 

@@ -37,7 +37,7 @@ def from_segments(segs: DataFrame, groups: DataFrame, label_map: DataFrame, vali
     ``valid`` (label_id) counts as 0; points of no group have number 1.
     """
     ids = first_label(label_map).select(F.col("raw_category").alias("label"), F.col("id").alias("label_id"))
-    ids = ids.join(F.broadcast(valid.select("label_id").distinct()), "label_id", "left_semi")
+    ids = ids.join(valid.select("label_id").distinct(), "label_id", "left_semi")
     named = groups.join(ids, "label", "left").fillna(0, ["label_id"])
     each = named.select("seq", "pos", "label_id", F.col("id").alias("group"), F.explode("segments").alias("segment"))
     last = each.groupBy("seq", "segment").agg(F.max(F.struct("pos", "label_id", "group")).alias("g"))
@@ -61,8 +61,8 @@ def from_faces(faces: DataFrame, groups: DataFrame, category_map: DataFrame, val
     category = face_values(faces, "category_id")
     member = groups.select("seq", "pos", "id", F.explode("segments").alias("segment"))
     instance = last_wins(member, ["seq", "segment"], "id", "pos")
-    ids = F.broadcast(category_map.select(F.col("row").alias("category_id"), F.col("nyuId").alias("label_id")))
-    ok = F.broadcast(valid.select("label_id").distinct().withColumn("ok", F.lit(True)))
+    ids = category_map.select(F.col("row").alias("category_id"), F.col("nyuId").alias("label_id"))
+    ok = valid.select("label_id").distinct().withColumn("ok", F.lit(True))
     met = segment.join(category, ["seq", "point_id"]).join(instance, ["seq", "segment"], "left").join(ids, "category_id", "left").join(ok, "label_id", "left")
     inst = F.coalesce(F.col("id"), F.raise_error(F.concat_ws(" ", F.lit("segment of no instance"), "seq", "segment")).cast("int"))
     label = F.when(F.col("ok"), F.col("label_id")).otherwise(0)
@@ -72,7 +72,7 @@ def from_faces(faces: DataFrame, groups: DataFrame, category_map: DataFrame, val
 def instances(gt: DataFrame, valid: DataFrame) -> DataFrame:
     """Columns seq, instance_id, label_id, vert_count, med_dist, dist_conf of the instances of valid classes; number 0 is none."""
     counts = gt.where("gt_id <> 0").groupBy("seq", F.col("gt_id").alias("instance_id")).agg(F.count("*").alias("vert_count"))
-    counts = counts.withColumn("label_id", decode(F.col("instance_id"))).join(F.broadcast(valid.select("label_id").distinct()), "label_id", "left_semi")
+    counts = counts.withColumn("label_id", decode(F.col("instance_id"))).join(valid.select("label_id").distinct(), "label_id", "left_semi")
     return counts.select("seq", "instance_id", "label_id", "vert_count", F.lit(-1.0).alias("med_dist"), F.lit(0.0).alias("dist_conf"))
 
 

@@ -22,10 +22,20 @@ def object_features(objects: DataFrame, features: DataFrame) -> DataFrame:
     return mean_vector(met, ["seq", "object_id"], "v")
 
 
-def similarity(objects: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns keys, idx, label, similarity: dot products with all labels (label, idx, v), a vocabulary of bounded size."""
+#: Labels that go to every task; a larger vocabulary meets the objects block by block.
+LABELS = 8_192
+
+
+def similarity(objects: DataFrame, labels: DataFrame, keys: list[str], most: int = LABELS) -> DataFrame:
+    """Columns keys, idx, label, similarity: dot products with all labels (label, idx, v)."""
     vocabulary = labels.select("idx", "label", F.col("v").alias("_t"))
-    return objects.crossJoin(F.broadcast(vocabulary)).select(*keys, "idx", "label", dot(F.col("v"), F.col("_t")).alias("similarity"))
+    out = (*keys, "idx", "label", dot(F.col("v"), F.col("_t")).alias("similarity"))
+    blocks = -(-vocabulary.limit(most + 1).count() // most)
+    if blocks < 2:
+        return objects.crossJoin(F.broadcast(vocabulary)).select(*out)  # no more than ``most`` rows
+    blocks = -(-vocabulary.count() // most)
+    each = objects.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.join(vocabulary.withColumn("_block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")), "_block").select(*out)
 
 
 def probabilities(similar: DataFrame, keys: list[str], temperature: float = 100.0) -> DataFrame:
@@ -44,6 +54,6 @@ def classify(objects: DataFrame, features: DataFrame, labels: DataFrame, vocabul
     vocabulary: label, label_id.
     """
     found = best_label(similarity(object_features(objects, features), labels, ["seq", "object_id"]), ["seq", "object_id"])
-    named = found.join(F.broadcast(vocabulary.select("label", "label_id")), "label")
+    named = found.join(vocabulary.select("label", "label_id"), "label")
     out = objects.select("seq", "object_id").join(named, ["seq", "object_id"], "left")
     return out.select("seq", "object_id", F.coalesce("label_id", F.lit(0)).cast("int").alias("class_id"))

@@ -94,7 +94,7 @@ def colmap_poses(images: DataFrame, cameras: DataFrame) -> DataFrame:
     q, t = F.col("qvec"), F.col("tvec")
     pose = rigid_inverse(quaternion_rotation(*(q[i] for i in range(4))), t)
     frame = F.element_at(F.split(F.element_at(F.split("name", "\\."), 1), "_"), 2).cast("int")
-    return images.select("path", "pos", frame.alias("frame_id"), pose.alias("pose")).crossJoin(F.broadcast(first))
+    return images.select("path", "pos", frame.alias("frame_id"), pose.alias("pose")).crossJoin(F.broadcast(first))  # one row
 
 
 def scan_gt(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +119,7 @@ def scan_tsv(spark: SparkSession, path: str, columns: str) -> DataFrame:
     lines = numbered_lines(spark, path)
     header = lines.where("n = 0").select("path", F.split("line", "\t").alias("header"))
     body = lines.where("n > 0").where(F.trim("line") != "").select("path", (F.col("n") - 1).alias("row"), F.split("line", "\t", -1).alias("w"))
-    met = body.join(F.broadcast(header), "path")
+    met = body.join(header, "path")
     fields = [c.strip().rsplit(" ", 1) for c in columns.split(",")]
     return met.select("row", *(F.get("w", F.array_position("header", n).cast("int") - 1).cast(k).alias(n) for n, k in fields))
 

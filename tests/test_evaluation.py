@@ -223,3 +223,11 @@ def test_denoise_of_large_groups(spark):
     plain = {(r.seq, r.point_id) for r in spatial.denoise(frame, ["seq"], 0.1).collect()}
     assert plain == {(r.seq, r.point_id) for r in spatial.denoise(frame, ["seq"], 0.1, most=300).collect()} and 0 < len(plain) < len(rows)
     assert spatial.denoise(frame.limit(0), ["seq"], most=0).count() == 0
+
+
+def test_labels_beyond_a_broadcast(spark):
+    """Objects meet a large vocabulary block by block, with the same products."""
+    objects = spark.createDataFrame([("s", i, [float(i), 1.0]) for i in range(4)], "seq string, object_id int, v array<double>")
+    labels = spark.createDataFrame([(k, f"l{k}", [1.0, float(k)]) for k in range(7)], "idx int, label string, v array<double>")
+    got = lambda **k: sorted(tuple(r) for r in openvoc.similarity(objects, labels, ["seq", "object_id"], **k).collect())
+    assert got(most=2) == got() == sorted(("s", i, k, f"l{k}", i + float(k)) for i in range(4) for k in range(7))
