@@ -231,3 +231,28 @@ def test_labels_beyond_a_broadcast(spark):
     labels = spark.createDataFrame([(k, f"l{k}", [1.0, float(k)]) for k in range(7)], "idx int, label string, v array<double>")
     got = lambda **k: sorted(tuple(r) for r in openvoc.similarity(objects, labels, ["seq", "object_id"], **k).collect())
     assert got(most=2) == got() == sorted(("s", i, k, f"l{k}", i + float(k)) for i in range(4) for k in range(7))
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_radius_join_of_crowded_cells(spark, closed):
+    """Cells of many points, equal points and points on the edges of cells, cut into boxes and parts: the same pairs."""
+    rng = np.random.default_rng(9)
+    xyz = np.concatenate([rng.random((120, 3)) * 0.3, rng.random((60, 3)) * 3, np.full((40, 3), 0.25), np.round(rng.random((60, 3)) * 8) / 8])
+    rows = [("s", i, *p) for i, p in enumerate(xyz.tolist())]
+    frame = spark.createDataFrame(rows, "seq string, id long, x double, y double, z double")
+    d2 = ((xyz[:, None] - xyz[None]) ** 2)
+    d2 = d2[..., 0] + d2[..., 1] + d2[..., 2]
+    want = set(zip(*np.nonzero(d2 <= 0.25**2 if closed else d2 < 0.25**2)))
+    for dense in (10_000, 15, 1):
+        got = spatial.epsilon_join(frame, frame, 0.25, closed=closed, dense=dense).select("l_id", "r_id").collect()
+        assert len(got) == len(want) and {(r.l_id, r.r_id) for r in got} == want
+
+
+def test_radius_join_with_a_cell_of_all_points(spark):
+    """100,000 points in eight cells, cut into boxes and parts."""
+    cloud = spark.range(100_000).selectExpr("'s' as seq", "id", "rand(1) * 0.99 as x", "rand(2) * 0.99 as y", "rand(3) * 0.99 as z")
+    few = cloud.where("id < 20")
+    plan = spatial.epsilon_join(few, cloud, 1.0, dense=500)
+    found = plan.count()
+    plain = few.alias("a").crossJoin(cloud.alias("b")).where("(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 1").count()
+    assert found == plain
