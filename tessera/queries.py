@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, vectors
-from tessera.operators import clustering, components, consensus, containment, evaluation, groundtruth, incidence, lifting, openvoc, postprocess, spatial
+from tessera.operators import clustering, components, consensus, containment, evaluation, groundtruth, incidence, lifting, openvoc, postprocess, runs, spatial
 from tessera.plans.config import PRESETS, Params
 from tessera.plans.scratch import Scratch
 from tessera.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -441,6 +441,35 @@ def paint_masks(spark, sf_dir):
     return painted(spark, sf_dir).select("frame_id", "v", "u", "mask_id")
 
 
+#: The label image as runs along its rows of 60 pixels.
+RUNS_SQL = PAINT_SQL.replace("count(*) AS n", "count(DISTINCT v * 60 + u) AS n") + """,
+g AS (SELECT frame_id, mask_id, v * 60 + u AS place, v * 60 + u - row_number() OVER (PARTITION BY frame_id, mask_id ORDER BY v, u) AS island FROM img)"""
+
+
+def painted_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.lit("e").alias("seq"), F.to_date("ts").alias("frame_id"), F.col("event_type").alias("cand"), (F.col("user_id") % 10 / 10).alias("score"), (F.minute("ts") * 60 + F.second("ts")).alias("place"))
+    return runs.paint(runs.encode(rows, ["seq", "frame_id", "cand", "score"], F.col("place")), 0.5, 2, span=256)
+
+
+@query(RUNS_SQL + " SELECT frame_id, mask_id, CAST(min(place) AS BIGINT) AS start, count(*) AS length FROM g GROUP BY frame_id, mask_id, island")
+def paint_runs(spark, sf_dir):
+    """Painter's order over runs, without a row for a pixel."""
+    return painted_runs(spark, sf_dir).select("frame_id", "mask_id", "start", "length")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS point_id, c_nationkey AS nation, n_regionkey AS region, CAST(o_orderpriority[1] AS INT) AS priority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+p AS (SELECT nation AS inst, point_id FROM o WHERE priority > nation % 5), g AS (SELECT region, point_id FROM o WHERE priority < 4),
+k AS (SELECT inst, region, count(*) AS k FROM p JOIN g USING (point_id) GROUP BY ALL), n AS (SELECT inst, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT region, count(*) AS m FROM g GROUP BY ALL)
+SELECT CAST(inst AS BIGINT) AS inst, CAST(region AS BIGINT) AS region, k, round(k / (n + m - k), 6) AS iou FROM k JOIN n USING (inst) JOIN m USING (region)""")
+def overlap_runs(spark, sf_dir):
+    """Shared points and IoU of nations' predictions and regions, both as runs of points."""
+    o = adapters.orders_of_nations(spark, sf_dir).withColumn("seq", F.lit("orders"))
+    pred = runs.encode(o.where(F.col("priority") > F.col("nation") % 5).withColumnRenamed("nation", "inst"), ["seq", "inst"], F.col("o_orderkey"))
+    gt = runs.encode(o.where("priority < 4"), ["seq", "region"], F.col("o_orderkey"))
+    return runs.overlaps(pred, ["inst"], gt, ["region"], ["seq"]).select("inst", "region", "k", F.round("iou", 6).alias("iou"))
+
+
 @query(PAINT_SQL + """, b AS (SELECT frame_id, mask_id, min(u) AS u0, min(v) AS v0, max(u) AS u1, max(v) AS v1 FROM img GROUP BY ALL)
 SELECT frame_id, mask_id, level, greatest(0, u0 - CAST(floor((u1 - u0) * 0.1::DOUBLE) AS BIGINT) * level) AS left_, greatest(0, v0 - CAST(floor((v1 - v0) * 0.1::DOUBLE) AS BIGINT) * level) AS top_,
   least(60, u1 + CAST(floor((u1 - u0) * 0.1::DOUBLE) AS BIGINT) * level) AS right_, least(60, v1 + CAST(floor((v1 - v0) * 0.1::DOUBLE) AS BIGINT) * level) AS bottom_ FROM b, range(3) r(level)""")

@@ -130,6 +130,19 @@ def masks_as_png(image: DataFrame, height: int, width: int) -> DataFrame:
     return image.groupBy("seq", "frame_id").applyInPandas(run, f"seq {kinds['seq']}, frame_id {kinds['frame_id']}, content binary")
 
 
+def runs_as_png(runs: DataFrame, height: int, width: int) -> DataFrame:
+    """The same of a label image as disjoint runs (seq, frame_id, mask_id, start, length) over places v * width + u."""
+    kinds = dict(runs.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(height * width, np.uint16 if pdf["mask_id"].max() > 255 else np.uint8)
+        for mask, start, length in zip(pdf["mask_id"], pdf["start"], pdf["length"]):
+            out[start : start + length] = mask
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "frame_id": [pdf["frame_id"].iloc[0]], "content": [encode_png(out.reshape(height, width))]})
+
+    return runs.groupBy("seq", "frame_id").applyInPandas(run, f"seq {kinds['seq']}, frame_id {kinds['frame_id']}, content binary")
+
+
 def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """Columns of boxes + crop: the pixels of each box on a white square, as rows of bytes, for an external encoder.
 
