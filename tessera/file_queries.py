@@ -13,6 +13,7 @@ from tessera.plans.scratch import Scratch
 from tessera.registry import query
 from tessera.sources import adapters, binary, datasets, frames, images, layouts, sinks, stores
 from tessera.sources.adapters import table
+from tessera.streaming import points
 from tessera.streaming.ingest import ingest
 
 
@@ -605,3 +606,30 @@ def streamed_incidence(spark, sf_dir):
     stream = spark.readStream.schema(inc.schema).parquet(f"{scratch.root}/in/*")
     ingest(stream, f"{scratch.root}/table", f"{scratch.root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{scratch.root}/table").select("frame_id", "mask_id", "point_id")
+
+
+def streamed_changes(spark, sf_dir) -> DataFrame:
+    """What a stream of the documents' lines, some of which come again, changes."""
+    scratch = Scratch(spark, "points")
+    inc = adapters.docs_lines(spark, sf_dir).select(incidence.KEYS)
+    for n, part in enumerate(("pmod(mask_id, 3) <> 1", "pmod(mask_id, 3) <> 2")):
+        inc.where(part).write.parquet(f"{scratch.root}/in/{n}")
+    stream = spark.readStream.schema(inc.schema).option("maxFilesPerTrigger", 8).parquet(f"{scratch.root}/in/*")
+    points.follow(stream, f"{scratch.root}/changes", f"{scratch.root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{scratch.root}/changes")
+
+
+LINES_SQL = "inc AS (SELECT DISTINCT CAST(regexp_extract(source, '\d+') AS BIGINT) AS frame_id, doc_id AS mask_id, unnest(string_split(text, chr(10))) AS point_id FROM documents), bnd AS (SELECT DISTINCT point_id FROM (SELECT point_id FROM inc GROUP BY point_id, frame_id HAVING count(*) > 1))"
+
+
+@query(f"WITH {LINES_SQL} SELECT point_id FROM bnd")
+def streamed_boundary(spark, sf_dir):
+    """Boundary points of a stream, from the state of each point."""
+    return points.boundary(streamed_changes(spark, sf_dir)).select("point_id")
+
+
+@query(f"""WITH {LINES_SQL}, i AS (SELECT * FROM inc WHERE point_id NOT IN (SELECT point_id FROM bnd))
+SELECT a.frame_id AS frame_a, a.mask_id AS mask_a, b.frame_id AS frame_b, b.mask_id AS mask_b, count(*) AS k FROM i a JOIN i b USING (point_id) GROUP BY ALL""")
+def streamed_overlaps(spark, sf_dir):
+    """Points that each two masks share, as the sum of a stream's changes."""
+    return points.overlaps(streamed_changes(spark, sf_dir)).drop("seq")

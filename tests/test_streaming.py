@@ -1,5 +1,8 @@
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import containment, incidence
+from tessera.streaming import points
 from tessera.streaming.ingest import ingest, observed_points
 
 
@@ -24,3 +27,27 @@ def test_running_view(spark, tmp_path):
     query = observed_points(stream, "ts").writeStream.outputMode("update").format("memory").queryName("seen").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.points for r in spark.sql("select * from seen").collect()) == [1, 3]
+
+
+def test_points_follow_the_batch_result_however_the_stream_is_cut(spark, tmp_path):
+    """Boundary points and shared points after each of three arrivals, the last of which brings masks of early frames and rows seen before."""
+    rng = np.random.default_rng(1)
+    schema = "seq string, frame_id int, mask_id long, point_id string"
+    rows = sorted({(str(rng.choice(["a", "b"])), int(rng.integers(4)), int(rng.integers(3)), f"p{rng.integers(25)}") for _ in range(160)})
+    rng.shuffle(rows)
+    cuts = [rows[100:], rows[:50], [*rows[50:100], *rows[120:]]]
+    arrived = []
+    for n, part in enumerate(cuts):
+        part = [(s, int(f), int(m), p) for s, f, m, p in part]
+        arrived += part
+        spark.createDataFrame([*part, (None, 1, 1, "x")], schema).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        points.follow(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        changes = spark.read.parquet(str(tmp_path / "out"))
+        inc = spark.createDataFrame(arrived, schema).distinct()
+        masks = incidence.masks(inc)
+        assert {tuple(r) for r in points.boundary(changes).collect()} == {(r.seq, r.point_id) for r in incidence.boundary(inc).select("seq", "point_id").collect()}
+        place = {(r.seq, r.gid): (r.frame_id, r.mask_id) for r in masks.collect()}
+        want = {(r.seq, *place[r.seq, r.gid], *place[r.seq, r.by_gid]): r.k for r in containment.overlaps(inc, masks).collect()}
+        found = {tuple(r)[:-1]: r.k for r in points.overlaps(changes).select("seq", "frame_a", "mask_a", "frame_b", "mask_b", "k").collect()}
+        assert found == want
