@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, lines, packing, simhash
 from tessera.llm.common import held_out, table
+from tessera.llm.similar import FRUGAL
 from tessera.plans.scratch import Scratch
 
 
+def frugal(spark: SparkSession) -> None:
+    """Settings of a session that runs the stages: batches of texts and partitions that leave room on small executors."""
+    for k, v in FRUGAL.items():
+        spark.conf.set(k, v)
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns as one struct ``rest``, so that their names cannot clash with an operator's."""
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -27,18 +34,21 @@ def restored(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those that language ID rejects go. All rows of the rest stay, nulls in other columns included."""
+    frugal(spark)
     learned = langid.fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), 5))
     return restored(langid.detect(carried(docs), learned).where(~F.col("rejected")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others repeat; all documents stay, and n_chars follows the text."""
+    frugal(spark)
     found = lines.line_dedup(carried(docs))
     return restored(found, docs, text=F.col("kept"), n_chars=F.char_length("kept").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row of the smallest doc_id; rows without an id stay."""
+    frugal(spark)
     rows = carried(docs).withColumn("node", F.xxhash64("text"))
     groups = simhash.similar_documents(rows.select("node", "text"))
     named = rows.where("doc_id is not null")
@@ -52,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    frugal(spark)
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     found = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
     rows = carried(docs)
@@ -60,6 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences."""
+    frugal(spark)
     return packing.pack(docs)
 
 

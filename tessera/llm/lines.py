@@ -31,7 +31,8 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, scratc
     dropped: array of (word, bits); bit b of word w stands for line 64 w + b; words without a dropped
     line are absent, and so are documents that lose nothing. text_key tells apart rows of equal
     doc_id. Rows with a null doc_id neither count nor lose lines; equal rows lose the same lines.
-    Keys are compared by two 64-bit hashes of different seeds.
+    Keys are compared by two 64-bit hashes of different seeds. A very long text is split whole, into as
+    many rows as it has lines; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     lines = docs.where("doc_id is not null").select(
@@ -41,6 +42,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, scratc
     found = lines.where(F.char_length(key) >= min_chars).select(
         "doc_id", "text_key", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")
     )
+    found = scratch.save(found, "lines")  # texts are split and hashed once
     # one row per hash and document, then at most PIECES rows per hash, each the sum of many documents
     pieces = (
         found.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
@@ -68,16 +70,13 @@ def with_lines_dropped(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("dropped").alias("_dropped"))
     key = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
     joined = docs.join(marks, key, "left").withColumn("_lines", split_lines(F.col("text")))
-    # a dense array gives each line its bit in constant time
-    dense = F.when(
-        F.col("_dropped").isNotNull(),
-        F.transform(
-            F.sequence(F.lit(0), F.shiftright(F.size("_lines") - 1, 6)),
-            lambda w: F.coalesce(F.try_element_at(F.map_from_entries("_dropped"), w), F.lit(0).cast("long")),
-        ),
+    # the words up to the last one that is not zero, so that each line finds its bit in constant time
+    zero = F.lit(0).cast("long")
+    dense = F.aggregate(
+        "_dropped", F.array().cast("array<bigint>"), lambda upto, x: F.concat(upto, F.array_repeat(zero, x["word"] - F.size(upto)), F.array(x["bits"]))
     )
     joined = joined.withColumn("_dense", dense)
-    kept = F.filter("_lines", lambda _, i: F.getbit(F.get("_dense", F.shiftright(i, 6)), i % 64) == 0)
+    kept = F.filter("_lines", lambda _, i: F.getbit(F.coalesce(F.get("_dense", F.shiftright(i, 6)), zero), i % 64) == 0)
     joined = joined.withColumn("_kept", F.when(F.col("_dense").isNull(), F.col("_lines")).otherwise(kept))
     return joined.select(
         *docs.columns,
@@ -88,7 +87,7 @@ def with_lines_dropped(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with repeated lines dropped: all columns + n_lines, n_dropped, kept."""
+    """docs with repeated lines dropped: all columns + n_lines, n_dropped, kept. Nulls, long texts, repeated rows and empty tables as in ``line_bitmaps``."""
     return with_lines_dropped(docs, line_bitmaps(docs, min_chars, min_docs))
 
 

@@ -162,7 +162,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     same words as one that starts earlier: in a smaller doc_id, or earlier in the same document.
     Null and blank texts have no words. A null doc_id counts as the smallest. Rows of equal doc_id and
     text are one document and get equal results; rows of equal doc_id and different texts are
-    different documents in an arbitrary but fixed order.
+    different documents in an arbitrary but fixed order. A very long text is looked at whole, in memory
+    that grows with its length; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")

@@ -60,3 +60,13 @@ def test_empty_and_query(spark, tmp_path, rows):
     spark.createDataFrame(keep, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in op10_line_dedup(spark, str(tmp_path)).collect())
     assert got == sorted((i, n, d, hashlib.sha256(k.encode()).hexdigest()) for i, n, d, k in plain(keep))
+
+
+def test_a_very_long_text(spark):
+    """100,000 lines, of which every thousandth is found in two other documents."""
+    common = "a line that many documents hold, number {}"
+    long = "\n".join(common.format(i) if i % 1000 == 999 else f"own line of the document {i}" for i in range(100_000))
+    rows = [(1, long)] + [(i, "\n".join(common.format(k) for k in range(999, 100_000, 1000))) for i in (2, 3)]
+    found = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1].n_lines, found[1].n_dropped, found[2].n_dropped, found[3].n_dropped) == (100_000, 100, 100, 0)
+    assert found[1].kept == "\n".join(x for x in long.split("\n") if x.startswith("own"))

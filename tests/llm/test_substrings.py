@@ -56,3 +56,12 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_very_long_text(spark):
+    """200,000 words, of which a passage at the end stands in a short document before, and one within the text again."""
+    rng = random.Random(8)
+    own, passage = [f"u{i}" for i in range(200_000)], [f"p{rng.randrange(10**6)}" for _ in range(60)]
+    long = own + passage + own[500:560]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(long))], "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_words, got[2].n_removed) == (0, 200_120, 120) and got[2].kept == " ".join(own)
