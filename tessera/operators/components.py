@@ -63,7 +63,7 @@ def connected_components(
         least = both.groupBy(*keys, "node").agg(F.min("m").alias("m"))
         # every larger neighbour of v is linked to the least neighbour of v
         large = _join_min(now, "v", least, keys).select(*keys, "u", F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.save(large, "large")
+        large = scratch.save(large, "large", seen[0])
         down = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         # every smaller neighbour of u, and u itself, is linked to the least of them
         small = (
@@ -73,7 +73,7 @@ def connected_components(
             .unionByName(down.select(*keys, "u", F.col("m").alias("v")))
             .distinct()
         )
-        after = scratch.save(small, "edges")
+        after = scratch.save(small, "edges", 2 * seen[0])
         scratch.drop(large)
         scratch.drop(now)
         now, was = after, seen

@@ -18,6 +18,9 @@ KEY = "spark.checkpoint.dir"
 #: Frees the shuffle files of a finished write at once, not when the driver next collects its garbage.
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of a file where the number of rows is known.
+ROWS = 200_000
+
 _roots: dict[str, SparkSession] = {}
 _own: dict[str, str] = {}
 
@@ -53,10 +56,17 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables of all calls so far. For long sessions: a result that was not read yet, or is to be read again, needs its tables."""
+    for root in [r for r, of in _roots.items() if of is spark]:
+        del _roots[root]
+        _delete(spark, root)
+
+
 class Scratch:
     """Tables of one operator call. ``save`` writes and rereads; ``drop`` frees one that is done with.
 
-    Tables that feed the returned, lazy result stay until the Python process ends. settings: what holds
+    Tables that feed the returned, lazy result stay until ``clear`` or the end of the Python process. settings: what holds
     in the session while a table is written, besides the freeing of its shuffle files.
     """
 
@@ -66,7 +76,10 @@ class Scratch:
         self._paths: dict[int, str] = {}
         _roots[self.root] = spark
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """The table, written and read again. rows: how many it has at most, where that is known; a few rows fill few files."""
+        if rows is not None:
+            df = df.coalesce(rows // ROWS + 1)
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         before = {k: self.spark.conf.get(k, None) for k in self.settings}
         for k, v in self.settings.items():

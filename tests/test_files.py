@@ -48,3 +48,17 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
             scratch.shared_dir(session(master))
     for master in ("local", "local[8]", "local[*]"):
         assert scratch.shared_dir(session(master))
+
+
+def test_scratch_tables_hold_settings_and_can_be_cleared(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    made = scratch.Scratch(spark, "test", {key: "7"})
+    sizes = made.save(spark.range(20).repartition(1).mapInPandas(lambda parts: (p.agg(["size"]).rename(columns={"id": "n"}) for p in parts), "n long"), "sizes")
+    assert sorted(r.n for r in sizes.collect()) == [6, 7, 7] and spark.conf.get(key) == before
+    few = made.save(spark.range(1000).repartition(16), "few", 1000)
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 1000
+    scratch.clear(spark)
+    assert made.root not in scratch._roots
+    again = scratch.Scratch(spark, "test")
+    assert again.save(spark.range(3), "more").count() == 3
