@@ -17,6 +17,10 @@ from tessera.streaming import points
 from tessera.streaming.ingest import ingest
 
 
+#: Scenes over which rows are dealt where a layout has a file for each.
+SCENES = 8
+
+
 def as_text(spark, name: str, lines: DataFrame) -> str:
     """Writes lines (seq, n, line) in the order of n as one text file for each seq; gives a glob of the files."""
     root = f"{Scratch(spark, name).root}/files"
@@ -114,8 +118,8 @@ def camera_conf(spark, sf_dir):
 def colmap_cameras(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     model = F.when(F.col("p_partkey") % 2 == 0, "PINHOLE").otherwise("SIMPLE_RADIAL")
-    lines = p.select(F.lit("all").alias("seq"), F.col("p_partkey").alias("n"), words("p_partkey", model, "p_size", F.col("p_partkey") % 99, "p_retailprice", "p_size", F.lit("3 4")).alias("line"))
-    lines = lines.unionByName(spark.createDataFrame([("all", -1, "# cameras, one a line")], "seq string, n long, line string"))
+    lines = p.select((F.col("p_partkey") % SCENES).cast("string").alias("seq"), F.col("p_partkey").alias("n"), words("p_partkey", model, "p_size", F.col("p_partkey") % 99, "p_retailprice", "p_size", F.lit("3 4")).alias("line"))
+    lines = lines.unionByName(spark.createDataFrame([(str(i), -1, "# cameras, one a line") for i in range(SCENES)], "seq string, n long, line string"))
     return layouts.scan_colmap_cameras(spark, as_text(spark, "cameras", lines)).select("camera_id", "model", "width", "height", "intr.*")
 
 
@@ -130,7 +134,7 @@ def colmap_world_poses(spark, sf_dir):
     name = F.concat(F.lit("frame_"), F.lpad(F.col("vec_id").cast("string"), 6, "0"), F.lit(".jpg"))
     body = F.when(F.col("vec_id") % 2 == 0, F.lit("1.0 2.0 7")).otherwise("")
     lines = F.array(F.struct((2 * F.col("vec_id")).alias("n"), words("vec_id", F.array_join(F.transform("q", lambda x: x.cast("string")), " "), F.array_join(F.transform("t", lambda x: x.cast("string")), " "), F.lit(1), name).alias("line")), F.struct((2 * F.col("vec_id") + 1).alias("n"), body.alias("line")))
-    rows = e.select(F.lit("all").alias("seq"), F.explode(lines).alias("l")).select("seq", "l.n", "l.line")
+    rows = e.select((F.col("vec_id") % SCENES).cast("string").alias("seq"), F.explode(lines).alias("l")).select("seq", "l.n", "l.line")
     camera = spark.createDataFrame([("all", 0, "1 PINHOLE 640 480 400 410 320 240")], "seq string, n int, line string")
     found = layouts.colmap_poses(layouts.scan_colmap_images(spark, as_text(spark, "images", rows)), layouts.scan_colmap_cameras(spark, as_text(spark, "camera", camera)))
     return found.select("frame_id", F.posexplode("pose").alias("i", "value"), "intr.fx").select("frame_id", "i", (F.round("value", 6) + 0.0).alias("value"), "fx")
@@ -231,8 +235,7 @@ def gt_from_segments(spark, sf_dir):
     return found.select(F.col("seq").cast("long").alias("scene"), "point_id", "gt_id")
 
 
-#: Meshes of eight scenes: parts as vertices, lines of orders as faces in the order of order and line; the supplier is a face's category, its first part its segment.
-SCENES = 8
+#: Meshes of the scenes: parts as vertices, lines of orders as faces in the order of order and line; the supplier is a face's category, its first part its segment.
 FACES = """
 v AS (SELECT p_partkey % 8 AS scene, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) - 1 AS point_id, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y, CAST(p_partkey AS DOUBLE) AS z FROM part),
 n AS (SELECT scene, count(*) AS n FROM v GROUP BY scene),
