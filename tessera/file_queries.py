@@ -622,7 +622,7 @@ def streamed_changes(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{scratch.root}/changes")
 
 
-LINES_SQL = "inc AS (SELECT DISTINCT CAST(regexp_extract(source, '\d+') AS BIGINT) AS frame_id, doc_id AS mask_id, unnest(string_split(text, chr(10))) AS point_id FROM documents), bnd AS (SELECT DISTINCT point_id FROM (SELECT point_id FROM inc GROUP BY point_id, frame_id HAVING count(*) > 1))"
+LINES_SQL = r"inc AS (SELECT DISTINCT CAST(regexp_extract(source, '\d+') AS BIGINT) AS frame_id, doc_id AS mask_id, unnest(string_split(text, chr(10))) AS point_id FROM documents), bnd AS (SELECT DISTINCT point_id FROM (SELECT point_id FROM inc GROUP BY point_id, frame_id HAVING count(*) > 1))"
 
 
 @query(f"WITH {LINES_SQL} SELECT point_id FROM bnd")

@@ -289,7 +289,39 @@ def overlap_merge_joined(spark, sf_dir):
     return postprocess.overlapped(postprocess.object_overlaps(part_sets(spark, sf_dir)), 0.8, most=0).select("object_id")
 
 
-@query()
+WHOLE_SQL = PARTS_SQL + rounds_sql(20, PARTS) + """,
+big AS (SELECT node, gid FROM nd20 WHERE node IN (SELECT node FROM nd20 GROUP BY node HAVING count(*) >= 2)),
+sc AS (SELECT p_partkey AS point_id, p_size / 50::DOUBLE AS x, p_retailprice / 2000::DOUBLE AS y, (p_partkey % 7) / 7::DOUBLE AS z FROM part),
+pp AS (SELECT DISTINCT node, point_id, x, y, z FROM big JOIN msk USING (gid) JOIN inc USING (frame_id, mask_id) JOIN sc USING (point_id)),
+near AS (SELECT a.node, a.point_id AS i, b.point_id AS j FROM pp a JOIN pp b ON a.node = b.node AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.1::DOUBLE * 0.1::DOUBLE),
+cor AS (SELECT node, i FROM near GROUP BY ALL HAVING count(*) >= 4),
+ce AS (SELECT node, i, j FROM near SEMI JOIN cor USING (node, i) WHERE (node, j) IN (SELECT node, i FROM cor)),
+lab(node, i, m) USING KEY (node, i) AS (SELECT node, i, i FROM cor UNION
+  SELECT ce.node, ce.j, min(w.m) FROM lab w JOIN ce ON ce.node = w.node AND ce.i = w.i JOIN recurring.lab r ON r.node = ce.node AND r.i = ce.j WHERE w.m < r.m GROUP BY ALL),
+hd AS (SELECT node, i, dense_rank() OVER (PARTITION BY node ORDER BY m) AS component FROM lab),
+bd AS (SELECT near.node, near.j AS i, min(component) AS component FROM near JOIN hd ON hd.node = near.node AND hd.i = near.i GROUP BY ALL),
+np AS (SELECT pp.node, pp.point_id, coalesce(hd.component, bd.component, 0) AS component FROM pp LEFT JOIN hd ON hd.node = pp.node AND hd.i = pp.point_id LEFT JOIN bd ON bd.node = pp.node AND bd.i = pp.point_id),
+nf AS (SELECT DISTINCT node, frame_id FROM big JOIN vf USING (gid)),
+vid AS (SELECT np.node, np.component, np.point_id, count(pf.frame_id) AS in_video FROM np JOIN nf USING (node) LEFT JOIN pf ON pf.point_id = np.point_id AND pf.frame_id = nf.frame_id GROUP BY ALL),
+own AS (SELECT big.node, inc.point_id, count(DISTINCT msk.frame_id) AS in_node FROM big JOIN msk USING (gid) JOIN nf ON nf.node = big.node AND nf.frame_id = msk.frame_id
+  JOIN inc ON inc.frame_id = msk.frame_id AND inc.mask_id = msk.mask_id GROUP BY ALL),
+ass AS (SELECT big.node, big.gid, np.component, count(*) AS k FROM big JOIN msk USING (gid) JOIN inc USING (frame_id, mask_id) JOIN np ON np.node = big.node AND np.point_id = inc.point_id GROUP BY big.node, big.gid, np.component
+  QUALIFY row_number() OVER (PARTITION BY big.node, big.gid ORDER BY k DESC, np.component) = 1),
+enough AS (SELECT node, component, count(*) AS masks FROM ass GROUP BY ALL HAVING count(*) >= 2),
+kept AS (SELECT node, component, point_id FROM vid LEFT JOIN own USING (node, point_id) SEMI JOIN enough USING (node, component) WHERE coalesce(in_node, 0) / (in_video + 1e-6::DOUBLE) > 0.5::DOUBLE),
+ids AS (SELECT node, component, row_number() OVER (ORDER BY node, component) - 1 AS object_id FROM (SELECT DISTINCT node, component FROM kept)),
+pts AS (SELECT object_id, point_id FROM kept JOIN ids USING (node, component)), n AS (SELECT object_id, count(*) AS n FROM pts GROUP BY ALL),
+ovl AS (SELECT a.object_id AS i, b.object_id AS j, count(*) AS k FROM pts a JOIN pts b ON a.point_id = b.point_id AND a.object_id < b.object_id GROUP BY ALL),
+pr AS (SELECT i, j, k / a.n > 0.8::DOUBLE AS inner_i FROM ovl JOIN n a ON a.object_id = i JOIN n b ON b.object_id = j WHERE k / a.n > 0.8::DOUBLE OR k / b.n > 0.8::DOUBLE),
+o AS (SELECT object_id, row_number() OVER (ORDER BY object_id) AS r FROM n),
+w(r, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.r + 1, CASE WHEN list_contains(w.gone, o.object_id) THEN w.gone ELSE list_concat(w.gone,
+  coalesce((SELECT list(CASE WHEN inner_i THEN i ELSE j END) FROM pr WHERE pr.i = o.object_id AND NOT list_contains(w.gone, pr.j)), [])) END FROM w JOIN o ON o.r = w.r + 1),
+lost AS (SELECT DISTINCT unnest(gone) AS object_id FROM w WHERE r = (SELECT max(r) FROM w))
+SELECT row_number() OVER (ORDER BY object_id) - 1 AS object_id, n AS points, masks, least(masks, 5)::BIGINT AS representatives
+FROM n ANTI JOIN lost USING (object_id) JOIN ids USING (object_id) JOIN enough USING (node, component)"""
+
+
+@query(WHOLE_SQL)
 def whole_pipeline_objects(spark, sf_dir):
     """Clustering, splitting, filtering and merging of parts as points in the space of size, price and number."""
     p = table(spark, sf_dir, "part")

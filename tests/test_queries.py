@@ -19,15 +19,13 @@ def test_registry():
 @needs_data
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
-    names, rows = rows_of(QUERIES[name](spark, DATA))
-    assert (names, rows) == sql_rows(connect(DATA), ORACLE_SQL[name])
+    at = LARGER.get(name, DATA)
+    names, rows = rows_of(QUERIES[name](spark, at))
+    assert rows and (names, rows) == sql_rows(connect(at), ORACLE_SQL[name])
 
 
-@needs_data
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_other_queries_run(spark, name):
-    found = QUERIES[name](spark, LARGER.get(name, DATA))
-    assert found.count() > 0 and len(set(found.columns)) == len(found.columns)
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 @needs_data
