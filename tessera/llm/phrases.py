@@ -213,7 +213,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     scratch = scratch or Scratch(docs.sparkSession, "phrases")
     if bits is None:
         n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(32 + RANGE_BITS, max(16, (n // 8).bit_length()))
+        bits = min(30 + RANGE_BITS, max(16, (n // 8).bit_length()))
     range_bits = min(bits - 1, max(LEAST_RANGE_BITS, bits - RANGE_BITS))
     low = bits - range_bits
     blocks = scratch.save(blocks_of(docs, bits, range_bits, longest, size).withColumn("block", F.monotonically_increasing_id()), "blocks")
