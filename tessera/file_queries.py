@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -415,6 +416,35 @@ def replaced_scenes(spark, sf_dir):
     return spark.read.parquet(root).select("vec_id", F.col("seq").cast("long").alias("scene"))
 
 
+@query("SELECT vec_id, label AS scene FROM embeddings WHERE label % 3 <> 0")
+def removed_scenes(spark, sf_dir):
+    """Scenes whose outputs are removed are gone; the others stay."""
+    root = f"{Scratch(spark, 'removed').root}/features"
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq"), "vec_id")
+    sinks.write_scenes(e, root)
+    sinks.remove_scenes(spark, root, [str(r.seq) for r in e.where("seq % 3 = 0").select("seq").distinct().collect()])
+    return spark.read.parquet(root).select("vec_id", F.col("seq").cast("long").alias("scene"))
+
+
+#: Images of a row for each line number and a column for each part modulo 64, side by side with the colours of their values, at half size.
+@query(f"""WITH {ROWS_SQL}, c AS (SELECT frame_id, v // 2 AS y, u // 2 AS x, value, CAST(value AS INT) AS i FROM al WHERE v % 2 = 0 AND u % 2 = 0)
+SELECT frame_id, y, x, value AS r, value AS g, value AS b FROM c UNION ALL
+SELECT frame_id, y, x + {WIDTH // 2}, (i & 1) * 128 + ((i >> 3) & 1) * 64 + ((i >> 6) & 1) * 32, ((i >> 1) & 1) * 128 + ((i >> 4) & 1) * 64 + ((i >> 7) & 1) * 32, ((i >> 2) & 1) * 128 + ((i >> 5) & 1) * 64 FROM c""")
+def mask_pictures(spark, sf_dir):
+    glob = pictures(spark, sf_dir)
+    whole = images.scan_rgb(spark, glob).select(F.lit("s").alias("seq"), frame_number().alias("frame_id"), "height", "width", "channels", "data")
+    labels = images.scan_segmentation(spark, glob).where("mask_id <> 0").select(F.lit("s").alias("seq"), frame_number().alias("frame_id"), "v", "u", *(c.alias(n) for c, n in zip(geometry.palette(F.col("mask_id")), "rgb")))
+
+    def pixels(batches):
+        for batch in batches:
+            for frame, content in zip(batch["frame_id"], batch["content"]):
+                image = images.decode_png(content)
+                y, x = (k.ravel() for k in np.indices(image.shape[:2]))
+                yield pd.DataFrame({"frame_id": frame, "y": y, "x": x, **{c: image[:, :, k].ravel() for k, c in enumerate("rgb")}})
+
+    return images.mask_pictures(whole, labels).mapInPandas(pixels, "frame_id long, y long, x long, r long, g long, b long")
+
+
 @query("SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS content FROM supplier WHERE s_suppkey % 2 = 0")
 def copied_files(spark, sf_dir):
     """Half of the files of a folder, a supplier each, copied to another one and read there."""

@@ -63,13 +63,13 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def encode_png(image: np.ndarray) -> bytes:
-    """A grey uint8 or uint16 image as PNG."""
-    height, width = image.shape
-    depth = 16 if image.dtype == np.uint16 else 8
-    raw = image.astype(">u2").view(np.uint8).reshape(height, -1) if depth == 16 else image.astype(np.uint8)
+    """A grey uint8 or uint16 image, or an RGB uint8 one (height, width, 3), as PNG."""
+    height, width = image.shape[:2]
+    depth, colour = 16 if image.dtype == np.uint16 else 8, 2 if image.ndim == 3 else 0
+    raw = image.astype(">u2").view(np.uint8).reshape(height, -1) if depth == 16 else image.astype(np.uint8).reshape(height, -1)
     packed = zlib.compress(np.hstack([np.zeros((height, 1), np.uint8), raw]).tobytes())
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, 0, 0, 0, 0)) + chunk(b"IDAT", packed) + chunk(b"IEND", b"")
+    return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)) + chunk(b"IDAT", packed) + chunk(b"IEND", b"")
 
 
 def nearest(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -143,6 +143,31 @@ def runs_as_png(runs: DataFrame, height: int, width: int) -> DataFrame:
     return runs.groupBy("seq", "frame_id").applyInPandas(run, f"seq {kinds['seq']}, frame_id {kinds['frame_id']}, content binary")
 
 
+def mask_pictures(pictures: DataFrame, labels: DataFrame) -> DataFrame:
+    """Columns seq, frame_id, content: each picture and the colours of its masks side by side at half size, as PNG.
+
+    pictures: seq, frame_id, height, width, channels, data (rows of RGB bytes); labels: seq, frame_id,
+    v, u, r, g, b of the pixels with a mask, the others are black. A picture without masks has a black half.
+    """
+    kinds = dict(pictures.dtypes)
+
+    def run(key: tuple, one: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for height, width, channels, data in zip(one["height"], one["width"], one["channels"], one["data"]):
+            left = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+            left = left[:, :, :3] if channels >= 3 else np.repeat(left[:, :, :1], 3, axis=2)
+            right = np.zeros((height, width, 3), np.uint8)
+            right[masks["v"].to_numpy(int), masks["u"].to_numpy(int)] = masks[["r", "g", "b"]].to_numpy(np.uint8)
+            half = lambda x: nearest(x, max(1, height // 2), max(1, width // 2))
+            out.append((*key, encode_png(np.hstack([half(left), half(right)]))))
+        return pd.DataFrame(out, columns=["seq", "frame_id", "content"])
+
+    keys = ["seq", "frame_id"]
+    a = pictures.select(*keys, "height", "width", "channels", "data")
+    b = labels.select(*keys, "v", "u", "r", "g", "b")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, f"seq {kinds['seq']}, frame_id {kinds['frame_id']}, content binary")
+
+
 def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """Columns of boxes + crop: the pixels of each box on a white square, as rows of bytes, for an external encoder.
 

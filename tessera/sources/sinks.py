@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,15 @@ def write_scenes(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(path)
 
 
+def remove_scenes(spark: SparkSession, path: str, seqs: list[str]) -> int:
+    """Removes the folders of some scenes that ``write_scenes`` or ``write_gt_text`` wrote; gives how many there were."""
+    jvm, n = spark.sparkContext._jvm, 0
+    for seq in seqs:
+        at = jvm.org.apache.hadoop.fs.Path(path, f"seq={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(seq))}")
+        n += at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """Writes each row of files (name, content) as one file below root, on the executors; gives their number.
 

@@ -37,6 +37,8 @@ def test_png(kind):
     image = np.random.default_rng(0).integers(0, np.iinfo(kind).max, (11, 7)).astype(kind)
     assert (images.decode_png(png(image, [0, 1, 2, 3, 4])) == image).all()
     assert (images.decode_png(images.encode_png(image)) == image).all()
+    colour = np.random.default_rng(1).integers(0, 255, (5, 4, 3)).astype(np.uint8)
+    assert (images.decode_png(images.encode_png(colour)) == colour).all()
     with pytest.raises(ValueError):
         images.decode_png(b"no image")
     assert images.nearest(np.arange(12).reshape(3, 4), 6, 2).tolist() == [[0, 2], [0, 2], [4, 6], [4, 6], [8, 10], [8, 10]]
