@@ -111,10 +111,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, scratc
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(fingerprints(docs, size), "fingerprints")
-    nodes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("named")), "nodes")
+    n = marked.count()  # at most so many nodes
+    nodes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("named")), "nodes", n)
     near = connected_components(links(nodes, radius, scratch=scratch), "a", "b", scratch=scratch).withColumnRenamed("node", "fp")
-    placed = scratch.save(nodes.join(near, "fp", "left").select("fp", "named", F.coalesce("component", "fp").alias("c")), "grouped")
-    placed = scratch.save(placed.join(placed.groupBy("c").agg(F.min("named").alias("component_id")), "c").select("fp", "component_id"), "placed")
+    placed = scratch.save(nodes.join(near, "fp", "left").select("fp", "named", F.coalesce("component", "fp").alias("c")), "grouped", n)
+    placed = scratch.save(placed.join(placed.groupBy("c").agg(F.min("named").alias("component_id")), "c").select("fp", "component_id"), "placed", n)
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
