@@ -29,7 +29,7 @@ LONGEST, MIN_COUNT, WITHIN = 4, 30, 80
 #: Best phrases of a language, and what a score of one stands for.
 BEST, SCALE = 2000, 1_000_000
 #: Bytes of a block of texts, and of all blocks that a task fills at once; bytes that are hashed at once.
-BLOCK, OPEN, CHUNK = 4 << 20, 32 << 20, 1 << 20
+BLOCK, OPEN, CHUNK = 2 << 20, 16 << 20, 1 << 20
 #: Characters that end a piece; no phrase reaches over one.
 ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Stands for an end in a block; no UTF-8 text holds this byte.
@@ -193,6 +193,8 @@ def counted(blocks: DataFrame, heavy: DataFrame, bits: int, low: int, longest: i
             fits = np.zeros(len(t), bool)
             fits[at] = True
             patterns.update(text[s : e + 2] for s, e in zip(starts[at].tolist(), ends[at + k].tolist()))
+        n = int(there[0].sum())
+        del starts, ends, of, there, fits, cells  # before the automaton is built
         found, counts = sorted(patterns), np.zeros(0, np.int64)
         if found:
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -201,7 +203,7 @@ def counted(blocks: DataFrame, heavy: DataFrame, bits: int, low: int, longest: i
             automaton.make_automaton()
             counts = np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(found))
         phrases = [b"", *(p[1:-1].encode("latin-1") for p in found)]
-        return pa.table({"lang": pa.array([lang] * len(phrases)), "phrase": pa.array(phrases, pa.binary()), "k": pa.array([int(there[0].sum()), *counts.tolist()], pa.int64())})
+        return pa.table({"lang": pa.array([lang] * len(phrases)), "phrase": pa.array(phrases, pa.binary()), "k": pa.array([n, *counts.tolist()], pa.int64())})
 
     return blocks.select("block", "lang", "text").groupBy("block").cogroup(heavy.groupBy("block")).applyInArrow(scan, "lang string, phrase binary, k long")
 
