@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import per_row, table
@@ -222,10 +223,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return per_row(lambda: row, LINES_SCHEMA)(batches)
 
 
-COUNTS = "host long, place long, line long, n long, same long, address string, path string, page string, last boolean, lines array<long>, places array<long>"
+COUNTS = "host long, place long, line long, n long, same long, address string, path string, page string, last boolean, lines array<long>, places array<long>, range long"
 COUNTS_SCHEMA = pa.schema(
     [(n, pa.int64()) for n in ("host", "place", "line", "n", "same")]
-    + [("address", pa.string()), ("path", pa.string()), ("page", pa.string()), ("last", pa.bool_()), ("lines", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
+    + [("address", pa.string()), ("path", pa.string()), ("page", pa.string()), ("last", pa.bool_()), ("lines", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("range", pa.int64())]
 )
 
 
@@ -272,19 +273,30 @@ def _range_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     yield from _differences(seen())
     if ends:
-        kept = ("host", "address", "path", "page", "lines", "places")
-        rows = [{**{k: r[k] for k in kept}, "last": side} for r, side in ((ends[0], False), (ends[-1], True))]
+        kept, name = ("host", "address", "path", "page", "lines", "places"), uuid.uuid4().int >> 65
+        rows = [{**{k: r[k] for k in kept}, "last": side, "range": name} for r, side in ((ends[0], False), (ends[-1], True))]
         yield pa.RecordBatch.from_pylist(rows, COUNTS_SCHEMA)
 
 
 def _border_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shared lines of the last page of each range and the first page of the next one."""
-    before = None
+    """The shared lines of pages a and b, which are neighbours in two ranges."""
     for batch in batches:
-        for row in batch.to_pylist():
-            if before and before["last"] and not row["last"]:
-                yield from _differences(iter([before, row]), own=False)
-            before = row
+        for at in range(batch.num_rows):
+            for row in batch.slice(at, 1).to_pylist():
+                yield from _differences(iter([row["a"], row["b"]]), own=False)
+
+
+def _borders(ends: DataFrame) -> DataFrame:
+    """Columns a, b: the last page of each range and the first page of the next one, where they are of one host.
+
+    Only the addresses of two pages a range are put in order in one task; their lines are joined to them.
+    """
+    order = Window.orderBy("address", "path", "page", "last")
+    small = ends.select("address", "path", "page", "last", "range", "host")
+    met = small.withColumn("next", F.lead(F.struct("range", "last", "host")).over(order)).where(F.col("last") & ~F.col("next.last") & (F.col("host") == F.col("next.host")))
+    row = F.struct("host", "lines", "places")
+    a, b = (ends.where(F.col("last") == side).select(F.col("range").alias(of), row.alias(name)) for side, of, name in ((True, "range", "a"), (False, "other", "b")))
+    return met.select("range", F.col("next.range").alias("other")).join(a, "range").join(b, "other").select("a", "b")
 
 
 def templates(seen: DataFrame, scratch: Scratch) -> DataFrame:
@@ -292,13 +304,12 @@ def templates(seen: DataFrame, scratch: Scratch) -> DataFrame:
 
     seen: the rows of ``LINES``. Pages are dealt by ranges of their addresses, so a large host fills
     many tasks; only hashes of lines travel, counted before they do. The last page of a range meets
-    the first one of the next range in a task that gets two pages a range.
+    the first one of the next range.
     """
     order = ("address", "path", "page", "key")
     dealt = seen.repartitionByRange(*order).sortWithinPartitions(*order)
     met = scratch.save(dealt.select(*order, "host", "lines", "places").mapInArrow(_range_differences, COUNTS), "differences")
-    ends = met.where("last is not null").repartition(1).sortWithinPartitions("address", "path", "page", "last")
-    counts = met.where("last is null").unionByName(ends.mapInArrow(_border_differences, COUNTS))
+    counts = met.where("last is null").unionByName(_borders(met.where("last is not null")).mapInArrow(_border_differences, COUNTS))
     lines = counts.groupBy("host", "place", "line").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     lines = lines.groupBy("host", "place", F.when(F.col("same") > 0, F.col("line")).alias("line")).agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     found = scratch.save(lines, "lines")
