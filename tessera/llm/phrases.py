@@ -5,8 +5,8 @@ whole of it: each block of texts counts the cells of its own phrases, ranges of
 in one group, and a block gets back those of its cells whose upper bound reaches the threshold. The
 phrases of a block that fall in such cells, all of whose own parts do so too, are compiled into an
 Aho-Corasick automaton with a delimiter at both ends of every pattern; a scan of the block counts
-their overlapping matches. These counts are summed over blocks before the threshold is applied, so
-that the sketch changes the work and never a count.
+their overlapping matches. These counts are summed over groups of blocks, and then over all, before the
+threshold is applied, so that the sketch changes the work and never a count.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ LONGEST, MIN_COUNT, WITHIN = 4, 30, 80
 BEST, SCALE = 2000, 1_000_000
 #: Bytes of a block of texts, and of all blocks that a task fills at once; bytes that are hashed at once.
 BLOCK, OPEN, CHUNK = 2 << 20, 16 << 20, 1 << 20
+#: Blocks, of all languages, for each group of blocks of one language that are scanned one after another.
+GROUP = 24
 #: Characters that end a piece; no phrase reaches over one.
 ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Stands for an end in a block; no UTF-8 text holds this byte.
@@ -113,7 +115,7 @@ def _numbers(x: bytes) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, bits: int, range_bits: int, longest: int, size: int = BLOCK) -> DataFrame:
-    """Columns lang, text, parts: plain texts of a language in blocks, with the counts of their cells by range."""
+    """Columns lang, text, parts: plain texts of a language in blocks, compressed, with the counts of their cells by range."""
     part = pa.struct([("range", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
     schema = pa.schema([("lang", pa.string()), ("text", pa.binary()), ("parts", pa.list_(part))])
     low = bits - range_bits
@@ -126,7 +128,7 @@ def blocks_of(docs: DataFrame, bits: int, range_bits: int, longest: int, size: i
         parts = [
             {"range": int(found[i] >> low), "cells": _packed(found[i:j] & ((1 << low) - 1)), "counts": zstandard.compress(counts[i:j].tobytes(), 1)} for i, j in zip(at, at[1:])
         ]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([block], pa.binary()), pa.array([parts], schema.field("parts").type)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([zstandard.compress(block, 3)], pa.binary()), pa.array([parts], schema.field("parts").type)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
@@ -156,56 +158,71 @@ def blocks_of(docs: DataFrame, bits: int, range_bits: int, longest: int, size: i
 
 
 def heavy_cells(parts: DataFrame, low: int, min_count: int) -> DataFrame:
-    """Columns block, heavy: of each part (block, range, cells, counts) the cells whose sum over all blocks is min_count or more."""
+    """Columns grp, block, range, heavy: of each part (grp, block, range, cells, counts) the cells whose sum over all blocks is min_count or more."""
 
     def of_range(key: tuple, rows: pa.Table) -> pa.Table:
         total = np.zeros(1 << low, np.uint32)
         for cells, counts in zip(rows["cells"], rows["counts"]):
             total[_numbers(cells.as_py())] += np.frombuffer(zstandard.decompress(counts.as_py()), np.uint8)
         out = []
-        for block, cells in zip(rows["block"].to_pylist(), rows["cells"]):
+        for grp, block, cells in zip(rows["grp"].to_pylist(), rows["block"].to_pylist(), rows["cells"]):
             found = _numbers(cells.as_py())
             found = found[total[found] >= min_count]
             if len(found):
-                out.append((block, _packed(found)))
-        blocks, heavy = zip(*out) if out else ((), ())
+                out.append((grp, block, _packed(found)))
+        grp, blocks, heavy = zip(*out) if out else ((), (), ())
         n = pa.array([key[0].as_py()] * len(out), pa.int32())
-        return pa.table({"block": pa.array(blocks, pa.int64()), "range": n, "heavy": pa.array(heavy, pa.binary())})
-
-    return parts.groupBy("range").applyInArrow(of_range, "block long, range int, heavy binary")
+        return pa.table({"grp": pa.array(grp, pa.int64()), "block": pa.array(blocks, pa.int64()), "range": n, "heavy": pa.array(heavy, pa.binary())})
+
+    return parts.groupBy("range").applyInArrow(of_range, "grp long, block long, range int, heavy binary")
+
+
+def matches(lang: str, block: bytes, cells: np.ndarray, bits: int, longest: int) -> tuple[int, list[str], np.ndarray]:
+    """(words, candidates between their delimiters, overlapping matches of each) of a block; cells: its heavy ones, in order."""
+    starts, ends, of, there = phrase_cells(block, lang, bits, longest)
+    text = f" {block.decode('latin-1')} "  # a character for each byte
+    patterns: set[str] = set()
+    fits = None
+    for k, (c, t) in enumerate(zip(of, there)):
+        fits = t if fits is None else t & fits[:-1] & fits[1:]
+        at = np.flatnonzero(fits)
+        c = c[at].astype(np.int64)
+        at = at[cells[np.minimum(np.searchsorted(cells, c), len(cells) - 1)] == c] if len(cells) else at[:0]
+        fits = np.zeros(len(t), bool)
+        fits[at] = True
+        patterns.update(text[s : e + 2] for s, e in zip(starts[at].tolist(), ends[at + k].tolist()))
+    n = int(there[0].sum())
+    del starts, ends, of, there, fits  # before the automaton is built
+    found, counts = sorted(patterns), np.zeros(0, np.int64)
+    if found:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, p in enumerate(found):
+            automaton.add_word(p, i)
+        automaton.make_automaton()
+        counts = np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(found))
+    return n, found, counts
 
 
 def counted(blocks: DataFrame, heavy: DataFrame, bits: int, low: int, longest: int) -> DataFrame:
-    """Columns lang, phrase (UTF-8), k: overlapping matches of a block's candidates; the words of a block stand under the empty phrase."""
+    """Columns lang, phrase (UTF-8), k: overlapping matches of the blocks' candidates, summed over a group (grp) of blocks; its words stand under the empty phrase."""
 
     def scan(key: tuple, own: pa.Table, marked: pa.Table) -> pa.Table:
-        lang, block = own["lang"][0].as_py(), own["text"][0].as_py()
-        cells = np.sort(np.concatenate([_numbers(h.as_py()) + (r << low) for r, h in zip(marked["range"].to_pylist(), marked["heavy"])] or [np.zeros(0, np.int64)]))
-        starts, ends, of, there = phrase_cells(block, lang, bits, longest)
-        text = f" {block.decode('latin-1')} "  # a character for each byte
-        patterns: set[str] = set()
-        fits = None
-        for k, (c, t) in enumerate(zip(of, there)):
-            fits = t if fits is None else t & fits[:-1] & fits[1:]
-            at = np.flatnonzero(fits)
-            c = c[at].astype(np.int64)
-            at = at[cells[np.minimum(np.searchsorted(cells, c), len(cells) - 1)] == c] if len(cells) else at[:0]
-            fits = np.zeros(len(t), bool)
-            fits[at] = True
-            patterns.update(text[s : e + 2] for s, e in zip(starts[at].tolist(), ends[at + k].tolist()))
-        n = int(there[0].sum())
-        del starts, ends, of, there, fits, cells  # before the automaton is built
-        found, counts = sorted(patterns), np.zeros(0, np.int64)
-        if found:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, p in enumerate(found):
-                automaton.add_word(p, i)
-            automaton.make_automaton()
-            counts = np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(found))
-        phrases = [b"", *(p[1:-1].encode("latin-1") for p in found)]
-        return pa.table({"lang": pa.array([lang] * len(phrases)), "phrase": pa.array(phrases, pa.binary()), "k": pa.array([n, *counts.tolist()], pa.int64())})
-
-    return blocks.select("block", "lang", "text").groupBy("block").cogroup(heavy.groupBy("block")).applyInArrow(scan, "lang string, phrase binary, k long")
+        cells: dict[int, list[np.ndarray]] = {}
+        for block, r, h in zip(marked["block"].to_pylist(), marked["range"].to_pylist(), marked["heavy"]):
+            cells.setdefault(block, []).append(_numbers(h.as_py()) + (r << low))
+        sums: dict[str, dict[str, int]] = {}
+        for block, lang, text in zip(own["block"].to_pylist(), own["lang"].to_pylist(), own["text"]):
+            mine = np.sort(np.concatenate(cells.pop(block, [np.zeros(0, np.int64)])))
+            n, found, counts = matches(lang, zstandard.decompress(text.as_py()), mine, bits, longest)
+            total = sums.setdefault(lang, {})
+            total["  "] = total.get("  ", 0) + n
+            for p, k in zip(found, counts.tolist()):
+                total[p] = total.get(p, 0) + k
+        rows = [(lang, p[1:-1].encode("latin-1"), k) for lang, total in sums.items() for p, k in total.items()]
+        langs, phrases, counts = zip(*rows) if rows else ((), (), ())
+        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()), "k": pa.array(counts, pa.int64())})
+
+    return blocks.select("grp", "block", "lang", "text").groupBy("grp").cogroup(heavy.groupBy("grp")).applyInArrow(scan, "lang string, phrase binary, k long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, scratch: Scratch | None = None, size: int = BLOCK, bits: int | None = None) -> DataFrame:
@@ -218,13 +235,14 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
         bits = min(30 + RANGE_BITS, max(16, (n // 8).bit_length()))
     range_bits = min(bits - 1, max(LEAST_RANGE_BITS, bits - RANGE_BITS))
     low = bits - range_bits
-    blocks = scratch.save(blocks_of(docs, bits, range_bits, longest, size).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    parts = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.*")
+    made = scratch.save(blocks_of(docs, bits, range_bits, longest, size).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = made.withColumn("grp", F.xxhash64("lang", F.pmod(F.xxhash64("block"), F.lit(-(-made.count() // GROUP) or 1))))
+    parts = blocks.select("grp", "block", F.explode("parts").alias("p")).select("grp", "block", "p.*")
     heavy = scratch.save(heavy_cells(parts, low, min_count), "heavy")
     met = counted(blocks, heavy, bits, low, longest).groupBy("lang", "phrase").agg(F.sum("k").alias("f"))
     found = met.where((F.col("f") >= min_count) | (F.length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
     out = scratch.save(found, "counts")
-    for done in (heavy, blocks):
+    for done in (heavy, made):
         scratch.drop(done)
     return out
 

@@ -91,7 +91,7 @@ def test_candidates_are_fewer_than_phrases(spark):
     blocks = []
     from tessera.llm import phrases
 
-    frame = phrases.blocks_of(spark.createDataFrame([("en", text)], DOC), 18, 6, 4).selectExpr("0L as block", "explode(parts) as p").select("block", "p.*")
+    frame = phrases.blocks_of(spark.createDataFrame([("en", text)], DOC), 18, 6, 4).selectExpr("0L as grp", "0L as block", "explode(parts) as p").select("grp", "block", "p.*")
     for r in heavy_cells(frame, 12, 30).collect():
         blocks += phrases._numbers(r.heavy).tolist()
     assert 8 <= len(blocks) < 100
