@@ -32,6 +32,8 @@ BEST, SCALE = 2000, 1_000_000
 BLOCK, OPEN, CHUNK = 2 << 20, 16 << 20, 1 << 20
 #: Blocks, of all languages, for each group of blocks of one language that are scanned one after another.
 GROUP = 24
+#: Buckets of phrases in which their counts meet, at least; as many as groups of a language where those are more.
+BUCKETS = 16
 #: Characters that end a piece; no phrase reaches over one.
 ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Stands for an end in a block; no UTF-8 text holds this byte.
@@ -106,12 +108,13 @@ def phrase_cells(block: bytes, lang: str, bits: int, longest: int) -> tuple[np.n
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Sorted numbers, as differences."""
-    return zstandard.compress(np.diff(x, prepend=0).astype(np.uint32).tobytes(), 1)
+    """Sorted numbers, as differences; their first bytes, then their second ones and so on, the last of which are mostly zero."""
+    return zstandard.compress(np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _numbers(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(x), np.uint32), dtype=np.int64)
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
 def blocks_of(docs: DataFrame, bits: int, range_bits: int, longest: int, size: int = BLOCK) -> DataFrame:
@@ -203,8 +206,11 @@ def matches(lang: str, block: bytes, cells: np.ndarray, bits: int, longest: int)
     return n, found, counts
 
 
-def counted(blocks: DataFrame, heavy: DataFrame, bits: int, low: int, longest: int) -> DataFrame:
-    """Columns lang, phrase (UTF-8), k: overlapping matches of the blocks' candidates, summed over a group (grp) of blocks; its words stand under the empty phrase."""
+def counted(blocks: DataFrame, heavy: DataFrame, bits: int, low: int, longest: int, buckets: int) -> DataFrame:
+    """Columns lang, bucket, phrases, counts: overlapping matches of the blocks' candidates, summed over a group (grp) of blocks.
+
+    A row lists the phrases of a bucket, in the order of their bytes; the number of a group's words stands under the empty phrase.
+    """
 
     def scan(key: tuple, own: pa.Table, marked: pa.Table) -> pa.Table:
         cells: dict[int, list[np.ndarray]] = {}
@@ -218,11 +224,33 @@ def counted(blocks: DataFrame, heavy: DataFrame, bits: int, low: int, longest: i
             total["  "] = total.get("  ", 0) + n
             for p, k in zip(found, counts.tolist()):
                 total[p] = total.get(p, 0) + k
-        rows = [(lang, p[1:-1].encode("latin-1"), k) for lang, total in sums.items() for p, k in total.items()]
-        langs, phrases, counts = zip(*rows) if rows else ((), (), ())
-        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()), "k": pa.array(counts, pa.int64())})
+        out = []
+        for lang, total in sums.items():
+            listed: dict[int, list[str]] = {}
+            for p in sorted(total):
+                listed.setdefault(xxhash.xxh64_intdigest(p) % buckets, []).append(p)
+            for bucket, mine in listed.items():
+                phrases = b"\n".join(p[1:-1].encode("latin-1") for p in mine)  # no phrase holds the end of a line
+                counts = np.array([total[p] for p in mine], np.int64).tobytes()
+                out.append((lang, bucket, zstandard.compress(phrases, 3), zstandard.compress(counts, 1)))
+        langs, numbers, phrases, counts = zip(*out) if out else ((), (), (), ())
+        return pa.table({"lang": pa.array(langs, pa.string()), "bucket": pa.array(numbers, pa.int32()), "phrases": pa.array(phrases, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    return blocks.select("grp", "block", "lang", "text").groupBy("grp").cogroup(heavy.groupBy("grp")).applyInArrow(scan, "lang string, bucket int, phrases binary, counts binary")
+
+
+def summed(lists: DataFrame, min_count: int) -> DataFrame:
+    """Columns lang, phrase, f: the sums of ``counted`` that are min_count or more, and those of the empty phrase."""
+
+    def of_bucket(key: tuple, rows: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for phrases, counts in zip(rows["phrases"], rows["counts"]):
+            for p, k in zip(zstandard.decompress(phrases.as_py()).split(b"\n"), np.frombuffer(zstandard.decompress(counts.as_py()), np.int64).tolist()):
+                total[p] = total.get(p, 0) + k
+        kept = {p: k for p, k in total.items() if k >= min_count or not p}
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(kept), pa.string()), "phrase": pa.array(list(kept), pa.binary()), "f": pa.array(list(kept.values()), pa.int64())})
 
-    return blocks.select("grp", "block", "lang", "text").groupBy("grp").cogroup(heavy.groupBy("grp")).applyInArrow(scan, "lang string, phrase binary, k long")
+    return lists.groupBy("lang", "bucket").applyInArrow(of_bucket, "lang string, phrase binary, f long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, scratch: Scratch | None = None, size: int = BLOCK, bits: int | None = None) -> DataFrame:
@@ -236,13 +264,13 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     range_bits = min(bits - 1, max(LEAST_RANGE_BITS, bits - RANGE_BITS))
     low = bits - range_bits
     made = scratch.save(blocks_of(docs, bits, range_bits, longest, size).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    blocks = made.withColumn("grp", F.xxhash64("lang", F.pmod(F.xxhash64("block"), F.lit(-(-made.count() // GROUP) or 1))))
+    groups = -(-made.count() // GROUP) or 1
+    blocks = made.withColumn("grp", F.xxhash64("lang", F.pmod(F.xxhash64("block"), F.lit(groups))))
     parts = blocks.select("grp", "block", F.explode("parts").alias("p")).select("grp", "block", "p.*")
     heavy = scratch.save(heavy_cells(parts, low, min_count), "heavy")
-    met = counted(blocks, heavy, bits, low, longest).groupBy("lang", "phrase").agg(F.sum("k").alias("f"))
-    found = met.where((F.col("f") >= min_count) | (F.length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
-    out = scratch.save(found, "counts")
-    for done in (heavy, made):
+    lists = scratch.save(counted(blocks, heavy, bits, low, longest, max(BUCKETS, groups)), "lists")
+    out = scratch.save(summed(lists, min_count).select("lang", F.col("phrase").cast("string").alias("phrase"), "f"), "counts")
+    for done in (heavy, made, lists):
         scratch.drop(done)
     return out
 
