@@ -23,9 +23,13 @@ SCENES = 8
 
 
 def as_text(spark, name: str, lines: DataFrame) -> str:
-    """Writes lines (seq, n, line) in the order of n as one text file for each seq; gives a glob of the files."""
+    """Writes lines (seq, n, line) in the order of n as one text file for each seq; gives a glob of the files.
+
+    Lines are dealt by a hash of seq, since Spark leaves a deal by seq itself out where both sides of a union
+    are dealt so, whose tasks it then puts side by side.
+    """
     root = f"{Scratch(spark, name).root}/files"
-    lines.repartition("seq").sortWithinPartitions("seq", "n").select("seq", F.col("line").alias("value")).write.partitionBy("seq").text(root)
+    lines.repartition(F.xxhash64("seq")).sortWithinPartitions("seq", "n").select("seq", F.col("line").alias("value")).write.partitionBy("seq").text(root)
     return f"{root}/seq=*/*"
 
 

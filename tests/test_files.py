@@ -1,7 +1,10 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from tessera.file_queries import as_text
 from tessera.operators import groundtruth
 from tessera.plans import scratch
 from tessera.sources import binary, sinks
@@ -62,3 +65,23 @@ def test_scratch_tables_hold_settings_and_can_be_cleared(spark, tmp_path):
     assert made.root not in scratch._roots
     again = scratch.Scratch(spark, "test")
     assert again.save(spark.range(3), "more").count() == 3
+
+
+def test_text_of_a_scene_is_one_file(spark):
+    """A union whose sides are dealt by scene already, each in its own number of tasks; a scene's lines still meet in one file, in their order."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        nth = F.row_number().over(Window.partitionBy("seq").orderBy("id"))
+
+        def side(t: str, n: int, start: int):
+            rows = spark.range(0, 8 * n, 1, 3).select((F.col("id") % 8).alias("seq"), "id")
+            return rows.select("seq", (nth + start).cast("long").alias("n")).select("seq", "n", F.concat(F.lit(t), F.lit(" "), "n").alias("line"))
+
+        made = spark.read.text(as_text(spark, "one", side("v", 2, 0).unionByName(side("f", 2000, 10)))).select("value", F.input_file_name().alias("path"))
+        found = made.groupBy("path").agg(F.collect_list("value").alias("lines")).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(found) == 8 and all(r.lines == ["v 1", "v 2"] + [f"f {i}" for i in range(11, 2011)] for r in found)
