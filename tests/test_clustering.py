@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,27 @@ def test_large_scene_in_one_task():
     assert tracemalloc.get_traced_memory()[1] < 3000 * 3000 * 4
     tracemalloc.stop()
     assert (out["node"].to_numpy() == gid // 10 * 10).mean() > 0.95
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_masks_meet_their_sets_without_a_row_for_each_pair(spark, rows):
+    """Overlaps and visible masks of random scenes, however a mask's sets are cut into batches; pairs are formed where they are counted."""
+    rng = np.random.default_rng(5)
+    table = pd.DataFrame({"seq": rng.choice(["a", "b"], 600), "frame_id": rng.integers(0, 6, 600), "mask_id": rng.integers(0, 3, 600), "point_id": rng.integers(0, 90, 600)}).drop_duplicates()
+    inc = spark.createDataFrame(table)
+    masks = incidence.masks(inc)
+    inside = table[~table.set_index(["seq", "point_id"]).index.isin(table.groupby(["seq", "point_id", "frame_id"]).size().loc[lambda n: n > 1].reset_index().set_index(["seq", "point_id"]).index)]
+    inside = inside.merge(masks.toPandas(), on=["seq", "frame_id", "mask_id"])
+    pairs = inside.merge(inside.rename(columns={"gid": "by_gid"})[["seq", "point_id", "by_gid", "frame_id"]], on=["seq", "point_id"], suffixes=("_own", ""))
+    want = {tuple(k): n for k, n in pairs.groupby(["seq", "gid", "frame_id", "by_gid"]).size().items()}
+    p = Params(mask_visible_threshold=0.4, visible_points=5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        found = containment.overlaps(inc, masks)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+        assert {(r.seq, r.gid, r.frame_id, r.by_gid): r.k for r in found.collect()} == want and len(want) > 100
+        slow = containment.visibility(found, containment.sizes(inc, masks), p)
+        seen = containment.visible_masks(inc, masks, p)
+        assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, slow.collect())) and seen.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
