@@ -256,3 +256,35 @@ def test_radius_join_with_a_cell_of_all_points(spark):
     found = plan.count()
     plain = few.alias("a").crossJoin(cloud.alias("b")).where("(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 1").count()
     assert found == plain
+
+
+def test_density_clusters_of_crowded_space_hold_no_list_of_pairs():
+    """Points of one ball and copies of a point: neighbours are not listed, in a task of 100 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate([rng.random((5_000, 3)) * 0.05, np.full((5_000, 3), 0.3)])
+    tracemalloc.start()
+    label = spatial.dbscan_rows(xyz, 0.1, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == np.repeat([0, 1], 5_000)).all() and peak < 100e6
+
+
+@pytest.mark.parametrize("kind", ["spread", "grid", "copies", "odd"])
+def test_density_clusters_by_joins_and_in_a_task_are_the_same(spark, kind):
+    """Crowded cells beside others, places exactly a radius apart, copies, and points without a place; the joins also halve boxes."""
+    rng = np.random.default_rng(7)
+    xyz = rng.random((700, 3)) * 0.9 - 0.4
+    if kind == "grid":
+        xyz = np.round(xyz, 1)
+    if kind == "copies":
+        xyz = np.concatenate([np.repeat(xyz[:4], 150, 0), np.repeat(xyz[:4] + [0.1, 0, 0], 90, 0), rng.random((400, 3)) * 0.02 + 3, rng.random((400, 3)) * 0.02 + [3.1, 3, 3]])
+    if kind == "odd":
+        xyz[:9, 0] = [np.nan, np.inf, -np.inf] * 3
+    label, core = plain_dbscan(xyz, 0.1, 4)
+    points = spark.createDataFrame([("s", i, *map(float, p)) for i, p in enumerate(xyz)], "seq string, point_id long, x double, y double, z double")
+    assert (spatial.dbscan_rows(xyz, 0.1, 4) == label).all()
+    want = [(i, int(n) + 1) for i, n in enumerate(label)]
+    for most in (10_000, 10):
+        assert sorted((r.point_id, r.component) for r in spatial.dbscan(points, 0.1, 4, ["seq"], most).collect()) == want
