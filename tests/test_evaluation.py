@@ -288,3 +288,15 @@ def test_density_clusters_by_joins_and_in_a_task_are_the_same(spark, kind):
     want = [(i, int(n) + 1) for i, n in enumerate(label)]
     for most in (10_000, 10):
         assert sorted((r.point_id, r.component) for r in spatial.dbscan(points, 0.1, 4, ["seq"], most).collect()) == want
+
+
+def test_points_that_look_for_nearest_ones_are_dealt_by_their_number(spark, monkeypatch):
+    """A few bytes of points meet many: tasks hold a number of points, whatever Spark makes of their bytes."""
+    monkeypatch.setattr(spatial, "LOOKING", 20)
+    dealt, xyz = [], np.random.default_rng(2).random((200, 3))
+    points = spark.createDataFrame([("s", i, *map(float, p)) for i, p in enumerate(xyz)], "seq string, point_id long, x double, y double, z double")
+    deal = type(points).repartition
+    monkeypatch.setattr(type(points), "repartition", lambda self, n, *by: dealt.append(n) or deal(self, n, *by))
+    found = {r.point_id: r.mean for r in spatial.nearest_means(points, 5, ["seq"]).collect()}
+    want = np.sort(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)), axis=1)[:, :5].mean(1)
+    assert [found[i] for i in range(200)] == pytest.approx(want.tolist()) and dealt[0] == 11
