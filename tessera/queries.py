@@ -168,7 +168,7 @@ def consensus_edges(spark, sf_dir):
     nodes = clustering.start(valid)
     least = consensus.thresholds(visible).where("round = 0")
     rows = lambda r, c: clustering.node_rows(nodes, r, c)
-    found = consensus.links(consensus.observers(rows(visible, "frame_id"), "node"), consensus.supporters(rows(contained, "by_gid"), "node"), least, DOCS.view_consensus_threshold)
+    found = consensus.links_at(consensus.agreeing(rows(contained, "by_gid"), rows(visible, "frame_id"), DOCS.view_consensus_threshold), least)
     return found.select("i", "j")
 
 
