@@ -218,6 +218,28 @@ def test_pairs_of_blocks(spark, monkeypatch):
         assert {(r.seq, r.i, r.j): r.observers for r in consensus.observers(frame, ordered=ordered).collect()} == plain
 
 
+def test_pairs_of_observers_are_not_shuffled(spark, monkeypatch):
+    """What pairs need is counted where two blocks meet: no step groups rows of pairs."""
+    monkeypatch.setattr(consensus, "BLOCK", 2)
+    frame = spark.createDataFrame([("s", g, f) for g in range(7) for f in (0, g % 3)], "seq string, gid int, frame_id int").distinct()
+    found = consensus.observers(frame, ordered=True)
+    assert found.count() == 49
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.splitlines()[0] and "Aggregate [seq#" in plan
+    assert not any("Aggregate" in line and " i#" in line for line in plan.splitlines())
+
+
+def test_edges_count_observers_of_supported_pairs_alone(spark, tmp_path, monkeypatch):
+    """Links of a query over tables in which every mask is seen with every other."""
+    from tessera.queries import ORACLE_SQL, consensus_edges
+    from tests.oracle import connect, rows_of, sql_rows
+
+    monkeypatch.setattr(consensus, "observers", lambda *a, **k: pytest.fail("pairs of all masks of a frame"))
+    rows = [(i, f"{i % 2}", "\n".join(f"line {i // 4} {k}" for k in range(30))) for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows_of(consensus_edges(spark, str(tmp_path))) == sql_rows(connect(str(tmp_path)), ORACLE_SQL["consensus_edges"])
+
+
 def test_observer_histogram(spark, monkeypatch):
     """Equal sets of frames, sets in blocks of two, scenes side by side, frames that are dates."""
     monkeypatch.setattr(consensus, "BLOCK", 2)
