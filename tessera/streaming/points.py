@@ -1,86 +1,52 @@
 """What a stream of incidences says of each point, kept up to date: boundary points, and how many points masks share.
 
-A point's state is the masks that hold it. A new mask adds one to what it shares with each of them; a
-second mask in the same frame makes the point a boundary point, which takes back all it had added. These
-changes are appended to a table, and the present state is their sum. No row is too late: the order of
-arrival and how the stream is cut into batches change the table, not the sums.
+A point's state is the least and the greatest mask that hold it in each frame; where they differ, it is a
+boundary point, and where no frame has two, they are all its masks. So a state has a fixed size, and whatever
+changes it is appended to a table as it is then; the present state is the least and the greatest of these rows.
+No row is too late: the order of arrival, how the stream is cut into batches and rows written again by a batch
+that is repeated change the table, not what is read from it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGE = ["frame_a", "mask_a", "frame_b", "mask_b", "delta", "boundary"]
-
-
-class PointState(StatefulProcessor):
-    """The masks of one point, and whether it is a boundary point."""
-
-    def __init__(self, frame: str, mask: str):
-        self.kinds = f"frame_id {frame}, mask_id {mask}"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", self.kinds, "n int")
-        self.boundary = handle.getValueState("boundary", "is boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(k) for k in self.held.keys()]
-        known, edge, out = set(held), bool(self.boundary.exists() and self.boundary.get()[0]), []
-        for part in rows:
-            for one in zip(part["frame_id"].tolist(), part["mask_id"].tolist()):
-                if one in known:
-                    continue
-                known.add(one)
-                self.held.updateValue(one, (1,))
-                rival = None if edge else next((x for x in held if x[0] == one[0]), None)
-                held.append(one)
-                if rival:
-                    edge = True
-                    self.boundary.update((True,))
-                    out += [(*a, *b, -1, False) for i, a in enumerate(held[:-1]) for b in held[i:-1]]
-                    out.append((*rival, *one, 0, True))
-                elif not edge:
-                    out += [(*x, *one, 1, False) for x in held]
-        if out:
-            names = dict(zip(("seq", "point_id"), key))
-            yield pd.DataFrame(out, columns=CHANGE).assign(**names)[["seq", "point_id", *CHANGE]]
-
-    def close(self) -> None:
-        pass
+FRAME = ["seq", "point_id", "frame_id"]
 
 
 def follow(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends the changes that a stream of incidences (seq, frame_id, mask_id, point_id) makes to Parquet below ``path``.
 
     Rows may come again, in any order and at any time; rows with a null are ignored. Frames and masks
-    are numbers or texts. A state's size is the number of masks that hold the point.
+    are numbers or texts. A point has a state of two masks for each frame that sees it.
     """
     stream.sparkSession.conf.set(STORE, ROCKS)
-    kinds = dict(stream.dtypes)
-    frame, mask = kinds["frame_id"], kinds["mask_id"]
-    schema = f"seq {kinds['seq']}, point_id {kinds['point_id']}, frame_a {frame}, mask_a {mask}, frame_b {frame}, mask_b {mask}, delta int, boundary boolean"
-    rows = stream.select("seq", "point_id", "frame_id", "mask_id").dropna()
-    changes = rows.groupBy("seq", "point_id").transformWithStateInPandas(PointState(frame, mask), schema, "Append", "None")
-    return changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    rows = stream.select(*FRAME, "mask_id").dropna()
+    states = rows.groupBy(*FRAME).agg(F.min("mask_id").alias("least"), F.max("mask_id").alias("most"))
+    write = lambda batch, _: batch.write.mode("append").parquet(path)
+    return states.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def present(changes: DataFrame) -> DataFrame:
+    """Columns seq, point_id, frame_id, least, most: the state of each point now."""
+    return changes.groupBy(*FRAME).agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def boundary(changes: DataFrame) -> DataFrame:
     """Columns seq, point_id: points that two masks of one frame hold."""
-    return changes.where("boundary").select("seq", "point_id").distinct()
+    return present(changes).where("least <> most").select("seq", "point_id").distinct()
 
 
 def overlaps(changes: DataFrame) -> DataFrame:
     """Columns seq, frame_a, mask_a, frame_b, mask_b, k: points, boundary points aside, that each two masks share, in both orders; each mask with itself."""
-    pair = [F.struct(F.col(f"frame_{c}").alias("frame"), F.col(f"mask_{c}").alias("mask")) for c in "ab"]
-    # masks come in the order of their arrival
-    sums = changes.groupBy("seq", F.least(*pair).alias("a"), F.greatest(*pair).alias("b")).agg(F.sum("delta").alias("k")).where("k <> 0")
-    both = F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-    return sums.select("seq", both.alias("p"), "k").select("seq", *(F.col(f"p.{c}.{n}").alias(f"{n}_{c}") for c in "ab" for n in ("frame", "mask")), "k")
+    # points with the same masks are counted first; a point that is no boundary point has one of each frame at most
+    mask = F.struct(F.col("frame_id").alias("frame"), F.col("least").alias("mask"))
+    held = present(changes).groupBy("seq", "point_id").agg(F.max(F.col("least") != F.col("most")).alias("edge"), F.sort_array(F.collect_list(mask)).alias("held"))
+    sets = held.where("NOT edge").groupBy("seq", "held").agg(F.count("*").alias("w"))
+    pairs = sets.select("seq", F.explode("held").alias("a"), "held", "w").select("seq", "a", F.explode("held").alias("b"), "w")
+    sums = pairs.groupBy("seq", "a", "b").agg(F.sum("w").alias("k"))
+    return sums.select("seq", *(F.col(f"{c}.{n}").alias(f"{n}_{c}") for c in "ab" for n in ("frame", "mask")), "k")

@@ -51,3 +51,16 @@ def test_points_follow_the_batch_result_however_the_stream_is_cut(spark, tmp_pat
         want = {(r.seq, *place[r.seq, r.gid], *place[r.seq, r.by_gid]): r.k for r in containment.overlaps(inc, masks).collect()}
         found = {tuple(r)[:-1]: r.k for r in points.overlaps(changes).select("seq", "frame_a", "mask_a", "frame_b", "mask_b", "k").collect()}
         assert found == want
+
+
+def test_rows_that_a_repeated_batch_writes_again_change_nothing(spark, tmp_path):
+    """A point of two masks in each of two frames, one that is no boundary point; the changes twice over."""
+    schema = "seq string, frame_id int, mask_id long, point_id string"
+    spark.createDataFrame([("a", f, m, "x") for f in (0, 1) for m in (1, 2)] + [("a", 0, 1, "y"), ("a", 1, 2, "y")], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    points.follow(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    once = spark.read.parquet(str(tmp_path / "out"))
+    for changes in (once, once.unionByName(once)):
+        assert [tuple(r) for r in points.boundary(changes).collect()] == [("a", "x")]
+        found = points.overlaps(changes).select("frame_a", "mask_a", "frame_b", "mask_b", "k").collect()
+        assert sorted(map(tuple, found)) == [(0, 1, 0, 1, 1), (0, 1, 1, 2, 1), (1, 2, 0, 1, 1), (1, 2, 1, 2, 1)]
