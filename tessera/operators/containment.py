@@ -13,19 +13,34 @@ from tessera.operators.incidence import interior, with_gid
 from tessera.plans.config import Params
 
 
+def numbered(masks: DataFrame) -> DataFrame:
+    """Columns seq, frame_id, mask_id, at: the mask's number, with the least one of its frame in the upper half."""
+    first = F.min("gid").over(Window.partitionBy("seq", "frame_id")).cast("long")
+    return masks.select("seq", "frame_id", "mask_id", F.shiftleft(first, 32).bitwiseOR(F.col("gid").cast("long")).alias("at"))
+
+
 def mask_sets(inc: DataFrame, masks: DataFrame) -> DataFrame:
     """Columns seq, at, w: the different sets of masks that hold an interior point, and how many points have each.
 
     at: masks in order, each with the least mask of its frame in the upper half of the number. Points
     are counted in each frame first, so what meets for a point is at most one row of every frame.
     """
-    first = F.min("gid").over(Window.partitionBy("seq", "frame_id")).cast("long")
-    numbered = masks.select("seq", "frame_id", "mask_id", F.shiftleft(first, 32).bitwiseOR(F.col("gid").cast("long")).alias("at"))
-    held = with_gid(inc, numbered).groupBy("seq", "point_id", F.shiftright("at", 32).alias("frame")).agg(F.min("at").alias("at"), F.count("*").alias("c"))
+    held = with_gid(inc, numbered(masks)).groupBy("seq", "point_id", F.shiftright("at", 32).alias("frame")).agg(F.min("at").alias("at"), F.count("*").alias("c"))
     sets = held.groupBy("seq", "point_id").agg(F.max("c").alias("c"), F.sort_array(F.collect_list("at")).alias("at")).where("c = 1")
     return sets.groupBy("seq", "at").agg(F.count("*").alias("w"))
 
 
+def hashed_sets(rows: DataFrame) -> DataFrame:
+    """``mask_sets`` of points that are told apart by 128 bits. rows: seq, h1, h2 and the mask's ``at`` of ``numbered``; they may repeat.
+
+    Rows are dealt once, by the point, after which its frames and its masks meet where they are.
+    """
+    names = ["seq", "h1", "h2"]
+    held = rows.repartition("h1").groupBy(*names, F.shiftright("at", 32).alias("frame")).agg(F.min("at").alias("at"), F.max("at").alias("most"))
+    sets = held.groupBy(*names).agg(F.max(F.col("at") < F.col("most")).alias("edge"), F.sort_array(F.collect_list("at")).alias("at")).where("NOT edge")
+    return sets.groupBy("seq", "at").agg(F.count("*").alias("w"))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(seq, gid, n, group, at, k) of whole masks: rows (seq, gid, at, w) in the order of seq and gid, a mask's rows added up.
 
@@ -62,25 +77,30 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
         yield held[0], held[1], held[2], np.zeros(len(held[3]), np.int64), held[3], held[4]
 
 
-def _by_mask(inc: DataFrame, masks: DataFrame) -> DataFrame:
-    """Rows seq, gid, at, w: each mask with the sets it is in, a mask's rows side by side.
+def _by_mask(sets: DataFrame) -> DataFrame:
+    """Rows seq, gid, at, w of ``mask_sets``: each mask with the sets it is in, a mask's rows side by side.
 
     What is dealt is a set for each of its masks, not a row for each pair; pairs are counted where they arrive.
     """
-    one = mask_sets(inc, masks).select("seq", F.explode("at").alias("own"), "at", "w")
+    one = sets.select("seq", F.explode("at").alias("own"), "at", "w")
     one = one.select("seq", F.col("own").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("gid"), "at", "w")
     return one.repartition("seq", "gid").sortWithinPartitions("seq", "gid")
 
 
 def overlaps(inc: DataFrame, masks: DataFrame) -> DataFrame:
     """Columns seq, gid, frame_id, by_gid, k: interior points that mask gid shares with mask by_gid of a frame."""
+    return overlaps_of_sets(mask_sets(inc, masks), masks)
+
+
+def overlaps_of_sets(sets: DataFrame, masks: DataFrame) -> DataFrame:
+    """``overlaps`` of points whose sets of masks are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, gid, _, row, at, k in _pairs(batches):
             columns = [seq.take(pa.array(row)), pa.array(gid[row]), pa.array((at & (2**32 - 1)).astype(np.int32)), pa.array(k)]
             yield pa.RecordBatch.from_arrays(columns, names=["seq", "gid", "by_gid", "k"])
 
-    pairs = _by_mask(inc, masks).mapInArrow(run, f"seq {dict(inc.dtypes)['seq']}, gid int, by_gid int, k long")
+    pairs = _by_mask(sets).mapInArrow(run, f"seq {dict(sets.dtypes)['seq']}, gid int, by_gid int, k long")
     frame_of = masks.select("seq", F.col("gid").alias("by_gid"), "frame_id")
     return pairs.join(frame_of, ["seq", "by_gid"]).select("seq", "gid", "frame_id", "by_gid", "k")
 
@@ -101,7 +121,7 @@ def visible_masks(inc: DataFrame, masks: DataFrame, p: Params) -> DataFrame:
             columns = [seq.take(pa.array(row)), pa.array(gid[row]), pa.array(seen[stay]), pa.array(n[row]), pa.array(by[stay]), pa.array(k[stay])]
             yield pa.RecordBatch.from_arrays(columns, names=["seq", "gid", "seen", "n", "best", "k"])
 
-    found = _by_mask(inc, masks).mapInArrow(run, f"seq {dict(inc.dtypes)['seq']}, gid int, seen long, n long, best int, k long")
+    found = _by_mask(mask_sets(inc, masks)).mapInArrow(run, f"seq {dict(inc.dtypes)['seq']}, gid int, seen long, n long, best int, k long")
     frame_of = masks.select("seq", F.col("gid").alias("best"), "frame_id")
     return found.join(frame_of, ["seq", "best"]).select("seq", "gid", "frame_id", "seen", "n", "best", "k")
 

@@ -22,13 +22,18 @@ def docs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidence(docs, "docs", F.col("f"), F.col("doc_id"), F.col("line"))
 
 
-def docs_shingles(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
-    """The same with runs of words as points."""
-    w = F.split("text", " ")
-    at = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
-    docs = table(spark, sf_dir, "documents").select(source_number(F.col("source")).alias("f"), "doc_id", w.alias("w"))
-    each = docs.select("f", "doc_id", "w", F.explode(at).alias("i")).select("f", "doc_id", F.array_join(F.slice("w", F.col("i"), size), " ").alias("s"))
-    return incidence(each, "docs", F.col("f"), F.col("doc_id"), F.col("s"))
+def docs_words(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
+    """Columns seq, frame_id, mask_id, w: the words of documents with so many, as masks of their source's frame."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("docs").alias("seq"), source_number(F.col("source")).alias("frame_id"), F.col("doc_id").alias("mask_id"), F.split("text", " ").alias("w"))
+    return docs.dropna().where(F.size("w") >= least)
+
+
+def shingle_hashes(words: DataFrame, size: int = 5) -> DataFrame:
+    """words (w and others) with a row for each run of words, repeats included: its hashes by two seeds, h1 and h2, in place of w."""
+    others = [c for c in words.columns if c != "w"]
+    each = words.select(*others, "w", F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("i"))
+    s = F.array_join(F.slice("w", F.col("i"), size), " ")
+    return each.select(*others, F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"))
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

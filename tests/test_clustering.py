@@ -218,6 +218,18 @@ def test_pairs_of_blocks(spark, monkeypatch):
         assert {(r.seq, r.i, r.j): r.observers for r in consensus.observers(frame, ordered=ordered).collect()} == plain
 
 
+def test_sets_of_hashed_points(spark):
+    """Points by two hashes, rows that repeat and boundary points give the sets of plain points; the texts are dealt once."""
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(rng.integers(4)), int(rng.integers(3)), int(rng.integers(40))) for _ in range(120)})
+    inc = make(spark, rows)
+    masks = incidence.masks(inc)
+    hashed = incidence.with_gid(inc, containment.numbered(masks)).select("seq", "at", F.xxhash64("point_id").alias("h1"), F.xxhash64(F.lit(1), "point_id").alias("h2"))
+    plain = {(r.seq, tuple(r["at"])): r.w for r in containment.mask_sets(inc, masks).collect()}
+    found = containment.hashed_sets(hashed.unionByName(hashed))
+    assert plain and {(r.seq, tuple(r["at"])): r.w for r in found.collect()} == plain
+
+
 def test_pairs_of_observers_are_not_shuffled(spark, monkeypatch):
     """What pairs need is counted where two blocks meet: no step groups rows of pairs."""
     monkeypatch.setattr(consensus, "BLOCK", 2)
