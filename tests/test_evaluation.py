@@ -300,3 +300,17 @@ def test_points_that_look_for_nearest_ones_are_dealt_by_their_number(spark, monk
     found = {r.point_id: r.mean for r in spatial.nearest_means(points, 5, ["seq"]).collect()}
     want = np.sort(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)), axis=1)[:, :5].mean(1)
     assert [found[i] for i in range(200)] == pytest.approx(want.tolist()) and dealt[0] == 11
+
+
+def test_first_within_by_ranges_of_ids(spark, monkeypatch):
+    """The first of all pairs, in a crowded group, a loose one and one without neighbours, over several ranges."""
+    monkeypatch.setattr(spatial, "FIRST", 2)
+    rng = np.random.default_rng(9)
+    rows = [(s, int(i), *(float(x) for x in rng.normal(size=3) * wide)) for s, wide in (("a", 0.05), ("b", 0.4)) for i in rng.permutation(200)[:150]] + [("c", 7, 0.0, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "seq string, id long, x double, y double, z double")
+    plain = {tuple(r) for r in spatial.first_neighbours(spatial.epsilon_join(p, p, 0.15), 4).select("seq", "l_id", "r_id").collect()}
+    looked, join = [], spatial.epsilon_join
+    monkeypatch.setattr(spatial, "epsilon_join", lambda a, b, *rest, **more: looked.append((a.count(), b.count())) or join(a, b, *rest, **more))
+    found = spatial.first_within(p, p, 0.15, 4).select("seq", "l_id", "r_id").collect()
+    assert len(found) == len(plain) and {tuple(r) for r in found} == plain
+    assert len(looked) == 3 and looked[0][1] < looked[1][1] < looked[2][1] and looked[2][0] < looked[0][0]
