@@ -20,6 +20,8 @@ from tessera.streaming.ingest import ingest
 
 #: Scenes over which rows are dealt where a layout has a file for each.
 SCENES = 8
+#: Folders of many small files, and files that a task writes.
+FOLDERS, FILES = 64, 2_000
 
 
 def as_text(spark, name: str, lines: DataFrame) -> str:
@@ -40,6 +42,12 @@ def as_files(spark, name: str, files: DataFrame) -> str:
     return root
 
 
+def as_texts(spark, name: str, texts: DataFrame) -> str:
+    """Writes each text (seq, value) as a small file of its own, dealt over FOLDERS so that tasks can list them; gives a glob of the folders."""
+    named = texts.select(F.concat(F.pmod(F.xxhash64("seq"), F.lit(FOLDERS)), F.lit("/"), "seq", F.lit(".txt")).alias("name"), F.col("value").alias("content"))
+    return f"{as_files(spark, name, named.repartition(texts.count() // FILES + 1))}/*"
+
+
 def seq_of(path: str = "path") -> Column:
     """The value of a folder's seq=.. in a path."""
     return F.regexp_extract(path, "seq=([^/]+)", 1)
@@ -78,24 +86,24 @@ def config_values(spark, sf_dir):
 
 
 def matrices(spark, sf_dir):
-    """Lines of a 4x4 matrix for each supplier."""
+    """The text of a 4x4 matrix for each supplier."""
     k = F.col("s_suppkey").cast("double")
     rows = [(k + 500, F.lit(0.5), k / 2, F.lit(0.0)), (F.lit(0.0), k + 510, k / 4, F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))]
-    lines = F.array(*(F.struct(F.lit(i).alias("n"), words(*r).alias("line")) for i, r in enumerate(rows)))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.explode(lines).alias("l")).select("seq", "l.n", "l.line")
+    lines = F.concat(*(F.concat(words(*r), F.lit("\n")) for r in rows))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("seq"), lines.alias("value"))
 
 
 @query("SELECT s_suppkey AS id, s_suppkey + 500.0::DOUBLE AS fx, s_suppkey + 510.0::DOUBLE AS fy, s_suppkey / 2 AS cx, s_suppkey / 4 AS cy, 640::BIGINT AS w, 480::BIGINT AS h FROM supplier")
 def camera_intrinsics(spark, sf_dir):
-    found = layouts.scan_intrinsics(spark, as_text(spark, "intrinsics", matrices(spark, sf_dir)), 640, 480)
-    return found.select(seq_of().cast("long").alias("id"), "intr.*")
+    found = layouts.scan_intrinsics(spark, as_texts(spark, "intrinsics", matrices(spark, sf_dir)), 640, 480)
+    return found.select(stem().cast("long").alias("id"), "intr.*")
 
 
 @query("""SELECT s_suppkey AS id, i, CASE i WHEN 0 THEN s_suppkey + 500 WHEN 1 THEN 0.5 WHEN 2 THEN s_suppkey / 2 WHEN 5 THEN s_suppkey + 510 WHEN 6 THEN s_suppkey / 4
   WHEN 10 THEN 1 WHEN 15 THEN 1 ELSE 0 END::DOUBLE AS value FROM supplier CROSS JOIN range(16) t(i)""")
 def pose_entries(spark, sf_dir):
-    found = layouts.scan_matrix(spark, as_text(spark, "poses", matrices(spark, sf_dir)))
-    return found.select(seq_of().cast("long").alias("id"), F.posexplode("pose").alias("i", "value"))
+    found = layouts.scan_matrix(spark, as_texts(spark, "poses", matrices(spark, sf_dir)))
+    return found.select(stem().cast("long").alias("id"), F.posexplode("pose").alias("i", "value"))
 
 
 CONF_SQL = """

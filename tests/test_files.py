@@ -85,3 +85,14 @@ def test_text_of_a_scene_is_one_file(spark):
         for k in settings:
             spark.conf.unset(k)
     assert len(found) == 8 and all(r.lines == ["v 1", "v 2"] + [f"f {i}" for i in range(11, 2011)] for r in found)
+
+
+def test_many_small_files_share_folders(spark, monkeypatch):
+    """A file for each text, in a few folders, so that a listing does not look into a folder for each."""
+    from tessera import file_queries
+
+    monkeypatch.setattr(file_queries, "FOLDERS", 3)
+    glob = file_queries.as_texts(spark, "many", spark.range(40).selectExpr("CAST(id AS string) AS seq", "CAST(id * 2 AS string) AS value"))
+    found = [(r.value, r.path) for r in spark.read.text(glob, wholetext=True).select("value", F.input_file_name().alias("path")).collect()]
+    assert sorted(int(v) for v, _ in found) == list(range(0, 80, 2))
+    assert all(int(p.rsplit("/", 1)[1].split(".")[0]) * 2 == int(v) for v, p in found) and len({p.rsplit("/", 1)[0] for _, p in found}) == 3
