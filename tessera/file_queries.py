@@ -378,7 +378,7 @@ def prediction_archives(spark, sf_dir):
     """Predictions written as an archive of masks, scores and classes, and read again."""
     pred, meta = adapters.nations_pred(spark, sf_dir)
     scene = adapters.nations_gt(spark, sf_dir).select("seq", "point_id")
-    made = binary.prediction_archive(pred, meta, scene).select(F.concat("seq", F.lit(".npz")).alias("name"), "content")
+    made = binary.prediction_archive(pred, meta, scene).select("name", "content")
     points, found = binary.scan_predictions(spark, f"{as_files(spark, 'archive', made)}/*")
     return found.join(points, ["seq", "inst"], "left").select("inst", "class_id", F.round("score", 6).alias("score"), "point_id")
 

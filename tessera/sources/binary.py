@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of masks in one archive.
+ARCHIVE = 1 << 22
 #: Types of PLY properties as numpy names them, and names of the list that holds a face's vertices.
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 FACE_LISTS = ("vertex_indices", "vertex_index")
@@ -157,42 +159,60 @@ def export_sens(spark: SparkSession, path: str | list[str], root: str, skip: int
 
 
 def scan_predictions(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(points, meta) of archives with pred_masks, pred_score and pred_classes: seq, inst, point_id and seq, inst, class_id, score."""
+    """(points, meta) of archives with pred_masks, pred_score and pred_classes: seq, inst, point_id and seq, inst, class_id, score.
+
+    A scene may come in parts, see ``prediction_archive``.
+    """
 
     def load(data: bytes):
         return np.load(io.BytesIO(data), allow_pickle=False)
 
     def points(data: bytes) -> pd.DataFrame:
-        p, i = np.nonzero(load(data)["pred_masks"])
-        return pd.DataFrame({"inst": i.astype("int32"), "point_id": p.astype("int64")})
+        a = load(data)
+        p, i = np.nonzero(a["pred_masks"])
+        return pd.DataFrame({"inst": i.astype("int32"), "point_id": p.astype("int64") + (int(a["first_point"]) if "first_point" in a else 0)})
 
     def meta(data: bytes) -> pd.DataFrame:
         a = load(data)
+        if "first_point" in a:  # the first part has them
+            return pd.DataFrame({"inst": [], "class_id": [], "score": []}).astype({"inst": "int32", "class_id": "int32", "score": float})
         return pd.DataFrame({"inst": np.arange(len(a["pred_score"]), dtype="int32"), "class_id": a["pred_classes"].astype("int32"), "score": a["pred_score"].astype(float)})
 
     files = _files(spark, path).where(~F.col("path").rlike(r"/semantic_instance_evaluation[^/]*$"))
-    seq = F.regexp_extract("path", r"([^/]*?)(?:\.npz)?$", 1).alias("seq")
+    # once for each file, not for each row
+    files = files.select(F.regexp_replace(F.substring_index("path", "/", -1), r"(\.part[1-9][0-9]*)?\.npz$", "").alias("path"), "content")
     a, b = _expand(files, points, "inst int, point_id long"), _expand(files, meta, "inst int, class_id int, score double")
-    return a.select(seq, "inst", "point_id"), b.select(seq, "inst", "class_id", "score")
+    return a.select(F.col("path").alias("seq"), "inst", "point_id"), b.select(F.col("path").alias("seq"), "inst", "class_id", "score")
 
 
-def prediction_archive(pred: DataFrame, meta: DataFrame, scene: DataFrame) -> DataFrame:
-    """Columns seq, content: an archive of pred_masks, pred_score and pred_classes for each scene, also for one without instances."""
+def prediction_archive(pred: DataFrame, meta: DataFrame, scene: DataFrame, cells: int = ARCHIVE) -> DataFrame:
+    """Columns seq, name, content: archives of pred_masks, pred_score and pred_classes for each scene, also for one without instances.
+
+    A scene whose masks take more than ``cells`` bytes comes in several: the first has the scene's name, the
+    others a number behind it and, as first_point, the point that their masks begin with.
+    """
     size = scene.groupBy("seq").agg((F.max("point_id") + 1).alias("n"))
-    each = pred.groupBy("seq", "inst").agg(F.collect_list("point_id").alias("points"))
-    rows = size.join(meta.join(each, ["seq", "inst"], "left"), "seq", "left").select("seq", "n", "inst", "class_id", "score", "points")
-    kind = dict(rows.dtypes)["seq"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf.dropna(subset=["inst"]).sort_values("inst")
-        masks = np.zeros((int(pdf["n"].iloc[0]), len(mine)), bool)
-        for k, points in enumerate(mine["points"]):
-            masks[np.asarray(points if points is not None else [], int), k] = True
-        out = io.BytesIO()
-        np.savez(out, pred_masks=masks, pred_score=mine["score"].to_numpy(float), pred_classes=mine["class_id"].to_numpy(np.int32))
-        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "content": [out.getvalue()]})
-
-    return rows.groupBy("seq").applyInPandas(run, f"seq {kind}, content binary")
+    row = F.struct("inst", "class_id", "score")
+    some = size.join(meta.groupBy("seq").agg(F.sort_array(F.collect_list(row)).alias("meta")), "seq", "left")
+    step = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.greatest(F.lit(1), F.size(F.coalesce("meta", F.array().cast(some.schema["meta"].dataType)))))).cast("long")
+    some = some.withColumn("step", step)
+    parts = some.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("step")))).alias("part"))
+    held = pred.join(some.select("seq", "step"), "seq").select("seq", F.floor(F.col("point_id") / F.col("step")).alias("part"), "inst", "point_id")
+    kind = dict(parts.dtypes)["seq"]
+
+    def run(one: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        at = one.iloc[0]
+        mine = [tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in (at["meta"] if at["meta"] is not None else [])]
+        inst, first = np.array([m[0] for m in mine], np.int64), int(at["part"] * at["step"])
+        masks = np.zeros((min(int(at["n"]) - first, int(at["step"])), len(mine)), bool)
+        points = points[points["inst"].isin(inst)]
+        masks[points["point_id"].to_numpy(np.int64) - first, np.searchsorted(inst, points["inst"].to_numpy(np.int64))] = True
+        out, more = io.BytesIO(), {"first_point": np.int64(first)} if first else {}
+        np.savez(out, pred_masks=masks, pred_score=np.array([m[2] for m in mine], float), pred_classes=np.array([m[1] for m in mine], np.int32), **more)
+        name = f"{at['seq']}.part{at['part']}.npz" if first else f"{at['seq']}.npz"
+        return pd.DataFrame({"seq": [at["seq"]], "name": [name], "content": [out.getvalue()]})
+
+    return parts.groupBy("seq", "part").cogroup(held.groupBy("seq", "part")).applyInPandas(run, f"seq {kind}, name string, content binary")
 
 
 #: Readers by the name of their layout.

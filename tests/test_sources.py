@@ -99,6 +99,20 @@ def test_predictions_round_trip(spark, tmp_path):
     assert sorted(map(tuple, m.collect())) == sorted(map(tuple, meta.collect()))
 
 
+def test_predictions_in_parts(spark, tmp_path):
+    """A scene whose masks take several archives, one of them without points, beside one that takes one."""
+    pred = spark.createDataFrame([("a", 0, 1), ("a", 0, 9), ("a", 1, 2), ("b", 0, 0)], "seq string, inst int, point_id long")
+    meta = spark.createDataFrame([("a", 0, 5, 1.0), ("a", 1, 6, 0.5), ("b", 0, 7, 0.25)], "seq string, inst int, class_id int, score double")
+    scene = spark.createDataFrame([("a", i) for i in range(11)] + [("b", 0)], "seq string, point_id long")
+    for r in binary.prediction_archive(pred, meta, scene, cells=6).collect():
+        (tmp_path / r.name).write_bytes(r.content)
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a.npz", "a.part1.npz", "a.part2.npz", "a.part3.npz", "b.npz"]
+    assert [np.load(tmp_path / n)["pred_masks"].shape for n in ("a.part1.npz", "a.part3.npz")] == [(3, 2), (2, 2)]
+    p, m = binary.scan_predictions(spark, f"{tmp_path}/*.npz")
+    assert sorted(map(tuple, p.collect())) == sorted(map(tuple, pred.collect()))
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, meta.collect()))
+
+
 def test_text_layouts(spark, tmp_path):
     (tmp_path / "split.txt").write_text("scene1 \nscene2\n\n")
     assert [r.seq for r in layouts.scan_split(spark, f"{tmp_path}/split.txt").orderBy("n").collect()] == ["scene1", "scene2"]
