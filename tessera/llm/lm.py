@@ -29,6 +29,9 @@ FREQUENT = 150_000
 FLUSH = 300_000
 #: Added to every count of the base model, and to the count of every piece.
 SMOOTH = 0.1
+#: Characters of a word, with its space, up to which plain probabilities are tried, and the least sum that they are kept for.
+SHORT = 64
+LEAST = 1e-250
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 
@@ -49,18 +52,43 @@ class Lattice:
         bytes_at = {p: weight(i) for i, p, kind in own if kind == "byte"}
         self.bytes = [bytes_at.get(f"<0x{b:02X}>", -math.log(total + 1)) for b in range(256)]
         self.longest = max(map(len, self.log), default=1)
+        # as plain probabilities; a beginning of pieces that is none itself has 0, anything else is absent and ends the look-up
+        self.plain = {p[:n]: 0.0 for p in self.log for n in range(1, len(p))} | {p: math.exp(w) for p, w in self.log.items()}
+        self.spelt: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations of a word and the space before it.
 
         Each character can also be spelt as its UTF-8 bytes, so that every word has a probability.
+        Sums are of plain probabilities where they are far from the least double, else in log space.
         """
         s = SPACE + word
+        if len(s) <= SHORT:
+            get, spelt, end = self.plain.get, self.spelt, len(s) + 1
+            alpha = [1.0] + [0.0] * len(s)
+            for i, char in enumerate(s):
+                a = alpha[i]
+                if char not in spelt:
+                    spelt[char] = math.exp(self.bytes_of(char))
+                alpha[i + 1] += a * spelt[char]
+                for j in range(i + 1, end):
+                    if (p := get(s[i:j])) is None:
+                        break
+                    alpha[j] += a * p
+            if alpha[-1] > LEAST:
+                return math.log(alpha[-1])
+        return self.long_word(s)
+
+    def bytes_of(self, char: str) -> float:
+        return sum(self.bytes[b] for b in char.encode("utf-8", "replace"))
+
+    def long_word(self, s: str) -> float:
+        """``word`` in log space, of a word with the space before it."""
         get, longest, exp, log = self.log.get, self.longest, math.exp, math.log
         alpha = [0.0]
         for j in range(1, len(s) + 1):
             terms = [a + p for i, a in enumerate(alpha[max(0, j - longest) :], max(0, j - longest)) if (p := get(s[i:j])) is not None]
-            terms.append(alpha[-1] + sum(self.bytes[b] for b in s[j - 1].encode("utf-8", "replace")))
+            terms.append(alpha[-1] + self.bytes_of(s[j - 1]))
             top = max(terms)
             alpha.append(top + log(sum(exp(t - top) for t in terms)))
         return alpha[-1]

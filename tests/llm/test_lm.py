@@ -50,6 +50,26 @@ def test_forward_recursion_equals_enumeration():
     assert math.isfinite(lattice.word("ab" * 20000))
 
 
+def test_a_word_is_looked_up_no_further_than_pieces_begin():
+    """A vocabulary's longest piece does not set the look-ups of a word that begins nothing as long; rare and long words take the sum of logs."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    pieces = [*((p, "text") for p in (SPACE, "a", "b", "ab", "x" * 40)), *((f"<0x{b:02X}>", "byte") for b in range(256))]
+    lattice = Lattice(pieces, {0: 7, 1: 3, 2: 2})
+    lattice.plain, lattice.log = Counted(lattice.plain), Counted(lattice.log)
+    for w in ("ab" * 20, "x" * 50, "", "é" * 30, "漢" * 63, "漢" * 62 + "x"):
+        assert math.isclose(lattice.word(w), lattice.long_word(SPACE + w), rel_tol=1e-12)
+    lattice.plain.asked = lattice.log.asked = 0
+    lattice.word("ab" * 20)
+    assert lattice.plain.asked + lattice.log.asked <= 3 * 41
+
+
 def test_names_of_control_and_byte_pieces_are_text_like_any_other():
     """The tokenizer never takes such a name for its piece: a text that spells it has the probability of its characters."""
     proc = lm.processor(lm.VOCABULARY)
