@@ -248,6 +248,26 @@ def test_radius_join_of_crowded_cells(spark, closed):
         assert len(got) == len(want) and {(r.l_id, r.r_id) for r in got} == want
 
 
+def test_radius_join_of_blocks(spark, monkeypatch):
+    """Crowded cells of several groups, with ids of any type, odd coordinates and small blocks; only the wanted columns are made."""
+    for name, n in (("LEFT", 40), ("RIGHT", 7), ("ROWS", 5)):
+        monkeypatch.setattr(spatial, name, n)
+    rng = np.random.default_rng(4)
+    xyz = np.concatenate([rng.normal(size=(150, 3)) * 0.1, np.full((20, 3), 0.5)])
+    rows = [("ab"[i % 2], i % 3, i, *p) for i, p in enumerate(xyz.tolist())] + [("a", 0, 900, float("nan"), 0.0, 0.0), ("a", 0, 901, None, 0.0, 0.0)]
+    right = spark.createDataFrame(rows, "seq string, k int, id long, x double, y double, z double")
+    left = right.selectExpr("seq", "k", "struct(id, cast(id as string) as name) as id", "x", "y", "z")
+    d2 = ((xyz[:, None] - xyz[None]) ** 2)
+    d2 = d2[..., 0] + d2[..., 1] + d2[..., 2]
+    same = lambda i, j: i % 2 == j % 2 and i % 3 == j % 3
+    want = {(i, j): d2[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d2 < 0.15**2))) if same(i, j)}
+    whole = spatial.epsilon_join(left, right, 0.15, ["seq", "k"], dense=3).collect()
+    assert {(r.l_id.id, r.r_id): r.d2 for r in whole} == want and len(whole) == len(want)
+    assert all((r.seq, r.k, r.l_id.name) == ("ab"[r.r_id % 2], r.r_id % 3, str(r.l_id.id)) for r in whole)
+    pairs = spatial.epsilon_join(left, right, 0.15, ["seq", "k"], dense=3, columns=["r_id", "l_id"])
+    assert pairs.columns == ["r_id", "l_id"] and sorted((r.l_id.id, r.r_id) for r in pairs.collect()) == sorted(want)
+
+
 def test_radius_join_with_a_cell_of_all_points(spark):
     """100,000 points in eight cells, cut into boxes and parts."""
     cloud = spark.range(100_000).selectExpr("'s' as seq", "id", "rand(1) * 0.99 as x", "rand(2) * 0.99 as y", "rand(3) * 0.99 as z")
