@@ -165,7 +165,7 @@ def cluster(inc: DataFrame, p: Params, frames: DataFrame | None = None, rounds:
     scratch = scratch or Scratch(inc.sparkSession, "cluster")
     inc = scratch.save(inc, "incidence")
     masks = scratch.save(number_masks(inc, frames), "masks")
-    contained, valid = containment(inc, masks, p)
+    contained, valid = containment(inc, masks, p, scratch)
     valid = scratch.save(valid, "valid")
     contained = scratch.save(contained, "contained")
     visible = visible_frames(contained, masks)

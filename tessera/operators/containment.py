@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.incidence import interior, with_gid
 from tessera.plans.config import Params
+from tessera.plans.scratch import Scratch
 
 
 def numbered(masks: DataFrame) -> DataFrame:
@@ -169,9 +170,11 @@ def without_invalid(contained: DataFrame, valid: DataFrame) -> DataFrame:
     return contained.join(bad, ["seq", "by_gid"], "left_anti").select("seq", "gid", "by_gid")
 
 
-def containment(inc: DataFrame, masks: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(contained, validity) of all masks."""
+def containment(inc: DataFrame, masks: DataFrame, p: Params, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(contained, validity) of all masks. scratch: where what both are read off is kept, so that points meet once."""
     seen = visible_masks(inc, masks, p)
+    if scratch:
+        seen = scratch.save(seen, "seen")
     valid = validity(seen, masks, p)
     return without_invalid(contained_once(seen, p), valid), valid
 

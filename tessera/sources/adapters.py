@@ -22,6 +22,24 @@ def docs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidence(docs, "docs", F.col("f"), F.col("doc_id"), F.col("line"))
 
 
+def line_point(line: F.Column) -> F.Column:
+    """A line as a point of fixed size: 128 bits and its length tell lines apart."""
+    return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.char_length(line).alias("n"))
+
+
+def docs_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs_lines`` with ``line_point`` in place of each line, so that no text is shuffled."""
+    docs = table(spark, sf_dir, "documents").select(source_number(F.col("source")).alias("f"), "doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return incidence(docs, "docs", F.col("f"), F.col("doc_id"), line_point(F.col("line")))
+
+
+def lines_of(spark: SparkSession, sf_dir: str, masks: DataFrame) -> DataFrame:
+    """Columns point, line: a row for each different line of the documents in masks (frame_id, mask_id)."""
+    docs = table(spark, sf_dir, "documents").select(source_number(F.col("source")).alias("frame_id"), F.col("doc_id").alias("mask_id"), "text")
+    lines = docs.join(masks, ["frame_id", "mask_id"], "left_semi").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.select(line_point(F.col("line")).alias("point"), "line").groupBy("point").agg(F.first("line").alias("line"))
+
+
 def docs_words(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
     """Columns seq, frame_id, mask_id, w: the words of documents with so many, as masks of their source's frame."""
     docs = table(spark, sf_dir, "documents").select(F.lit("docs").alias("seq"), source_number(F.col("source")).alias("frame_id"), F.col("doc_id").alias("mask_id"), F.split("text", " ").alias("w"))

@@ -3,6 +3,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from tessera.operators import clustering
 from tessera.queries import ORACLE_SQL, QUERIES
 from tests.oracle import DATA, connect, rows_of, sql_rows
@@ -45,3 +47,17 @@ def test_least_scale_has_no_valid_part(spark):
     names, rows = sql_rows(connect(DATA), ORACLE_SQL["undersegmented"])
     at = names.index("valid")
     assert rows and not any(r[at] for r in rows) and QUERIES["whole_pipeline_objects"](spark, DATA).count() == 0
+
+
+@needs_data
+def test_points_of_documents_have_a_fixed_size(spark):
+    """No text is dealt with the incidences of documents; as many points as different lines, and each has its line."""
+    from tessera.queries import docs_state
+    from tessera.sources import adapters
+
+    inc, masks, *_ = docs_state(spark, DATA)
+    assert dict(inc.dtypes)["point_id"] == "struct<h1:bigint,h2:bigint,n:int>"
+    text = adapters.docs_lines(spark, DATA)
+    assert inc.count() == text.count()
+    lines = [r.line for r in adapters.lines_of(spark, DATA, masks).join(inc.select("point_id").distinct(), F.col("point") == F.col("point_id")).where("char_length(line) = point.n").collect()]
+    assert len(lines) == len(set(lines)) and set(lines) == {r.point_id for r in text.select("point_id").distinct().collect()}
