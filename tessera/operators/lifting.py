@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import backproject, valid_depth, valid_pose
-from tessera.operators.spatial import denoise, epsilon_join, first_neighbours, voxel_downsample
+from tessera.operators.spatial import denoise, first_within, voxel_downsample
 from tessera.plans.config import Params
 
 MASK = ["seq", "frame_id", "mask_id"]
@@ -50,7 +50,7 @@ def near_points(points: DataFrame, scene: DataFrame, p: Params = Params()) -> Da
     """
     left = points.select("seq", F.struct("frame_id", "mask_id", "point_id").alias("id"), "x", "y", "z")
     right = scene.select("seq", F.col("point_id").alias("id"), "x", "y", "z")
-    near = first_neighbours(epsilon_join(left, right, p.distance), p.neighbours)
+    near = first_within(left, right, p.distance, p.neighbours)
     found = near.select("seq", "l_id.frame_id", "l_id.mask_id", F.col("l_id.point_id").alias("mp"), F.col("r_id").alias("point_id"))
     total = points.groupBy(*MASK).agg(F.count("*").alias("n"))
     covered = found.groupBy(*MASK).agg(F.count_distinct("mp").alias("hit")).join(total, MASK).where(F.col("hit") / F.col("n") >= p.coverage)

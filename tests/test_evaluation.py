@@ -268,6 +268,23 @@ def test_radius_join_of_blocks(spark, monkeypatch):
     assert pairs.columns == ["r_id", "l_id"] and sorted((r.l_id.id, r.r_id) for r in pairs.collect()) == sorted(want)
 
 
+def test_masks_look_for_first_neighbours_by_ranges_of_the_scene(spark, monkeypatch):
+    """A mask's points do not meet all of a crowded scene at once; the incidences are those of the first of all pairs."""
+    monkeypatch.setattr(spatial, "FIRST", 2)
+    rng = np.random.default_rng(6)
+    xyz = rng.normal(size=(120, 3)) * 0.1
+    scene = spark.createDataFrame([("s", i, *p) for i, p in enumerate(xyz.tolist())], "seq string, point_id long, x double, y double, z double")
+    points = scene.selectExpr("seq", "point_id % 2 as frame_id", "point_id % 3 as mask_id", "point_id", "x", "y", "z")
+    d2 = ((xyz[:, None] - xyz[None]) ** 2)
+    d2 = d2[..., 0] + d2[..., 1] + d2[..., 2]
+    want = {(i % 2, i % 3, int(j)) for i in range(120) for j in np.flatnonzero(d2[i] < 0.1**2)[:4]}
+    looked, join = [], spatial.epsilon_join
+    monkeypatch.setattr(spatial, "epsilon_join", lambda a, b, *rest, **more: looked.append(b.count()) or join(a, b, *rest, **more))
+    found = lifting.near_points(points, scene, Params(distance=0.1, neighbours=4, coverage=0.0)).collect()
+    assert {(r.frame_id, r.mask_id, r.point_id) for r in found} == want and len(found) == len(want)
+    assert looked and looked[0] < 120 and sum(looked) == 120
+
+
 def test_radius_join_with_a_cell_of_all_points(spark):
     """100,000 points in eight cells, cut into boxes and parts."""
     cloud = spark.range(100_000).selectExpr("'s' as seq", "id", "rand(1) * 0.99 as x", "rand(2) * 0.99 as y", "rand(3) * 0.99 as z")
