@@ -1,8 +1,10 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table by contraction.
 
-Each step joins the edges with one aggregated row per node, so a step moves O(edges) rows, and the
-number of steps grows with the logarithm of the longest path. The state of a step is a table in the
-shared folder; nothing but two checksums per step reaches the driver.
+Every node takes its least neighbour, which makes trees; each tree becomes one node, its least, and the
+edges between trees are those of the next round. A round at least halves the nodes that have edges, and
+of a graph with many edges a node it leaves few. Edges are dealt three times a round: for the least
+neighbours, and for the roots of either end, the second after equal edges are gone. All else has a row
+for a node. The state of a round is a table in the shared folder; only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -14,15 +16,30 @@ from pyspark.sql import functions as F
 
 from tessera.plans.scratch import Scratch
 
-#: A hub's edges are spread over so many join partitions; the hub's own row is repeated as often.
-SALT = 8
 
+def _named(trees: DataFrame, keys: Sequence[str], node: str, root: str) -> DataFrame:
+    return trees.select(*keys, F.col("node").alias(node), F.col("root").alias(root))
 
-def _join_min(edges: DataFrame, on: str, least: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """edges + column m of the node named by ``on``, with the node's edges dealt over SALT tasks."""
-    salted = edges.withColumn("_s", F.pmod(F.xxhash64("u", "v"), F.lit(SALT)).cast("int"))
-    copies = least.withColumnRenamed("node", on).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return salted.join(copies, [*keys, on, "_s"]).drop("_s")
+
+def _trees(ends: DataFrame, keys: Sequence[str], scratch: Scratch, rows: int) -> DataFrame:
+    """Columns ``keys + (node, root)``, root being the least node of the tree that the least neighbours make.
+
+    ends: node, m (a neighbour). Two steps to the least neighbour never lead to a greater node, and back to
+    the same one only where two nodes are each other's least: the lesser of these is the root.
+    """
+
+    def upper(df: DataFrame) -> DataFrame:
+        return df.join(_named(df, keys, "root", "top"), [*keys, "root"])
+
+    near = scratch.save(ends.groupBy(*keys, "node").agg(F.min("m").alias("root")), "near", rows)
+    trees = scratch.save(upper(near).select(*keys, "node", F.least("root", "top").alias("root")), "trees", rows)
+    scratch.drop(near)
+    while True:
+        after = scratch.save(upper(trees).select(*keys, "node", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")), "trees", rows)
+        scratch.drop(trees)
+        trees = after
+        if not trees.where("moved").count():
+            return trees.drop("moved")
 
 
 def connected_components(
@@ -37,51 +54,35 @@ def connected_components(
 
     edges: undirected; direction, repeated edges and loops are irrelevant; rows with a null end or a
     null key are ignored. keys: columns that separate independent graphs. Nodes without an edge to
-    another node have no row. An empty edge table gives an empty result.
+    another node have no row. An empty edge table gives an empty result. Where one end has far more
+    different nodes than the other, it is best ``src``.
     """
     spark = edges.sparkSession
     scratch = scratch or Scratch(spark, "components")
     s, d = (F.col(x) if isinstance(x, str) else x for x in (src, dst))
     keys = list(keys)
-    pairs = edges.select(*keys, s.alias("_a"), d.alias("_b")).dropna()
-    now = scratch.save(
-        pairs.where("_a <> _b").select(*keys, F.greatest("_a", "_b").alias("u"), F.least("_a", "_b").alias("v")).distinct(),
-        "edges",
-    )
-
-    def checksum(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).first()
-        return tuple(r)
-
-    seen = checksum(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.select(*keys, F.col("u").alias("node"), F.col("v").alias("m")).unionByName(
-            now.select(*keys, F.col("v").alias("node"), F.col("v").alias("m"))
-        )
-        least = both.groupBy(*keys, "node").agg(F.min("m").alias("m"))
-        # every larger neighbour of v is linked to the least neighbour of v
-        large = _join_min(now, "v", least, keys).select(*keys, "u", F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.save(large, "large", seen[0])
-        down = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        # every smaller neighbour of u, and u itself, is linked to the least of them
-        small = (
-            _join_min(large, "u", down.withColumnRenamed("u", "node"), keys)
-            .where("v <> m")
-            .select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(down.select(*keys, "u", F.col("m").alias("v")))
-            .distinct()
-        )
-        after = scratch.save(small, "edges", 2 * seen[0])
-        scratch.drop(large)
+    now = scratch.save(edges.select(*keys, s.alias("a"), d.alias("b")).dropna().where("a <> b"), "edges")
+
+    def ends() -> DataFrame:
+        return now.select(*keys, F.col("a").alias("node"), F.col("b").alias("m")).unionByName(now.select(*keys, F.col("b").alias("node"), F.col("a").alias("m")))
+
+    rounds: list[DataFrame] = []
+    while rows := now.count():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+        trees = _trees(ends(), keys, scratch, 2 * rows)
+        rounds.append(trees)
+        half = now.join(_named(trees, keys, "a", "i"), [*keys, "a"]).select(*keys, "i", "b").distinct()
+        whole = half.join(_named(trees, keys, "b", "j"), [*keys, "b"]).where("i <> j")
+        after = scratch.save(whole.select(*keys, F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct(), "edges", rows)
         scratch.drop(now)
-        now, was = after, seen
-        seen = checksum(now)
-        if seen == was:
-            break
-    else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    children = now.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return children.unionByName(roots)
+        now = after
+    if not rounds:
+        return ends().withColumnRenamed("m", "component")
+    found = rounds.pop().withColumnRenamed("root", "component")
+    while rounds:
+        trees, of = rounds.pop(), found.withColumnRenamed("node", "root")
+        found = trees.join(of, [*keys, "root"], "left").select(*keys, "node", F.coalesce("component", "root").alias("component"))
+        if rounds:
+            found = scratch.save(found, "found")
+    return found
