@@ -31,13 +31,12 @@ def _trees(ends: DataFrame, keys: Sequence[str], scratch: Scratch, rows: int) ->
     def upper(df: DataFrame) -> DataFrame:
         return df.join(_named(df, keys, "root", "top"), [*keys, "root"])
 
-    near = scratch.save(ends.groupBy(*keys, "node").agg(F.min("m").alias("root")), "near", rows)
-    trees = scratch.save(upper(near).select(*keys, "node", F.least("root", "top").alias("root")), "trees", rows)
-    scratch.drop(near)
+    saved = scratch.save(ends.groupBy(*keys, "node").agg(F.min("m").alias("root")), "near", rows)
+    trees = upper(saved).select(*keys, "node", F.least("root", "top").alias("root"))
     while True:
         after = scratch.save(upper(trees).select(*keys, "node", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")), "trees", rows)
-        scratch.drop(trees)
-        trees = after
+        scratch.drop(saved)
+        trees = saved = after
         if not trees.where("moved").count():
             return trees.drop("moved")
 
