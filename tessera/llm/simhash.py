@@ -92,7 +92,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, buck
     looked_up = numbered.select("fp", "s", F.explode(ball).alias("value"))
     near = F.filter("fps", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius))
     none = F.lit(None).cast("long")
-    met = looked_up.join(tables, ["s", "value"]).select("fp", F.explode(F.when(F.size("fps") > bucket, F.array(none)).otherwise(near)).alias("other"))
+    # Spark sizes an explode as one row for each of its input, so it is told to deal both sides and broadcast neither
+    met = looked_up.hint("merge").join(tables, ["s", "value"]).select("fp", F.explode(F.when(F.size("fps") > bucket, F.array(none)).otherwise(near)).alias("other"))
     met = scratch.save(met.distinct(), "met")  # a null stands for an entry that is too large
     keyed = met.where("other is null").select("fp", F.explode(F.transform(_masks(BITS, radius // 2), lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
     crowded = keyed.select("fp", F.min("fp").over(Window.partitionBy("key")).alias("other")).where("fp <> other")

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from tessera.llm.simhash import fingerprint, links, near_duplicates, op5_simhash
+from tessera.plans.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -122,3 +123,20 @@ def test_candidates_come_from_segment_tables(spark):
         assert sorted((r.a, r.b) for r in links(nodes, 2, segments).collect()) == [(3, 1), (1 << 40, 1)]
     with pytest.raises(ValueError):
         links(nodes, 3)
+
+
+def test_no_exploded_table_is_broadcast(spark, monkeypatch):
+    """Balls of few fingerprints look small to Spark, which counts no row that an explode adds, and are many times as large."""
+    plans, save = {}, Scratch.save
+
+    def seen(self, df, *rest):
+        df.collect()  # the plan that adaptive execution ends with
+        plans[rest[0]] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return save(self, df, *rest)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    nodes = spark.range(2000).selectExpr("xxhash64(id DIV 2) ^ (id % 2) AS fp")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    assert links(nodes).count() == 1000
+    assert "Generate" in plans["met"] and "SortMergeJoin" in plans["met"]
+    assert "Broadcast" not in plans["met"]
