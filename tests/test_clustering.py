@@ -241,6 +241,26 @@ def test_pairs_of_observers_are_not_shuffled(spark, monkeypatch):
     assert not any("Aggregate" in line and " i#" in line for line in plan.splitlines())
 
 
+@pytest.mark.parametrize("ordered", [False, True])
+def test_observers_send_a_block_once_a_group(spark, monkeypatch, ordered):
+    """What is dealt grows with the nodes and the groups, not with the pairs of blocks."""
+    for name, n in (("BLOCK", 2), ("GROUP", 16), ("GROUPS", 2)):
+        monkeypatch.setattr(consensus, name, n, raising=False)
+    rows = [(s, g, f) for s in "st" for g in range(64) for f in (0, 1 + g % 3)]
+    frame = spark.createDataFrame(rows, "seq string, gid int, frame_id int")
+    sent, kind = [], type(frame)
+
+    def seen(self, *rest, plain=kind.mapInArrow):
+        lists = sum((F.size(c) for c, t in self.dtypes if t.startswith("array")), F.lit(0))
+        sent.append(self.agg(F.sum(lists)).first()[0])
+        return plain(self, *rest)
+
+    monkeypatch.setattr(kind, "mapInArrow", seen)
+    found = [(r.seq, r.i, r.j, r.observers) for r in consensus.observers(frame, ordered=ordered).collect()]
+    assert sorted(found) == [(s, i, j, 1 + (i % 3 == j % 3)) for s in "st" for i in range(64) for j in range(64) if ordered or i < j]
+    assert sent == [2 * 64 * (4 + 1)]
+
+
 def test_edges_count_observers_of_supported_pairs_alone(spark, tmp_path, monkeypatch):
     """Links of a query over tables in which every mask is seen with every other."""
     from tessera.queries import ORACLE_SQL, consensus_edges
