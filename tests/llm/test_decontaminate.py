@@ -126,3 +126,15 @@ def test_parts_in_another_order(spark):
     assert {d for d, *_ in want} >= {0, 1, 2, 100}
     found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id, round(r.similarity, 6), r.start) for r in found.collect()} == want
+
+
+def test_item_tables_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    """Tables of few items are exploded 296 times: beyond the counted bound they are shuffled, however small Spark takes them to be."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 100)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "quite another text")], "doc_id long, text string")
+    items = spark.createDataFrame([(f"i{i}", f"{text} {i}") for i in range(30)], "item_id string, text string")
+    found = contaminated(docs, items)
+    assert {r.doc_id for r in found.collect()} == {1}
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in x and " value#" in x.replace("[", " ")]
+    assert joins and all("SortMergeJoin" in x for x in joins)
