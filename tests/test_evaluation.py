@@ -285,6 +285,29 @@ def test_masks_look_for_first_neighbours_by_ranges_of_the_scene(spark, monkeypat
     assert looked and looked[0] < 120 and sum(looked) == 120
 
 
+def test_radius_join_works_blocks_out_in_place(spark, monkeypatch):
+    """128 x 1,024 points that are all near: a block's pairs take little more than its distances and the rows that leave."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    same = spark.range(1).selectExpr("'s' as seq", "id", "0.0D as x", "0.0D as y", "0.0D as z")
+    cell = same.selectExpr("seq", "id as l_id", "x as l_x", "y as l_y", "z as l_z", "0L as _cx", "0L as _cy", "0L as _cz", "0L as _g", "1 as _parts")
+    taken, kind = [], type(same)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: taken.append((self.columns, f)) or self)
+    spatial._crowded_pairs(cell, cell.selectExpr(*(f"{c} as {c.replace('l_', 'r_')}" for c in cell.columns)), 0.15, ["seq"], False, ["l_id", "r_id"])
+    columns, run = taken[0]
+    n, m = 128, 1024
+    data = {"_g": np.zeros(n + m, np.int64), "_p": np.zeros(n + m, np.int32), "_box": np.repeat(np.array([-1, 0], np.int32), [n, m]), "seq": pa.repeat("s", n + m)}
+    data |= {"l_id": np.arange(n + m), "r_id": np.arange(n + m)} | {c: np.zeros(n + m) for c in "xyz"}
+    batch = pa.RecordBatch.from_arrays([pa.array(data[c]) for c in columns], names=columns)
+    tracemalloc.start()
+    found = [(b.num_rows, tracemalloc.get_traced_memory()[1]) for b in run(iter([batch]))]
+    tracemalloc.stop()
+    assert [k for k, _ in found] == [n * m]
+    assert found[0][1] < 6 * 8 * n * m
+
+
 def test_radius_join_with_a_cell_of_all_points(spark):
     """100,000 points in eight cells, cut into boxes and parts."""
     cloud = spark.range(100_000).selectExpr("'s' as seq", "id", "rand(1) * 0.99 as x", "rand(2) * 0.99 as y", "rand(3) * 0.99 as z")
